@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ranking, secrets, telephony
+from . import ranking, rans, secrets, telephony
 from .common import crc_mod, documents
 
 
@@ -17,6 +17,13 @@ def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.store(documents(spark, sf_dir), media=False, pcm=False)
 
 
+def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    back = rans.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = ranking.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -27,6 +34,7 @@ def op10_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_telephony": op6_telephony,
+    "op8_rans": op8_rans,
     "op10_ranking": op10_ranking,
 }
 ORACLE_SQL: dict[str, str] = {}
