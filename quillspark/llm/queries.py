@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ranking, rans, secrets, telephony
+from . import ranking, rans, rlz, secrets, telephony
 from .common import crc_mod, documents
 
 
+def op1_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = rlz.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
@@ -32,6 +37,7 @@ def op10_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rlz": op1_rlz,
     "op5_secrets": op5_secrets,
     "op6_telephony": op6_telephony,
     "op8_rans": op8_rans,
