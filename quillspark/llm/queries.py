@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ranking, rans, rlz, secrets, telephony
+from . import mixing, packing, ranking, rans, rlz, secrets, telephony
 from .common import crc_mod, documents
 
 
@@ -14,6 +14,10 @@ def op1_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
@@ -29,6 +33,11 @@ def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return mixing.select(docs).select("doc_id", F.col("_domain").alias("domain"), "lang", "source", packing.count_words(F.col("text")).alias("n_tokens"), F.col("_copies").alias("copies"))
+
+
 def op10_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = ranking.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -38,9 +47,11 @@ def op10_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_rlz": op1_rlz,
+    "op2_packing": op2_packing,
     "op5_secrets": op5_secrets,
     "op6_telephony": op6_telephony,
     "op8_rans": op8_rans,
+    "op9_mixing": op9_mixing,
     "op10_ranking": op10_ranking,
 }
 ORACLE_SQL: dict[str, str] = {}
