@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, ranking, rans, rlz, secrets, telephony
+from . import jaccard, mixing, packing, ranking, rans, rlz, secrets, telephony
 from .common import crc_mod, documents
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
@@ -48,6 +52,7 @@ def op10_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_rlz": op1_rlz,
     "op2_packing": op2_packing,
+    "op4_jaccard": op4_jaccard,
     "op5_secrets": op5_secrets,
     "op6_telephony": op6_telephony,
     "op8_rans": op8_rans,
