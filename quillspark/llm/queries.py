@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, ranking, rans, rlz, secrets, telephony
+from . import jaccard, kmeans_tree, mixing, packing, ranking, rans, rlz, secrets, telephony
 from .common import crc_mod, documents
 
 
@@ -18,6 +18,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return kmeans_tree.Index(table).search(table.where("vec_id % 20 = 0"), 20)
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
@@ -52,6 +57,7 @@ def op10_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_rlz": op1_rlz,
     "op2_packing": op2_packing,
+    "op3_kmeans_tree": op3_kmeans_tree,
     "op4_jaccard": op4_jaccard,
     "op5_secrets": op5_secrets,
     "op6_telephony": op6_telephony,
