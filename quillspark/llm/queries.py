@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, kmeans_tree, mixing, packing, ranking, rans, rlz, secrets, telephony
+from . import jaccard, kmeans_tree, mixing, packing, ranking, rans, rlz, secrets, suffix_tree, telephony
 from .common import crc_mod, documents
 
 
@@ -35,6 +35,10 @@ def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.store(documents(spark, sf_dir), media=False, pcm=False)
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(documents(spark, sf_dir))
+
+
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_jaccard": op4_jaccard,
     "op5_secrets": op5_secrets,
     "op6_telephony": op6_telephony,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_rans": op8_rans,
     "op9_mixing": op9_mixing,
     "op10_ranking": op10_ranking,
