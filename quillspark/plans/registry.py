@@ -1,4 +1,7 @@
 """All registered queries of the engine and the SQL that each is checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import retrieval
+
+_MODULES = (retrieval,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
