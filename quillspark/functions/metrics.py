@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_answer, numbers
+from .text import let, normalize_answer, numbers
 
 
 def gold_range(gold: Column) -> Column:
@@ -20,42 +20,52 @@ def _ranges(golds: Column) -> Column:
     return F.filter(F.transform(golds, gold_range), lambda r: r.isNotNull())
 
 
+def _any_in(found: Column, r: Column) -> Column:
+    return F.exists(found, lambda n: n.between(r["lo"], r["hi"]))
+
+
 def in_some_range(prediction: Column, golds: Column) -> Column:
     """Whether any number of the prediction lies in any of the golds' ranges."""
-    found = numbers(prediction)
-    return F.coalesce(F.exists(_ranges(golds), lambda r: F.exists(found, lambda n: n.between(r["lo"], r["hi"]))), F.lit(False))
+    return F.coalesce(let(numbers(prediction), lambda found: F.exists(_ranges(golds), lambda r: _any_in(found, r))), F.lit(False))
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
     """1.0 if a number fits a range or the normalised prediction equals a normalised gold, else 0.0."""
-    mine = normalize_answer(F.coalesce(prediction, F.lit("")))
-    return (in_some_range(prediction, golds) | F.coalesce(F.exists(golds, lambda g: normalize_answer(g) == mine), F.lit(False))).cast("double")
+    same = let(normalize_answer(F.coalesce(prediction, F.lit(""))), lambda mine: F.exists(golds, lambda g: normalize_answer(g) == mine))
+    return (in_some_range(prediction, golds) | F.coalesce(same, F.lit(False))).cast("double")
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(normalize_answer(text), " "), lambda t: t != "")
+
+
+def _count(tokens: Column, t: Column) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == t))
+
+
+def _overlap_f1(p: Column, g: Column) -> Column:
+    """F1 of two token arrays as multisets; both empty: 1, one empty: 0."""
+    common = F.array_intersect(p, g)
+    same = F.aggregate(common, F.lit(0), lambda n, t: n + F.least(_count(p, t), _count(g, t)))
+
+    def mean(n: Column) -> Column:
+        precision, recall = n / F.size(p), n / F.size(g)
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.lit(2.0) * precision * recall / (precision + recall))
+
+    return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).otherwise(let(same, mean))
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
-    """F1 of two texts' normalised tokens as multisets; both empty: 1, one empty: 0."""
-    split = lambda c: F.filter(F.split(normalize_answer(c), " "), lambda t: t != "")
-    p, g = split(prediction), split(gold)
-    count = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, t: n + F.least(count(p, t), count(g, t)))
-    precision, recall = same / F.size(p), same / F.size(g)
-    return (
-        F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double"))
-        .when(same == 0, F.lit(0.0))
-        .otherwise(F.lit(2.0) * precision * recall / (precision + recall))
-    )
+    return let(_tokens(prediction), lambda p: let(_tokens(gold), lambda g: _overlap_f1(p, g)))
 
 
 def f1(prediction: Column, golds: Column) -> Column:
     """The best token F1 against any gold; 1.0 where a number fits a range; 0.0 without golds."""
-    text = F.coalesce(prediction, F.lit(""))
-    best = F.coalesce(F.array_max(F.transform(golds, lambda g: token_f1(text, g))), F.lit(0.0))
-    return F.when(in_some_range(prediction, golds), F.lit(1.0)).otherwise(best)
+    best = let(_tokens(F.coalesce(prediction, F.lit(""))), lambda p: F.array_max(F.transform(golds, lambda x: let(_tokens(x), lambda g: _overlap_f1(p, g)))))
+    return F.when(in_some_range(prediction, golds), F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0)))
 
 
 def range_accuracy(prediction: Column, golds: Column) -> Column:
     """Where a gold is a range, whether a number lies in the first one; else exact match."""
-    found = _ranges(golds)
-    first = F.try_element_at(found, F.lit(1))
-    hit = F.coalesce(F.exists(numbers(prediction), lambda n: n.between(first["lo"], first["hi"])), F.lit(False))
-    return F.when(F.size(found) > 0, hit.cast("double")).otherwise(exact_match(prediction, golds))
+    numeric = let(_ranges(golds), lambda found: F.when(F.size(found) > 0, let(F.try_element_at(found, F.lit(1)), lambda r: F.coalesce(_any_in(numbers(prediction), r), F.lit(False)).cast("double"))))
+    return F.coalesce(numeric, exact_match(prediction, golds))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import UNVERIFIABLE, content_tokens
+from .text import UNVERIFIABLE, content_tokens, let
 
 TEXT_BAND, IMAGE_BAND = (0.5, 0.9), (0.15, 0.32)
 UNVISITED = 1e6
@@ -44,9 +44,12 @@ def score_source(action_type: Column, local: Column, support: Column) -> Column:
 
 def lexical_recall(question: Column, texts: Column) -> Column:
     """Share of the question's content words in the text that has most of them."""
-    asked = content_tokens(question)
-    best = F.array_max(F.transform(_nonempty(texts), lambda t: F.size(F.array_intersect(asked, content_tokens(t)))))
-    return F.when((F.size(asked) > 0) & best.isNotNull(), best / F.size(asked)).otherwise(F.lit(0.0))
+
+    def recall(asked: Column) -> Column:
+        best = F.array_max(F.transform(_nonempty(texts), lambda t: F.size(F.array_intersect(asked, content_tokens(t)))))
+        return F.when((F.size(asked) > 0) & best.isNotNull(), best / F.size(asked)).otherwise(F.lit(0.0))
+
+    return let(content_tokens(question), recall)
 
 
 def band(cosine: Column, lo: float, hi: float) -> Column:

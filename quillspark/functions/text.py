@@ -24,6 +24,11 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: lambdas evaluate what they close over for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
