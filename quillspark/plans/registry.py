@@ -1,7 +1,7 @@
 """All registered queries of the engine and the SQL that each is checked against."""
 
-from . import answers, retrieval, scoring
+from . import answers, labelling, retrieval, scoring
 
-_MODULES = (retrieval, answers, scoring)
+_MODULES = (retrieval, answers, scoring, labelling)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
