@@ -178,14 +178,15 @@ def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, rec
     keys = signed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("band"))
     keys = materialize(keys, "bands")
     stars = keys.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1").select("band", "centre")
-    candidates = connected(keys.join(stars, "band").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    candidates = connected(keys.hint("merge").join(stars, "band").select(F.col("node").alias("a"), F.col("centre").alias("b")))
     discard(keys)
     inside = candidates.join(nodes, "node")
     groups = inside.groupBy("root").agg(F.count("*").alias("m"), F.sum("grams").alias("g")).select("root", F.greatest(F.ceil(F.col("m") / CHUNK_TEXTS), F.ceil(F.col("g") / CHUNK_GRAMS)).cast("int").alias("chunks"))
     placed = materialize(inside.join(groups, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).select("node", "root", "size", "_k1", "chunks", "chunk"), "placed")
-    # one text for each node; of its copies in a partition only one is shuffled
+    # one text for each node; of its copies in a partition only one is shuffled. Sides that grow with the corpus are never
+    # broadcast, so the plan is the same at every size
     bodies = texts.select("_k1", "text").mapInArrow(_first_of_each, "_k1 long, text string")
-    meet = placed.join(bodies, "_k1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    meet = placed.hint("merge").join(bodies, "_k1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     meet = meet.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "chunk", "size", "text")
     checked = materialize(
         meet.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda it: _verify_batches(it, n, similarity), "node long, root long, links long"), "verified"
@@ -196,7 +197,7 @@ def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, rec
     whole = materialize(whole, "classes")
     first = whole.groupBy("root").agg(F.min("least_id").alias("class_id"))
     whole = materialize(whole.join(first, "root").select("node", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links")), "classes")
-    return signed.select("doc_id", "_k1", "_k2", "node").join(whole, "node").select("doc_id", "class_id", "n_links", "_k1", "_k2")
+    return signed.select("doc_id", "_k1", "_k2", "node").hint("merge").join(whole, "node").select("doc_id", "class_id", "n_links", "_k1", "_k2")
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
