@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 
@@ -103,6 +104,7 @@ def vector_top_k(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     cols = [id_col, *([dedupe] if dedupe else [])]
     types = [table.schema[c].dataType.simpleString() for c in cols]
     schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", *(f"{c} {t}" for c, t in zip(cols, types)), "score double"])
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     parts = []
     block: list = []
     ask = queries.select("query_id", "embedding")
@@ -126,7 +128,7 @@ def vector_top_k(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                 row, col = np.concatenate(rows), np.concatenate(cols_)
                 back = np.empty_like(order)
                 back[order] = np.arange(len(order))
-                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(col)), *(b.column(c).take(pa.array(row)) for c in cols), pa.array(scores[back[row], col])], names=["query_id", *cols, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, id_type).take(pa.array(col)), *(b.column(c).take(pa.array(row)) for c in cols), pa.array(scores[back[row], col])], names=["query_id", *cols, "score"])
 
         return run
 
