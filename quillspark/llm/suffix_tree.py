@@ -27,6 +27,8 @@ from .common import U64, Words, crc_mod, i64, slices
 CONTEXT_SHARE, ENTRY_SHARE, DIVERGENCE, ALPHA = 1e-4, 1e-6, 0.01, 0.1
 #: Text bytes of a block, about.
 BLOCK_BYTES = 12 << 20
+#: Counts that a row hands back to a block, at most.
+ANSWERS = 8192
 END = np.uint64(0x5BD1E995A1B2C3D5)
 
 
@@ -263,23 +265,34 @@ def _block_batches(batches: Iterator[pa.RecordBatch], tree: Tree, id_type: pa.Da
 
 
 def _final_batches(batches: Iterator[pa.RecordBatch], norm: float) -> Iterator[pa.RecordBatch]:
+    """Of each block first its row (part -1), then the counts of its rare words, some thousands a row."""
+    row: dict | None = None
+    counts = np.zeros(0)
+
+    def final():
+        of, which = (np.frombuffer(row[c].as_buffer(), "<i4") for c in ("rare_text", "rare_word"))
+        n = len(row["doc_ids"])
+        log = np.log10((counts + ALPHA) / norm)[which] if len(which) else np.zeros(0)
+        rest = np.bincount(of, log, n)
+        known = np.bincount(of, (counts > 0)[which] if len(which) else None, n).astype(np.int64)
+        get = lambda c: row[c].values.to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays(
+            [row["doc_ids"].values, row["held"].values, row["n"].values, pa.array(get("known") + known), pa.array(get("base") + rest), pa.array(get("score") + rest)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
     for b in batches:
-        for i in range(b.num_rows):
-            row = {c: b.column(c)[i] for c in b.schema.names}
-            counts = np.zeros(len(row["hashes"]), dtype=float)
-            if row["found"].is_valid and len(row["found"]):
-                found = row["found"].values
+        for i, part in enumerate(b.column("part").to_pylist()):
+            if part < 0:
+                if row is not None:
+                    yield final()
+                row = {name: b.column(name)[i] for name in b.schema.names}
+                counts = np.zeros(row["words"].as_py())
+            else:
+                found = b.column("found")[i].values
                 counts[found.field("pos").to_numpy()] = found.field("c").to_numpy()
-            of, which = (np.frombuffer(row[c].as_buffer(), "<i4") for c in ("rare_text", "rare_word"))
-            n = len(row["doc_ids"])
-            log = np.log10((counts + ALPHA) / norm)[which] if len(which) else np.zeros(0)
-            rest = np.bincount(of, log, n)
-            known = np.bincount(of, (counts > 0)[which] if len(which) else None, n).astype(np.int64)
-            get = lambda c: row[c].values.to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [row["doc_ids"].values, row["held"].values, row["n"].values, pa.array(get("known") + known), pa.array(get("base") + rest), pa.array(get("score") + rest)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+    if row is not None:
+        yield final()
 
 
 def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int = 2) -> DataFrame:
@@ -295,7 +308,10 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int = 2)
     tree, table = learn(docs.where(~out).select("text"), depth)
     blocks = materialize(docs.select("doc_id", "text", out.alias("held")).mapInArrow(lambda it: _block_batches(it, tree, arrow_id), _BLOCK.format(id=id_type)), "blocks")
     asked = blocks.select("block", F.posexplode("hashes").alias("pos", "key"))
-    answers = asked.join(table, "key").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
+    counted = asked.hint("merge").join(table, "key")
+    answers = counted.groupBy("block", F.expr(f"pos div {ANSWERS}").cast("int").alias("part")).agg(F.collect_list(F.struct("pos", "c")).alias("found"))
+    heads = blocks.withColumn("words", F.size("hashes")).drop("hashes").withColumn("part", F.lit(-1))
     norm = tree.norm
-    scored = blocks.join(answers, "block", "left").mapInArrow(lambda it: _final_batches(it, norm), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    meet = heads.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "part")
+    scored = meet.mapInArrow(lambda it: _final_batches(it, norm), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
