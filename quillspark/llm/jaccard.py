@@ -160,7 +160,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], n: int, similarity: float
 
 
 def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links of every row, and _k1, _k2 (the text's key).
+    """doc_id, class_id, n_links of every row, and _k1, _k2 (the text's key), _class (one value for each class).
 
     Two rows are linked if the Jaccard similarity of their sets of word n-grams is ``similarity`` or more (two empty sets:
     1). n_links counts the other rows linked to a row; class_id is the least doc_id of all that links connect, null if
@@ -196,8 +196,8 @@ def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, rec
     whole = nodes.join(links, "node", "left").join(classes, "node", "left").select("node", "size", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     whole = materialize(whole, "classes")
     first = whole.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    whole = materialize(whole.join(first, "root").select("node", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links")), "classes")
-    return signed.select("doc_id", "_k1", "_k2", "node").hint("merge").join(whole, "node").select("doc_id", "class_id", "n_links", "_k1", "_k2")
+    whole = materialize(whole.join(first, "root").select("node", "root", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links")), "classes")
+    return signed.select("doc_id", "_k1", "_k2", "node").hint("merge").join(whole, "node").select("doc_id", "class_id", "n_links", "_k1", "_k2", F.col("root").alias("_class"))
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +216,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     text key; of repeated rows one. Classes without any id keep one row as well."""
     found = materialize(near_copies(docs, **options), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_k1", "_k2")
-    # classes without ids can't be told apart by class_id: their texts are
-    group = F.when(F.col("class_id").isNull(), F.col("_k1"))
-    best = found.groupBy("class_id", group.alias("g")).agg(F.min(rank).alias("b")).select("b.id", "b._k1", "b._k2")
+    best = found.groupBy("_class").agg(F.min(rank).alias("b")).select("b.id", "b._k1", "b._k2")
     often = found.groupBy("doc_id", "_k1", "_k2").agg(F.count("*").alias("often"))
     chosen = best.alias("x").join(often.alias("y"), F.expr("x.id <=> y.doc_id and x._k1 = y._k1 and x._k2 = y._k2")).select(F.col("x.id").alias("__id"), F.col("x._k1").alias("__k1"), F.col("x._k2").alias("__k2"), "often")
     k1, k2 = text_key(F.col("text"))
