@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..storage import discard, materialize, new_path
 from .common import IS_SPACE, slices, text_bytes
 
-PRECISION, LANES, BLOCK, SEGMENT = 20, 32, 8192, 1 << 18
+PRECISION, LANES, BLOCK, SEGMENT = 20, 32, 8192, 1 << 20
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sBBHQIII")
 END_ID = 0
@@ -34,17 +34,21 @@ END_ID = 0
 class Table:
     """Frequencies of all ids, summing to 2**PRECISION, none zero: so any id can be coded."""
 
-    def __init__(self, counts: list[int]):
+    def __init__(self, freq: np.ndarray):
+        self.freq = freq.astype(np.uint64)
+        self.below = np.cumsum(self.freq) - self.freq
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
+        self.crc = zlib.crc32(self.freq.astype("<u4").tobytes())
+
+    @classmethod
+    def of(cls, counts: list[int]) -> Table:
         whole, n = sum(counts), len(counts)
         rest = (1 << PRECISION) - n
         if rest < 0:
             raise ValueError(f"{n} ids don't fit a precision of {PRECISION} bits")
         freq = [1 + (c * rest // whole if whole else 0) for c in counts]
         freq[max(range(n), key=counts.__getitem__)] += (1 << PRECISION) - sum(freq)
-        self.freq = np.array(freq, dtype=np.uint64)
-        self.below = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(n, dtype=np.uint32), freq)
-        self.crc = zlib.crc32(self.freq.astype("<u4").tobytes())
+        return cls(np.array(freq, dtype=np.uint64))
 
 
 def encode(ids: np.ndarray, table: Table) -> bytes:
@@ -115,8 +119,8 @@ class CachedTokenizer:
 
     #: Pieces in the cache, at most: about 150 MB. When it is full it begins anew; results don't depend on it.
     MOST = 700_000
-    #: Characters of new pieces that are joined to one text for the library.
-    JOINED = 20_000
+    #: New pieces that are joined to one text for the library.
+    JOINED = 2_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -143,23 +147,20 @@ class CachedTokenizer:
     def learn(self, pieces: list[str]) -> None:
         """Take the ids of new pieces into the cache. They are encoded joined, which parts them where they meet."""
         item = struct.calcsize(self.code)
-        raw = [p if p[0] == "\n" else " " + p for p in pieces]
-        cuts = [0]
-        size = 0
-        for i, r in enumerate(raw, 1):
-            size += len(r)
-            if size >= self.JOINED or i == len(raw):
-                cuts.append(i)
-                size = 0
-        groups = list(zip(cuts[:-1], cuts[1:]))
-        for (at, to), ids in zip(groups, self.plain(["".join(raw[at:to]) for at, to in groups])):
+        lines = [p for p in pieces if p[0] == "\n"]
+        inner = [p for p in pieces if p[0] != "\n"]
+        groups = [(g := lines[i : i + self.JOINED], "".join(g)) for i in range(0, len(lines), self.JOINED)]
+        groups += [(g := inner[i : i + self.JOINED], " " + " ".join(g)) for i in range(0, len(inner), self.JOINED)]
+        for (group, text), ids in zip(groups, self.plain([t for _, t in groups])):
             ends = np.cumsum(self.width[np.frombuffer(ids, dtype=f"<u{item}")])
-            stops = np.cumsum([len(r.encode()) for r in raw[at:to]])
+            raw = np.frombuffer(text.encode(), dtype=np.uint8)
+            # a piece begins with its only space or line break
+            stops = np.append(np.flatnonzero((raw == 32) | (raw == 10))[1:], len(raw))
             last = np.searchsorted(ends, stops) + 1
-            if not np.array_equal(ends[last - 1], stops):
+            if len(last) != len(group) or not np.array_equal(ends[last - 1], stops):
                 raise ValueError("pieces don't part where they meet")
             parts = (last * item).tolist()
-            self.cache.update(zip(pieces[at:to], map(ids.__getitem__, map(slice, [0, *parts[:-1]], parts))))
+            self.cache.update(zip(group, map(ids.__getitem__, map(slice, [0, *parts[:-1]], parts))))
 
     def encode(self, texts: list[str], odd: np.ndarray) -> list[bytes]:
         """Ids of each text, packed; ``odd`` marks the texts that must not be parted."""
@@ -202,7 +203,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, id_type: pa.DataType
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tokenizer = _tokenizers.setdefault(path, None) or CachedTokenizer(path)
     _tokenizers[path] = tokenizer
-    part, number = TaskContext.get().partitionId(), 0
+    part, number, before = TaskContext.get().partitionId(), 0, 0
     end = struct.pack(f"<{tokenizer.code}", END_ID)
     kind = np.dtype("<u2" if tokenizer.code == "H" else "<u4")
     ids: list[bytes] = []
@@ -211,8 +212,8 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, id_type: pa.DataType
 
     def segment():
         sizes = [len(x) // kind.itemsize for x in ids]
-        columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([sum(sizes)], pa.int64()), pa.array([b"".join(ids)], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "segment", "doc_ids", "sizes", "n", "ids"])
+        columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([b"".join(ids)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "segment", "doc_ids", "sizes", "before", "ids"])
 
     for batch in slices(batches):
         texts = batch.column("text")
@@ -223,15 +224,16 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, id_type: pa.DataType
             held += len(c) // kind.itemsize + 1
             if held >= SEGMENT:
                 yield segment()
+                before += held
                 ids, docs, held, number = [], [], 0, number + 1
     if ids:
         yield segment()
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[list[int], DataFrame]:
+def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[np.ndarray, DataFrame]:
     """Encode all texts (null: empty), append END_ID to each, and write the segments under ``path`` in ascending doc_id order.
 
-    Returns the counts behind the shared table and the DataFrame of the written files: part, segment, start (ids before
+    Returns the frequencies of the shared table and the DataFrame of the written files: part, segment, start (ids before
     it), doc_ids, sizes, payload. Null ids come first; rows of equal ids stay next to each other, in no further order;
     an empty table gives no segment. A document is never parted between segments. Other columns are ignored.
     """
@@ -241,7 +243,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[list[int
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     raw = materialize(
-        ordered.mapInArrow(lambda it: _segments(it, tokenizer_path, arrow_id), f"part int, segment int, doc_ids array<{id_type}>, sizes array<bigint>, n bigint, ids binary"), "ids"
+        ordered.mapInArrow(lambda it: _segments(it, tokenizer_path, arrow_id), f"part int, segment int, doc_ids array<{id_type}>, sizes array<bigint>, before bigint, ids binary"), "ids"
     )
     from tokenizers import Tokenizer
 
@@ -260,14 +262,13 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[list[int
     for r in raw.select("ids").mapInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # a row for each id of the vocabulary at most
         counts[r["id"]] = r["c"]
 
-    # ids before each part, then before each segment of a part
-    totals = raw.groupBy("part").agg(F.sum("n").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    inside = raw.select("part", "segment", (F.sum("n").over(Window.partitionBy("part").orderBy("segment")) - F.col("n")).alias("inner"))
-    starts = inside.join(before, "part").select("part", "segment", (F.col("base") + F.col("inner")).alias("start"))
+    freq = Table.of(counts).freq
+    # ids before each part: a row for each partition of the range shuffle, whose number is a setting
+    ends = raw.groupBy("part").agg(F.max(F.col("before") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    bases = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
     def code(batches):
-        table = Table(counts)
+        table = Table(freq)
         for b in batches:
             for i in range(b.num_rows):
                 payload = encode(np.frombuffer(b.column("ids")[i].as_buffer(), kind), table)
@@ -275,19 +276,19 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[list[int
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("part", "segment", "start", "doc_ids", "sizes")), pa.array([payload], pa.binary())], names=["part", "segment", "start", "doc_ids", "sizes", "payload"])
 
     schema = f"part int, segment int, start bigint, doc_ids array<{id_type}>, sizes array<bigint>, payload binary"
-    coded = raw.join(starts, ["part", "segment"]).select("part", "segment", "start", "doc_ids", "sizes", "ids").mapInArrow(code, schema)
+    coded = raw.join(F.broadcast(bases), "part").select("part", "segment", (F.col("base") + F.col("before")).alias("start"), "doc_ids", "sizes", "ids").mapInArrow(code, schema)
     # the number of a part is the number of its file, so that files and rows ascend
     coded.repartitionById(parts, F.col("part")).sortWithinPartitions("segment").write.option("compression", "none").parquet(path)
     discard(raw)
-    return counts, spark.read.schema(coded.schema).parquet(path)
+    return freq, spark.read.schema(coded.schema).parquet(path)
 
 
-def read_ids(files: DataFrame, counts: list[int]) -> DataFrame:
+def read_ids(files: DataFrame, freq: np.ndarray) -> DataFrame:
     """doc_id, start, n_tokens and ids (uint32 bytes) of every document in the files."""
     id_type = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches):
-        table = Table(counts)
+        table = Table(freq)
         for b in batches:
             for i in range(b.num_rows):
                 ids = decode(b.column("payload")[i].as_py(), table).astype("<u4")
@@ -303,5 +304,5 @@ def read_ids(files: DataFrame, counts: list[int]) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Writes the files in the shared folder and reads them back."""
-    counts, files = write_ids(docs, tokenizer_path, new_path(docs.sparkSession, "rans"))
-    return read_ids(files, counts)
+    freq, files = write_ids(docs, tokenizer_path, new_path(docs.sparkSession, "rans"))
+    return read_ids(files, freq)
