@@ -119,28 +119,32 @@ def plan(docs: DataFrame, mix: Mix, domain: Callable[[Column], Column]) -> DataF
     return spark.createDataFrame([(*t[:3], t[3], last.get(t[:3])) for t in table], "_domain string, _language string, _source string, _passes int, _last long")
 
 
-def order_value(mix: Mix) -> Column:
-    return F.xxhash64(F.lit(mix.seed), F.col("_passes"), F.col("doc_id"))
+def order_value(mix: Mix, passes: str = "_passes") -> Column:
+    return F.xxhash64(F.lit(mix.seed), F.col(passes), F.col("doc_id"))
+
+
+def _marked(docs: DataFrame, mix: Mix, domain: Callable[[Column], Column]) -> DataFrame:
+    """The rows that are taken, with __copies and __domain."""
+    table = plan(docs, mix, domain).select(*[F.col(c).alias(f"_{c}") for c in ("_domain", "_language", "_source", "_passes", "_last")])
+    leaf = [c.alias(name) for c, name in zip(_leaf_columns(docs, domain), ("__domain", "__language", "__source"))]
+    rows = docs.select("*", *leaf).join(F.broadcast(table), ["__domain", "__language", "__source"])
+    partly = order_value(mix, "__passes") <= F.col("__last")
+    return rows.withColumn("__copies", F.col("__passes") + F.coalesce(partly.cast("int"), F.lit(0))).where("__copies > 0")
 
 
 def select(docs: DataFrame, mix: Mix = Mix(), domain: Callable[[Column], Column] = default_domain) -> DataFrame:
-    """The rows that the mix takes at least once, with all their columns and ``_copies``, the number of times, and ``_domain``.
+    """The rows that the mix takes at least once, with all their columns and ``_copies``, the number of times, and ``_domain``
+    (columns of these two names are replaced).
 
     Tokens are words. Documents are taken whole, so a leaf may exceed its budget by less than its last document (rows of
     equal ids come together). A null language or source is a child of its own; a null text has no tokens. Each pass
     has its own order, a hash of seed, pass and doc_id. Only narrow rows are shuffled: the texts are filtered where
     they lie, by each leaf's last order value.
     """
-    table = plan(docs, mix, domain)
-    clash = [c for c in ("_domain", "_language", "_source", "_passes", "_last", "_copies") if c in docs.columns]
-    if clash:
-        docs = docs.select(*[F.col(c).alias(f"{c}__in") if c in clash else c for c in docs.columns])
-    marked = docs.select("*", *_leaf_columns(docs, domain)).join(F.broadcast(table), ["_domain", "_language", "_source"])
-    copies = F.col("_passes") + F.coalesce((order_value(mix) <= F.col("_last")).cast("int"), F.lit(0))
-    out = marked.withColumn("_copies", copies).where("_copies > 0").select(*docs.columns, "_copies", F.col("_domain"))
-    return out
+    rest = [c for c in docs.columns if c not in ("_copies", "_domain")]
+    return _marked(docs, mix, domain).select(*rest, F.col("__copies").alias("_copies"), F.col("__domain").alias("_domain"))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), domain: Callable[[Column], Column] = default_domain) -> DataFrame:
     """The mixture itself: rows as they are, each as often as it is taken."""
-    return select(docs, mix, domain).withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return _marked(docs, mix, domain).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

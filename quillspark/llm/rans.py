@@ -117,8 +117,9 @@ class CachedTokenizer:
     such pieces are encoded apart; texts with other white space, or with an added token, go to the library whole.
     """
 
-    #: Pieces in the cache, at most: about 150 MB. When it is full it begins anew; results don't depend on it.
-    MOST = 700_000
+    #: Pieces in each of the cache's two generations, at most: about 400 MB for both. When the younger is full it replaces
+    #: the older, from which pieces come back as they are met again; results don't depend on it.
+    MOST = 1_000_000
     #: New pieces that are joined to one text for the library.
     JOINED = 2_000
 
@@ -130,6 +131,7 @@ class CachedTokenizer:
         self.size = self.tokenizer.get_vocab_size()
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.width = np.zeros(self.size, dtype=np.int64)  # bytes that an id stands for: its token has a character for each
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.width[i] = len(token)
@@ -169,9 +171,11 @@ class CachedTokenizer:
         ]
         new = set().union(*(p for p in pieces if p)) - self.cache.keys()
         if len(self.cache) + len(new) > self.MOST:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
             new = set().union(*(p for p in pieces if p))
-        self.learn(list(new))
+        known = new & self.older.keys()
+        self.cache.update({p: self.older[p] for p in known})
+        self.learn(list(new - known))
         get, skip = self.cache.__getitem__, struct.calcsize(self.code)
         whole = iter(self.plain([t for t, p in zip(texts, pieces) if p is None]))
         return [next(whole) if p is None else b"".join(map(get, p))[skip:] for p in pieces]
@@ -283,8 +287,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[np.ndarr
     return freq, spark.read.schema(coded.schema).parquet(path)
 
 
-def read_ids(files: DataFrame, freq: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens and ids (uint32 bytes) of every document in the files."""
+def read_ids(files: DataFrame, freq: np.ndarray, ids_column: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian uint32) of every document in the files.
+
+    The checksum is of the ids as they are read; without ``ids_column`` the ids themselves stay with the reader.
+    """
     id_type = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches):
@@ -295,14 +302,18 @@ def read_ids(files: DataFrame, freq: np.ndarray) -> DataFrame:
                 sizes = np.array(b.column("sizes")[i].as_py(), dtype=np.int64)
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
-                raw = [ids[a:e].tobytes() for a, e in zip(starts, ends)]
+                raw = [ids[a:e].data for a, e in zip(starts, ends)]
                 base = b.column("start")[i].as_py()
-                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[i].values, pa.array(starts + base), pa.array(sizes), pa.array(raw, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                columns = [b.column("doc_ids")[i].values, pa.array(starts + base), pa.array(sizes), pa.array(np.array([zlib.crc32(r) for r in raw], dtype=np.int64))]
+                if ids_column:
+                    columns.append(pa.array([bytes(r) for r in raw], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return files.select("start", "doc_ids", "sizes", "payload").mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids binary")
+    schema = f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids_column
+    return files.select("start", "doc_ids", "sizes", "payload").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, ids_column: bool = True) -> DataFrame:
     """Writes the files in the shared folder and reads them back."""
     freq, files = write_ids(docs, tokenizer_path, new_path(docs.sparkSession, "rans"))
-    return read_ids(files, freq)
+    return read_ids(files, freq, ids_column)
