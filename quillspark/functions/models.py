@@ -79,6 +79,23 @@ def generated(df: DataFrame, column: str, make: Callable[[], Generator], name: s
     return _batched(df, column, name, "string", make)
 
 
+def decodable(df: DataFrame, column: str, decode: Callable[[bytes], object]) -> DataFrame:
+    """The rows whose bytes a decoder reads without raising; null bytes are left out."""
+
+    def reads(content) -> bool:
+        try:
+            decode(content)
+        except Exception:  # noqa: BLE001 - whatever a decoder raises, the row can't be used
+            return False
+        return True
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[reads(c) if c is not None else False for c in b[column]]]
+
+    return df.mapInPandas(run, df.schema)
+
+
 def two_way_score(yes: Column, no: Column) -> Column:
     """A score from the logits of two answers: the share of the first in their softmax."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(no - yes))

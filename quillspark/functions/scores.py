@@ -68,6 +68,16 @@ def grounding(action_type: Column, question: Column, texts: Column, images: Colu
     return F.when(action_type != "answer", F.greatest(by_text, by_image))
 
 
+def state_grounding(action_type: Column, question: Column, evidence: Column) -> Column:
+    """Grounding of an action type in a whole state: all its evidence (source_action, title, text, image_path), titles included."""
+
+    def of(own: Column) -> Column:
+        texts = F.transform(own, lambda e: F.when(F.coalesce(e["title"], F.lit("")) != "", F.concat_ws(": ", e["title"], e["text"])).otherwise(e["text"]))
+        return grounding(action_type, question, texts, F.transform(own, lambda e: e["image_path"]))
+
+    return let(F.filter(evidence, lambda e: e["source_action"] == action_type), of)
+
+
 def vector_grounding(action_type: Column, text_cosines: Column, image_cosines: Column) -> Column:
     """The same from cosines: the best of each modality, mapped by its band (image cosines count from 0)."""
     by_text = F.coalesce(band(F.array_max(text_cosines), *TEXT_BAND), F.lit(0.0))

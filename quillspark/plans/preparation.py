@@ -42,6 +42,15 @@ def pages_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pages_to_fetch(e, _pages(spark, sf_dir), titles)
 
 
+def entity_image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items are the big scan's records, orders the cache, parts the needed entities."""
+    s = lambda c: F.col(c).cast("string")
+    line = lambda *cs: F.concat_ws("-", *[F.lpad(s(c), 9, "0") for c in cs])
+    records = table(spark, sf_dir, "lineitem").select(s("l_partkey").alias("wikidata_id"), F.col("l_returnflag").alias("wikipedia_title"), F.concat_ws("/", s("l_orderkey"), s("l_suppkey")).alias("wikipedia_image_url"), line("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("line"))
+    cached = table(spark, sf_dir, "orders").select(s("o_custkey").alias("entity_id"), F.col("o_orderstatus").alias("title"), s("o_orderkey").alias("image_url"), line("o_orderkey").alias("line"))
+    return P.entity_image_urls(records, table(spark, sf_dir, "part").where("p_size < 20").select(s("p_partkey").alias("entity_id")), cached)
+
+
 def attached_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("E"), (F.col("conv_id") % 50).cast("string"), F.lit("_p"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("doc_id"), F.col("role").alias("title"), F.lit("t").alias("text"))
     images = table(spark, sf_dir, "nation").select(F.concat(F.lit("E"), (F.col("n_nationkey") * 2).cast("string")).alias("entity_id"), F.concat("n_name", F.lit(".png")).alias("image_path"))
@@ -142,7 +151,7 @@ def chosen_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        annotated_queries, page_chunks, pages_to_fetch, attached_images, image_manifests, choice_questions, unseen_images, entity_documents, paired_questions, scene_documents, full_golds,
+        annotated_queries, page_chunks, pages_to_fetch, entity_image_urls, attached_images, image_manifests, choice_questions, unseen_images, entity_documents, paired_questions, scene_documents, full_golds,
         top_answers, wanted_images, chosen_instructions,
     )
 }
@@ -161,6 +170,10 @@ r AS (SELECT e, ps, 1 AS i, 0 AS chunk, length(ps[1]) AS size FROM p WHERE len(p
 UNION ALL SELECT e, ps, i + 1, CASE WHEN size + length(ps[i + 1]) + 1 > 400 THEN chunk + 1 ELSE chunk END, CASE WHEN size + length(ps[i + 1]) + 1 > 400 THEN length(ps[i + 1]) ELSE size + 1 + length(ps[i + 1]) END FROM r WHERE i < len(ps)),
 c AS (SELECT e, chunk, max(size) AS n FROM r GROUP BY 1, 2) SELECT e AS entity_id, count(*) AS n_chunks, sum(n)::BIGINT AS n_chars, max(n)::BIGINT AS longest FROM c GROUP BY 1""",
     "pages_to_fetch": """SELECT 'Q' || d.doc_id AS entity_id, CASE WHEN quality = 1 THEN 'known' ELSE lang END AS title FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 7 = 0 OR text = ''""",
+    "entity_image_urls": """WITH n AS (SELECT p_partkey AS k FROM part WHERE p_size < 20),
+c AS (SELECT o_custkey AS k, o_orderstatus AS title, o_orderkey::VARCHAR AS url FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
+r AS (SELECT l_partkey AS k, l_returnflag AS title, l_orderkey || '/' || l_suppkey AS url FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1)
+SELECT k::VARCHAR AS entity_id, coalesce(c.title, r.title) AS title, coalesce(c.url, r.url) AS image_url FROM n LEFT JOIN c USING (k) LEFT JOIN r USING (k) WHERE coalesce(c.url, r.url) IS NOT NULL""",
     "attached_images": """SELECT 'E' || (conv_id % 50) || '_p' || conv_id || '_' || turn AS doc_id, role AS title, n_name || '.png' AS image_path, 'E' || (conv_id % 50) AS entity_id FROM conversations LEFT JOIN nation ON n_nationkey * 2 = conv_id % 50""",
     "image_manifests": """SELECT p_partkey AS image_id, p_name AS source_path, s_name AS path, left(trim(regexp_replace(p_partkey || '_' || p_name, '[^A-Za-z0-9]+', '_', 'g'), '_'), 120) AS stem FROM part LEFT JOIN supplier ON s_suppkey = p_partkey""",
     "choice_questions": """WITH r AS (SELECT *, p_partkey AS k, row_number() OVER (ORDER BY p_partkey % 3, lpad(p_partkey::VARCHAR, 12, '0')) - 1 AS i, [p_type, p_brand, p_size::VARCHAR] AS c FROM part WHERE p_partkey % 4 <> 0 AND length(p_brand) > 0),

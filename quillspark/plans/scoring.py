@@ -22,6 +22,13 @@ def lexical_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", F.round(g, 6).alias("grounding"))
 
 
+def state_groundings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda kind, title, text: F.struct(F.lit(kind).alias("source_action"), title.alias("title"), F.col(text).alias("text"), F.lit(None).cast("string").alias("image_path"))
+    evidence = F.array(one("text_search", F.lit(""), "b"), one("image_search", F.lit("x"), "a"), one("text_search", F.left("a", F.lit(20)), "c"))
+    kind = F.when(F.col("doc_id") % 4 == 0, "answer").otherwise("text_search")
+    return _lines(spark, sf_dir).select("doc_id", F.round(S.state_grounding(kind, F.col("a"), evidence), 6).alias("grounding"))
+
+
 def answer_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(F.col("doc_id") % 6 == 0, " Yes ").when(F.col("doc_id") % 6 == 1, F.concat(F.col("a"), F.lit(" 42"))).when(F.col("doc_id") % 6 == 2, F.lit("the of")).otherwise(F.col("a"))
     evidence = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit(""))).otherwise(F.array("b", F.concat("c", F.lit(" 42"))))
@@ -84,7 +91,7 @@ def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("l_orderkey", "l_linenumber", F.array_join(F.transform(box, lambda v: v.cast("string")), ",").alias("box"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_grounding, answer_supports, judged_supports, overlap_scores, fused_scores, synthetic_scores, uct_selection, crop_boxes)}
+QUERIES = {f.__name__: f for f in (lexical_grounding, state_groundings, answer_supports, judged_supports, overlap_scores, fused_scores, synthetic_scores, uct_selection, crop_boxes)}
 
 _L = "WITH l AS (SELECT doc_id, n_chars, string_split(text, chr(10)) AS l FROM documents), t AS (SELECT doc_id, n_chars, coalesce(l[1], '') AS a, coalesce(l[2], '') AS b, coalesce(l[3], '') AS c FROM l)"
 ORACLE_SQL = {
@@ -92,6 +99,10 @@ ORACLE_SQL = {
     + f""", w AS (SELECT doc_id, b, c, {sql_content("a")} AS qa, {sql_content("b")} AS wb, {sql_content("c")} AS wc FROM t),
 s AS (SELECT doc_id, CASE WHEN len(qa) = 0 OR (b = '' AND c = '') THEN 0e0 ELSE greatest(len(list_intersect(qa, wb)), len(list_intersect(qa, wc)))::DOUBLE / len(qa) END AS r FROM w)
 SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN round(greatest(r, CASE WHEN doc_id % 4 = 0 THEN 0.5e0 ELSE 0e0 END), 6) END AS grounding FROM s""",
+    "state_groundings": _L
+    + f""", u AS (SELECT doc_id, b, c, left(a, 20) AS h, CASE WHEN left(a, 20) = '' THEN c ELSE left(a, 20) || ': ' || c END AS hc, a FROM t),
+w AS (SELECT doc_id, b, hc, {sql_content("a")} AS qa, {sql_content("b")} AS wb, {sql_content("hc")} AS wc FROM u)
+SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN CASE WHEN len(qa) = 0 OR (b = '' AND hc = '') THEN 0e0 ELSE round(greatest(len(list_intersect(qa, wb)), len(list_intersect(qa, wc)))::DOUBLE / len(qa), 6) END END AS grounding FROM w""",
     "answer_supports": _L
     + f""", x AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN ' Yes ' WHEN doc_id % 6 = 1 THEN a || ' 42' WHEN doc_id % 6 = 2 THEN 'the of' ELSE a END AS ans, b, c || ' 42' AS c FROM t),
 y AS (SELECT doc_id, ans, {sql_content("ans")} AS m, list_concat({sql_content("b")}, {sql_content("c")}) AS h FROM x),

@@ -144,6 +144,13 @@ def usage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.usage_counts(trajectory_rows(conversation_steps(spark, sf_dir)))
 
 
+def gold_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order priorities are questions, customers' segments what is asked: the last query of a question gives the hint."""
+    queries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("question"), F.array(F.col("o_orderkey").cast("string")).alias("gold_answers"))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "1-URGENT").when(F.col("c_custkey") % 3 == 1, "5-LOW").otherwise("?").alias("question"))
+    return E.with_gold_hints(asked, queries).select("c_custkey", "question", F.array_join("hint", "|").alias("hint"))
+
+
 def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, intersection, difference, multiset overlap and ordered distinct of the words of a document's first two lines."""
     line = lambda i: F.split(F.lower(F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(i)), F.lit(""))), " ")
@@ -164,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tree_backup, best_children, most_visited_children, kept_children, stopped_rollouts, best_rollouts, distinct_sequences, heuristic_proposals, gated_proposals, policy_proposals,
-        tree_search, run_summaries, seed_aggregate, inspected_trajectories, usage_counts, token_sets, seeded_sample,
+        tree_search, run_summaries, seed_aggregate, inspected_trajectories, usage_counts, gold_hints, token_sets, seeded_sample,
     )
 }
 
@@ -211,6 +218,8 @@ u AS (SELECT seed, count(*) FILTER (a = 'answer') AS answer, count(*) FILTER (a
 SELECT count(*) AS seeds, round(avg(a), 6) AS accuracy, round(coalesce(stddev_samp(a), 0e0), 6) AS accuracy_std, string_agg(format('{:.6f}', a), ',' ORDER BY seed) AS accuracy_per_seed, round(avg(r), 6) AS mean_rollouts FROM s""",
     "inspected_trajectories": f"WITH {_CONV} SELECT 'c' || conv_id AS traj_id, count(*) AS steps FROM s WHERE conv_id % 20 = 3 GROUP BY conv_id HAVING bool_or(a = 'image_search')",
     "usage_counts": f"WITH {_CONV} SELECT a AS action_type, count(*) AS n FROM s GROUP BY 1",
+    "gold_hints": """WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' ELSE '?' END AS question FROM customer),
+h AS (SELECT o_orderpriority AS question, max(o_orderkey)::VARCHAR AS hint FROM orders GROUP BY 1) SELECT c_custkey, question, hint FROM c LEFT JOIN h USING (question)""",
     "token_sets": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), t AS (SELECT doc_id, string_split(lower(coalesce(l[1], '')), ' ') AS a, string_split(lower(coalesce(l[2], '')), ' ') AS b FROM l)
 SELECT doc_id, len(list_distinct(list_concat(a, b)))::BIGINT AS n_union, len(list_intersect(a, b))::BIGINT AS n_both, len(list_filter(list_distinct(a), lambda x: not list_contains(b, x)))::BIGINT AS n_only,
  coalesce(list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))), 0)::BIGINT AS n_overlap,

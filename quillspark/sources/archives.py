@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import tarfile
 import zipfile
 from collections.abc import Iterator
 
@@ -37,6 +38,28 @@ def zipped_maps(spark: SparkSession, path: str, wanted: DataFrame | None = None)
     return out if wanted is None else out.join(wanted.select(F.col("key").cast("string")).distinct(), "key", "left_semi")
 
 
+def tar_members(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """stem, name and content of the files in tar archives (plain or compressed); a damaged archive gives what precedes the damage.
+
+    ``wanted`` (a column stem) keeps some. An archive is read by one task.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as bundle:
+                        for member in bundle:
+                            if member.isfile():
+                                name = member.name.rsplit("/", 1)[-1]
+                                yield pd.DataFrame([(name.rsplit(".", 1)[0], member.name, bundle.extractfile(member).read())], columns=["stem", "name", "content"])
+                except (tarfile.TarError, EOFError, OSError):
+                    continue
+
+    out = spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "stem string, name string, content binary")
+    return out if wanted is None else out.join(wanted.select("stem").distinct(), "stem", "left_semi")
+
+
 def wanted_targets(spark: SparkSession, ids_path: str, csv_path: str) -> DataFrame:
     """image_id, source_path of all ids of a text list, from a csv mapping without header; ids without one are an error."""
     ids = spark.read.text(ids_path).select(F.trim("value").alias("image_id")).where("image_id <> ''").distinct()

@@ -45,6 +45,17 @@ def pages_to_fetch(entities: DataFrame, pages: DataFrame, titles: DataFrame) ->
     return todo.select("entity_id", F.coalesce(F.nullif("_t", F.lit("")), "entity_text").alias("title"))
 
 
+def entity_image_urls(records: DataFrame, needed: DataFrame, cached: DataFrame) -> DataFrame:
+    """entity_id, title, image_url of the needed entities: as cached (the last line of an entity), else from the big scan of
+    records (wikidata_id, wikipedia_title, wikipedia_image_url, line; the first). Those found nowhere are left out."""
+    have = last_per_key(cached.select("entity_id", "title", "image_url", "line"), "entity_id", "line").drop("line")
+    known = have.join(needed.select("entity_id").distinct(), "entity_id", "left_semi")
+    todo = needed.select("entity_id").distinct().join(have.select("entity_id"), "entity_id", "left_anti")
+    raw = records.select(F.col("wikidata_id").alias("entity_id"), F.col("wikipedia_title").alias("title"), F.col("wikipedia_image_url").alias("image_url"), "line")
+    fresh = first_per_key(raw.join(todo, "entity_id", "left_semi"), "entity_id", "line").drop("line")
+    return known.unionByName(fresh)
+
+
 def attached_images(corpus: DataFrame, images: DataFrame) -> DataFrame:
     """Corpus chunks with their entity's downloaded image (entity_id, image_path), where there is one."""
     files = images.select(F.col("entity_id").alias("_e"), F.col("image_path").alias("_i"))

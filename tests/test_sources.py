@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import io
 import json
+import tarfile
 import zipfile
 
 import pytest
@@ -79,6 +81,22 @@ def test_archives(spark, tmp_path):
         archives.wanted_targets(spark, str(tmp_path / "ids"), str(tmp_path / "map.csv"))
 
 
+def test_tar_members(spark, tmp_path):
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for name in ("d/x1.jpg", "d/x2.jpg"):
+            info = tarfile.TarInfo(name)
+            info.size = 3
+            t.addfile(info, io.BytesIO(b"abc"))
+    (tmp_path / "b.tar.gz").write_bytes(b"damaged")
+    got = archives.tar_members(spark, str(tmp_path / "*.tar.gz"), spark.createDataFrame([("x2",)], "stem string")).collect()
+    assert [(r["stem"], r["name"], bytes(r["content"])) for r in got] == [("x2", "d/x2.jpg", b"abc")]
+
+
+def test_undecodable_images_are_left_out(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"\xff")), (3, None)], "i int, content binary")
+    assert [r["i"] for r in models.decodable(df, "content", lambda b: bytes(b).decode()).collect()] == [1]
+
+
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"a": {"b": 1}}')
     c = config.load_config(tmp_path / "c.json", ["a.c=true", "d.e=[1, 2]", "f=text"])
