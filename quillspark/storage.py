@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests on one machine), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where unset (tests on one machine), a temporary one of this application."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        path = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own[app] = "file://" + path
+    return _own[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
