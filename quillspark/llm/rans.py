@@ -167,7 +167,7 @@ class CachedTokenizer:
     def encode(self, texts: list[str], odd: np.ndarray) -> list[bytes]:
         """Ids of each text, packed; ``odd`` marks the texts that must not be parted."""
         pieces: list[list[str] | None] = [
-            None if o or not t or not self.parts or any(a in t for a in self.added) else ("\n" + t).replace("\n", " \n").split(" ")[1:] for t, o in zip(texts, odd)
+            None if o or not t or not self.parts or any(a in t for a in self.added) else ("\n" + t.replace("\n", " \n")).split(" ") for t, o in zip(texts, odd)
         ]
         new = set().union(*(p for p in pieces if p)) - self.cache.keys()
         if len(self.cache) + len(new) > self.MOST:
@@ -182,8 +182,10 @@ class CachedTokenizer:
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
-_ODD = IS_SPACE.copy()
-_ODD[0x1C:0x20] = True
+# 1: white space; 2: may begin white space, or end it, beyond ASCII
+_ODD = IS_SPACE.astype(np.uint8)
+_ODD[0x1C:0x20] = 1
+_ODD[[0xC2, 0xE1, 0xE2, 0xE3]] = 2
 
 
 def odd_spacing(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -191,13 +193,12 @@ def odd_spacing(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.zeros(len(bounds) - 1, dtype=bool)
     if not len(data):
         return out
-    space = _ODD[data]
-    wide = ((data >= 0xE1) & (data <= 0xE3)) | (data == 0xC2)
-    hit = wide
-    hit[:-1] |= space[:-1] & space[1:]
-    out[np.searchsorted(bounds, np.flatnonzero(hit), side="right") - 1] = True
-    some = bounds[1:] > bounds[:-1]
-    out[some] |= space[bounds[:-1][some]] | space[bounds[1:][some] - 1]
+    kind = _ODD[data]
+    hit = kind >> 1
+    hit[:-1] |= kind[:-1] & kind[1:] & 1
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    first, last = bounds[:-1][some], bounds[1:][some] - 1
+    out[some] = (np.maximum.reduceat(hit, first) > 0) | (kind[first] == 1) | (kind[last] == 1)
     return out
 
 
@@ -216,8 +217,10 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, id_type: pa.DataType
 
     def segment():
         sizes = [len(x) // kind.itemsize for x in ids]
-        columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([b"".join(ids)], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "segment", "doc_ids", "sizes", "before", "ids"])
+        joined = b"".join(ids)
+        counts = np.bincount(np.frombuffer(joined, kind), minlength=tokenizer.size).astype("<u4")
+        columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([joined], pa.binary()), pa.array([counts.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "segment", "doc_ids", "sizes", "before", "ids", "counts"])
 
     for batch in slices(batches):
         texts = batch.column("text")
@@ -247,7 +250,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[np.ndarr
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     raw = materialize(
-        ordered.mapInArrow(lambda it: _segments(it, tokenizer_path, arrow_id), f"part int, segment int, doc_ids array<{id_type}>, sizes array<bigint>, before bigint, ids binary"), "ids"
+        ordered.mapInArrow(lambda it: _segments(it, tokenizer_path, arrow_id), f"part int, segment int, doc_ids array<{id_type}>, sizes array<bigint>, before bigint, ids binary, counts binary"), "ids"
     )
     from tokenizers import Tokenizer
 
@@ -257,13 +260,13 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[np.ndarr
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
+            for x in b.column("counts"):
+                total += np.frombuffer(x.as_buffer(), "<u4")
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "c"])
 
     counts = [0] * size
-    for r in raw.select("ids").mapInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # a row for each id of the vocabulary at most
+    for r in raw.select("counts").mapInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # a row for each id of the vocabulary at most
         counts[r["id"]] = r["c"]
 
     freq = Table.of(counts).freq
