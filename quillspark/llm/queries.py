@@ -69,4 +69,22 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_ranking": op10_ranking,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)"""
+#: The other operators choose, encode, fit or approximate in ways that SQL can't express: they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_rlz": f"""WITH {_WORDS}, p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
+g AS (SELECT doc_id, j, word, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+h AS (SELECT doc_id, j, md5(s) AS h FROM g WHERE n = 35), d AS (SELECT h FROM h GROUP BY 1 HAVING count(*) > 1), o AS (SELECT doc_id, j FROM h WHERE h IN (SELECT h FROM d)),
+m AS (SELECT p.doc_id, p.j, p.word, max(o.j) OVER (PARTITION BY p.doc_id ORDER BY p.j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN o ON o.doc_id = p.doc_id AND o.j = p.j),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM m GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
+    "op4_jaccard": f"""WITH RECURSIVE {_WORDS}, p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j, len(w) AS n FROM w),
+g AS (SELECT doc_id, n, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS c, j FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+u AS (SELECT DISTINCT doc_id, md5(s) AS s FROM g WHERE c = 5 OR (n < 5 AND j = 1)), z AS (SELECT doc_id, count(*) AS n FROM u GROUP BY 1),
+o AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM z)),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM u x JOIN u y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id = b WHERE c >= 0.8e0 * (za.n + zb.n - c) - 1e-9 UNION ALL SELECT x.doc_id, y.doc_id FROM o x JOIN o y ON x.doc_id <> y.doc_id),
+r AS (SELECT doc_id AS a, doc_id AS m FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.a WHERE r.m < l.b),
+k AS (SELECT a, min(m) AS class_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT k.a AS doc_id, class_id, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN n USING (a)""",
+}

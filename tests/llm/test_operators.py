@@ -566,6 +566,13 @@ def test_ranking(spark, none):
 # the registered queries
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_registered_query_agrees_with_sql(spark, name):
+    from tests.oracle import DATA, difference
+
+    assert difference(queries.QUERIES[name](spark, str(DATA / "sf0.001")), queries.ORACLE_SQL[name], "sf0.001") == ""
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_query_covers_its_table(spark, name):
     from tests.oracle import DATA
