@@ -70,6 +70,24 @@ QUERIES = {
     "op10_ranking": op10_ranking,
 }
 _WORDS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)"""
+
+
+def _spans_sql() -> str:
+    """Matches of each kind, placed by the lengths of what lies between them (a run of 16 is asked for at once: the same runs)."""
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        pattern = (f"[{r.run[0]}-9a-f]{{{r.least},}}" if r.run else r.pattern).replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, '{r.kind}' AS kind, {i} AS o, {r.least} AS least, regexp_extract_all(x, '{pattern}', 0) AS m, regexp_extract_all(x, '{pattern}', {r.group}) AS g, "
+            f"regexp_split_to_array(x, '{pattern}') AS p FROM t WHERE regexp_matches(x, '{pattern}')"
+        )
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), k AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT doc_id, kind, o, list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS a, length(m[i]) AS n FROM k, unnest(range(1, len(m) + 1)) AS u(i) WHERE length(g[i]) >= least),
+d AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) FILTER (o < {len(secrets.BASE)}) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans FROM s GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN d USING (doc_id)"""
+
+
 #: The other operators choose, encode, fit or approximate in ways that SQL can't express: they are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_rlz": f"""WITH {_WORDS}, p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
@@ -78,6 +96,7 @@ h AS (SELECT doc_id, j, md5(s) AS h FROM g WHERE n = 35), d AS (SELECT h FROM h
 m AS (SELECT p.doc_id, p.j, p.word, max(o.j) OVER (PARTITION BY p.doc_id ORDER BY p.j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN o ON o.doc_id = p.doc_id AND o.j = p.j),
 k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM m GROUP BY 1)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
+    "op5_secrets": _spans_sql(),
     "op4_jaccard": f"""WITH RECURSIVE {_WORDS}, p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j, len(w) AS n FROM w),
 g AS (SELECT doc_id, n, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS c, j FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 u AS (SELECT DISTINCT doc_id, md5(s) AS s FROM g WHERE c = 5 OR (n < 5 AND j = 1)), z AS (SELECT doc_id, count(*) AS n FROM u GROUP BY 1),
