@@ -10,19 +10,19 @@ from .jsonl import read_jsonl
 QUERY = "query_id string, question string, gold_answers array<string>, image_path string, metadata map<string,string>"
 DOCUMENT = "doc_id string, text string, title string, image_path string, entity_id string"
 
-# Entity, kind of place, place, what a document says of it.
+# A small world of our own: entity, kind of place, place, what a document says of it.
 FACTS = [
-    ("Eiffel Tower", "city", "Paris", "The Eiffel Tower is a wrought-iron lattice tower located in Paris, France."),
-    ("Mount Fuji", "country", "Japan", "Mount Fuji is the tallest mountain in Japan and an active stratovolcano."),
-    ("Colosseum", "city", "Rome", "The Colosseum is an ancient amphitheatre in the centre of Rome, Italy."),
-    ("Machu Picchu", "country", "Peru", "Machu Picchu is a 15th-century Inca citadel located in southern Peru."),
-    ("Brandenburg Gate", "city", "Berlin", "The Brandenburg Gate is an 18th-century neoclassical monument in Berlin."),
-    ("Burj Khalifa", "city", "Dubai", "The Burj Khalifa is the tallest building in the world, located in Dubai."),
-    ("Angkor Wat", "country", "Cambodia", "Angkor Wat is a vast Hindu-Buddhist temple complex in Cambodia."),
-    ("Stonehenge", "country", "England", "Stonehenge is a prehistoric monument of standing stones in Wiltshire, England."),
+    ("Atomium", "city", "Brussels", "Nine steel spheres joined by tubes make up the Atomium, a landmark of Brussels."),
+    ("Kilimanjaro", "country", "Tanzania", "Snow lies on top of Kilimanjaro, a dormant volcano that rises from the plains of Tanzania."),
+    ("Charles Bridge", "city", "Prague", "Thirty statues line the Charles Bridge, which crosses the river in the old town of Prague."),
+    ("Geysir", "country", "Iceland", "Hot springs everywhere are named after Geysir, a fountain of boiling water in Iceland."),
+    ("Belem Tower", "city", "Lisbon", "The Belem Tower guarded the harbour of Lisbon when ships left for the Indies."),
+    ("Lake Bled", "country", "Slovenia", "A church stands on the island in Lake Bled, below the mountains of Slovenia."),
+    ("Wawel Castle", "city", "Krakow", "Kings were crowned on the hill of Wawel Castle above the river in Krakow."),
+    ("Ngorongoro Crater", "country", "Tanzania", "Herds graze all year inside the Ngorongoro Crater, a collapsed volcano of Tanzania."),
 ]
-TEMPLATES = ["In which {kind} is the {entity} located?", "Which {kind} is home to the {entity}?", "What {kind} hosts the {entity}?"]
-DISTRACTORS = ["Photosynthesis converts light energy into chemical energy in plants.", "Tectonic plates move slowly over the mantle of the Earth."]
+TEMPLATES = ["In which {kind} would I find the {entity}?", "Which {kind} has the {entity} within its borders?", "To see the {entity}, which {kind} must one visit?"]
+DISTRACTORS = ["Bees tell each other by dancing where flowers are.", "Salt lowers the temperature at which water freezes."]
 
 
 def builtin_world(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
