@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, new_path
-from .common import IS_SPACE, slices, text_bytes
+from .common import IS_SPACE, SLICE_BYTES, slices, text_bytes
 
 PRECISION, LANES, BLOCK, SEGMENT = 20, 32, 8192, 1 << 20
 _LOW = np.uint64(1 << 31)
@@ -222,7 +222,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, id_type: pa.DataType
         columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([before], pa.int64()), pa.array([joined], pa.binary()), pa.array([counts.tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["part", "segment", "doc_ids", "sizes", "before", "ids", "counts"])
 
-    for batch in slices(batches):
+    for batch in slices(batches, limit=3 * SLICE_BYTES):
         texts = batch.column("text")
         coded = tokenizer.encode([t or "" for t in texts.to_pylist()], odd_spacing(*text_bytes(texts)))
         for doc, c in zip(batch.column("doc_id").to_pylist(), coded):
@@ -237,6 +237,16 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, id_type: pa.DataType
         yield segment()
 
 
+def _by_range(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows in partitions that ascend by doc_id. For whole numbers the borders come from quantiles of the ids alone, as a
+    range partitioning would sample whole rows and so read all texts twice."""
+    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int") or parts > 1024:
+        return docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
+    borders = sorted({int(b) for b in docs.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) or []})
+    above = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in borders]).cast("array<bigint>"), lambda b: b <= F.col("doc_id")))
+    return docs.repartitionById(parts, above)
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[np.ndarray, DataFrame]:
     """Encode all texts (null: empty), append END_ID to each, and write the segments under ``path`` in ascending doc_id order.
 
@@ -248,7 +258,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[np.ndarr
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = _by_range(docs.select("doc_id", "text"), parts).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     raw = materialize(
         ordered.mapInArrow(lambda it: _segments(it, tokenizer_path, arrow_id), f"part int, segment int, doc_ids array<{id_type}>, sizes array<bigint>, before bigint, ids binary, counts binary"), "ids"
     )
