@@ -15,6 +15,8 @@ from ..functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries that one pass over the units serves; more make further passes.
 QUERY_BLOCK = 4096
+#: (query, token) pairs that are broadcast, at most; more are joined by a shuffle on the token.
+BROADCAST_TERMS = 500_000
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -46,8 +48,8 @@ def with_terms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tokens(F.concat(title, F.lit(" "), F.coalesce("text", F.lit("")))).alias("terms"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of all pairs that share a token.
+def bm25(docs: DataFrame, queries: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score of all pairs that share a token, and of the pairs ``also`` (query_id, doc_id).
 
     Okapi BM25; an idf below 0 is replaced by EPSILON times the mean idf of the vocabulary. A token that a query repeats
     counts each time. Only postings of tokens that queries ask for are shuffled.
@@ -61,17 +63,22 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     raw = F.ln(F.col("n") - F.col("df") + F.lit(0.5)) - F.ln(F.col("df") + F.lit(0.5))
     idf = df.crossJoin(F.broadcast(stats)).select("t", "avgdl", F.when(raw < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(raw).alias("idf"))
     terms = asked.join(idf, "t")
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # postings dealt by document: the sums per query and document then need no further shuffle
+        terms, postings = F.broadcast(terms), postings.repartition("doc_id")
     part = F.col("times") * F.col("idf") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    return postings.join(terms, "t").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    parts = postings.join(terms, "t").select("query_id", "doc_id", part.alias("part"))
+    if also is not None:
+        parts = parts.unionByName(also.select("query_id", "doc_id", F.lit(0.0).alias("part")))
+    return parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
     """query_id, rank, doc_id, score: the k best, ties in corpus order (doc_id); where fewer than k documents score, the
     first others of the corpus with score 0."""
-    scored = bm25(docs, queries).withColumn("score", F.round("score", digits))
     first = docs.select("doc_id").orderBy("doc_id").limit(k)
-    filler = queries.select("query_id").crossJoin(F.broadcast(first)).join(scored, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(scored.unionByName(filler), k)
+    also = queries.select("query_id").crossJoin(F.broadcast(first))
+    return ranked(bm25(docs, queries, also).withColumn("score", F.round("score", digits)), k)
 
 
 def ranked(hits: DataFrame, k: int, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
