@@ -63,6 +63,23 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[stay], col[stay]
 
 
+def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and score of each query's k best ids among sorted ``ids`` but its own; an id with several rows counts by its best."""
+    scores = inner_products(q, x)
+    scores[q_ids[:, None] == ids[None, :]] = -np.inf
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+    single = len(first) == len(ids)
+    top = scores if single else np.maximum.reduceat(scores, first, axis=1)
+    row, col = best(top, k)
+    ok = np.isfinite(top[row, col])
+    row, col = row[ok], col[ok]
+    value = top[row, col]
+    if not single:
+        ends = np.append(first[1:], len(ids))
+        col = np.array([a + scores[r, a:b].argmax() for r, a, b in zip(row, first[col], ends[col])], dtype=np.int64)
+    return row, col, value
+
+
 def _rank(sorted_keys: np.ndarray) -> np.ndarray:
     """Place of each item among those of its key."""
     if not len(sorted_keys):
@@ -102,7 +119,7 @@ class Tree:
         return out
 
     def order(self, q: np.ndarray, visits: int, counts: np.ndarray, least: int) -> list[int]:
-        """Leaves in the order of a best-bin-first walk, until ``visits`` are seen that hold at least ``least`` rows."""
+        """Leaves in the order of a best-bin-first walk, until ``visits`` are seen that hold at least ``least`` by ``counts``."""
         near = self.centres @ q
         heap, seen, held = [(0.0, 0)], [], 0
         while heap and (len(seen) < visits or held < least):
@@ -173,10 +190,12 @@ def _search_batches(batches: Iterator[pa.RecordBatch], k: int, dim: int) -> Iter
 
     def handed():
         q, v, s = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((v, -s, q))
+        order = np.lexsort((-s, v, q))
         q, v, s = q[order], v[order], s[order]
-        fresh = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (s[1:] != s[:-1]))  # repeated rows
+        fresh = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))  # of a repeated id its best
         q, v, s = q[fresh], v[fresh], s[fresh]
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
         stay = _rank(q) < k
         return q[stay], v[stay], s[stay]
 
@@ -195,12 +214,8 @@ def _search_batches(batches: Iterator[pa.RecordBatch], k: int, dim: int) -> Iter
             ids, x = ids[order], x[order]
         for lo in range(0, len(own), 512):
             q = own[lo : lo + 512]
-            scores = inner_products(v[lo : lo + 512], x)
-            scores[q[:, None] == ids[None, :]] = -np.inf
-            row, col = best(scores, k)
-            ok = np.isfinite(scores[row, col])
-            row, col = row[ok], col[ok]
-            found.append((q[row], ids[col], scores[row, col]))
+            row, col, value = nearest(q, v[lo : lo + 512], ids, x, k)
+            found.append((q[row], ids[col], value))
             held += len(row)
         if held > 400_000:
             found = [handed()]
@@ -220,13 +235,14 @@ class Index:
     """A fitted tree with every row of ``table`` (vec_id, embedding) assigned to a leaf.
 
     Rows whose vector is null, zero, holds a null or a non-finite component, or has another length than most, and rows
-    without an id, take no part.
+    without an id, take no part. Rows that are there more than once (id and vector) are kept once.
     """
 
     def __init__(self, table: DataFrame, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS):
         table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         self.spark = table.sparkSession
-        chosen = table.where("vec_id is not null and embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows)
+        table = materialize(table.where("vec_id is not null and embedding is not null").dropDuplicates(), "vectors")
+        chosen = table.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(sample_rows)
         few = chosen.toArrow()  # at most sample_rows
         self.sample_ids, x = vectors(*(pa.concat_arrays(few[c].chunks) if few.num_rows else pa.array([], few.schema.field(c).type) for c in ("vec_id", "embedding")))
         self.sample, self.dim = x, x.shape[1]
@@ -243,9 +259,15 @@ class Index:
 
         # leaves are needed by several jobs; vectors are stored with them
         self.rows = materialize(table.mapInArrow(assigned, "vec_id long, leaf int, embedding array<double>"), "leaves")
-        self.counts = np.zeros(tree.leaves, dtype=np.int64)
-        for r in self.rows.groupBy("leaf").agg(F.count("*").alias("c")).collect():  # MOST_LEAVES at most
-            self.counts[r["leaf"]] = r["c"]
+        self.counts = self._by_leaf(self.rows)
+        #: Ids by the first of their leaves: what some leaves sum up to, they hold in different ids at least.
+        self.ids = self._by_leaf(self.rows.groupBy("vec_id").agg(F.min("leaf").alias("leaf")))
+
+    def _by_leaf(self, rows: DataFrame) -> np.ndarray:
+        out = np.zeros(self.tree.leaves, dtype=np.int64)
+        for r in rows.groupBy("leaf").agg(F.count("*").alias("c")).collect():  # MOST_LEAVES at most
+            out[r["leaf"]] = r["c"]
+        return out
 
     def calibrate(self, k: int, recall: float = RECALL, queries: int = CALIBRATION) -> int:
         """Leaves to visit so that, on average over sampled queries, that share of the k nearest by brute force is found."""
@@ -259,12 +281,11 @@ class Index:
                 ids, v = vectors(b.column("vec_id"), b.column("embedding"), dim)
                 order = np.argsort(ids, kind="stable")
                 ids, v, leaf = ids[order], v[order], b.column("leaf").to_numpy()[order]
-                scores = inner_products(q, v)
-                scores[own[:, None] == ids[None, :]] = -np.inf
-                row, col = best(scores, k)
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids[col]), pa.array(scores[row, col]), pa.array(leaf[col].astype(np.int32))], names=["q", "vec_id", "score", "leaf"])
+                row, col, value = nearest(own, q, ids, v, k)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids[col]), pa.array(value), pa.array(leaf[col].astype(np.int32))], names=["q", "vec_id", "score", "leaf"])
 
         near = self.rows.mapInArrow(exact, "q long, vec_id long, score double, leaf int")
+        near = near.groupBy("q", "vec_id").agg(F.max("score").alias("score"), F.max_by("leaf", "score").alias("leaf"))
         order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
         top = near.withColumn("r", F.row_number().over(order)).where(f"r <= {k}").select("q", "leaf").collect()  # k * queries
         place = [{leaf: i for i, leaf in enumerate(tree.order(v, tree.leaves, self.counts, 0))} for v in q]
@@ -275,12 +296,12 @@ class Index:
         """query_id, rank, vec_id, score: of each query's visited leaves the k rows of the greatest inner product.
 
         Nearest first, ties to the smaller vec_id; the row of the query's own id isn't a candidate. Rows that are there
-        more than once count once. Leaves are visited until ``visits`` (calibrated unless given) and at least 2 * k rows
-        are seen.
+        more than once, and ids with several vectors, count once. Leaves are visited until ``visits`` (calibrated unless
+        given) and at least 2 * k ids are seen.
         """
         visits = self.calibrate(k, recall) if visits is None else visits
-        tree, counts, dim = self.tree, self.counts, self.dim
-        blocks = np.maximum(1, -(-counts // BLOCK_ROWS))
+        tree, counts, dim = self.tree, self.ids, self.dim
+        blocks = np.maximum(1, -(-self.counts // BLOCK_ROWS))
         per_leaf = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("leaf") + 1) if (blocks > 1).any() else F.lit(1)
 
         def walk(batches):
@@ -294,7 +315,7 @@ class Index:
 
         asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(walk, "vec_id long, embedding array<double>, leaves array<int>")
         asked = asked.select("vec_id", "embedding", F.explode("leaves").alias("leaf")).withColumn("block", F.explode(F.sequence(F.lit(0), per_leaf - 1)))
-        held = self.rows.select("vec_id", "embedding", "leaf", F.pmod(F.xxhash64("vec_id"), per_leaf).cast("int").alias("block"))
+        held = self.rows.select("vec_id", "embedding", "leaf", F.pmod(F.xxhash64("vec_id", "embedding"), per_leaf).cast("int").alias("block"))
         both = held.withColumn("is_query", F.lit(0)).unionByName(asked.withColumn("is_query", F.lit(1)))
         found = both.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "is_query").mapInArrow(lambda it: _search_batches(it, k, dim), "query_id long, vec_id long, score double")
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -180,6 +180,23 @@ def test_all_leaves_are_exact_and_few_rows_give_all(spark):
     assert kmeans_tree.Index(table.where("false")).search(table.where("false"), 20).count() == 0
 
 
+def test_repeated_rows_and_ids_hide_no_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(25, 8))
+    x[3] = 2 * x[0]
+    twice = [(i, [float(v) for v in row]) for i, row in enumerate(x)] * 2
+    many = [(3, [float(v) for v in x[0] * (2 - 0.01 * j)]) for j in range(60)]  # near to 0, by other vectors
+    for data in (twice, twice + [twice[3]] * 60, twice + many):
+        table = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(2)
+        index = kmeans_tree.Index(table)
+        got = defaultdict(list)
+        for r in index.search(table.where("vec_id = 0").limit(1), 20).collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"]))
+        s = {i: max(float(np.dot(v, x[0])) for j, v in data if j == i) for i in range(1, 25)}
+        want = sorted(s, key=lambda i: (-s[i], i))[:20]
+        assert sorted(got[0]) == list(enumerate(want, 1)) and index.ids.sum() == 25
+
+
 # 4 Jaccard join
 
 
