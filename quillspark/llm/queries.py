@@ -36,7 +36,7 @@ def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.score(documents(spark, sf_dir))
+    return suffix_tree.score(documents(spark, sf_dir), depth=None)
 
 
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:

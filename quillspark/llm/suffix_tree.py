@@ -1,19 +1,19 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The tree's contexts are the last one or two tokens. A context is a candidate if it makes up a share ``CONTEXT_SHARE`` of
-the training tokens, and stays if the distribution of its next tokens diverges from that of the next shorter context.
-Each distribution gives weight to its frequent next tokens and hands the rest to the shorter context; the root is the
-smoothed unigram distribution. A token is scored in the longest context that stays.
-
-What the driver holds is bounded by shares of the corpus, whatever its size: contexts by 1 / CONTEXT_SHARE, frequent
-words and the entries of each level by 1 / ENTRY_SHARE. Counts of all other words stay in a table; texts are reduced to
-blocks that list their distinct rare words once, which are joined with that table.
+The tree's contexts are runs of tokens before a token. A context is a candidate if it occurs ``CONTEXT_LEAST`` times, and
+stays if the distribution of its next tokens diverges from that of the next shorter context; only contexts that stay are
+lengthened, by next tokens that follow often enough. Each distribution gives weight to its frequent next tokens and hands
+the rest to the shorter context; the root is the smoothed unigram distribution. A token is scored in the longest context
+that stays.
+
+Nothing of the tree is gathered: texts lie in blocks, and a block lists its distinct keys (words, contexts with their
+next token, contexts), with what it knows of them, in as many parts by hash as there is work for. A part sums over all
+blocks and hands back an answer for each key. A key is listed once a block, so common keys don't pile up in a part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize
-from .common import U64, Words, crc_mod, i64, slices
+from .common import U64, Words, crc_mod, mix64, slices, text_bytes
 
-CONTEXT_SHARE, ENTRY_SHARE, DIVERGENCE, ALPHA = 1e-4, 1e-6, 0.01, 0.1
+#: Least counts of contexts and of their entries. The shares of the training tokens raise them where a smaller tree is wanted.
+CONTEXT_LEAST, ENTRY_LEAST, CONTEXT_SHARE, ENTRY_SHARE = 5.0, 2.0, 0.0, 0.0
+DIVERGENCE, ALPHA = 0.01, 0.1
 #: Text bytes of a block, about.
-BLOCK_BYTES = 12 << 20
-#: Counts that a row hands back to a block, at most.
-ANSWERS = 8192
+BLOCK_BYTES = 8 << 20
 END = np.uint64(0x5BD1E995A1B2C3D5)
+_LEFT = U64(0x9FB21C651E98DF25)
+_ROW = "block long, part int, ids array<{id}>, held array<boolean>, data array<binary>"
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,275 +45,287 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n), w.counts + 1), np.append(0, ends)
 
 
-class Counter:
-    """Counts of 64-bit keys, combined whenever many are held."""
-
-    def __init__(self, most: int = 3_000_000):
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size, self.most = 0, most
-
-    def add(self, keys: np.ndarray) -> None:
-        values, counts = np.unique(keys, return_counts=True)
-        self.held.append((values, counts))
-        self.size += len(values)
-        if self.size > self.most:
-            self.combine()
-            self.most = max(self.most, 2 * self.size)
-
-    def combine(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.held:
-            return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-        if len(self.held) > 1:
-            keys, counts = (np.concatenate(c) for c in zip(*self.held))
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            self.held = [(keys[at], np.add.reduceat(counts, at))]
-            self.size = len(at)
-        return self.held[0]
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        keys, counts = self.combine()
-        for lo in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([i64(keys[lo : lo + 200_000]), pa.array(counts[lo : lo + 200_000])], names=["key", "c"])
-
-
-def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in the sorted keys, -1 where it isn't there."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-@dataclass
-class Level:
-    """Contexts of one length: sorted keys, total weight of their entries, weight handed on; sorted entry keys
-    (place of the context * words + word) and counts."""
-
-    keys: np.ndarray
-    total: np.ndarray
-    rest: np.ndarray
-    entries: np.ndarray
-    counts: np.ndarray
-
-
-@dataclass
-class Tree:
-    """words: sorted hashes of the frequent words, counts theirs; n, v: tokens and distinct tokens of the training texts."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    n: int
-    v: int
-    levels: list[Level]
-
-    @property
-    def norm(self) -> float:
-        return self.n + ALPHA * (self.v + 1)
-
-    def root(self, word: np.ndarray) -> np.ndarray:
-        """Unigram probabilities of frequent words; 1 for others, whose own factor comes later."""
-        return np.where(word >= 0, (self.counts[np.maximum(word, 0)] + ALPHA) / self.norm, 1.0) if len(self.words) else np.ones(len(word))
-
-    def contexts(self, word: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
-        """Place of each token's context of that length among the level's contexts, -1 where it hasn't one."""
-        level, w = self.levels[depth - 1], len(self.words)
-        before = np.empty_like(word)
-        before[1:] = word[:-1]  # at a text's begin the END of the text before
-        before[bounds[:-1]] = find(self.words, np.array([END]))[0]
-        if depth == 1:
-            return np.where(before >= 0, find(level.keys, before), -1)
-        older = np.empty_like(word)
-        older[1:] = before[:-1]
-        older[bounds[:-1]] = -1
-        return np.where((before >= 0) & (older >= 0), find(level.keys, older * w + before), -1)
-
-    def probabilities(self, word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Of each token in its longest context; of a word that isn't frequent, the factor to its unigram probability."""
-        p = self.root(word)
-        for depth, level in enumerate(self.levels, 1):
-            if not len(level.keys):
-                continue
-            at = self.contexts(word, bounds, depth)
-            own = np.flatnonzero(at >= 0)
-            a, x = at[own], word[own]
-            e = np.where(x >= 0, find(level.entries, a * len(self.words) + x), -1)
-            c = np.where(e >= 0, level.counts[np.maximum(e, 0)], 0) if len(level.entries) else np.zeros(len(own))
-            p[own] = (c + level.rest[a] * p[own]) / (level.total[a] + level.rest[a])
-        return p
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = Counter()
-    for b in slices(batches):
-        counter.add(tokens(Words(b.column("text"), lower=True))[0])
-    yield from counter.rows()
+def pack(values: np.ndarray) -> bytes:
+    """Compressed, byte by byte of the items' width; floats of few kinds as places among these."""
+    if not len(values):
+        return b""
+    if values.dtype == np.float64 and 2 * len(np.unique(few := values[:: len(values) // 4096 + 1])) < len(few):
+        kinds, code = np.unique(values, return_inverse=True)
+        kinds, code = (pack(x) for x in (kinds.view("<i8"), code.astype("<i4")))
+        return b"k" + len(kinds).to_bytes(8, "little") + kinds + code
+    width = values.dtype.itemsize
+    raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T).tobytes()
+    return b"p" + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _count_entries(batches: Iterator[pa.RecordBatch], tree: Tree, depth: int) -> Iterator[pa.RecordBatch]:
-    """Counts of (context, next token) with a frequent next token; with -1 as the token, of the context itself."""
-    counter, w = Counter(), len(tree.words)
-    for b in slices(batches):
-        hashes, _, bounds = tokens(Words(b.column("text"), lower=True))
-        word = find(tree.words, hashes)
-        at = tree.contexts(word, bounds, depth)
-        own = at >= 0
-        counter.add(at[own] * (w + 1) + word[own] + 1)
-    for b in counter.rows():
-        yield b
-
-
-def learn(training: DataFrame, depth: int = 2) -> tuple[Tree, DataFrame]:
-    """The tree, and the table of all training tokens' counts (key: hash, c)."""
-    table = materialize(training.select("text").mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
-    n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    few = table.where(F.col("c") >= max(1.0, ENTRY_SHARE * n)).toArrow()  # 1 / ENTRY_SHARE rows at most
-    words = few["key"].to_numpy().view(U64)
-    order = np.argsort(words)
-    tree = Tree(words[order], few["c"].to_numpy()[order], int(n), int(v), [])
-    least = max(5.0, CONTEXT_SHARE * n)
-    w = len(words)
-    keys = np.flatnonzero(tree.counts >= least)
-    for d in range(1, depth + 1):
-        tree.levels.append(Level(keys, np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(0, dtype=np.int64), np.zeros(0)))
-        if not len(keys):
-            continue
-        counted = training.select("text").mapInArrow(lambda it, t=tree, k=d: _count_entries(it, t, k), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-        counted = materialize(counted, "entries")
-        total = counted.groupBy(F.expr(f"key div {w + 1}").alias("a")).agg(F.sum("c").alias("c")).toArrow()  # 1 / CONTEXT_SHARE rows at most
-        occurs = np.zeros(len(keys))
-        occurs[total["a"].to_numpy()] = total["c"].to_numpy()
-        # 1 / ENTRY_SHARE rows at most
-        big = counted.where((F.expr(f"key % {w + 1}") > 0) & (F.col("c") >= max(2.0, ENTRY_SHARE * n))).toArrow()
-        discard(counted)
-        key, c = big["key"].to_numpy(), big["c"].to_numpy().astype(float)
-        order = np.argsort(key)
-        a, x, c = key[order] // (w + 1), key[order] % (w + 1) - 1, c[order]
+def unpack(data: bytes, kind) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    size = int.from_bytes(data[1:9], "little")
+    if data[:1] == b"k":
+        return unpack(data[9 : 9 + size], "<f8")[unpack(data[9 + size :], "<i4")]
+    raw = np.frombuffer(pa.decompress(data[9:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def gaps(places: np.ndarray) -> np.ndarray:
+    return np.diff(places, prepend=0).astype("<i4")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of each key, of batches sorted by it."""
+    rows: list[dict] = []
+    for b in batches:
+        for i in range(b.num_rows):
+            row = {n: b.column(n)[i] for n in b.schema.names}
+            row = row | {"block": row["block"].as_py(), "part": row["part"].as_py(), "data": row["data"].as_py()}
+            if rows and rows[0][key] != row[key]:
+                yield rows[0][key], rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows[0][key], rows
+
+
+def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    block, part, ids, held, data = zip(*rows)
+    wrap = lambda xs, kind: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) if x is not None else pa.nulls(1, pa.list_(kind)) for x in xs])
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int32()), wrap(ids, id_type), wrap(held, pa.bool_()), pa.array(data, pa.list_(pa.binary()))], names=["block", "part", "ids", "held", "data"])
+
+
+def _asks(block: int, keys: np.ndarray, columns: list[np.ndarray], parts: int, first: int = 0) -> list[tuple]:
+    """Rows that hand a block's sorted keys, with what it knows of them, to parts ``first`` and following."""
+    cuts = np.searchsorted(keys, np.arange(1, parts, dtype=U64) * U64((1 << 64) // parts))
+    return [(block, first + i, None, None, [pack(c[lo:hi]) for c in (keys, *columns)]) for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(keys)])) if hi > lo]
+
+
+def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the keys of all rows of a part: their order, where equal ones begin, which group each is of; the rows' sizes."""
+    held = [unpack(r["data"][0], U64) for r in rows]
+    keys = np.concatenate(held)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begin = np.append(True, keys[1:] != keys[:-1])
+    return order, np.flatnonzero(begin), np.cumsum(begin) - 1, np.cumsum([len(h) for h in held])[:-1]
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch], words: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Answers 2 * count, plus 1 in one of the blocks that counted the key; for parts below ``words`` also tokens and kinds (block -1)."""
+    for part, rows in _groups(batches, "part"):
+        order, first, group, cuts = _merged(rows)
+        n = np.concatenate([unpack(r["data"][1], "<i4") for r in rows])[order].astype(np.int64)
+        total = np.add.reduceat(n, first)
+        answer = 2 * total[group]
+        counted = np.flatnonzero(n)
+        of = group[counted]
+        answer[counted[np.append(True, of[1:] != of[:-1])[: len(of)]]] += 1
+        back = np.empty_like(answer)
+        back[order] = answer
+        out = [(r["block"], part, None, None, [pack(a)]) for r, a in zip(rows, np.split(back, cuts))]
+        if part < words:
+            out.append((-1, part, None, None, [pack(np.array([total.sum(), (total > 0).sum()]))]))
+        yield _batch(out, id_type)
+
+
+def _context_batches(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Answers the total weight of a context's entries and the weight handed on; -1 for a context that doesn't stay."""
+    for part, rows in _groups(batches, "part"):
+        order, first, group, cuts = _merged(rows)
+        occurs = np.concatenate([unpack(r["data"][1], "<f8") for r in rows])[order][first]
+        weight, kinds, inside, shorter = (np.add.reduceat(np.concatenate([unpack(r["data"][i], "<f8") for r in rows])[order], first) for i in (2, 3, 4, 5))
         # divergence of the entries, and of all else as one, from the shorter context's distribution
-        shorter = _shorter(tree, keys[a], x, d)
-        share = c / occurs[a]
-        terms = share * np.log(np.maximum(share, 1e-300) / shorter)
-        inside = np.bincount(a, terms, len(keys))
-        left = np.maximum(1 - np.bincount(a, share, len(keys)), 1e-12)
-        left0 = np.maximum(1 - np.bincount(a, shorter, len(keys)), 1e-12)
-        stay = inside + left * np.log(left / left0) >= DIVERGENCE
-        number = np.cumsum(stay) - 1
-        kept = stay[a]
-        weight = np.bincount(a, c, len(keys))
-        kinds = np.bincount(a, minlength=len(keys))
-        tree.levels[-1] = Level(keys[stay], weight[stay], (occurs - weight + kinds + 1)[stay], number[a[kept]] * w + x[kept], c[kept])
-        # the next level's candidates: entries that occur often enough, in a context that stays
-        often = kept & (c >= least)
-        keys = np.sort(keys[a[often]] * w + x[often]) if d == 1 else np.zeros(0, dtype=np.int64)
-    return tree, table
-
-
-def _shorter(tree: Tree, context: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
-    """Probability of each word in the context without its oldest token."""
-    p = tree.root(word)
-    if depth == 1:
-        return p
-    level, w = tree.levels[0], len(tree.words)
-    at = find(level.keys, context % w)
-    own = np.flatnonzero(at >= 0)
-    e = find(level.entries, at[own] * w + word[own])
-    c = np.where(e >= 0, level.counts[np.maximum(e, 0)], 0) if len(level.entries) else np.zeros(len(own))
-    p[own] = (c + level.rest[at[own]] * p[own]) / (level.total[at[own]] + level.rest[at[own]])
-    return p
-
-
-_BLOCK = "block long, doc_ids array<{id}>, held array<boolean>, n array<long>, known array<long>, base array<double>, score array<double>, rare_text binary, rare_word binary, hashes array<long>"
-
-
-def _block_batches(batches: Iterator[pa.RecordBatch], tree: Tree, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    part, number = TaskContext.get().partitionId(), 0
-    held: list[tuple] = []
-    size = texts = 0
+        left, left0 = np.maximum(1 - weight / occurs, 1e-12), np.maximum(1 - shorter, 1e-12)
+        stay = (inside - weight * np.log(occurs)) / occurs + left * np.log(left / left0) >= DIVERGENCE
+        back = np.empty((len(order), 2))
+        back[order] = np.where(stay[:, None], np.stack([weight, occurs - weight + kinds + 1], axis=1), -1.0)[group]
+        yield _batch([(r["block"], part, None, None, [pack(a)]) for r, a in zip(rows, np.split(back, cuts))], id_type)
+
+
+class Block:
+    """A block's texts in tokens."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.number, self.data = row["block"], row["data"]
+        bounds = unpack(self.data[1], "<i8")
+        self.texts = len(bounds) - 1
+        texts = pa.LargeStringArray.from_buffers(self.texts, pa.py_buffer(bounds), pa.py_buffer(unpack(self.data[0], np.uint8)))
+        self.hashes, self.of, self.bounds = tokens(Words(texts, lower=True))
+
+    def keys(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the d tokens before each token (of no use before the d-th of a text), and of these with the token."""
+        context = np.append(END, self.hashes[:-1])
+        context[self.bounds[:-1]] = END
+        entry = mix64(context * _LEFT + self.hashes)
+        for _ in range(d - 1):
+            context = np.append(END, entry[:-1])
+            entry = mix64(context * _LEFT + self.hashes)
+        return context, entry
+
+    def trained(self) -> np.ndarray:
+        return ~self.row["held"].values.to_numpy(zero_copy_only=False)[self.of]
+
+    def listed(self, keys: np.ndarray, at: np.ndarray | None, parts: int, first: int = 0) -> list[tuple]:
+        own = self.trained() if at is None else self.trained()[at]
+        u, inverse = np.unique(keys, return_inverse=True)
+        return _asks(self.number, u, [np.bincount(inverse[own], minlength=len(u)).astype("<i4")], parts, first)
+
+    def state(self, *data: np.ndarray) -> tuple:
+        return (self.number, -1, self.row["ids"].values, self.row["held"].values, [*self.data[:2], *map(pack, data)])
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    part, number, size = TaskContext.get().partitionId(), 0, 0
+    held: list[pa.RecordBatch] = []
 
     def block():
-        ids, out_of, n, known, base, score, of, rare = zip(*held)
-        hashes, which = np.unique(np.concatenate(rare), return_inverse=True)
-        lists = [pa.concat_arrays(ids), pa.concat_arrays(out_of), *(pa.array(np.concatenate(x)) for x in (n, known, base, score))]
-        wrap = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        columns = [pa.array([(part << 32) | number]), *map(wrap, lists), *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (np.concatenate(of), which)), wrap(i64(hashes))]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "held", "n", "known", "base", "score", "rare_text", "rare_word", "hashes"])
+        ids, texts, out = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text", "held"))
+        return _batch([((part << 32) | number, -1, ids, out, [pack(x) for x in text_bytes(texts)])], id_type)
 
     for b in slices(batches):
-        w = Words(b.column("text"), lower=True)
-        hashes, text, bounds = tokens(w)
-        word = find(tree.words, hashes)
-        p, unigram = tree.probabilities(word, bounds), tree.root(word)
-        first = bounds[:-1]
-        rare = np.flatnonzero(word < 0)
-        held.append(
-            (
-                b.column("doc_id"),
-                b.column("held"),
-                np.diff(bounds),
-                np.add.reduceat((word >= 0).astype(np.int64), first),
-                np.add.reduceat(np.log10(unigram), first),
-                np.add.reduceat(np.log10(p), first),
-                text[rare] + texts,
-                hashes[rare],
-            )
-        )
-        size, texts = size + len(w.data), texts + b.num_rows
+        held.append(b)
+        size += b.column("text").nbytes
         if size >= BLOCK_BYTES:
             yield block()
-            held, size, texts, number = [], 0, 0, number + 1
+            held, size, number = [], 0, number + 1
     if held:
         yield block()
 
 
-def _final_batches(batches: Iterator[pa.RecordBatch], norm: float) -> Iterator[pa.RecordBatch]:
-    """Of each block first its row (part -1), then the counts of its rare words, some thousands a row."""
-    row: dict | None = None
-    counts = np.zeros(0)
+def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for _, (row,) in _groups(batches, "block"):
+        b = Block(row)
+        yield _batch(b.listed(b.hashes, None, parts) + b.listed(b.keys(1)[1], None, parts, parts), id_type)
 
-    def final():
-        of, which = (np.frombuffer(row[c].as_buffer(), "<i4") for c in ("rare_text", "rare_word"))
-        n = len(row["doc_ids"])
-        log = np.log10((counts + ALPHA) / norm)[which] if len(which) else np.zeros(0)
-        rest = np.bincount(of, log, n)
-        known = np.bincount(of, (counts > 0)[which] if len(which) else None, n).astype(np.int64)
-        get = lambda c: row[c].values.to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays(
-            [row["doc_ids"].values, row["held"].values, row["n"].values, pa.array(get("known") + known), pa.array(get("base") + rest), pa.array(get("score") + rest)],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-        )
 
-    for b in batches:
-        for i, part in enumerate(b.column("part").to_pylist()):
-            if part < 0:
-                if row is not None:
-                    yield final()
-                row = {name: b.column(name)[i] for name in b.schema.names}
-                counts = np.zeros(row["words"].as_py())
-            else:
-                found = b.column("found")[i].values
-                counts[found.field("pos").to_numpy()] = found.field("c").to_numpy()
-    if row is not None:
-        yield final()
-
-
-def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int = 2) -> DataFrame:
+def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, least: tuple[float, float, float], parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """With the counts of entries: each block's state, and its contexts with the sums of the entries it answers for.
+
+    State: known, base, score by text; sorted places ``keep`` that may ever have a context of two tokens, p there; places
+    ``at`` with a candidate, their contexts' counts, p and entries' counts.
+    """
+    least, frequent, entry_least = least
+    for _, rows in _groups(batches, "block"):
+        b = Block(rows[0])
+        answers = lambda lo, hi: np.concatenate([np.zeros(0, "<i8"), *(unpack(r["data"][0], "<i8") for r in rows[1:] if lo <= r["part"] < hi)])
+        context, entry = b.keys(d)
+        if d == 1:
+            count = (answers(0, parts) >> 1)[np.unique(b.hashes, return_inverse=True)[1]]
+            q = (count + ALPHA) / (n + ALPHA * (v + 1))
+            known = np.bincount(b.of, count > 0, b.texts).astype("<i8")
+            base = score = np.bincount(b.of, np.log10(q), b.texts)
+            at = np.arange(len(b.hashes))
+            occurs = np.append(0, count[:-1])
+            occurs[b.bounds[:-1]] = count[b.bounds[1] - 1] if b.texts else 0
+            able = (occurs >= least) & (occurs >= frequent)
+        else:
+            known, base, score, keep, held, at, occurs, q = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<f8", "<i4", "<f8", "<f8")))
+            keep, at = np.cumsum(keep), np.cumsum(at)
+            able = np.ones(len(at), dtype=bool)
+        u, place, inverse = np.unique(entry[at], return_index=True, return_inverse=True)
+        answer = answers(parts, 2 * parts)
+        c = (answer >> 1)[inverse].astype(float)
+        c[c < entry_least] = 0
+        own = place[(answer & 1) > 0]
+        own = own[able[own] & (c[own] > 0)]
+        if d == 1:  # whatever is longer ends in a pair of tokens that occurs as often
+            keep = np.flatnonzero((c >= least) & (b.hashes != END)) + 1
+            held = q[keep]
+        contexts, inverse = np.unique(context[at[able]], return_inverse=True)
+        number = np.cumsum(able) - 1
+        to = inverse[number[own]]
+        seen = np.zeros(len(contexts))
+        seen[inverse] = occurs[able]
+        sums = [np.bincount(to, x, len(contexts)) for x in (c[own], np.ones(len(own)), c[own] * (np.log(c[own]) - np.log(q[own])), q[own])]
+        state = b.state(known, base, score, gaps(keep), held, gaps(at[able]), c[able], q[able].astype("<f8"))
+        yield _batch([state, *_asks(b.number, contexts, [seen, *sums], parts)], id_type)
+
+
+def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, least: float, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """With the contexts that stay: each block's state, and the longer contexts with their next tokens."""
+    for _, rows in _groups(batches, "block"):
+        b = Block(rows[0])
+        known, base, score, keep, held, at, c, q = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<f8", "<i4", "<f8", "<f8")))
+        keep, at = np.cumsum(keep), np.cumsum(at)
+        inverse = np.unique(b.keys(d)[0][at], return_inverse=True)[1]
+        answer = np.concatenate([np.zeros(0), *(unpack(r["data"][0], "<f8") for r in rows[1:])]).reshape(-1, 2)[inverse]
+        total, rest = answer[:, 0], answer[:, 1]
+        stay = total >= 0
+        p = np.where(stay, (c + rest * q) / np.where(stay, total + rest, 1.0), q)
+        score = score + np.bincount(b.of[at], np.log10(p) - np.log10(q), b.texts)
+        held = held.copy()
+        where = np.searchsorted(keep, at)
+        hit = (where < len(keep)) & (keep[np.minimum(where, len(keep) - 1)] == at) if len(keep) else np.zeros(len(at), dtype=bool)
+        held[where[hit]] = p[hit]
+        longer = stay & (c >= least) & (b.hashes[at] != END)
+        at, occurs = at[longer] + 1, c[longer]
+        # later candidates follow these without a gap
+        where = np.searchsorted(keep, at)
+        q = held[where]
+        run = np.cumsum(np.append(True, np.diff(keep) != 1)[: len(keep)])
+        begin = np.full(len(keep) + 1, len(keep))
+        np.minimum.at(begin, run[where] - 1 if len(where) else where, where)
+        reach = np.arange(len(keep)) >= begin[run - 1] if len(keep) else np.zeros(0, dtype=bool)
+        state = b.state(known, base, score, gaps(keep[reach]), held[reach], gaps(at), occurs, q)
+        yield _batch([state, *b.listed(b.keys(d + 1)[1][at], at, parts, parts)], id_type)
+
+
+def _result_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, (row,) in _groups(batches, "block"):
+        b = Block(row)
+        known, base, score = (unpack(x, t) for x, t in zip(b.data[2:5], ("<i8", "<f8", "<f8")))
+        yield pa.RecordBatch.from_arrays([row["ids"].values, row["held"].values, *map(pa.array, (np.diff(b.bounds), known, base, score))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def leasts(n: int) -> tuple[float, float, float]:
+    """Least counts of contexts, of words that are contexts, and of entries, of n training tokens."""
+    return max(CONTEXT_LEAST, CONTEXT_SHARE * n), max(1.0, ENTRY_SHARE * n), max(ENTRY_LEAST, ENTRY_SHARE * n)
+
+
+def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int | None = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Rows whose id's crc32 modulo held_out[0] is held_out[1] are scored only; the tree learns from all others, repeated
     rows and null ids among them. Tokens are words with A-Z lower-cased, then one end; a null or empty text has the end
-    only. Scores are sums of log10 probabilities. Other columns are ignored.
+    only. Scores are sums of log10 probabilities. Contexts have ``depth`` tokens at most; None: as many as pass the test.
+    Other columns are ignored.
     """
+    spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
+    schema = _ROW.format(id=id_type)
     out = crc_mod(F.col("doc_id"), held_out[0]) == held_out[1]
-    tree, table = learn(docs.where(~out).select("text"), depth)
-    blocks = materialize(docs.select("doc_id", "text", out.alias("held")).mapInArrow(lambda it: _block_batches(it, tree, arrow_id), _BLOCK.format(id=id_type)), "blocks")
-    asked = blocks.select("block", F.posexplode("hashes").alias("pos", "key"))
-    counted = asked.hint("merge").join(table, "key")
-    answers = counted.groupBy("block", F.expr(f"pos div {ANSWERS}").cast("int").alias("part")).agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    heads = blocks.withColumn("words", F.size("hashes")).drop("hashes").withColumn("part", F.lit(-1))
-    norm = tree.norm
-    meet = heads.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "part")
-    scored = meet.mapInArrow(lambda it: _final_batches(it, norm), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+    def met(state: DataFrame, asked: DataFrame, combine, then) -> tuple[DataFrame, DataFrame]:
+        """Answers to what was asked, and the state that follows from them."""
+        answers = materialize(asked.repartition("part").sortWithinPartitions("part").mapInArrow(combine, schema), "answers")
+        spark._jvm.System.gc()  # shuffles that no plan refers to any more leave the disk
+        totals = [unpack(r["data"][0], "<i8") for r in answers.where("block < 0").select("data").collect()]  # a row a part
+        n, v = np.sum([[0, 0], *totals], axis=0)
+        both = state.unionByName(answers.where("block >= 0")).repartition("block").sortWithinPartitions("block", "part")
+        made = materialize(both.mapInArrow(then(int(n), int(v)), schema), "state")
+        for table in {id(x): x for x in (answers, *used)}.values():
+            discard(table)
+        spark._jvm.System.gc()
+        return made, int(n)
+
+    def counting(d: int, n: int, v: int):
+        least = leasts(n)
+        return lambda it: _counted_batches(it, d, n, v, least, parts, arrow_id)
+
+    held = docs.select("doc_id", "text", out.alias("held"))
+    blocks = materialize(held.mapInArrow(lambda it: _block_batches(it, arrow_id), schema), "blocks")
+    parts = max(8, blocks.count() // 2)
+    asked = blocks.mapInArrow(lambda it: _first_batches(it, parts, arrow_id), schema)
+    used, state, d, words = [blocks], blocks, 1, parts
+    n = 0
+    while True:
+        made, sums = met(state, asked, lambda it, w=words: _count_batches(it, w, arrow_id), lambda a, b, d=d, n=n: counting(d, n or a, b))
+        n = n or sums
+        used = [made]
+        last, _ = met(made.where("part < 0"), made.where("part >= 0"), lambda it: _context_batches(it, arrow_id), lambda a, b, d=d, least=leasts(n)[0]: lambda it: _scored_batches(it, d, least, parts, arrow_id))
+        state, asked, used, words, d = last.where("part < 0"), last.where("part >= 0"), [last], 0, d + 1
+        if (depth is not None and d > depth) or asked.isEmpty():
+            break
+    scored = state.mapInArrow(_result_batches, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -455,6 +455,23 @@ def test_tree_scores_against_a_plain_tree(spark, docs, monkeypatch):
     assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-9)
 
 
+def test_what_repeats_is_learned_at_any_size(spark):
+    """Some repeats in many other words, at which shares of the tokens would have dropped them; and contexts beyond two words."""
+    passage = "alpha beta gamma delta epsilon"
+    other = [(i, " ".join(f"w{i}x{j}" for j in range(60_000))) for i in range(1, 6)]
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    free = [i for i in range(200, 400) if zlib.crc32(str(i).encode()) % 10][:24]
+    # after "a m n" comes x, after "b m n" y: two words don't tell them apart
+    data = other + [(i, f"{passage} {'a m n x' if k % 2 else 'b m n y'}") for k, i in enumerate(free)] + [(held, passage), (held + 10_000, None)]
+    right, wrong = [j for j in range(2000, 3000) if zlib.crc32(str(j).encode()) % 10 == 0][:2]
+    data += [(right, "a m n x"), (wrong, "a m n y")]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in suffix_tree.score(table, depth=None).collect()}
+    assert got[held]["train_tokens"] > 240_000 and got[held]["score"] - got[held]["base_score"] > 10
+    two = {r["doc_id"]: r["score"] for r in suffix_tree.score(table, depth=2).collect()}
+    assert got[right]["score"] - got[wrong]["score"] > two[right] - two[wrong] + 0.2
+
+
 def test_scores_of_nothing(spark, none):
     assert suffix_tree.score(none).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
