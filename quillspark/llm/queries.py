@@ -32,7 +32,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.store(documents(spark, sf_dir), media=False, pcm=False)
+    return telephony.stored(documents(spark, sf_dir))
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

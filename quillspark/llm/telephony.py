@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..storage import materialize
 from .common import slices, text_bytes
 
+_SCHEMA = "doc_id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 RATE = 8000
 UNIT = 192
 MULAW_TAG, ALAW_TAG, ADPCM_TAG = 7, 6, 17
@@ -129,39 +131,46 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first)
 
 
+def _described(n_bytes: np.ndarray, files: list, back: list, streams: list | None = None) -> dict:
+    """Columns of files with their payloads, and of their PCM where it is given: else it is made, and handed back as ``pcm``."""
+    codes = np.frombuffer(b"".join(back), dtype=np.uint8)
+    size = np.array([len(b) for b in back], dtype=np.int64)
+    end = np.cumsum(size)
+    first = end - size
+    linear, other = MULAW[codes], ALAW[codes]
+    adaptive = adpcm_decode(codes.reshape(-1, UNIT))
+    power = _sums(np.square(linear.astype(np.int64)), first)
+    power_a = _sums(np.square(other.astype(np.int64)), first)
+    power_d = _sums(np.square(adaptive.astype(np.int64)).sum(axis=1), first // UNIT)
+    turns = np.zeros(len(linear), dtype=np.int64)
+    turns[1:] = (linear[1:] < 0) != (linear[:-1] < 0)
+    turns[first] = 0
+    turns = _sums(turns, first)
+    peak = np.maximum.reduceat(np.abs(linear.astype(np.int32)), first)
+    made = {}
+    if streams is None:
+        wide = doubled(linear, end - 1)
+        streams = made["pcm"] = [wide[2 * a : 2 * b].tobytes() for a, b in zip(first, end)]
+    return {
+        "n_bytes": n_bytes,
+        "payload_bytes": size,
+        "payload_sha256": [hashlib.sha256(b).hexdigest() for b in back],
+        "tail_crc32": np.array([zlib.crc32(b[-16:]) for b in back], dtype=np.int64),
+        "media_bytes": np.array([len(f) for f in files], dtype=np.int64),
+        "media_sha256": [hashlib.sha256(f).hexdigest() for f in files],
+        "feature": [
+            f"mulaw rms {np.sqrt(p / n):.3f} peak {k} turns {z}; alaw rms {np.sqrt(a / n):.3f}; adpcm rms {np.sqrt(d / (n // UNIT * 377)):.3f}; pcm {2 * RATE} Hz {len(s) // 2} crc {zlib.crc32(s):08x}"
+            for p, a, d, k, z, n, s in zip(power, power_a, power_d, peak, turns, size, streams)
+        ],
+    } | made
+
+
 def store_batches(batches: Iterator[pa.RecordBatch], media: bool = True, pcm: bool = True) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         data, bounds = text_bytes(batch.column("text"))
         files = [wave_file(padded(data[a:b].tobytes())) for a, b in zip(bounds[:-1], bounds[1:])]
-        back = [parse_wave(f)[2] for f in files]  # from here on, only what was stored
-        codes = np.frombuffer(b"".join(back), dtype=np.uint8)
-        size = np.array([len(b) for b in back], dtype=np.int64)
-        end = np.cumsum(size)
-        first = end - size
-        linear, other = MULAW[codes], ALAW[codes]
-        adaptive = adpcm_decode(codes.reshape(-1, UNIT))
-        wide = doubled(linear, end - 1)
-        power = _sums(np.square(linear.astype(np.int64)), first)
-        power_a = _sums(np.square(other.astype(np.int64)), first)
-        power_d = _sums(np.square(adaptive.astype(np.int64)).sum(axis=1), first // UNIT)
-        turns = np.zeros(len(linear), dtype=np.int64)
-        turns[1:] = (linear[1:] < 0) != (linear[:-1] < 0)
-        turns[first] = 0
-        turns = _sums(turns, first)
-        peak = np.maximum.reduceat(np.abs(linear.astype(np.int32)), first)
-        streams = [wide[2 * a : 2 * b].tobytes() for a, b in zip(first, end)]
-        out = {
-            "n_bytes": np.diff(bounds),
-            "payload_bytes": size,
-            "payload_sha256": [hashlib.sha256(b).hexdigest() for b in back],
-            "tail_crc32": np.array([zlib.crc32(b[-16:]) for b in back], dtype=np.int64),
-            "media_bytes": np.array([len(f) for f in files], dtype=np.int64),
-            "media_sha256": [hashlib.sha256(f).hexdigest() for f in files],
-            "feature": [
-                f"mulaw rms {np.sqrt(p / n):.3f} peak {k} turns {z}; alaw rms {np.sqrt(a / n):.3f}; adpcm rms {np.sqrt(d / (n // UNIT * 377)):.3f}; pcm {2 * RATE} Hz {len(s) // 2} crc {zlib.crc32(s):08x}"
-                for p, a, d, k, z, n, s in zip(power, power_a, power_d, peak, turns, size, streams)
-            ],
-        }
+        out = _described(np.diff(bounds), files, [parse_wave(f)[2] for f in files])
+        streams = out.pop("pcm")
         if media:
             out["media"] = files
         if pcm:
@@ -169,6 +178,21 @@ def store_batches(batches: Iterator[pa.RecordBatch], media: bool = True, pcm: bo
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.binary()) if k in ("media", "pcm") else pa.array(v) for k, v in out.items())], names=["doc_id", *out])
 
 
+def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of ``store`` but media and pcm, all but n_bytes from the stored file and the stored PCM."""
+    for batch in slices(batches, "media"):
+        files = [memoryview(f) for f in batch.column("media").to_pylist()]
+        streams = batch.column("pcm").to_pylist()
+        back = [parse_wave(f)[2] for f in files]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (described := _described(batch.column("n_bytes").to_numpy(), files, back, streams)).values())], names=["doc_id", *described])
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """What ``store`` tells of each text, derived from its media and pcm as they are read again from the shared folder."""
+    table = materialize(store(docs).select("doc_id", "n_bytes", "media", "pcm"), "media")
+    return table.mapInArrow(read_batches, _SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
+
+
 def store(docs: DataFrame, media: bool = True, pcm: bool = True) -> DataFrame:
     """Each text's UTF-8 bytes (null: none), padded, as a mu-law recording: the stored file in ``media``, its resampled
     16-bit PCM in ``pcm``, and features of what is read back.
@@ -177,6 +201,6 @@ def store(docs: DataFrame, media: bool = True, pcm: bool = True) -> DataFrame:
     A-law and as ADPCM blocks, length and checksum of the resampled PCM. Equal texts give equal values; the features
     of an empty text are those of UNIT spaces. Other columns are ignored. Nothing is shuffled.
     """
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = _SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
     schema += ", media binary" * media + ", pcm binary" * pcm
     return docs.select("doc_id", "text").mapInArrow(lambda it: store_batches(it, media, pcm), schema)

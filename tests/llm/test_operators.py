@@ -369,6 +369,20 @@ def test_media_round_trip(spark, docs):
         telephony.parse_wave(b"RIFX")
 
 
+def test_registered_telephony_reads_what_is_stored(spark, monkeypatch):
+    from tests.oracle import DATA
+
+    kept = []
+    write = telephony.materialize
+    monkeypatch.setattr(telephony, "materialize", lambda df, label: kept.append(write(df, label)) or kept[-1])
+    sf = str(DATA / "sf0.001")
+    got = {r["doc_id"]: r for r in queries.op6_telephony(spark, sf).collect()}
+    plain = telephony.store(queries.documents(spark, sf), media=False, pcm=False)
+    assert got == {r["doc_id"]: r for r in plain.collect()}
+    files = {r["doc_id"]: r for r in kept[0].collect()}
+    assert files.keys() == got.keys() and all(hashlib.sha256(f["media"]).hexdigest() == got[i]["media_sha256"] and f"crc {zlib.crc32(f['pcm']):08x}" in got[i]["feature"] for i, f in files.items())
+
+
 # 7 suffix tree
 
 
