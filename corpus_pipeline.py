@@ -34,8 +34,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their length bucket, batch and slot."""
-    return packing.pack(docs)
+    """Pieces with their text, length bucket, batch and slot."""
+    return packing.pack(docs, with_text=True)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("secrets", secret_scan), ("mixing", mixture), ("packing", packed)]

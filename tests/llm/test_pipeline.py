@@ -27,6 +27,13 @@ def test_stages_one_by_one(spark):
     assert whole == sorted(map(str, docs.collect()))
 
 
+def test_the_packed_text_is_in_the_result(spark):
+    docs = spark.createDataFrame([(1, "one two password = abcdefgh12345678 three", "en", "s", 42)], "doc_id long, text string, lang string, source string, n_chars long")
+    redacted = corpus_pipeline.STAGES[2][1](spark, docs, "")
+    (row,) = corpus_pipeline.STAGES[-1][1](spark, redacted, "").collect()
+    assert row["text"] == "one two [assign] three" and row["n_tokens"] == 4
+
+
 def test_empty_tables_pass_through(spark):
     sf = str(DATA / "sf0.001")
     docs = empty(spark).select("doc_id", "text", "lang", "source", "n_chars")
