@@ -55,7 +55,11 @@ ADDED = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # with its body: to the END line, or where none follows before other dashes, as far as header and base64 lines go
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[\x20\t\r\n]+(?:Proc-Type|DEK-Info):[^\r\n]*|[\x20\t\r\n]*[A-Za-z0-9+/]{40,}={0,2})*(?:[\x20\t\r\n]+[A-Za-z0-9+/]{16,}={0,2}|[\x20\t\r\n]+[A-Za-z0-9+/]+={1,2})?)",
+    ),
 )
 RULES = BASE + ADDED
 SPANS = "array<struct<kind:string,start:int,end:int>>"

@@ -317,6 +317,17 @@ def test_redaction(spark):
     assert not any(base_spans(r["text"]) for r in out.values())
 
 
+def test_private_keys_go_whole(spark):
+    line, last = "MIIEpAIBAAKCAQEA" * 4, "q2w3e4r5Zz=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = f"{begin}\nProc-Type: 4,ENCRYPTED\n\n{line}\n{line}\n{last}\n"
+    texts = [f"x {body}{end} y", f"x {body}plain words", f"x {begin} y", f"x {body}{body}{end} z", f"a {begin}{line}{end} b", f"a {begin}\r\n{line}\r\n{last}"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r["text"] for r in secrets.redact(table).orderBy("doc_id").collect()]
+    k = "[private_key]"
+    assert out == [f"x {k} y", f"x {k}\nplain words", f"x {k} y", f"x {k}\n{k} z", f"a {k} b", f"a {k}"]
+
+
 # 6 telephony
 
 
