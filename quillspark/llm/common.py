@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,11 @@ U64 = np.uint64
 #: Text bytes that one vectorized step holds; a single longer text forms a step of its own.
 SLICE_BYTES = 2 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+#: The low 0 to 8 bytes of a little-endian number.
+_LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U64)
+#: Words of more bytes are hashed one at a time.
+_LONG_WORD = 256
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,35 +37,61 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end] for each span of bytes: eight bytes a step, each step mixed, so that no two short words and no
+    pattern of longer ones collide by structure."""
+    size = ends - starts
+    h = size.astype(U64) * _LEFT
+    if not len(size):
+        return h
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    h = mix64(h ^ (eight[starts] & _LOW_BYTES[np.minimum(size, 8)]))
+    at = np.flatnonzero((size > 8) & (size <= _LONG_WORD))
+    step = 8
+    while len(at):
+        h[at] = mix64(h[at] * _LEFT + (eight[starts[at] + step] & _LOW_BYTES[np.minimum(size[at] - step, 8)]))
+        step += 8
+        at = at[size[at] > step]
+    for i in np.flatnonzero(size > _LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].data)
+    return h
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(mix64(a * _LEFT + U64(1)) + b * _RIGHT)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=U64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        _powers[base] = have
-    return have[:n]
+def gram_hashes(values: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hashes of all k consecutive values (no regard to document borders), joined by doubling: each join is mixed."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U64)
+    out, done, power, size = None, 0, values, 1
+    while True:
+        if k & size:
+            part = power[done : done + n]
+            out = part if out is None else _joined(out, part)
+            done += size
+        if 2 * size > k:
+            break
+        power, size = _joined(power[:-size], power[size:]), 2 * size
+    return mix64(out + U64(salt)) if salt else out
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hash of values[start:end] for each span: a polynomial taken from prefix sums modulo 2**64, then mixed with the length."""
-    n = len(values)
-    sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum(values * powers(_INVERSE, n), out=sums[1:])
-    # sums weigh item i by base**-i; the factor makes the result independent of the start
-    raw = (sums[ends] - sums[starts]) * powers(_BASE, n + 1)[starts]
-    return mix64(raw + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407) + U64(salt))
-
-
-def gram_hashes(values: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hashes of all k consecutive values (no regard to document borders)."""
-    if len(values) < k:
-        return np.zeros(0, dtype=U64)
-    at = np.arange(len(values) - k + 1)
-    return span_hashes(values, at, at + k, salt)
+    """Hash of values[start:end] for each span: of the two runs of 2**i values, as long as fit, that begin and end it."""
+    size = ends - starts
+    out = np.full(len(size), salt, dtype=U64)
+    level = np.frexp(size)[1] - 1
+    power, run = values, 1
+    for i in range(int(level.max(initial=-1)) + 1):
+        own = np.flatnonzero(level == i)
+        out[own] = _joined(power[starts[own]], power[ends[own] - run]) + U64(salt)
+        if i < level.max():
+            power, run = _joined(power[:-run], power[run:]), 2 * run
+    return mix64(out + size.astype(U64) * U64(0xA24BAED4963EE407))
 
 
 class Words:
@@ -86,7 +115,7 @@ class Words:
         before = inner[inner > 0] - 1
         stop[before] |= solid[before]
         self.ends = np.flatnonzero(stop) + 1
-        self.hashes = span_hashes(_BYTE[self.data], self.starts, self.ends)
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, bounds)
         self.counts = np.diff(self.first)
         self.text_of = np.repeat(np.arange(len(texts)), self.counts)

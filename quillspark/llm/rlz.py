@@ -1,19 +1,22 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the whole corpus.
-
-Phrases. Every window of ``window`` words is given to its anchor: of the ``anchor`` words' n-grams inside, the one with
-the least hash, the leftmost if tied. A phrase is a run of consecutive windows with the same anchor; equal passages
-are cut into equal phrases, wherever they stand, so the distinct phrases of all documents (hashes of their words) form
-the reference, in blocks by anchor.
-
-Factors. A document's parse is greedy from left to right: a phrase that the reference holds elsewhere extends the
-current factor, so that a factor covers the longest run of such phrases; every window in it is a duplicate. Factors
-end at phrases that stand nowhere else. There, at the factor boundaries, the phrase's single windows are compared
-with the windows of all other distinct phrases of the same block, so that a match that begins or ends inside a phrase
-isn't lost. Together that finds exactly the windows that occur twice.
-
-Scale: about 2 / (window - anchor + 2) phrases a word are shuffled, and single windows only of phrases in blocks with
-several phrases. Counts combine before each shuffle, so no group is ever collected; joins whose one side is hot have
-single rows per key on the other side.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed blocks of the whole corpus.
+
+Blocks. Every window of ``window`` words is given to its anchor: of the ``anchor`` words' n-grams inside, the one with
+the least hash, the leftmost if tied. A passage is a run of consecutive windows with the same anchor. The distinct
+passages of all documents are the reference; those of one anchor form a block. Equal windows have equal anchors, so a
+document need be parsed only against the blocks that its own anchors name.
+
+Factors. A passage that the reference holds elsewhere is one factor as a whole. Any other passage is parsed against the
+block's other passages, which are indexed by their place around the anchor: greedily from left to right, at each
+position the longest match of any of them. A factor of ``window`` words or more is a duplicate span, and the parse goes
+on at the first window that crosses the factor's end; there, and wherever no factor is long enough, it moves on by one
+word, so that each window at a factor's boundary is checked by itself. Together that finds exactly the windows that
+occur twice. A block of more than ``most`` passages isn't held by one task: its windows are compared by hash.
+
+Passages are matched by 64 bits of the anchor and 64 of their words, or word by word.
+
+Scale: about 2 / (window - anchor + 2) passages a word are shuffled, and words only of passages in blocks with several
+passages. Counts combine before each shuffle, so no group is ever collected; sums by block are written before they are
+joined, so that a hot block's side of the join can be split.
 """
 
 from __future__ import annotations
@@ -29,14 +32,17 @@ from ..storage import discard, materialize
 from .common import U64, Words, gram_hashes, i64, slices, span_hashes, text_key
 
 WINDOW, ANCHOR = 35, 8
+#: Passages of a block that one task parses against each other, at most.
+MOST = 256
+_PASSAGE = "block long, n long, _k1 long, _k2 long, at int, windows int, lead int, often int, words binary"
 
 
-def phrases(w: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Per phrase: text, first word (of the slice), number of windows, anchor's hash, hash of its words."""
+def passages(w: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Per passage: text, first word (of the slice), number of windows, words before the anchor, anchor's hash, hash of its words."""
     n = len(w)
     none = np.zeros(0, dtype=np.int64)
     if n < window:
-        return none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none, none.view(U64), none.view(U64)
     grams = gram_hashes(w.hashes, anchor)
     # leftmost least n-gram of each window, by doubling
     width = window - anchor + 1
@@ -55,22 +61,22 @@ def phrases(w: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     last = np.flatnonzero(stop)
     place = at[first]
     own = span_hashes(w.hashes, first, last + window, salt=1) ^ (place - first).astype(U64)
-    return w.text_of[first], first, last - first + 1, grams[place], own
+    return w.text_of[first], first, last - first + 1, place - first, grams[place], own
 
 
-def _phrase_batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _index_batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         w = Words(b.column("text"))
-        text, first, count, block, phrase = phrases(w, window, anchor)
+        text, first, count, lead, block, passage = passages(w, window, anchor)
         k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_k1", "_k2"))
         yield pa.RecordBatch.from_arrays(
-            [i64(k1[text]), i64(k2[text]), pa.array((first - w.first[text]).astype(np.int32)), pa.array(count.astype(np.int32)), i64(block), i64(phrase)],
-            names=["_k1", "_k2", "at", "windows", "block", "phrase"],
+            [i64(k1[text]), i64(k2[text]), *(pa.array(x.astype(np.int32)) for x in (first - w.first[text], count, lead)), i64(block), i64(passage)],
+            names=["_k1", "_k2", "at", "windows", "lead", "block", "passage"],
         )
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """For texts with an array ``found`` of phrases: the hash of each single window. Of copies that meet here, one counts."""
+def _passage_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """For texts with an array ``found`` of passages: each passage with the hashes of its words. Of copies that meet here, one counts."""
     previous = None
     for b in slices(batches):
         keys = list(zip(b.column("_k1").to_pylist(), b.column("_k2").to_pylist()))
@@ -82,50 +88,132 @@ def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
         found = b.column("found")
         of = np.repeat(np.arange(b.num_rows), np.diff(found.offsets.to_numpy()))
         rows = found.flatten()
-        at, count = rows.field("at").to_numpy(), rows.field("windows").to_numpy()
-        block, phrase, often = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("block", "phrase", "often"))
-        which = np.repeat(np.arange(len(at)), count)
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        start = w.first[of[which]] + at[which] + offset
-        h = span_hashes(w.hashes, start, start + window, salt=2)
+        start = w.first[of] + rows.field("at").to_numpy()
+        stop = start + rows.field("windows").to_numpy() + window - 1
+        raw = w.hashes.tobytes()
+        words = [raw[8 * a : 8 * e] for a, e in zip(start.tolist(), stop.tolist())]
+        keys = [b.column(c).take(pa.array(of)) for c in ("_k1", "_k2")]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(block[which]), pa.array(phrase[which]), pa.array(offset.astype(np.int32)), i64(h), pa.array(often[which])], names=["block", "phrase", "offset", "window", "often"]
+            [rows.field("block"), rows.field("n"), *keys, *(rows.field(c) for c in ("at", "windows", "lead", "often")), pa.array(words, pa.binary())],
+            names=["block", "n", "_k1", "_k2", "at", "windows", "lead", "often", "words"],
         )
 
 
-def find_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def _words_of(b: pa.RecordBatch | pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all passages' words, one passage after the other, and where each passage begins."""
+    size = b.column("windows").to_numpy().astype(np.int64) + window - 1
+    return np.frombuffer(b"".join(b.column("words").to_pylist()), dtype=U64), np.cumsum(size) - size
+
+
+def parse(block: np.ndarray, often: np.ndarray, lead: np.ndarray, windows: np.ndarray, flat: np.ndarray, first: np.ndarray, window: int, anchor: int, pairs: int = 1 << 14) -> np.ndarray:
+    """Bit masks of the duplicate windows of all passages that stand once; rows are sorted by block.
+
+    The greedy parse runs in step for all passages: column ``left`` of a passage's row is its anchor's first word.
+    """
+    m, left = len(block), window - anchor
+    width = 2 * left + anchor
+    size = windows + window - 1
+    row = np.repeat(np.arange(m), size)
+    column = np.arange(len(flat)) - np.repeat(first, size) + np.repeat(left - lead, size)
+    words, there = np.zeros((m, width), dtype=U64), np.zeros((m, width), dtype=bool)
+    words[row, column], there[row, column] = flat, True
+    low, high = np.searchsorted(block, block, side="left"), np.searchsorted(block, block, side="right")
+    best = np.zeros((m, left + 1), dtype=np.int64)
+    once = np.flatnonzero((often == 1) & (high - low > 1))
+    ends = np.cumsum((high - low)[once])
+    done = 0
+    while done < len(once):
+        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + pairs, side="right")))
+        own = once[done:to]
+        n = (high - low)[own]
+        p = np.repeat(own, n)
+        q = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[own], n)
+        p, q = p[p != q], q[p != q]
+        same = (words[p] == words[q]) & there[p] & there[q]
+        same_left = np.append(same[:, :left][:, ::-1], np.zeros((len(p), 1), dtype=bool), axis=1).argmin(axis=1)
+        same_right = np.append(same[:, left + anchor :], np.zeros((len(p), 1), dtype=bool), axis=1).argmin(axis=1)
+        ok = same[:, left : left + anchor].all(axis=1)
+        np.maximum.at(best, (p[ok], (left - same_left)[ok]), (left + anchor + same_right)[ok])
+        done = to
+    # reach[i, c]: where the longest match of passage i that covers column c ends
+    reach = np.maximum.accumulate(best, axis=1)
+    mask = np.zeros(m, dtype=U64)
+    at, begin = (left - lead)[once].astype(np.int64), (left - lead)[once]
+    last = begin + windows[once] - 1
+    while len(once):
+        end = reach[once, at]
+        factor = end - at >= window
+        n = np.where(factor, end - at - window + 1, 0).astype(U64)
+        mask[once] |= ((U64(1) << n) - U64(1)) << (at - begin).astype(U64)
+        at = np.where(factor, end - window + 1, at + 1)
+        on = at <= last
+        once, at, begin, last = once[on], at[on], begin[on], last[on]
+    return mask
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block: the masks of the passages that have any duplicate window."""
+
+    def parsed(t: pa.Table) -> pa.RecordBatch:
+        block, often, lead, windows = (t.column(c).to_numpy() for c in ("block", "often", "lead", "windows"))
+        mask = parse(block, often, lead, windows, *_words_of(t, window), window, anchor)
+        some = pa.array(np.flatnonzero(mask))
+        return pa.RecordBatch.from_arrays([*(t.column(c).take(some).combine_chunks() for c in ("_k1", "_k2", "at", "windows")), i64(mask).take(some)], names=["_k1", "_k2", "at", "windows", "mask"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            t = pa.Table.from_batches(held)
+            block = t.column("block").to_numpy()
+            cut = int(np.searchsorted(block, block[-1]))
+            if cut:
+                yield parsed(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+    if held:
+        yield parsed(pa.Table.from_batches(held))
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The hash of each single window of passages."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        flat, first = _words_of(b, window)
+        count = b.column("windows").to_numpy()
+        which = np.repeat(np.arange(len(count)), count)
+        offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        h = gram_hashes(flat, window, salt=2)[first[which] + offset]
+        names = ["block", "_k1", "_k2", "at", "windows", "often"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(which)) for c in names), pa.array(offset.astype(np.int32)), i64(h)], names=[*names, "offset", "window"])
+
+
+def find_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
     """Per distinct text ``_k1, _k2`` the array ``spans`` of its duplicate windows: at (first word of
-    the phrase), mask (bit i: the window at word ``at + i``; null: all), windows."""
+    the passage), mask (bit i: the window at word ``at + i``; null: all), windows."""
     texts = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    every = materialize(texts.mapInArrow(lambda it: _phrase_batches(it, window, anchor), "_k1 long, _k2 long, at int, windows int, block long, phrase long"), "phrases")
+    every = materialize(texts.mapInArrow(lambda it: _index_batches(it, window, anchor), "_k1 long, _k2 long, at int, windows int, lead int, block long, passage long"), "every")
     # an anchor that stands in one place only matches nothing
-    shared = every.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    found = materialize(every.join(shared, "block", "left_semi"), "shared")
-    discard(every)
-    where = F.min(F.struct("_k1", "_k2", "at", "windows")).alias("where")
-    distinct = found.groupBy("block", "phrase").agg(F.count("*").alias("c"), where)
-    reference = materialize(distinct.select("block", "phrase", F.least("c", F.lit(2)).cast("int").alias("often"), "where.*"), "reference")
-    # blocks in which a phrase that stands once meets other phrases
-    mixed = reference.groupBy("block").agg(F.count("*").alias("n"), F.min("often").alias("least")).where("n > 1 and least = 1").select("block")
-    boundary = reference.join(mixed, "block", "left_semi")
-    wanted = boundary.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("at", "windows", "block", "phrase", "often")).alias("found"))
-    single = materialize(
-        wanted.join(texts.mapInArrow(_first_of_each, texts.schema), ["_k1", "_k2"]).mapInArrow(lambda it: _window_batches(it, window), "block long, phrase long, offset int, window long, often int"),
-        "windows",
-    )
-    twice = single.groupBy("block", "window").agg(F.sum("often").alias("c")).where("c > 1").select("block", "window")
-    edges = (
-        single.where("often = 1")
-        .join(twice, ["block", "window"], "left_semi")
-        .groupBy("block", "phrase")
-        .agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
-        .join(reference.where("often = 1").select("block", "phrase", "_k1", "_k2", "at", "windows"), ["block", "phrase"])
-        .select("_k1", "_k2", "at", "windows", "mask")
-    )
-    whole = found.join(reference.where("often > 1").select("block", "phrase"), ["block", "phrase"], "left_semi").select("_k1", "_k2", "at", "windows", F.lit(None).cast("long").alias("mask"))
-    spans = whole.unionByName(edges).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("at", "windows", "mask")).alias("spans"))
+    shared = materialize(every.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"), "shared")
+    found = materialize(every.join(shared, "block", "left_semi"), "found")
+    where = F.min(F.struct("_k1", "_k2", "at", "windows", "lead")).alias("where")
+    distinct = found.groupBy("block", "passage").agg(F.count("*").alias("c"), where)
+    reference = materialize(distinct.select("block", "passage", F.least("c", F.lit(2)).cast("int").alias("often"), "where.*"), "reference")
+    # blocks in which a passage that stands once meets other passages
+    mixed = materialize(reference.groupBy("block").agg(F.count("*").alias("n"), F.min("often").alias("least")).where("n > 1 and least = 1").select("block", "n"), "mixed")
+    wanted = reference.join(mixed, "block").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("at", "windows", "lead", "block", "n", "often")).alias("found"))
+    met = materialize(wanted.join(texts.mapInArrow(_first_of_each, texts.schema), ["_k1", "_k2"]).mapInArrow(lambda it: _passage_batches(it, window), _PASSAGE), "passages")
+    parsed = met.where(F.col("n") <= most).repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _parse_batches(it, window, anchor), "_k1 long, _k2 long, at int, windows int, mask long")
+    single = met.where(F.col("n") > most).mapInArrow(lambda it: _window_batches(it, window), "block long, _k1 long, _k2 long, at int, windows int, often int, offset int, window long")
+    twice = materialize(single.groupBy("block", "window").agg(F.sum("often").alias("c")).where("c > 1").select("block", "window"), "twice")
+    compared = single.where("often = 1").join(twice, ["block", "window"], "left_semi").groupBy("_k1", "_k2", "at", "windows").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
+    repeated = reference.where("often > 1").select("block", "passage")
+    whole = found.join(repeated, ["block", "passage"], "left_semi").select("_k1", "_k2", "at", "windows", F.lit(None).cast("long").alias("mask"))
+    spans = whole.unionByName(parsed).unionByName(compared).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("at", "windows", "mask")).alias("spans"))
     spans = materialize(spans, "spans")
-    for done in (found, reference, single):
+    for done in (every, shared, found, reference, mixed, met, twice):
         discard(done)
     return spans
 
@@ -153,7 +241,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         mask = rows.field("mask")
         all_ = mask.is_null().to_numpy(zero_copy_only=False)
         bits = mask.fill_null(0).to_numpy()
-        # whole phrases cover all their words; of others, each window whose bit is set covers its own
+        # whole passages cover all their words; of others, each window whose bit is set covers its own
         begins, ends = [at[all_]], [at[all_] + count[all_] + window - 1]
         part_at, part_bits = at[~all_], bits[~all_]
         for i in range(int(count[~all_].max(initial=0))):
@@ -178,23 +266,24 @@ def cut_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words that stay, joined by one space) of every row.
 
     A word goes if it lies in a window of ``window`` words whose sequence also starts anywhere else, in this row or
-    another; repeated rows count as occurrences of each other. A null or empty text has no words; texts of fewer words
-    than a window lose none. Null and repeated ids are allowed, as texts are matched by their contents. Other columns
-    are ignored.
+    another; repeated rows count as occurrences of each other, and of equal passages (ties) all go. A null or empty text
+    has no words; texts of fewer words than a window lose none; a text is cut whole, however long. An empty table gives
+    an empty one. Null and repeated ids, of any type, are allowed, as texts are matched by their contents. Other columns
+    are ignored, whatever their names.
     """
     if not anchor < window <= anchor + 62:
         raise ValueError("anchor < window <= anchor + 62")
-    spans = find_spans(docs, window, anchor)
+    spans = find_spans(docs, window, anchor, most)
     rows = docs.select("doc_id", "text", *text_key(F.col("text"))).join(spans, ["_k1", "_k2"], "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(lambda it: cut_batches(it, window), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
 
 
 def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """The parse itself: doc_id, first word and number of words of each maximal duplicate span (the factors)."""
+    """doc_id, first word and number of words of each duplicate span: the long factors, joined where they overlap."""
     spans = find_spans(docs, window, anchor)
     rows = docs.select("doc_id", *text_key(F.col("text"))).join(spans, ["_k1", "_k2"]).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
     starts = F.expr(

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard, kmeans_tree, mixing, packing, queries, ranking, rans, rlz, secrets, suffix_tree, telephony
-from quillspark.llm.common import Words, gram_hashes
+from quillspark.llm.common import Words, gram_hashes, span_hashes
 from quillspark.llm.components import connected
 
 from .fixtures import SCHEMA, documents, empty, rows
@@ -69,14 +69,63 @@ def repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("window, anchor", [(35, 8), (12, 4), (20, 3)])
-def test_rlz_is_exact(spark, docs, window, anchor):
+@pytest.mark.parametrize("window, anchor, most", [(35, 8, 256), (12, 4, 256), (12, 4, 2), (20, 3, 3)])
+def test_rlz_is_exact(spark, docs, window, anchor, most):
     data = rows()
     want = sorted((r[0], *x) for r, x in zip(data, repeats([r[1] for r in data], window)))
-    got = sorted(map(tuple, rlz.remove_repeats(docs, window, anchor).collect()))
+    got = sorted(map(tuple, rlz.remove_repeats(docs, window, anchor, most).collect()))
     assert got == want
 
 
+@pytest.mark.parametrize("most", [256, 5])
+def test_rlz_finds_what_begins_or_ends_inside_a_passage(spark, most):
+    """Cuts of one long text, overlapping by all lengths around a window, between words of their own."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(40)}" for _ in range(400)]
+    data = []
+    for i in range(60):
+        a, n = rng.randrange(350), rng.randrange(8, 60)
+        data.append((i, " ".join([f"a{i}", *base[a : a + n], f"b{i}", *base[a + n + 3 : a + n + 15]])))
+    got = sorted(map(tuple, rlz.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), 12, 4, most).collect()))
+    assert got == sorted((i, *x) for (i, _), x in zip(data, repeats([t for _, t in data], 12)))
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_patterned_words_and_runs_dont_collide(spark):
+    """Polynomial hashes modulo a power of two give these strings one value."""
+    one, other = "".join(thue_morse(2048, "a", "b")), "".join(thue_morse(2048, "b", "a"))
+    for size in (8, 16, 64, 256, 2048):
+        assert len(set(Words(pa.array([one[:size], other[:size]])).hashes.tolist())) == 2
+    x, y = (Words(pa.array([" ".join(thue_morse(2048, *p))])).hashes for p in (("a", "b"), ("b", "a")))
+    for k in (32, 35, 1024):
+        assert gram_hashes(x, k)[0] != gram_hashes(y, k)[0]
+        assert span_hashes(x, np.array([0]), np.array([k]))[0] != span_hashes(y, np.array([0]), np.array([k]))[0]
+    rest = " ".join(f"w{i}" for i in range(34))
+    data = spark.createDataFrame([(0, f"{one} {rest}"), (1, f"{other} {rest}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in rlz.remove_repeats(data).collect()] == [0, 0]
+    assert [r["n_links"] for r in jaccard.near_copies(spark.createDataFrame([(0, one), (1, other)], "doc_id long, text string")).collect()] == [0, 0]
+    scored = suffix_tree.score(spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")).collect()
+    assert {r["n_known"] for r in scored} == {2} and len({r["base_score"] for r in scored}) == 2
+
+
+def test_hashes_of_grams_and_spans_follow_their_words():
+    rng = np.random.default_rng(2)
+    v = Words(pa.array([" ".join(f"w{i}" for i in rng.integers(0, 3, 3000))])).hashes
+    for k in (1, 2, 3, 5, 8, 12):
+        runs = [tuple(v[i : i + k].tolist()) for i in range(len(v) - k + 1)]
+        assert len(set(gram_hashes(v, k).tolist())) == len(set(runs)) == len(set(zip(runs, gram_hashes(v, k).tolist())))
+    starts = rng.integers(0, 2000, 3000)
+    ends = starts + rng.integers(0, 9, 3000)
+    runs = [tuple(v[a:e].tolist()) for a, e in zip(starts, ends)]
+    h = span_hashes(v, starts, ends).tolist()
+    assert len(set(h)) == len(set(runs)) == len(set(zip(runs, h)))
+
+
 def test_rlz_factors_cover_what_goes(spark, docs):
     covered = defaultdict(int)
     for r in rlz.factors(docs, 12, 4).collect():
