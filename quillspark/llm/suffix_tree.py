@@ -1,10 +1,12 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The tree's contexts are runs of tokens before a token. A context is a candidate if it occurs ``CONTEXT_LEAST`` times, and
-stays if the distribution of its next tokens diverges from that of the next shorter context; only contexts that stay are
-lengthened, by next tokens that follow often enough. Each distribution gives weight to its frequent next tokens and hands
-the rest to the shorter context; the root is the smoothed unigram distribution. A token is scored in the longest context
-that stays.
+The tree's contexts are runs of tokens before a token. A context holds the next tokens that follow it ``ENTRY_LEAST``
+times or more; among pairs of tokens, where chance alone makes many of these, only those whose count's log likelihood
+ratio is ``ENTRY_GAIN`` or more. The context stays if the distribution of its next tokens diverges from that of the next
+shorter context by ``DIVERGENCE`` a token. Only contexts that stay are lengthened, by tokens that go before them, as such
+entries, ``CONTEXT_LEAST`` times. All these are constants, so that the tree grows with the input. A context hands the
+weight of all other next tokens to the shorter context; the root is the smoothed unigram distribution. A token is scored
+in the longest context that stays.
 
 Nothing of the tree is gathered: texts lie in blocks, and a block lists its distinct keys (words, contexts with their
 next token, contexts), with what it knows of them, in as many parts by hash as there is work for. A part sums over all
@@ -20,15 +22,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import discard, materialize
-from .common import U64, Words, crc_mod, mix64, slices, text_bytes
+from .common import SLICE_BYTES, U64, Words, crc_mod, mix64, slices, text_bytes
 
-#: Least counts of contexts and of their entries. The shares of the training tokens raise them where a smaller tree is wanted.
-CONTEXT_LEAST, ENTRY_LEAST, CONTEXT_SHARE, ENTRY_SHARE = 5.0, 2.0, 0.0, 0.0
+CONTEXT_LEAST, ENTRY_LEAST, ENTRY_GAIN = 5, 2, 6.0
 DIVERGENCE, ALPHA = 0.01, 0.1
-#: Text bytes of a block, about.
-BLOCK_BYTES = 8 << 20
+#: Text bytes of a block, about; of two blocks the keys fill a part.
+BLOCK_BYTES = 4 << 20
 END = np.uint64(0x5BD1E995A1B2C3D5)
 _LEFT = U64(0x9FB21C651E98DF25)
 _ROW = "block long, part int, ids array<{id}>, held array<boolean>, data array<binary>"
@@ -55,7 +57,7 @@ def pack(values: np.ndarray) -> bytes:
         return b"k" + len(kinds).to_bytes(8, "little") + kinds + code
     width = values.dtype.itemsize
     raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T).tobytes()
-    return b"p" + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return b"p" + len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
@@ -174,7 +176,7 @@ class Block:
         return (self.number, -1, self.row["ids"].values, self.row["held"].values, [*self.data[:2], *map(pack, data)])
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _block_batches(batches: Iterator[pa.RecordBatch], block_bytes: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     part, number, size = TaskContext.get().partitionId(), 0, 0
     held: list[pa.RecordBatch] = []
 
@@ -182,10 +184,10 @@ def _block_batches(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> I
         ids, texts, out = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text", "held"))
         return _batch([((part << 32) | number, -1, ids, out, [pack(x) for x in text_bytes(texts)])], id_type)
 
-    for b in slices(batches):
+    for b in slices(batches, limit=min(block_bytes, SLICE_BYTES)):
         held.append(b)
         size += b.column("text").nbytes
-        if size >= BLOCK_BYTES:
+        if size >= block_bytes:
             yield block()
             held, size, number = [], 0, number + 1
     if held:
@@ -198,13 +200,18 @@ def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, id_type: pa.Da
         yield _batch(b.listed(b.hashes, None, parts) + b.listed(b.keys(1)[1], None, parts, parts), id_type)
 
 
-def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, least: tuple[float, float, float], parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def significant(n: np.ndarray, occurs: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Where n next tokens out of ``occurs`` are many more than a probability of q tells."""
+    want = occurs * q.astype(float)
+    return (n >= ENTRY_LEAST) & (n > want) & (n * np.log(np.maximum(n, 1) / want) - n + want >= ENTRY_GAIN)
+
+
+def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """With the counts of entries: each block's state, and its contexts with the sums of the entries it answers for.
 
-    State: known, base, score by text; sorted places ``keep`` that may ever have a context of two tokens, p there; places
-    ``at`` with a candidate, their contexts' counts, p and entries' counts.
+    State: known, base, score by text; places with a context of d tokens that may stay; there the context's count, the
+    token's probability in the shorter context (32 bits), and its count as an entry.
     """
-    least, frequent, entry_least = least
     for _, rows in _groups(batches, "block"):
         b = Block(rows[0])
         answers = lambda lo, hi: np.concatenate([np.zeros(0, "<i8"), *(unpack(r["data"][0], "<i8") for r in rows[1:] if lo <= r["part"] < hi)])
@@ -214,60 +221,48 @@ def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int,
             q = (count + ALPHA) / (n + ALPHA * (v + 1))
             known = np.bincount(b.of, count > 0, b.texts).astype("<i8")
             base = score = np.bincount(b.of, np.log10(q), b.texts)
-            at = np.arange(len(b.hashes))
             occurs = np.append(0, count[:-1])
             occurs[b.bounds[:-1]] = count[b.bounds[1] - 1] if b.texts else 0
-            able = (occurs >= least) & (occurs >= frequent)
+            at = np.flatnonzero(occurs >= CONTEXT_LEAST)
+            occurs, q = occurs[at].astype("<i4"), q[at].astype("<f4")
+            listed = np.arange(len(entry))
         else:
-            known, base, score, keep, held, at, occurs, q = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<f8", "<i4", "<f8", "<f8")))
-            keep, at = np.cumsum(keep), np.cumsum(at)
-            able = np.ones(len(at), dtype=bool)
-        u, place, inverse = np.unique(entry[at], return_index=True, return_inverse=True)
+            known, base, score, at, occurs, q = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<i4", "<f4")))
+            at = np.cumsum(at)
+            listed = at
+        place, inverse = np.unique(entry[listed], return_index=True, return_inverse=True)[1:]
         answer = answers(parts, 2 * parts)
-        c = (answer >> 1)[inverse].astype(float)
-        c[c < entry_least] = 0
-        own = place[(answer & 1) > 0]
-        own = own[able[own] & (c[own] > 0)]
-        if d == 1:  # whatever is longer ends in a pair of tokens that occurs as often
-            keep = np.flatnonzero((c >= least) & (b.hashes != END)) + 1
-            held = q[keep]
-        contexts, inverse = np.unique(context[at[able]], return_inverse=True)
-        number = np.cumsum(able) - 1
-        to = inverse[number[own]]
-        seen = np.zeros(len(contexts))
-        seen[inverse] = occurs[able]
-        sums = [np.bincount(to, x, len(contexts)) for x in (c[own], np.ones(len(own)), c[own] * (np.log(c[own]) - np.log(q[own])), q[own])]
-        state = b.state(known, base, score, gaps(keep), held, gaps(at[able]), c[able], q[able].astype("<f8"))
-        yield _batch([state, *_asks(b.number, contexts, [seen, *sums], parts)], id_type)
-
-
-def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, least: float, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(b.hashes), dtype=np.int64)
+        owned = np.zeros(len(b.hashes), dtype=bool)
+        found[listed] = (answer >> 1)[inverse]
+        owned[listed[place[(answer & 1) > 0]]] = True
+        c = found[at]
+        c[~(significant(c, occurs, q) if d == 1 else c >= ENTRY_LEAST)] = 0
+        own = np.flatnonzero(owned[at] & (c > 0))
+        contexts, to, inverse = np.unique(context[at], return_index=True, return_inverse=True)
+        seen = occurs[to].astype("<f8")
+        to, k, f = inverse[own], c[own].astype(float), q[own].astype(float)
+        sums = [np.bincount(to, x, len(contexts)) for x in (k, np.ones(len(own)), k * (np.log(k) - np.log(f)), f)]
+        yield _batch([b.state(known, base, score, gaps(at), occurs, q, c.astype("<i4")), *_asks(b.number, contexts, [seen, *sums], parts)], id_type)
+
+
+def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """With the contexts that stay: each block's state, and the longer contexts with their next tokens."""
     for _, rows in _groups(batches, "block"):
         b = Block(rows[0])
-        known, base, score, keep, held, at, c, q = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<f8", "<i4", "<f8", "<f8")))
-        keep, at = np.cumsum(keep), np.cumsum(at)
+        known, base, score, at, occurs, q, c = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<i4", "<f4", "<i4")))
+        at = np.cumsum(at)
         inverse = np.unique(b.keys(d)[0][at], return_inverse=True)[1]
         answer = np.concatenate([np.zeros(0), *(unpack(r["data"][0], "<f8") for r in rows[1:])]).reshape(-1, 2)[inverse]
         total, rest = answer[:, 0], answer[:, 1]
         stay = total >= 0
-        p = np.where(stay, (c + rest * q) / np.where(stay, total + rest, 1.0), q)
-        score = score + np.bincount(b.of[at], np.log10(p) - np.log10(q), b.texts)
-        held = held.copy()
-        where = np.searchsorted(keep, at)
-        hit = (where < len(keep)) & (keep[np.minimum(where, len(keep) - 1)] == at) if len(keep) else np.zeros(len(at), dtype=bool)
-        held[where[hit]] = p[hit]
-        longer = stay & (c >= least) & (b.hashes[at] != END)
-        at, occurs = at[longer] + 1, c[longer]
-        # later candidates follow these without a gap
-        where = np.searchsorted(keep, at)
-        q = held[where]
-        run = np.cumsum(np.append(True, np.diff(keep) != 1)[: len(keep)])
-        begin = np.full(len(keep) + 1, len(keep))
-        np.minimum.at(begin, run[where] - 1 if len(where) else where, where)
-        reach = np.arange(len(keep)) >= begin[run - 1] if len(keep) else np.zeros(0, dtype=bool)
-        state = b.state(known, base, score, gaps(keep[reach]), held[reach], gaps(at), occurs, q)
-        yield _batch([state, *b.listed(b.keys(d + 1)[1][at], at, parts, parts)], id_type)
+        q = q.astype(float)
+        p = np.where(stay, (c + rest * q) / np.where(stay, total + rest, 1.0), q).astype("<f4")
+        score = score + np.bincount(b.of[at], np.log10(p.astype(float)) - np.log10(q), b.texts)
+        # a place whose context stays, after a place whose token is an entry
+        longer = np.flatnonzero((at[1:] == at[:-1] + 1) & stay[1:] & (c[:-1] >= CONTEXT_LEAST) & (b.hashes[at[:-1]] != END))
+        at, occurs, q = at[longer + 1], c[longer], p[longer + 1]
+        yield _batch([b.state(known, base, score, gaps(at), occurs, q), *b.listed(b.keys(d + 1)[1][at], at, parts, parts)], id_type)
 
 
 def _result_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,22 +272,18 @@ def _result_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([row["ids"].values, row["held"].values, *map(pa.array, (np.diff(b.bounds), known, base, score))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def leasts(n: int) -> tuple[float, float, float]:
-    """Least counts of contexts, of words that are contexts, and of entries, of n training tokens."""
-    return max(CONTEXT_LEAST, CONTEXT_SHARE * n), max(1.0, ENTRY_SHARE * n), max(ENTRY_LEAST, ENTRY_SHARE * n)
-
-
-def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int | None = 2) -> DataFrame:
+def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Rows whose id's crc32 modulo held_out[0] is held_out[1] are scored only; the tree learns from all others, repeated
-    rows and null ids among them. Tokens are words with A-Z lower-cased, then one end; a null or empty text has the end
-    only. Scores are sums of log10 probabilities. Contexts have ``depth`` tokens at most; None: as many as pass the test.
-    Other columns are ignored.
+    rows and null ids among them, each as often as it is there. Tokens are words with A-Z lower-cased, then one end; a
+    null or empty text has the end only; a text is scored whole, however long. An empty table gives an empty one. Scores
+    are sums of log10 probabilities; equal texts have equal ones. Contexts have ``depth`` tokens at most; None: as many as
+    pass the test. Ids may be of any type. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
+    arrow_id = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = _ROW.format(id=id_type)
     out = crc_mod(F.col("doc_id"), held_out[0]) == held_out[1]
 
@@ -309,21 +300,17 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int | Non
         spark._jvm.System.gc()
         return made, int(n)
 
-    def counting(d: int, n: int, v: int):
-        least = leasts(n)
-        return lambda it: _counted_batches(it, d, n, v, least, parts, arrow_id)
-
     held = docs.select("doc_id", "text", out.alias("held"))
-    blocks = materialize(held.mapInArrow(lambda it: _block_batches(it, arrow_id), schema), "blocks")
+    blocks = materialize(held.mapInArrow(lambda it: _block_batches(it, block_bytes, arrow_id), schema), "blocks")
     parts = max(8, blocks.count() // 2)
     asked = blocks.mapInArrow(lambda it: _first_batches(it, parts, arrow_id), schema)
     used, state, d, words = [blocks], blocks, 1, parts
     n = 0
     while True:
-        made, sums = met(state, asked, lambda it, w=words: _count_batches(it, w, arrow_id), lambda a, b, d=d, n=n: counting(d, n or a, b))
+        made, sums = met(state, asked, lambda it, w=words: _count_batches(it, w, arrow_id), lambda a, b, d=d, n=n: lambda it: _counted_batches(it, d, n or a, b, parts, arrow_id))
         n = n or sums
         used = [made]
-        last, _ = met(made.where("part < 0"), made.where("part >= 0"), lambda it: _context_batches(it, arrow_id), lambda a, b, d=d, least=leasts(n)[0]: lambda it: _scored_batches(it, d, least, parts, arrow_id))
+        last, _ = met(made.where("part < 0"), made.where("part >= 0"), lambda it: _context_batches(it, arrow_id), lambda a, b, d=d: lambda it: _scored_batches(it, d, parts, arrow_id))
         state, asked, used, words, d = last.where("part < 0"), last.where("part >= 0"), [last], 0, d + 1
         if (depth is not None and d > depth) or asked.isEmpty():
             break

@@ -18,7 +18,7 @@ from quillspark.llm import jaccard, kmeans_tree, mixing, packing, queries, ranki
 from quillspark.llm.common import Words, gram_hashes, span_hashes
 from quillspark.llm.components import connected
 
-from .fixtures import SCHEMA, documents, empty, rows
+from .fixtures import SCHEMA, documents, empty, rows, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -464,69 +464,78 @@ def test_base_scores(spark, docs):
     assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
 
 
-def test_tree_scores_against_a_plain_tree(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "ENTRY_SHARE", 2e-4)  # so that some words are rare
-    monkeypatch.setattr(suffix_tree, "CONTEXT_SHARE", 2e-4)
-    data = rows()
+@pytest.mark.parametrize("block", [4 << 20, 1 << 12])
+def test_tree_scores_against_a_plain_tree(spark, block):
+    """A tree in plain dictionaries, of contexts of any length; texts of a small grammar, so that contexts of four words tell."""
+    import random
+
+    rng = random.Random(4)
+    data = [(i, t) for i, t in enumerate(texts())]
+    for i in range(400):
+        flag = rng.random() < 0.5
+        inner = " ".join(["mid", "mid", "mid"][: rng.randrange(1, 4)])
+        data.append((1000 + i, f"{'left' if flag else 'right'} {inner} {'yes' if flag else 'no'} " + " ".join(rng.choice("abcdefgh") for _ in range(5))))
     _, toks, out, c, n, v = unigram(data, LOW)
-    frequent = {t for t, k in c.items() if k >= 2e-4 * n}
-    p0 = lambda t: (c[t] + 0.1) / (n + 0.1 * (v + 1))
-    uni = lambda t: p0(t) if t in frequent else 1.0
-    need, least = max(5.0, 2e-4 * n), max(2.0, 2e-4 * n)
-
-    def contexts(ts, d):
-        for i, t in enumerate(ts):
-            if d == 1:
-                yield (ts[i - 1] if i else None,), t
-            elif i:
-                yield ((ts[i - 2] if i > 1 else None), ts[i - 1]), t
+    root = lambda t: (c[t] + 0.1) / (n + 0.1 * (v + 1))
+
+    def context(ts, i, d):
+        return None if i < d - 1 else ("start",) + tuple(ts[: d - 1]) if i == d - 1 else tuple(ts[i - d : i])
 
     def given(t, ctx):
-        """The probability of a frequent word, or the factor of a rare one, in the longest kept context."""
         if not ctx:
-            return uni(t)
-        low = given(t, ctx[1:])
+            return root(t)
+        low = float(np.float32(given(t, ctx[1:])))
         if ctx not in kept:
             return low
         e, total, rest = kept[ctx]
         return (e.get(t, 0) + rest * low) / (total + rest)
 
-    kept: dict = {}
-    for d in (1, 2):
+    kept, able, d = {}, None, 1
+    while able is None or able:
         counts = defaultdict(Counter)
         for i, ts in toks.items():
             if not out[i]:
-                for ctx, t in contexts(ts, d):
-                    counts[ctx][t] += 1
-        if d == 1:
-            able = {ctx for ctx in counts if ctx[0] in frequent and c[ctx[0]] >= need}
-        else:
-            able = {(*ctx, t) for ctx, (e, _, _) in kept.items() if len(ctx) == 1 for t, k in e.items() if k >= need}
-        new = {}
-        for ctx in able:
-            occurs = sum(counts[ctx].values())
-            if not occurs:  # an end is followed by nothing
+                for j, t in enumerate(ts):
+                    ctx = context(ts, j, d)
+                    if ctx is not None and (able is None or ctx in able):
+                        counts[ctx][t] += 1
+        able = set()
+        for ctx, follows in counts.items():
+            occurs = sum(follows.values())
+            if occurs < suffix_tree.CONTEXT_LEAST:
                 continue
-            e = {t: k for t, k in counts[ctx].items() if t in frequent and k >= least}
-            a = sum(k / occurs * math.log(k / occurs / given(t, ctx[1:])) for t, k in e.items())
-            left = max(1 - sum(e.values()) / occurs, 1e-12)
-            left0 = max(1 - sum(given(t, ctx[1:]) for t in e), 1e-12)
+            q = {t: float(np.float32(given(t, ctx[1:]))) for t in follows}
+            e = {t: k for t, k in follows.items() if k >= 2 and (d > 1 or k > occurs * q[t] and k * math.log(k / occurs / q[t]) - k + occurs * q[t] >= suffix_tree.ENTRY_GAIN)}
+            a = sum(k / occurs * math.log(k / occurs / q[t]) for t, k in e.items())
+            left, left0 = max(1 - sum(e.values()) / occurs, 1e-12), max(1 - sum(q[t] for t in e), 1e-12)
             if a + left * math.log(left / left0) >= suffix_tree.DIVERGENCE:
-                new[ctx] = (e, sum(e.values()), occurs - sum(e.values()) + len(e) + 1)
-        kept |= new
-    assert any(len(k) == 2 for k in kept) and any(len(k) == 1 for k in kept)
-
-    def score(ts):
-        s = 0.0
-        for i, t in enumerate(ts):
-            one = ts[i - 1] if i else None
-            ctx = (one,) if i == 0 else ((ts[i - 2] if i > 1 else None), one)
-            s += math.log10(given(t, ctx)) + (0 if t in frequent else math.log10(p0(t)))
-        return s
-
-    want = sorted((r[0], score(toks[i])) for i, r in enumerate(data))
-    got = sorted((r["doc_id"], r["score"]) for r in suffix_tree.score(docs).collect())
-    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-9)
+                kept[ctx] = (e, sum(e.values()), occurs - sum(e.values()) + len(e) + 1)
+            able |= {(*ctx, t) for t, k in e.items() if k >= suffix_tree.CONTEXT_LEAST and t is not None}
+        able = {x for x in able if x[1:] in kept}
+        d += 1
+    assert d > 4 and {len(k) for k in kept} >= {1, 2, 3, 4}
+
+    def longest(ts, i):
+        found = ()
+        for d in range(1, i + 2):
+            ctx = context(ts, i, d)
+            if ctx not in kept:
+                break
+            found = ctx
+        return found
+
+    want = sorted((i, sum(math.log10(given(t, longest(toks[k], j))) for j, t in enumerate(toks[k]))) for k, (i, _) in enumerate(data))
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["score"]) for r in suffix_tree.score(table, block_bytes=block).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5)
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "string"])
+def test_scores_with_ids_of_other_types(spark, kind):
+    table = spark.createDataFrame([(i, "a b c") for i in range(4)] + [(None, "A")], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    got = suffix_tree.score(table)
+    assert got.schema["doc_id"].dataType == table.schema["doc_id"].dataType and sorted(str(r["doc_id"]) for r in got.collect()) == ["0", "1", "2", "3", "None"]
 
 
 def test_what_repeats_is_learned_at_any_size(spark):
