@@ -10,7 +10,8 @@ block's other passages, which are indexed by their place around the anchor: gree
 position the longest match of any of them. A factor of ``window`` words or more is a duplicate span, and the parse goes
 on at the first window that crosses the factor's end; there, and wherever no factor is long enough, it moves on by one
 word, so that each window at a factor's boundary is checked by itself. Together that finds exactly the windows that
-occur twice. A block of more than ``most`` passages isn't held by one task: its windows are compared by hash.
+occur twice. A block of more than ``most`` passages isn't held by one task: its single windows are compared by hash, in
+slices of these, of equal windows that meet before one for all.
 
 Passages are matched by 64 bits of the anchor and 64 of their words, or word by word.
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,18 +178,86 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int,
         yield parsed(pa.Table.from_batches(held))
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The hash of each single window of passages."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        flat, first = _words_of(b, window)
-        count = b.column("windows").to_numpy()
+_ENTRY = np.dtype([("window", "<u8"), ("_k1", "<i8"), ("_k2", "<i8"), ("at", "<i4"), ("windows", "u1"), ("offset", "u1"), ("often", "u1")])
+#: Passages whose windows are dealt at once, and windows that a slice of a block holds, about.
+DEALT, SLICE_WINDOWS = 8192, 65536
+
+
+def _deal_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The windows of large blocks' passages, packed by block and slice of their hashes.
+
+    Of equal windows that meet here one is dealt, as occurring twice; these are known to be duplicates, in slices below 0.
+    """
+
+    def dealt(t: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+        flat, first = _words_of(t, window)
+        count = t.column("windows").to_numpy()
         which = np.repeat(np.arange(len(count)), count)
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        h = gram_hashes(flat, window, salt=2)[first[which] + offset]
-        names = ["block", "_k1", "_k2", "at", "windows", "often"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(which)) for c in names), pa.array(offset.astype(np.int32)), i64(h)], names=[*names, "offset", "window"])
+        e = np.zeros(len(which), dtype=_ENTRY)
+        e["offset"] = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        e["window"] = gram_hashes(flat, window, salt=2)[first[which] + e["offset"]]
+        for c in ("_k1", "_k2", "at", "windows", "often"):
+            e[c] = t.column(c).to_numpy()[which]
+        blocks = t.column("block").to_numpy()[which]
+        slices_ = np.maximum(1, t.column("n").to_numpy()[which] * (window - 1) // SLICE_WINDOWS)
+        order = np.lexsort((e["window"], blocks))
+        e, blocks, slices_ = e[order], blocks[order], slices_[order]
+        begin = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (e["window"][1:] != e["window"][:-1])))
+        twice = np.add.reduceat(e["often"].astype(np.int64), begin) > 1
+        size = np.diff(np.append(begin, len(e)))
+        known = np.repeat(twice, size) & (e["often"] == 1)
+        to = np.full(len(e), -1)
+        to[begin] = (e["window"][begin] >> U64(32)).astype(np.int64) % slices_[begin]
+        sent = e[begin]
+        sent["often"] = np.where(twice, 2, 1)
+        for part, slice_, block in ((e[known], np.full(known.sum(), -1 - TaskContext.get().partitionId()), blocks[known]), (sent, to[begin], blocks[begin])):
+            order = np.lexsort((slice_, block))
+            part, slice_, block = part[order], slice_[order], block[order]
+            cuts = np.flatnonzero((slice_[1:] != slice_[:-1]) | (block[1:] != block[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(part)]):
+                if hi > lo:
+                    yield int(block[lo]), int(slice_[lo]), part[lo:hi].tobytes()
+
+    def rows(held):
+        found = list(dealt(pa.Table.from_batches(held)))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "slice", "entries"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= DEALT:
+            yield rows(held)
+            held = []
+    if held:
+        yield rows(held)
+
+
+def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block and slice: the masks of the passages with windows that occur twice in their slice."""
+
+    def masks(slice_: int, entries: list[bytes]) -> pa.RecordBatch:
+        e = np.frombuffer(b"".join(entries), dtype=_ENTRY)
+        if slice_ >= 0:
+            e = e[np.argsort(e["window"], kind="stable")]
+            begin = np.flatnonzero(np.append(True, e["window"][1:] != e["window"][:-1]))
+            often = np.repeat(np.add.reduceat(e["often"].astype(np.int64), begin), np.diff(np.append(begin, len(e))))
+            e = e[(often > 1) & (e["often"] == 1)]
+        e = e[np.lexsort((e["at"], e["_k2"], e["_k1"]))]
+        begin = np.flatnonzero(np.append(True, (e["_k1"][1:] != e["_k1"][:-1]) | (e["_k2"][1:] != e["_k2"][:-1]) | (e["at"][1:] != e["at"][:-1]))[: len(e)])
+        mask = np.bitwise_or.reduceat(U64(1) << e["offset"].astype(U64), begin) if len(e) else np.zeros(0, dtype=U64)
+        return pa.RecordBatch.from_arrays([pa.array(e[c][begin].astype(k)) for c, k in (("_k1", "i8"), ("_k2", "i8"), ("at", "i4"), ("windows", "i4"))] + [i64(mask)], names=["_k1", "_k2", "at", "windows", "mask"])
+
+    key, held = None, []
+    for b in batches:
+        for block, slice_, entries in zip(*(b.column(c).to_pylist() for c in ("block", "slice", "entries"))):
+            if held and (key != (block, slice_) or slice_ < 0):
+                yield masks(key[1], held)
+                held = []
+            key = (block, slice_)
+            held.append(entries)
+    if held:
+        yield masks(key[1], held)
 
 
 def find_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
@@ -206,14 +276,13 @@ def find_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most
     wanted = reference.join(mixed, "block").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("at", "windows", "lead", "block", "n", "often")).alias("found"))
     met = materialize(wanted.join(texts.mapInArrow(_first_of_each, texts.schema), ["_k1", "_k2"]).mapInArrow(lambda it: _passage_batches(it, window), _PASSAGE), "passages")
     parsed = met.where(F.col("n") <= most).repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _parse_batches(it, window, anchor), "_k1 long, _k2 long, at int, windows int, mask long")
-    single = met.where(F.col("n") > most).mapInArrow(lambda it: _window_batches(it, window), "block long, _k1 long, _k2 long, at int, windows int, often int, offset int, window long")
-    twice = materialize(single.groupBy("block", "window").agg(F.sum("often").alias("c")).where("c > 1").select("block", "window"), "twice")
-    compared = single.where("often = 1").join(twice, ["block", "window"], "left_semi").groupBy("_k1", "_k2", "at", "windows").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
+    dealt = materialize(met.where(F.col("n") > most).mapInArrow(lambda it: _deal_batches(it, window), "block long, slice int, entries binary"), "dealt")
+    compared = dealt.repartition("block", "slice").sortWithinPartitions("block", "slice").mapInArrow(_slice_batches, "_k1 long, _k2 long, at int, windows int, mask long")
     repeated = reference.where("often > 1").select("block", "passage")
     whole = found.join(repeated, ["block", "passage"], "left_semi").select("_k1", "_k2", "at", "windows", F.lit(None).cast("long").alias("mask"))
     spans = whole.unionByName(parsed).unionByName(compared).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("at", "windows", "mask")).alias("spans"))
     spans = materialize(spans, "spans")
-    for done in (every, shared, found, reference, mixed, met, twice):
+    for done in (every, shared, found, reference, mixed, met, dealt):
         discard(done)
     return spans
 
