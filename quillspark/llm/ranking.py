@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_mod, gram_hashes, mix64, slices, span_hashes
+from .common import Words, crc_mod, gram_hashes, mix64, slices, span_hashes, text_key
 
 #: Labelled rows that the model is fitted on, at most: those of the smallest hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -110,7 +110,12 @@ class Ranker:
     spread: float
 
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((expand(x) - self.mean) / self.scale, -8, 8) @ self.weights
+        """Summed in the order of the features, so that equal texts get equal values in batches of any size."""
+        z = np.clip((expand(x) - self.mean) / self.scale, -8, 8)
+        out = np.zeros(len(x))
+        for column, weight in zip(z.T, self.weights):
+            out += column * weight
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, increasing in strength; CUT exactly where the strength is that of the quantile."""
@@ -160,7 +165,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-3,
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.float64())
     for b in slices(batches):
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(list(features(b.column("text"))), kind)], names=["y", "x"])
+        yield b.drop_columns(["text"]).append_column("x", pa.array(list(features(b.column("text"))), kind))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, quantile: float | None = None, held_out: tuple[int, int] = (4, 2)) -> Ranker:
@@ -168,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, qu
 
     Of the labels, at most ``sample_rows`` (those of the smallest hash of the id) take part; this bounded set is sent to
     the executors, so that the texts needn't be shuffled. Labels that are null, or of ids that are null, take no part;
-    a row that is there more than once counts once.
+    of contradicting labels the greater counts. An id counts once: of its rows the one with the least text key. Empty
+    tables, or labels of one kind only, give a model that scores all texts alike.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), held_out[0]) != held_out[1]))
@@ -180,8 +186,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, qu
     spark = docs.sparkSession
     rows = chosen.collect()  # at most sample_rows
     few = spark.createDataFrame(rows, chosen.schema)
-    pdf = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("y", "text").mapInArrow(_feature_batches, "y int, x array<double>").limit(4 * sample_rows).toPandas()
-    pdf = pdf.sort_values(["y"], kind="stable")
+    found = docs.select("doc_id", "text", *text_key(F.col("text"))).join(F.broadcast(few), "doc_id").select("doc_id", "y", "_k1", "_k2", "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = found.mapInArrow(_feature_batches, f"doc_id {id_type}, y int, _k1 long, _k2 long, x array<double>")
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("y", "x"), F.struct("_k1", "_k2")).alias("r"))  # at most sample_rows
+    pdf = one.select("r.y", "r.x").toPandas().sort_values(["y"], kind="stable")
     x = np.array(pdf["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)  # the order in which executors answer must not matter
     return fit(x[order], pdf["y"].to_numpy()[order], quantile=quantile)
@@ -190,7 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, qu
 def score(docs: DataFrame, model: Ranker) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if score >= CUT) of every row.
 
-    A null or empty text gets the score of the empty text. Other columns are ignored, repeated rows are scored each.
+    A null or empty text gets the score of the empty text; a text is read whole, however long; equal texts get equal
+    scores. Repeated rows are scored each, rows without an id as well; an empty table gives an empty one. Other columns
+    are ignored, whatever their names.
     """
 
     def run(batches):
@@ -202,7 +213,7 @@ def score(docs: DataFrame, model: Ranker) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Ranker) -> DataFrame:
-    """The rows, all columns, that the model doesn't reject."""
+    """The rows, all columns, that the model doesn't reject: those that ``score`` predicts 1 for, repeated ones each."""
 
     def run(batches):
         for b in slices(batches):
