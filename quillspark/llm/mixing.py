@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
+from .common import text_key
 from .packing import SLICE_ROWS, _spread, count_words
 
 LEVELS = ("domain", "language", "source")
@@ -91,10 +92,11 @@ def _leaf_columns(docs: DataFrame, domain: Callable[[Column], Column]) -> list[C
 
 
 def plan(docs: DataFrame, mix: Mix, domain: Callable[[Column], Column]) -> DataFrame:
-    """Per leaf: passes (whole ones) and last (order value up to which the next pass goes; null: not begun)."""
+    """Per leaf: passes (whole ones), last (order value up to which the next pass goes; null: not begun), and of the rows of
+    that value, which are equal in id and text, take (how many the pass takes) and of (how many there are)."""
     spark = docs.sparkSession
     key = ["_domain", "_language", "_source"]
-    rows = materialize(docs.select("doc_id", *_leaf_columns(docs, domain), count_words(F.col("text")).alias("_n")), "leaves")
+    rows = materialize(docs.select("doc_id", *text_key(F.col("text")), *_leaf_columns(docs, domain), count_words(F.col("text")).alias("_n")), "leaves")
     leaves = rows.groupBy(*key).agg(F.sum("_n").alias("tokens"), F.count("*").alias("rows")).limit(MOST_LEAVES + 1).collect()
     if len(leaves) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
@@ -108,38 +110,59 @@ def plan(docs: DataFrame, mix: Mix, domain: Callable[[Column], Column]) -> DataF
     tree = spark.createDataFrame(table, "_domain string, _language string, _source string, _passes int, _rest long, _slices long")
     keyed = rows.join(F.broadcast(tree.where("_rest > 0")), key).withColumn("_u", order_value(mix))
     keyed = keyed.withColumn("_slice", _spread(F.col("_u"), F.col("_slices")))
-    # the slice in which a leaf's running sum reaches its rest, then the row in that slice
+    # equal rows have equal values: they are counted before anything is ordered
+    keyed = keyed.groupBy(*key, "_slice", "_rest", "_u").agg(F.sum("_n").alias("_n"), F.count("*").alias("_c"))
+    # the slice in which a leaf's running sum reaches its rest, then the value in that slice
     sums = keyed.groupBy(*key, "_slice", "_rest").agg(F.sum("_n").alias("_t"))
     run = F.sum("_t").over(Window.partitionBy(*key).orderBy("_slice"))
     crossing = sums.withColumn("_after", run).withColumn("_before", F.col("_after") - F.col("_t")).where("_before < _rest and _after >= _rest").select(*key, "_slice", "_before")
     near = keyed.join(F.broadcast(crossing), [*key, "_slice"])
     reached = F.sum("_n").over(Window.partitionBy(*key).orderBy("_u")) + F.col("_before")
-    cut = near.withColumn("_reached", reached).where("_reached >= _rest").groupBy(*key).agg(F.min("_u").alias("_last"))
-    last = {(r[0], r[1], r[2]): r["_last"] for r in cut.collect()}  # a row for each leaf at most
-    return spark.createDataFrame([(*t[:3], t[3], last.get(t[:3])) for t in table], "_domain string, _language string, _source string, _passes int, _last long")
+    cut = near.withColumn("_reached", reached).where("_reached >= _rest").groupBy(*key)
+    cut = cut.agg(F.min_by(F.struct("_u", "_c", F.expr("cast(ceil((_rest - (_reached - _n)) * _c / _n) as long)").alias("_take")), "_u").alias("c"))
+    last = {(r[0], r[1], r[2]): tuple(r["c"]) for r in cut.collect()}  # a row for each leaf at most
+    discard(rows)
+    table = [(*t[:4], u, take, c) for t in table for u, c, take in [last.get(t[:3], (None, None, None))]]
+    return spark.createDataFrame(table, "_domain string, _language string, _source string, _passes int, _last long, _take long, _of long")
 
 
-def order_value(mix: Mix, passes: str = "_passes") -> Column:
-    return F.xxhash64(F.lit(mix.seed), F.col(passes), F.col("doc_id"))
+def order_value(mix: Mix, passes: str = "_passes", text: tuple[str, str] = ("_k1", "_k2")) -> Column:
+    return F.xxhash64(F.lit(mix.seed), F.col(passes), F.col("doc_id"), *text)
 
 
 def _marked(docs: DataFrame, mix: Mix, domain: Callable[[Column], Column]) -> DataFrame:
     """The rows that are taken, with __copies and __domain."""
-    table = plan(docs, mix, domain).select(*[F.col(c).alias(f"_{c}") for c in ("_domain", "_language", "_source", "_passes", "_last")])
+    table = plan(docs, mix, domain)
+    split = table.where("_take < _of").limit(1).count() > 0
+    table = table.select(*[F.col(c).alias(f"_{c}") for c in table.columns])
     leaf = [c.alias(name) for c, name in zip(_leaf_columns(docs, domain), ("__domain", "__language", "__source"))]
-    rows = docs.select("*", *leaf).join(F.broadcast(table), ["__domain", "__language", "__source"])
-    partly = order_value(mix, "__passes") <= F.col("__last")
-    return rows.withColumn("__copies", F.col("__passes") + F.coalesce(partly.cast("int"), F.lit(0))).where("__copies > 0")
+    key = [c.alias(name) for c, name in zip(text_key(F.col("text")), ("__k1", "__k2"))]
+    rows = docs.select("*", *leaf, *key).join(F.broadcast(table), ["__domain", "__language", "__source"]).withColumn("__u", order_value(mix, "__passes", ("__k1", "__k2")))
+    more = F.coalesce(F.col("__u") <= F.col("__last"), F.lit(False))
+    if split:
+        # only some of the rows at a leaf's last value: they are numbered within the parts they are written in, and by part
+        at = F.coalesce((F.col("__u") == F.col("__last")) & (F.col("__take") < F.col("__of")), F.lit(False))
+        equal = materialize(rows.where(at).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "equal")
+        leaf = ["__domain", "__language", "__source"]
+        parts = equal.groupBy(*leaf, "__part").agg(F.count("*").alias("__c"))
+        parts = parts.select(*leaf, "__part", (F.sum("__c").over(Window.partitionBy(*leaf).orderBy("__part")) - F.col("__c")).alias("__before"))
+        place = F.row_number().over(Window.partitionBy(*leaf, "__part").orderBy("__row"))
+        numbered = equal.withColumn("__place", place).join(parts, [*leaf, "__part"]).withColumn("__more", F.col("__before") + F.col("__place") <= F.col("__take"))
+        rows = rows.where(~at).withColumn("__more", more).unionByName(numbered.select(*rows.columns, "__more"))
+    else:
+        rows = rows.withColumn("__more", more)
+    return rows.withColumn("__copies", F.col("__passes") + F.col("__more").cast("int")).where("__copies > 0")
 
 
 def select(docs: DataFrame, mix: Mix = Mix(), domain: Callable[[Column], Column] = default_domain) -> DataFrame:
     """The rows that the mix takes at least once, with all their columns and ``_copies``, the number of times, and ``_domain``
     (columns of these two names are replaced).
 
-    Tokens are words. Documents are taken whole, so a leaf may exceed its budget by less than its last document (rows of
-    equal ids come together). A null language or source is a child of its own; a null text has no tokens. Each pass
-    has its own order, a hash of seed, pass and doc_id. Only narrow rows are shuffled: the texts are filtered where
-    they lie, by each leaf's last order value.
+    Tokens are words. Documents are taken whole, however long, so a leaf exceeds its budget by less than its last document.
+    A null language or source is a child of its own; a null text has no tokens. Each pass has its own order, a hash of
+    seed, pass, doc_id and text; rows that tie in all of these, null ids among them, are taken one by one, any of them
+    first. An empty table gives an empty one. Only narrow rows are shuffled: the texts are filtered where they lie, by
+    each leaf's last order value (but where this parts equal rows, these are written and numbered).
     """
     rest = [c for c in docs.columns if c not in ("_copies", "_domain")]
     return _marked(docs, mix, domain).select(*rest, F.col("__copies").alias("_copies"), F.col("__domain").alias("_domain"))
