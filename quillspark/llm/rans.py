@@ -5,6 +5,9 @@ documents; its ids are cut into blocks of equal length, a block deals its ids to
 coder of its own. The final states are the checkpoints from which any block can be decoded alone; each block has a
 checksum. numpy runs all lanes of all blocks of a segment in step.
 
+Files: under a path, Parquet in ``table`` (one row: the ids' frequencies, uint32) and in ``segments`` (part, segment, start,
+doc_ids, sizes, payload; ids and lengths of documents are columns beside the payload). Nothing else is needed to decode.
+
 Payload of a segment (little-endian): header ``_HEAD`` (magic, version, precision, lanes, ids, ids a block, blocks,
 checksum of the table); states uint64[blocks, lanes]; words uint32[blocks, lanes], the number of each lane's words;
 checksums uint32[blocks], crc32 of the block's ids as uint32; then all lanes' words uint32 in decoding order.
@@ -19,8 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import discard, materialize, new_path
 from .common import IS_SPACE, SLICE_BYTES, slices, text_bytes
@@ -239,25 +243,33 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, id_type: pa.DataType
 
 def _by_range(docs: DataFrame, parts: int) -> DataFrame:
     """Rows in partitions that ascend by doc_id. For whole numbers the borders come from quantiles of the ids alone, as a
-    range partitioning would sample whole rows and so read all texts twice."""
-    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int") or parts > 1024:
+    range partitioning would sample whole rows and so read all texts twice. Ids of other types are partitioned by range."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
         return docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    borders = sorted({int(b) for b in docs.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) or []})
-    above = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in borders]).cast("array<bigint>"), lambda b: b <= F.col("doc_id")))
-    return docs.repartitionById(parts, above)
-
-
-def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[np.ndarray, DataFrame]:
+    whole = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    borders = sorted(int(b) for b in docs.select(whole.alias("i")).approxQuantile("i", [i / parts for i in range(1, parts)], 0.2 / parts) or [])
+    distinct = sorted(set(borders))
+    # an id that is several borders has as many parts, which its rows are spread over
+    last = {b: borders.index(b) + borders.count(b) for b in distinct}
+    hot = {b: borders.count(b) for b in distinct if borders.count(b) > 1}
+    above = F.size(F.filter(F.array(*[F.lit(b) for b in distinct]).cast("array<bigint>"), lambda b: b <= whole))
+    part = F.element_at(F.array(F.lit(0), *[F.lit(last[b]) for b in distinct]), above + 1)
+    for b, n in hot.items():
+        part = F.when(whole == b, F.lit(last[b] - n + 1) + F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).otherwise(part)
+    return docs.repartitionById(parts, part)
+
+
+def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     """Encode all texts (null: empty), append END_ID to each, and write the segments under ``path`` in ascending doc_id order.
 
-    Returns the frequencies of the shared table and the DataFrame of the written files: part, segment, start (ids before
-    it), doc_ids, sizes, payload. Null ids come first; rows of equal ids stay next to each other, in no further order;
-    an empty table gives no segment. A document is never parted between segments. Other columns are ignored.
+    Null ids come first; rows of equal ids stay next to each other, in no further order; an empty table gives no segment.
+    A document is never parted between segments, however long. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+    arrow_id = to_arrow_type(docs.schema["doc_id"].dataType)
     ordered = _by_range(docs.select("doc_id", "text"), parts).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     raw = materialize(
         ordered.mapInArrow(lambda it: _segments(it, tokenizer_path, arrow_id), f"part int, segment int, doc_ids array<{id_type}>, sizes array<bigint>, before bigint, ids binary, counts binary"), "ids"
@@ -295,16 +307,18 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> tuple[np.ndarr
     schema = f"part int, segment int, start bigint, doc_ids array<{id_type}>, sizes array<bigint>, payload binary"
     coded = raw.join(F.broadcast(bases), "part").select("part", "segment", (F.col("base") + F.col("before")).alias("start"), "doc_ids", "sizes", "ids").mapInArrow(code, schema)
     # the number of a part is the number of its file, so that files and rows ascend
-    coded.repartitionById(parts, F.col("part")).sortWithinPartitions("segment").write.option("compression", "none").parquet(path)
+    coded.repartitionById(parts, F.col("part")).sortWithinPartitions("segment").write.option("compression", "none").parquet(f"{path}/segments")
+    spark.createDataFrame([(bytearray(freq.astype("<u4").tobytes()),)], "freq binary").coalesce(1).write.parquet(f"{path}/table")
     discard(raw)
-    return freq, spark.read.schema(coded.schema).parquet(path)
 
 
-def read_ids(files: DataFrame, freq: np.ndarray, ids_column: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian uint32) of every document in the files.
+def read_ids(spark: SparkSession, path: str, ids_column: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian uint32) of every document in the files under ``path``.
 
     The checksum is of the ids as they are read; without ``ids_column`` the ids themselves stay with the reader.
     """
+    files = spark.read.parquet(f"{path}/segments")
+    freq = np.frombuffer(bytes(spark.read.parquet(f"{path}/table").first()["freq"]), "<u4")  # an item for each id of the vocabulary
     id_type = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches):
@@ -328,5 +342,6 @@ def read_ids(files: DataFrame, freq: np.ndarray, ids_column: bool = True) -> Dat
 
 def round_trip(docs: DataFrame, tokenizer_path: str, ids_column: bool = True) -> DataFrame:
     """Writes the files in the shared folder and reads them back."""
-    freq, files = write_ids(docs, tokenizer_path, new_path(docs.sparkSession, "rans"))
-    return read_ids(files, freq, ids_column)
+    path = new_path(docs.sparkSession, "rans")
+    write_ids(docs, tokenizer_path, path)
+    return read_ids(docs.sparkSession, path, ids_column)
