@@ -2,7 +2,7 @@
 
 The tree is fitted on a bounded sample and assigns every row to a leaf. A query walks the tree with a priority queue of
 bins, nearest centre first, and visits as many leaves as calibration found to reach the wanted recall against brute
-force over all rows. Leaves are searched in blocks of bounded size, so that a leaf may hold any share of the rows.
+force over all rows; the recall is then measured, likewise, with rows that neither the tree nor the calibration saw. Leaves are searched in blocks of bounded size, so that a leaf may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..storage import materialize
 
-#: Rows that the tree is fitted on, and leaves, at most; rows of a leaf aimed at; queries that calibrate the visits.
+#: Rows that the tree is fitted on, and leaves, at most; rows of a leaf aimed at; queries that calibrate the visits, and
+#: as many that measure the recall.
 SAMPLE_ROWS, MOST_LEAVES, LEAF_ROWS, CALIBRATION = 20_000, 2048, 256, 128
 BLOCK_ROWS, BRANCHES, RECALL = 4096, 8, 0.97
 
@@ -231,21 +233,33 @@ def _rows(q, v, s) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
 
+def _typed(table: DataFrame) -> DataFrame:
+    kind = table.schema["vec_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"vec_id is {kind.simpleString()}, not a whole number")
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
 class Index:
     """A fitted tree with every row of ``table`` (vec_id, embedding) assigned to a leaf.
 
     Rows whose vector is null, zero, holds a null or a non-finite component, or has another length than most, and rows
-    without an id, take no part. Rows that are there more than once (id and vector) are kept once.
+    without an id, take no part. Rows that are there more than once (id and vector) are kept once. An empty table gives an
+    index that finds nothing. Ids are whole numbers; others raise TypeError. Other columns are ignored.
     """
 
     def __init__(self, table: DataFrame, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS):
-        table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        table = _typed(table)
         self.spark = table.sparkSession
         table = materialize(table.where("vec_id is not null and embedding is not null").dropDuplicates(), "vectors")
-        chosen = table.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(sample_rows)
-        few = chosen.toArrow()  # at most sample_rows
-        self.sample_ids, x = vectors(*(pa.concat_arrays(few[c].chunks) if few.num_rows else pa.array([], few.schema.field(c).type) for c in ("vec_id", "embedding")))
-        self.sample, self.dim = x, x.shape[1]
+        chosen = table.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(sample_rows + 2 * CALIBRATION)
+        few = chosen.toArrow()  # bounded
+        ids, x = vectors(*(pa.concat_arrays(few[c].chunks) if few.num_rows else pa.array([], few.schema.field(c).type) for c in ("vec_id", "embedding")))
+        self.dim = x.shape[1]
+        # rows that calibrate and measure, in turn; the others, but for a handful of rows, fit the tree
+        own = min(2 * CALIBRATION, len(x) // 5)
+        self.probe_ids, self.probe = (ids[:own], x[:own]) if own > 1 else (ids, x)
+        x = x[own:]
         rows = table.count()
         self.tree = tree = fit_tree(x, max(1, min(MOST_LEAVES, rows // leaf_rows, len(x) // 4 or 1)))
         dim = self.dim
@@ -269,12 +283,12 @@ class Index:
             out[r["leaf"]] = r["c"]
         return out
 
-    def calibrate(self, k: int, recall: float = RECALL, queries: int = CALIBRATION) -> int:
-        """Leaves to visit so that, on average over sampled queries, that share of the k nearest by brute force is found."""
-        pick = np.linspace(0, len(self.sample) - 1, min(queries, len(self.sample))).astype(int) if len(self.sample) else np.zeros(0, dtype=int)
-        q, own, dim, tree = self.sample[pick], self.sample_ids[pick], self.dim, self.tree
-        if not len(pick):
-            return 1
+    def calibrate(self, k: int, recall: float = RECALL) -> tuple[int, float | None]:
+        """Leaves to visit so that, on average over sampled queries, that share of the k nearest by brute force is found;
+        and the share that so many leaves hold for other queries (None without any)."""
+        q, own, dim, tree = self.probe, self.probe_ids, self.dim, self.tree
+        if not len(q):
+            return 1, None
 
         def exact(batches):
             for b in batches:
@@ -289,17 +303,22 @@ class Index:
         order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
         top = near.withColumn("r", F.row_number().over(order)).where(f"r <= {k}").select("q", "leaf").collect()  # k * queries
         place = [{leaf: i for i, leaf in enumerate(tree.order(v, tree.leaves, self.counts, 0))} for v in q]
-        places = np.sort([place[r["q"]][r["leaf"]] for r in top])
-        return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) + 1 if len(places) else 1
+        placed = [(r["q"], place[r["q"]][r["leaf"]]) for r in top]
+        odd = np.sort([p for i, p in placed if i % 2]) if len(q) > 1 else np.array([])
+        even = np.sort([p for i, p in placed if i % 2 == 0])
+        if not len(even):
+            return 1, None
+        visits = int(even[min(len(even) - 1, int(np.ceil(recall * len(even))) - 1)]) + 1
+        return visits, float((odd < visits).mean()) if len(odd) else None
 
     def search(self, queries: DataFrame, k: int, recall: float = RECALL, visits: int | None = None) -> DataFrame:
-        """query_id, rank, vec_id, score: of each query's visited leaves the k rows of the greatest inner product.
+        """query_id, rank, vec_id, score, recall: of each query's visited leaves the k rows of the greatest inner product.
 
-        Nearest first, ties to the smaller vec_id; the row of the query's own id isn't a candidate. Rows that are there
+        recall is what calibration measured, null where ``visits`` are given or nothing could be measured. Nearest first, ties to the smaller vec_id; the row of the query's own id isn't a candidate. Rows that are there
         more than once, and ids with several vectors, count once. Leaves are visited until ``visits`` (calibrated unless
         given) and at least 2 * k ids are seen.
         """
-        visits = self.calibrate(k, recall) if visits is None else visits
+        visits, measured = self.calibrate(k, recall) if visits is None else (visits, None)
         tree, counts, dim = self.tree, self.ids, self.dim
         blocks = np.maximum(1, -(-self.counts // BLOCK_ROWS))
         per_leaf = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("leaf") + 1) if (blocks > 1).any() else F.lit(1)
@@ -313,11 +332,11 @@ class Index:
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(v[lo : lo + n].reshape(-1)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + n]), flat, pa.array(leaves, pa.list_(pa.int32()))], names=["vec_id", "embedding", "leaves"])
 
-        asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(walk, "vec_id long, embedding array<double>, leaves array<int>")
+        asked = _typed(queries).mapInArrow(walk, "vec_id long, embedding array<double>, leaves array<int>")
         asked = asked.select("vec_id", "embedding", F.explode("leaves").alias("leaf")).withColumn("block", F.explode(F.sequence(F.lit(0), per_leaf - 1)))
         held = self.rows.select("vec_id", "embedding", "leaf", F.pmod(F.xxhash64("vec_id", "embedding"), per_leaf).cast("int").alias("block"))
         both = held.withColumn("is_query", F.lit(0)).unionByName(asked.withColumn("is_query", F.lit(1)))
         found = both.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "is_query").mapInArrow(lambda it: _search_batches(it, k, dim), "query_id long, vec_id long, score double")
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(measured).cast("double").alias("recall"))
