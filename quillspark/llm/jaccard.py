@@ -28,13 +28,13 @@ _DOC = U64(48)
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """Bands and rows: the most selective (most rows a band) that find pairs of that similarity with that probability,
-    out of at most ``most`` hashes."""
-    best = (1, 1)
+    out of at most ``most`` hashes; where even one row a band needs more, as many bands of one row as it needs."""
+    if similarity >= 1:
+        return 1, most
+    best = None
     for rows in range(1, most + 1):
-        if similarity >= 1:
-            return 1, most
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
-        if bands * rows > most:
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)))
+        if best is not None and bands * rows > most:
             break
         best = (bands, rows)
     return best
@@ -173,7 +173,7 @@ def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, rec
         texts.mapInArrow(lambda it: _sign_batches(it, n, bands, rows), f"doc_id {id_type}, _k1 long, _k2 long, node long, grams long, bands array<long>"), "signed"
     )
     nodes = materialize(
-        signed.groupBy("node").agg(F.count("*").alias("size"), F.min("doc_id").alias("least_id"), F.max("grams").alias("grams"), F.min("_k1").alias("_k1")), "nodes"
+        signed.groupBy("node").agg(F.count("*").alias("size"), F.min("doc_id").alias("least_id"), F.max("grams").alias("grams"), F.min(F.struct("_k1", "_k2")).alias("key")).select("node", "size", "least_id", "grams", "key._k1", "key._k2"), "nodes"
     )
     keys = signed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("band"))
     keys = materialize(keys, "bands")
@@ -182,11 +182,11 @@ def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, rec
     discard(keys)
     inside = candidates.join(nodes, "node")
     groups = inside.groupBy("root").agg(F.count("*").alias("m"), F.sum("grams").alias("g")).select("root", F.greatest(F.ceil(F.col("m") / CHUNK_TEXTS), F.ceil(F.col("g") / CHUNK_GRAMS)).cast("int").alias("chunks"))
-    placed = materialize(inside.join(groups, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).select("node", "root", "size", "_k1", "chunks", "chunk"), "placed")
+    placed = materialize(inside.join(groups, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).select("node", "root", "size", "_k1", "_k2", "chunks", "chunk"), "placed")
     # one text for each node; of its copies in a partition only one is shuffled. Sides that grow with the corpus are never
     # broadcast, so the plan is the same at every size
-    bodies = texts.select("_k1", "text").mapInArrow(_first_of_each, "_k1 long, text string")
-    meet = placed.hint("merge").join(bodies, "_k1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    bodies = texts.select("_k1", "_k2", "text").mapInArrow(_first_of_each, "_k1 long, _k2 long, text string")
+    meet = placed.hint("merge").join(bodies, ["_k1", "_k2"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     meet = meet.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "chunk", "size", "text")
     checked = materialize(
         meet.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda it: _verify_batches(it, n, similarity), "node long, root long, links long"), "verified"
@@ -201,10 +201,10 @@ def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, rec
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()
     for b in batches:
         stay = []
-        for i, k in enumerate(b.column("_k1").to_pylist()):
+        for i, k in enumerate(zip(b.column("_k1").to_pylist(), b.column("_k2").to_pylist())):
             if k not in seen:
                 seen.add(k)
                 stay.append(i)
@@ -217,10 +217,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = materialize(near_copies(docs, **options), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_k1", "_k2")
     best = found.groupBy("_class").agg(F.min(rank).alias("b")).select("b.id", "b._k1", "b._k2")
-    often = found.groupBy("doc_id", "_k1", "_k2").agg(F.count("*").alias("often"))
-    chosen = best.alias("x").join(often.alias("y"), F.expr("x.id <=> y.doc_id and x._k1 = y._k1 and x._k2 = y._k2")).select(F.col("x.id").alias("__id"), F.col("x._k1").alias("__k1"), F.col("x._k2").alias("__k2"), "often")
+    often = found.groupBy("doc_id", "_k1", "_k2").agg(F.count("*").alias("__often"))
+    chosen = best.alias("x").join(often.alias("y"), F.expr("x.id <=> y.doc_id and x._k1 = y._k1 and x._k2 = y._k2")).select(F.col("x.id").alias("__id"), F.col("x._k1").alias("__k1"), F.col("x._k2").alias("__k2"), "__often")
     k1, k2 = text_key(F.col("text"))
     rows = docs.select("*", k1.alias("__a"), k2.alias("__b")).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")))
-    once = rows.where("often = 1").select(*docs.columns)
-    again = rows.where("often > 1").dropDuplicates(["__id", "__k1", "__k2"]).select(*docs.columns)
+    once = rows.where("__often = 1").select(*docs.columns)
+    again = rows.where("__often > 1").dropDuplicates(["__id", "__k1", "__k2"]).select(*docs.columns)
     return once.unionByName(again)
