@@ -1,7 +1,9 @@
 """Telephony audio in media columns: mu-law, A-law and IMA ADPCM, decoded with numpy and resampled to linear PCM.
 
-The stored form is a WAVE file (format tag 7, one channel, 8 bits, 8 kHz). Companded samples expand by lookup tables
-built from the codecs' rules; ADPCM runs sample by sample but over all blocks of a slice at once.
+The stored form is a WAVE file of one channel at 8 kHz (format tag 7: mu-law, 6: A-law, 17: IMA ADPCM in blocks of UNIT
+bytes). Companded samples expand by lookup tables built from the codecs' rules; ADPCM runs sample by sample but over all
+blocks of a slice at once. The resampled PCM is stored without loss: its even samples, then what its odd samples differ
+from the mean of their neighbours (``coded``, ``plain``), which packs better than the samples.
 """
 
 from __future__ import annotations
@@ -19,7 +21,11 @@ from ..storage import materialize
 from .common import slices, text_bytes
 
 _SCHEMA = "doc_id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-RATE = 8000
+_COLUMNS = [c.split(" ")[0] for c in _SCHEMA.split(", ")][1:]
+#: Compression level of the stored table: the bytes lie there for long.
+LEVEL = 9
+#: Samples a second of the recordings, and of the stored PCM.
+RATE, TARGET = 8000, 16000
 UNIT = 192
 MULAW_TAG, ALAW_TAG, ADPCM_TAG = 7, 6, 17
 
@@ -75,14 +81,14 @@ def adpcm_decode(blocks: np.ndarray) -> np.ndarray:
 
 
 def wave_file(payload: bytes, tag: int = MULAW_TAG, rate: int = RATE) -> bytes:
-    """A WAVE file around one-byte samples (mu-law, A-law) or IMA blocks of UNIT bytes."""
+    """A WAVE file around one-byte samples (mu-law, A-law) or IMA blocks of UNIT bytes; struct.error beyond 4 GiB."""
     if tag == ADPCM_TAG:
         each = 2 * (UNIT - 4) + 1
         form = struct.pack("<HHIIHHHH", tag, 1, rate, rate * UNIT // each, UNIT, 4, 2, each)
     else:
         form = struct.pack("<HHIIHHH", tag, 1, rate, rate, 1, 8, 0)
-    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(payload) & 0xFFFFFFFF) + payload + b"\0" * (len(payload) & 1)
-    return b"RIFF" + struct.pack("<I", len(body) & 0xFFFFFFFF) + body
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) & 1)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
 def parse_wave(media: bytes) -> tuple[int, int, memoryview]:
@@ -111,14 +117,42 @@ def decode(media: bytes) -> tuple[int, np.ndarray]:
     return rate, (MULAW if tag == MULAW_TAG else ALAW)[codes]
 
 
-def doubled(samples: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Twice the rate by linear interpolation; ``last`` has the places of each recording's last sample, which repeats."""
-    x = samples.astype(np.int32)
+def resample(samples: np.ndarray, last: np.ndarray, rate: int = RATE, target: int = TARGET) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit samples at another rate by linear interpolation, rounded down, and the places of the recordings' ends.
+
+    ``last`` has the places of each recording's last sample, which repeats; each second of a recording keeps its length.
+    """
+    x = samples.astype(np.int64)
     after = np.append(x[1:], x[-1:])
     after[last] = x[last]
-    out = np.empty(2 * len(x), dtype=np.int16)
-    out[0::2] = x
-    out[1::2] = (x + after) >> 1
+    size = np.diff(last, prepend=-1)
+    made = -(-size * target // rate)
+    ends = np.cumsum(made)
+    at = np.arange(int(made.sum())) - np.repeat(ends - made, made)
+    if target == 2 * rate:
+        place, part = at >> 1, at & 1
+        place += np.repeat(last + 1 - size, made)
+        return (x[place] + (part * (after[place] - x[place]) >> 1)).astype(np.int16), ends
+    place, part = np.divmod(at * rate, target)
+    place += np.repeat(last + 1 - size, made)
+    return (x[place] + (after[place] - x[place]) * part // target).astype(np.int16), ends
+
+
+def coded(pcm: np.ndarray) -> bytes:
+    """The even samples, then the odd ones less the mean of their neighbours (modulo 2**16), little-endian."""
+    even, odd = pcm[0::2].astype(np.int32), pcm[1::2].astype(np.int32)
+    after = np.append(even[1:], even[-1:])[: len(odd)]
+    return even.astype("<i2").tobytes() + (odd - (even[: len(odd)] + after >> 1)).astype("<i2").tobytes()
+
+
+def plain(stored: bytes) -> np.ndarray:
+    """The samples of what ``coded`` made."""
+    parts = np.frombuffer(stored, dtype="<i2").astype(np.int32)
+    n = len(parts) // 2
+    even, rest = parts[: len(parts) - n], parts[len(parts) - n :]
+    out = np.empty(len(parts), dtype="<i2")
+    out[0::2] = even
+    out[1::2] = rest + (even[:n] + np.append(even[1:], even[-1:])[:n] >> 1)
     return out
 
 
@@ -131,8 +165,9 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first)
 
 
-def _described(n_bytes: np.ndarray, files: list, back: list, streams: list | None = None) -> dict:
-    """Columns of files with their payloads, and of their PCM where it is given: else it is made, and handed back as ``pcm``."""
+def _described(n_bytes: np.ndarray, files: list, streams: list | None = None) -> dict:
+    """Columns of files, and of their PCM where it is given: else it is made, and handed back as ``pcm``."""
+    tags, _, back = zip(*map(parse_wave, files))
     codes = np.frombuffer(b"".join(back), dtype=np.uint8)
     size = np.array([len(b) for b in back], dtype=np.int64)
     end = np.cumsum(size)
@@ -149,8 +184,10 @@ def _described(n_bytes: np.ndarray, files: list, back: list, streams: list | Non
     peak = np.maximum.reduceat(np.abs(linear.astype(np.int32)), first)
     made = {}
     if streams is None:
-        wide = doubled(linear, end - 1)
-        streams = made["pcm"] = [wide[2 * a : 2 * b].tobytes() for a, b in zip(first, end)]
+        heard = {MULAW_TAG: linear, ALAW_TAG: other, ADPCM_TAG: adaptive.reshape(-1)}[tags[0]]
+        wide, ends = resample(heard, end * len(heard) // len(codes) - 1)
+        streams = np.split(wide, ends[:-1])
+        made["pcm"] = [coded(s) for s in streams]
     return {
         "n_bytes": n_bytes,
         "payload_bytes": size,
@@ -159,48 +196,43 @@ def _described(n_bytes: np.ndarray, files: list, back: list, streams: list | Non
         "media_bytes": np.array([len(f) for f in files], dtype=np.int64),
         "media_sha256": [hashlib.sha256(f).hexdigest() for f in files],
         "feature": [
-            f"mulaw rms {np.sqrt(p / n):.3f} peak {k} turns {z}; alaw rms {np.sqrt(a / n):.3f}; adpcm rms {np.sqrt(d / (n // UNIT * 377)):.3f}; pcm {2 * RATE} Hz {len(s) // 2} crc {zlib.crc32(s):08x}"
+            f"mulaw rms {np.sqrt(p / n):.3f} peak {k} turns {z}; alaw rms {np.sqrt(a / n):.3f}; adpcm rms {np.sqrt(d / (n // UNIT * 377)):.3f}; pcm {TARGET} Hz {len(s)} crc {zlib.crc32(s.astype('<i2').tobytes()):08x}"
             for p, a, d, k, z, n, s in zip(power, power_a, power_d, peak, turns, size, streams)
         ],
     } | made
 
 
-def store_batches(batches: Iterator[pa.RecordBatch], media: bool = True, pcm: bool = True) -> Iterator[pa.RecordBatch]:
+def store_batches(batches: Iterator[pa.RecordBatch], tag: int, kept: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         data, bounds = text_bytes(batch.column("text"))
-        files = [wave_file(padded(data[a:b].tobytes())) for a, b in zip(bounds[:-1], bounds[1:])]
-        out = _described(np.diff(bounds), files, [parse_wave(f)[2] for f in files])
-        streams = out.pop("pcm")
-        if media:
-            out["media"] = files
-        if pcm:
-            out["pcm"] = streams
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.binary()) if k in ("media", "pcm") else pa.array(v) for k, v in out.items())], names=["doc_id", *out])
+        out = {"media": [wave_file(padded(data[a:b].tobytes()), tag) for a, b in zip(bounds[:-1], bounds[1:])]}
+        out |= _described(np.diff(bounds), out["media"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[c], pa.binary()) if c in ("media", "pcm") else pa.array(out[c]) for c in kept)], names=["doc_id", *kept])
 
 
 def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The columns of ``store`` but media and pcm, all but n_bytes from the stored file and the stored PCM."""
     for batch in slices(batches, "media"):
-        files = [memoryview(f) for f in batch.column("media").to_pylist()]
-        streams = batch.column("pcm").to_pylist()
-        back = [parse_wave(f)[2] for f in files]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (described := _described(batch.column("n_bytes").to_numpy(), files, back, streams)).values())], names=["doc_id", *described])
+        out = _described(batch.column("n_bytes").to_numpy(), batch.column("media").to_pylist(), [plain(x) for x in batch.column("pcm").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out.values())], names=["doc_id", *out])
 
 
-def stored(docs: DataFrame) -> DataFrame:
+def stored(docs: DataFrame, tag: int = MULAW_TAG) -> DataFrame:
     """What ``store`` tells of each text, derived from its media and pcm as they are read again from the shared folder."""
-    table = materialize(store(docs).select("doc_id", "n_bytes", "media", "pcm"), "media")
+    table = materialize(store(docs, tag, ("n_bytes", "media", "pcm")), "media", level=LEVEL)
     return table.mapInArrow(read_batches, _SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
-def store(docs: DataFrame, media: bool = True, pcm: bool = True) -> DataFrame:
-    """Each text's UTF-8 bytes (null: none), padded, as a mu-law recording: the stored file in ``media``, its resampled
-    16-bit PCM in ``pcm``, and features of what is read back.
+def store(docs: DataFrame, tag: int = MULAW_TAG, columns: tuple[str, ...] = (*_COLUMNS, "media", "pcm")) -> DataFrame:
+    """Each text's UTF-8 bytes (null: none), padded, as a recording of the codec ``tag``: the stored file in ``media``, its
+    resampled 16-bit PCM in ``pcm`` (as ``coded``), and features of what is read back.
 
-    Features: root mean square, peak and sign changes of the mu-law samples, root mean squares of the same bytes as
-    A-law and as ADPCM blocks, length and checksum of the resampled PCM. Equal texts give equal values; the features
-    of an empty text are those of UNIT spaces. Other columns are ignored. Nothing is shuffled.
+    Features: root mean square, peak and sign changes of the bytes as mu-law samples, root mean squares of the same bytes
+    as A-law samples and as ADPCM blocks, length and checksum of the resampled PCM. Equal texts, repeated rows among them,
+    give equal values; the features of an empty text are those of UNIT spaces; a text is stored whole, however long. An
+    empty table gives an empty one. Ids may be null and of any type. Other columns are ignored, whatever their names.
+    Nothing is shuffled.
     """
-    schema = _SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
-    schema += ", media binary" * media + ", pcm binary" * pcm
-    return docs.select("doc_id", "text").mapInArrow(lambda it: store_batches(it, media, pcm), schema)
+    kinds = dict(c.split(" ") for c in _SCHEMA.format(id="").split(", ")[1:]) | {"media": "binary", "pcm": "binary"}
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}" + "".join(f", {c} {kinds[c]}" for c in columns)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: store_batches(it, tag, columns), schema)
