@@ -5,8 +5,9 @@ times or more; among pairs of tokens, where chance alone makes many of these, on
 ratio is ``ENTRY_GAIN`` or more. The context stays if the distribution of its next tokens diverges from that of the next
 shorter context by ``DIVERGENCE`` a token. Only contexts that stay are lengthened, by tokens that go before them, as such
 entries, ``CONTEXT_LEAST`` times. All these are constants, so that the tree grows with the input. A context hands the
-weight of all other next tokens to the shorter context; the root is the smoothed unigram distribution. A token is scored
-in the longest context that stays.
+weight of all other next tokens to the shorter context, which shares it among these, and as much weight as it has entries,
+and one, to the shorter context for all tokens; the root is the smoothed unigram distribution. A token is scored in the
+longest context that stays.
 
 Nothing of the tree is gathered: texts lie in blocks, and a block lists its distinct keys (words, contexts with their
 next token, contexts), with what it knows of them, in as many parts by hash as there is work for. A part sums over all
@@ -29,6 +30,8 @@ from .common import SLICE_BYTES, U64, Words, crc_mod, mix64, slices, text_bytes
 
 CONTEXT_LEAST, ENTRY_LEAST, ENTRY_GAIN = 5, 2, 6.0
 DIVERGENCE, ALPHA = 0.01, 0.1
+#: Probabilities are held in 32 bits, so less than this isn't told from nothing left.
+LEAST_REST = 1e-6
 #: Text bytes of a block, about; of two blocks the keys fill a part.
 BLOCK_BYTES = 4 << 20
 END = np.uint64(0x5BD1E995A1B2C3D5)
@@ -130,29 +133,34 @@ def _count_batches(batches: Iterator[pa.RecordBatch], words: int, id_type: pa.Da
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Answers the total weight of a context's entries and the weight handed on; -1 for a context that doesn't stay."""
+    """Answers, of a context that stays: its weight with what it adds for the shorter context, that addition, and by how much
+    the addition of a token that is no entry is greater; -1 of others."""
     for part, rows in _groups(batches, "part"):
         order, first, group, cuts = _merged(rows)
         occurs = np.concatenate([unpack(r["data"][1], "<f8") for r in rows])[order][first]
         weight, kinds, inside, shorter = (np.add.reduceat(np.concatenate([unpack(r["data"][i], "<f8") for r in rows])[order], first) for i in (2, 3, 4, 5))
         # divergence of the entries, and of all else as one, from the shorter context's distribution
-        left, left0 = np.maximum(1 - weight / occurs, 1e-12), np.maximum(1 - shorter, 1e-12)
+        left, left0 = np.maximum(1 - weight / occurs, 1e-12), np.maximum(1 - shorter, LEAST_REST)
         stay = (inside - weight * np.log(occurs)) / occurs + left * np.log(left / left0) >= DIVERGENCE
-        back = np.empty((len(order), 2))
-        back[order] = np.where(stay[:, None], np.stack([weight, occurs - weight + kinds + 1], axis=1), -1.0)[group]
+        back = np.empty((len(order), 3))
+        back[order] = np.where(stay[:, None], np.stack([occurs + kinds + 1, kinds + 1, (occurs - weight) / left0], axis=1), -1.0)[group]
         yield _batch([(r["block"], part, None, None, [pack(a)]) for r, a in zip(rows, np.split(back, cuts))], id_type)
 
 
 class Block:
-    """A block's texts in tokens."""
+    """A block's state: its texts (or of a later level, where that is shorter, the hashes that its places need), and numbers."""
 
     def __init__(self, row: dict):
         self.row = row
         self.number, self.data = row["block"], row["data"]
         bounds = unpack(self.data[1], "<i8")
         self.texts = len(bounds) - 1
-        texts = pa.LargeStringArray.from_buffers(self.texts, pa.py_buffer(bounds), pa.py_buffer(unpack(self.data[0], np.uint8)))
-        self.hashes, self.of, self.bounds = tokens(Words(texts, lower=True))
+        self.hashes = None
+        if self.data[0] or not self.texts or not bounds[-1]:
+            texts = pa.LargeStringArray.from_buffers(self.texts, pa.py_buffer(bounds), pa.py_buffer(unpack(self.data[0], np.uint8)))
+            self.hashes, self.of, self.bounds = tokens(Words(texts, lower=True))
+        else:
+            self.bounds = bounds
 
     def keys(self, d: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the d tokens before each token (of no use before the d-th of a text), and of these with the token."""
@@ -164,15 +172,26 @@ class Block:
             entry = mix64(context * _LEFT + self.hashes)
         return context, entry
 
-    def trained(self) -> np.ndarray:
-        return ~self.row["held"].values.to_numpy(zero_copy_only=False)[self.of]
+    def places(self, d: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the d tokens before the places, and of the tokens there."""
+        if self.hashes is None:
+            return unpack(self.data[-2], U64), unpack(self.data[-1], U64)
+        return self.keys(d)[0][at], self.hashes[at]
+
+    def text(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, at, side="right") - 1
 
-    def listed(self, keys: np.ndarray, at: np.ndarray | None, parts: int, first: int = 0) -> list[tuple]:
-        own = self.trained() if at is None else self.trained()[at]
+    def listed(self, keys: np.ndarray, texts: np.ndarray, parts: int, first: int = 0) -> list[tuple]:
+        """The distinct keys of places in texts, with how many of each are learned from."""
+        own = ~self.row["held"].values.to_numpy(zero_copy_only=False)[texts]
         u, inverse = np.unique(keys, return_inverse=True)
         return _asks(self.number, u, [np.bincount(inverse[own], minlength=len(u)).astype("<i4")], parts, first)
 
-    def state(self, *data: np.ndarray) -> tuple:
+    def state(self, *data: np.ndarray, hashes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple:
+        """The row of the next state; without places left, or where the hashes at these are shorter, texts stay behind."""
+        short = [pack(h) for h in hashes] if hashes is not None and 16 * len(hashes[0]) < max(len(self.data[0]), 1 << 62 if self.hashes is None else 0) else []
+        if short or (hashes is not None and not len(hashes[0])):
+            return (self.number, -1, self.row["ids"].values, self.row["held"].values, [b"", pack(self.bounds), *map(pack, data), *(short or [b"", b""])])
         return (self.number, -1, self.row["ids"].values, self.row["held"].values, [*self.data[:2], *map(pack, data)])
 
 
@@ -197,7 +216,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], block_bytes: int, id_type:
 def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for _, (row,) in _groups(batches, "block"):
         b = Block(row)
-        yield _batch(b.listed(b.hashes, None, parts) + b.listed(b.keys(1)[1], None, parts, parts), id_type)
+        yield _batch(b.listed(b.hashes, b.of, parts) + b.listed(b.keys(1)[1], b.of, parts, parts), id_type)
 
 
 def significant(n: np.ndarray, occurs: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -215,7 +234,6 @@ def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int,
     for _, rows in _groups(batches, "block"):
         b = Block(rows[0])
         answers = lambda lo, hi: np.concatenate([np.zeros(0, "<i8"), *(unpack(r["data"][0], "<i8") for r in rows[1:] if lo <= r["part"] < hi)])
-        context, entry = b.keys(d)
         if d == 1:
             count = (answers(0, parts) >> 1)[np.unique(b.hashes, return_inverse=True)[1]]
             q = (count + ALPHA) / (n + ALPHA * (v + 1))
@@ -224,26 +242,26 @@ def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int,
             occurs = np.append(0, count[:-1])
             occurs[b.bounds[:-1]] = count[b.bounds[1] - 1] if b.texts else 0
             at = np.flatnonzero(occurs >= CONTEXT_LEAST)
-            occurs, q = occurs[at].astype("<i4"), q[at].astype("<f4")
-            listed = np.arange(len(entry))
+            context, entry = b.keys(1)
+            context, occurs, q, asked = context[at], occurs[at].astype("<i4"), q[at].astype("<f4"), at
         else:
             known, base, score, at, occurs, q = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<i4", "<f4")))
             at = np.cumsum(at)
-            listed = at
-        place, inverse = np.unique(entry[listed], return_index=True, return_inverse=True)[1:]
+            context, token = b.places(d, at)
+            entry, asked = mix64(context * _LEFT + token), np.arange(len(at))
+        place, inverse = np.unique(entry, return_index=True, return_inverse=True)[1:]
         answer = answers(parts, 2 * parts)
-        found = np.zeros(len(b.hashes), dtype=np.int64)
-        owned = np.zeros(len(b.hashes), dtype=bool)
-        found[listed] = (answer >> 1)[inverse]
-        owned[listed[place[(answer & 1) > 0]]] = True
-        c = found[at]
+        owned = np.zeros(len(entry), dtype=bool)
+        owned[place[(answer & 1) > 0]] = True
+        c = (answer >> 1)[inverse][asked]
         c[~(significant(c, occurs, q) if d == 1 else c >= ENTRY_LEAST)] = 0
-        own = np.flatnonzero(owned[at] & (c > 0))
-        contexts, to, inverse = np.unique(context[at], return_index=True, return_inverse=True)
+        own = np.flatnonzero(owned[asked] & (c > 0))
+        contexts, to, inverse = np.unique(context, return_index=True, return_inverse=True)
         seen = occurs[to].astype("<f8")
         to, k, f = inverse[own], c[own].astype(float), q[own].astype(float)
         sums = [np.bincount(to, x, len(contexts)) for x in (k, np.ones(len(own)), k * (np.log(k) - np.log(f)), f)]
-        yield _batch([b.state(known, base, score, gaps(at), occurs, q, c.astype("<i4")), *_asks(b.number, contexts, [seen, *sums], parts)], id_type)
+        hashes = None if b.hashes is not None else (context, token)
+        yield _batch([b.state(known, base, score, gaps(at), occurs, q, c.astype("<i4"), hashes=hashes), *_asks(b.number, contexts, [seen, *sums], parts)], id_type)
 
 
 def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -252,17 +270,20 @@ def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, parts: int, id_ty
         b = Block(rows[0])
         known, base, score, at, occurs, q, c = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<i4", "<f4", "<i4")))
         at = np.cumsum(at)
-        inverse = np.unique(b.keys(d)[0][at], return_inverse=True)[1]
-        answer = np.concatenate([np.zeros(0), *(unpack(r["data"][0], "<f8") for r in rows[1:])]).reshape(-1, 2)[inverse]
-        total, rest = answer[:, 0], answer[:, 1]
+        context, token = b.places(d, at)
+        inverse = np.unique(context, return_inverse=True)[1]
+        answer = np.concatenate([np.zeros(0), *(unpack(r["data"][0], "<f8") for r in rows[1:])]).reshape(-1, 3)[inverse]
+        total, shared, other = answer.T
         stay = total >= 0
         q = q.astype(float)
-        p = np.where(stay, (c + rest * q) / np.where(stay, total + rest, 1.0), q).astype("<f4")
-        score = score + np.bincount(b.of[at], np.log10(p.astype(float)) - np.log10(q), b.texts)
+        p = np.where(stay, (c + (shared + np.where(c > 0, 0, other)) * q) / np.where(stay, total, 1.0), q).astype("<f4")
+        score = score + np.bincount(b.text(at), np.log10(p.astype(float)) - np.log10(q), b.texts)
         # a place whose context stays, after a place whose token is an entry
-        longer = np.flatnonzero((at[1:] == at[:-1] + 1) & stay[1:] & (c[:-1] >= CONTEXT_LEAST) & (b.hashes[at[:-1]] != END))
+        longer = np.flatnonzero((at[1:] == at[:-1] + 1) & stay[1:] & (c[:-1] >= CONTEXT_LEAST) & (token[:-1] != END))
+        context, token = mix64(context[longer] * _LEFT + token[longer]), token[longer + 1]
         at, occurs, q = at[longer + 1], c[longer], p[longer + 1]
-        yield _batch([b.state(known, base, score, gaps(at), occurs, q), *b.listed(b.keys(d + 1)[1][at], at, parts, parts)], id_type)
+        asked = b.listed(mix64(context * _LEFT + token), b.text(at), parts, parts)
+        yield _batch([b.state(known, base, score, gaps(at), occurs, q, hashes=(context, token)), *asked], id_type)
 
 
 def _result_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

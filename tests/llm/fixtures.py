@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, spans string, _k1 string, node int, _copies int, bucket int, x string"
+#: Names that operators use inside, as columns of strings.
+CLASHING = """often n at windows lead block found root size centre links i j chunk key _n _u _c _t _take _h _order _slice piece batch slot y r x held
+part segment sizes freq payload media pcm _domain_ batch_ leaf rank score predicted class_id n_links _class band bands grams""".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, spans string, _k1 string, node int, _copies int, bucket int, " + ", ".join(f"{c} string" for c in CLASHING)
 SYLLABLES = ["th", "er", "on", "an", "re", "ti", "é", "ou", "st", "Ö"]
 
 
@@ -39,7 +42,7 @@ def rows(seed: int = 1) -> list[tuple]:
     found = []
     for i, t in enumerate(texts(seed)):
         source = "src0" if i % 3 == 0 else None if i == 7 else f"src{i % 5}"
-        found.append((i, t, None if i == 9 else ["en", "fr", "de"][i % 3], source, None if t is None else len(t), "c", "c", "c", 1, 2, 3, None))
+        found.append((i, t, None if i == 9 else ["en", "fr", "de"][i % 3], source, None if t is None else len(t), "c", "c", "c", 1, 2, 3, *[None] * len(CLASHING)))
     found.append(found[3])  # a repeated row
     return found
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard, kmeans_tree, mixing, packing, queries, ranking, rans, rlz, secrets, suffix_tree, telephony
-from quillspark.llm.common import Words, gram_hashes, span_hashes
+from quillspark.llm.common import Words, gram_hashes, span_hashes, text_key
 from quillspark.llm.components import connected
 
 from .fixtures import SCHEMA, documents, empty, rows, texts
@@ -288,6 +288,8 @@ def test_bands():
     for s, r in ((0.8, 0.999), (0.5, 0.95), (0.9, 0.99)):
         bands, rows_ = jaccard.bands_for(s, r)
         assert 1 - (1 - s**rows_) ** bands >= r and bands * rows_ <= jaccard.MOST_HASHES
+    bands, rows_ = jaccard.bands_for(0.02, 0.999)
+    assert rows_ == 1 and 1 - 0.98**bands >= 0.999
 
 
 def test_one_of_each_class_stays(spark, docs):
@@ -407,8 +409,18 @@ def test_adpcm_against_a_plain_decoder():
     assert telephony.decode(wave)[1].tolist() == got.reshape(-1).tolist()
 
 
-def test_media_round_trip(spark, docs):
-    out = telephony.store(docs).collect()
+def features_of(payload, pcm):
+    codes = np.frombuffer(payload, dtype=np.uint8)
+    mu, a = ([int(t[c]) for c in codes] for t in (telephony.MULAW, telephony.ALAW))
+    d = [int(v) for v in telephony.adpcm_decode(codes.reshape(-1, 192)).reshape(-1)]
+    rms = lambda x: math.sqrt(sum(v * v for v in x) / len(x))
+    turns = sum((x < 0) != (y < 0) for x, y in zip(mu, mu[1:]))
+    return f"mulaw rms {rms(mu):.3f} peak {max(map(abs, mu))} turns {turns}; alaw rms {rms(a):.3f}; adpcm rms {rms(d):.3f}; pcm 16000 Hz {len(pcm)} crc {zlib.crc32(pcm.tobytes()):08x}"
+
+
+@pytest.mark.parametrize("tag", [telephony.MULAW_TAG, telephony.ALAW_TAG, telephony.ADPCM_TAG])
+def test_media_round_trip(spark, docs, none, tag):
+    out = telephony.store(docs, tag).collect()
     assert len(out) == len(rows())
     by = {r["doc_id"]: r for r in out}
     for r in rows():
@@ -417,30 +429,47 @@ def test_media_round_trip(spark, docs):
         x = by[r[0]]
         assert (x["n_bytes"], x["payload_bytes"]) == (len(raw), len(payload))
         assert x["payload_sha256"] == hashlib.sha256(payload).hexdigest() and x["tail_crc32"] == zlib.crc32(payload[-16:])
-        assert x["media_sha256"] == hashlib.sha256(x["media"]).hexdigest() and bytes(telephony.parse_wave(bytes(x["media"]))[2]) == payload
-        pcm = np.frombuffer(x["pcm"], dtype=np.int16)
-        linear = telephony.MULAW[np.frombuffer(payload, dtype=np.uint8)]
-        assert (pcm[0::2] == linear).all() and pcm[-1] == linear[-1] and pcm[1] == (int(linear[0]) + int(linear[1])) >> 1
+        assert x["media_sha256"] == hashlib.sha256(x["media"]).hexdigest() and telephony.parse_wave(x["media"])[0] == tag and bytes(telephony.parse_wave(bytes(x["media"]))[2]) == payload
+        pcm = telephony.plain(x["pcm"])
+        linear = telephony.decode(x["media"])[1]
+        assert (pcm[0::2] == linear).all() and pcm[-1] == linear[-1] and (pcm[1:-1:2] == linear[:-1].astype(int) + linear[1:] >> 1).all()
+        assert x["feature"] == features_of(payload, pcm)
     same = defaultdict(set)
     for r in rows():
         same[r[1] or ""].add((by[r[0]]["feature"], by[r[0]]["media_sha256"]))
     assert all(len(v) == 1 for v in same.values())
+    assert telephony.stored(none, tag).count() == 0
     with pytest.raises(ValueError):
         telephony.parse_wave(b"RIFX")
 
 
+@pytest.mark.parametrize("rate, target", [(8000, 16000), (8000, 11025), (8000, 48000), (11025, 8000), (8000, 8000)])
+def test_resampling_by_any_ratio(rate, target):
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(-32768, 32768, n).astype(np.int16) for n in (1, 7, 192, 500)]
+    wide, ends = telephony.resample(np.concatenate(parts), np.cumsum([len(p) for p in parts]) - 1, rate, target)
+    for p, got in zip(parts, np.split(wide, ends[:-1])):
+        assert len(got) == -(-len(p) * target // rate)
+        for i, v in enumerate(got.tolist()):
+            k, f = divmod(i * rate, target)
+            after = int(p[min(k + 1, len(p) - 1)])
+            assert v == int(p[k]) + (after - int(p[k])) * f // target
+        assert (telephony.plain(telephony.coded(got)) == got).all()
+    assert telephony.plain(telephony.coded(parts[0])).tolist() == parts[0].tolist()
+
+
 def test_registered_telephony_reads_what_is_stored(spark, monkeypatch):
     from tests.oracle import DATA
 
     kept = []
     write = telephony.materialize
-    monkeypatch.setattr(telephony, "materialize", lambda df, label: kept.append(write(df, label)) or kept[-1])
+    monkeypatch.setattr(telephony, "materialize", lambda *a, **k: kept.append(write(*a, **k)) or kept[-1])
     sf = str(DATA / "sf0.001")
     got = {r["doc_id"]: r for r in queries.op6_telephony(spark, sf).collect()}
-    plain = telephony.store(queries.documents(spark, sf), media=False, pcm=False)
-    assert got == {r["doc_id"]: r for r in plain.collect()}
+    named = telephony.store(queries.documents(spark, sf)).drop("media", "pcm")
+    assert got == {r["doc_id"]: r for r in named.collect()}
     files = {r["doc_id"]: r for r in kept[0].collect()}
-    assert files.keys() == got.keys() and all(hashlib.sha256(f["media"]).hexdigest() == got[i]["media_sha256"] and f"crc {zlib.crc32(f['pcm']):08x}" in got[i]["feature"] for i, f in files.items())
+    assert files.keys() == got.keys() and all(hashlib.sha256(f["media"]).hexdigest() == got[i]["media_sha256"] and f"crc {zlib.crc32(telephony.plain(f['pcm']).tobytes()):08x}" in got[i]["feature"] for i, f in files.items())
 
 
 # 7 suffix tree
@@ -487,8 +516,9 @@ def test_tree_scores_against_a_plain_tree(spark, block):
         low = float(np.float32(given(t, ctx[1:])))
         if ctx not in kept:
             return low
-        e, total, rest = kept[ctx]
-        return (e.get(t, 0) + rest * low) / (total + rest)
+        e, occurs, left0 = kept[ctx]
+        k = len(e) + 1
+        return (e[t] + k * low) / (occurs + k) if t in e else (k + (occurs - sum(e.values())) / left0) * low / (occurs + k)
 
     kept, able, d = {}, None, 1
     while able is None or able:
@@ -507,12 +537,14 @@ def test_tree_scores_against_a_plain_tree(spark, block):
             q = {t: float(np.float32(given(t, ctx[1:]))) for t in follows}
             e = {t: k for t, k in follows.items() if k >= 2 and (d > 1 or k > occurs * q[t] and k * math.log(k / occurs / q[t]) - k + occurs * q[t] >= suffix_tree.ENTRY_GAIN)}
             a = sum(k / occurs * math.log(k / occurs / q[t]) for t, k in e.items())
-            left, left0 = max(1 - sum(e.values()) / occurs, 1e-12), max(1 - sum(q[t] for t in e), 1e-12)
+            left, left0 = max(1 - sum(e.values()) / occurs, 1e-12), max(1 - sum(q[t] for t in e), suffix_tree.LEAST_REST)
             if a + left * math.log(left / left0) >= suffix_tree.DIVERGENCE:
-                kept[ctx] = (e, sum(e.values()), occurs - sum(e.values()) + len(e) + 1)
+                kept[ctx] = (e, occurs, left0)
             able |= {(*ctx, t) for t, k in e.items() if k >= suffix_tree.CONTEXT_LEAST and t is not None}
         able = {x for x in able if x[1:] in kept}
         d += 1
+    for ctx in kept:  # a distribution
+        assert abs(sum(given(t, ctx) for t in c) + root("never seen") - 1) < 1e-3
     assert d > 4 and {len(k) for k in kept} >= {1, 2, 3, 4}
 
     def longest(ts, i):
@@ -604,6 +636,21 @@ def test_files_round_trip(spark, docs, none, monkeypatch):
     assert rans.round_trip(none, path).count() == 0
 
 
+def test_files_are_read_with_nothing_but_their_path(spark, tmp_path):
+    """By a session of its own; with ids of other types, most of them one id or null."""
+    docs = spark.createDataFrame([(7, f"a b {i}") for i in range(60)] + [(None, "n")] * 40 + [(i, f"t{i}") for i in range(20)], "doc_id int, text string").repartition(5)
+    for kind in ("smallint", "int", "string", "date"):
+        path = f"file://{tmp_path}/{kind}"
+        typed = docs.selectExpr(f"cast(doc_id as {kind}) doc_id" if kind != "date" else "date_add(date'2020-01-01', doc_id) doc_id", "text")
+        rans.write_ids(typed, P.path("byte_bpe_50k.json"), path)
+        got = sorted(rans.read_ids(spark.newSession(), path).collect(), key=lambda r: r["start"])
+        ids = [r["doc_id"] for r in got]
+        assert len(got) == 120 and ids[:40] == [None] * 40 and ids[40:] == sorted(ids[40:])
+        assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    parts = rans._by_range(docs, 8).select(F.spark_partition_id().alias("p"), "doc_id").groupBy("p", "doc_id").count().collect()
+    assert len({r["p"] for r in parts if r["doc_id"] == 7}) > 2
+
+
 # 9 mixing
 
 
@@ -627,27 +674,37 @@ def test_prefix_of_each_leaf(spark, docs, monkeypatch):
     leaf = lambda r: ("domain%d" % (zlib.crc32((r[3] or "").encode()) % 4), r[2] or "\0", r[3] or "\0")
     by = defaultdict(list)
     for r in rows():
-        by[leaf(r)].append((r[0], len(words(r[1]))))
-    given = mixing.budgets({k: sum(n for _, n in v) for k, v in by.items()}, mix)
-    want = []
-    order = spark.range(1).select
+        by[leaf(r)].append((r[0], len(words(r[1])), r[1]))
+    given = mixing.budgets({k: sum(n for _, n, _ in v) for k, v in by.items()}, mix)
+    want = Counter()
     for k, v in by.items():
-        total = sum(n for _, n in v)
+        total = sum(n for _, n, _ in v)
         passes, rest = divmod(given[k], total) if total else (0, 0)
-        u = {d: order(F.xxhash64(F.lit(5), F.lit(passes).cast("int"), F.lit(d).cast("long"))).first()[0] for d, _ in v}
-        run, last = 0, None
-        for x in sorted({u[d] for d, _ in v}):
-            if run >= rest:
-                break
-            run, last = run + sum(n for d, n in v if u[d] == x), x
-        for d, _ in v:
-            copies = passes + (last is not None and rest > 0 and u[d] <= last)
-            want += [(d, copies)] if copies else []
+        keyed = spark.createDataFrame([(d, t) for d, _, t in v], "doc_id long, text string").select("doc_id", "text", *text_key(F.col("text")))
+        u = {(r[0], r[1]): r[2] for r in keyed.select("doc_id", "text", F.xxhash64(F.lit(5), F.lit(passes).cast("int"), "doc_id", "_k1", "_k2")).collect()}
+        run = 0
+        for d, n, _ in sorted(v, key=lambda x: u[x[0], x[2]]):
+            want[d, passes + (run < rest)] += passes + (run < rest) > 0
+            run += n
+    want = [k for k, c in want.items() for _ in range(c)]
     assert sorted((r["doc_id"], r["_copies"]) for r in got) == sorted(want)
     assert mixing.mixed(docs, mix).columns == docs.columns
     assert mixing.mixed(docs, mix).where("_copies = 2").count() == sum(c for _, c in want)  # the column of that name stays
 
 
+def test_rows_that_tie_are_taken_one_by_one(spark):
+    """Null ids and repeated rows, of equal and of different texts: a leaf exceeds its budget by less than a document."""
+    data = [(None, f"w{i} a b c d e f g h i", "en", "s") for i in range(300)] + [(None, "a b c d e f g h i j", "en", "s")] * 300 + [(i, f"w{i} a b c d e f g h i", "en", "s") for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(5)
+    for seed in range(1, 7):
+        for share in (0.35, 1.2):
+            mix = mixing.Mix(share=share, seed=seed, by_language={})
+            got = mixing.mixed(docs, mix).collect()
+            assert 0 <= 10 * len(got) - int(9000 * share) < 10
+    n = [mixing.mixed(spark.createDataFrame([(1, "a b", "en", "s")] * 1000, "doc_id long, text string, lang string, source string").repartition(7), mixing.Mix(share=x / 1000)).count() for x in (1, 500, 999)]
+    assert n == [1, 500, 999]
+
+
 def test_mixing_empty(none):
     assert mixing.select(none).count() == 0
 
@@ -680,6 +737,37 @@ def test_ranking(spark, none):
     assert ranking.score(docs, ranking.train(docs, labels.where("false"))).where("predicted = 0").count() == 0
 
 
+def test_ranking_against_a_plain_fit(spark):
+    """Weights and threshold by gradient steps on the pairs' logistic loss; repeated rows of an id count once."""
+    from .fixtures import prose
+
+    import random
+
+    rng = random.Random(7)
+    data = [(i, prose(rng, 50) if rng.random() < 0.5 else prose(rng, 50).upper()[: rng.randrange(60, 200)]) for i in range(200)]
+    marks = [(i, int(rng.random() < (0.85 if t != t.upper() else 0.15))) for i, t in data]
+    docs = spark.createDataFrame(data + data[:40] * 3, "doc_id long, text string").repartition(4)
+    model = ranking.train(docs, spark.createDataFrame(marks, "doc_id long, quality int"))
+    learn = [i for i, _ in data if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = ranking.expand(ranking.features(pa.array([data[i][1] for i in learn])))
+    y = np.array([marks[i][1] for i in learn])
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    assert np.allclose(mean, model.mean) and np.allclose(scale, model.scale)
+    z = np.clip((x - mean) / scale, -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    pairs = (good[:, None, :] - bad[None, :, :]).reshape(-1, z.shape[1])  # all of them; the operator draws
+    w = np.zeros(z.shape[1])
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(pairs @ w))
+        w += 0.5 * ((pairs * p[:, None]).mean(axis=0) - 1e-3 * w)
+    mine, theirs = z @ w, z @ model.weights
+    assert np.corrcoef(mine, theirs)[0, 1] > 0.999
+    s = np.sort(theirs)
+    gain = [(theirs[y == 0] < t).mean() + (theirs[y == 1] >= t).mean() for t in s]
+    chosen = (theirs[y == 0] < model.cut).mean() + (theirs[y == 1] >= model.cut).mean()
+    assert chosen >= max(gain) - 1e-3
+
+
 # the registered queries
 
 
