@@ -29,11 +29,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, level: int = 3) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it again: cuts the lineage and survives lost executors.
+    ``level`` is that of the compression."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
