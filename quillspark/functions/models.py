@@ -6,8 +6,6 @@ called on batches by executors; a factory is called once a task, so a model is l
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,40 +14,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scores as S
+from .scores import normalized
 from .text import last_capitalized
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 Scorer = Callable[[Sequence[str]], Sequence[float]]
 Generator = Callable[[Sequence[str]], Sequence[str]]
-# Colour words, and answers of a generator that errs.
-COLOURS = {"red": (255, 0, 0), "green": (0, 255, 0), "blue": (0, 0, 255), "yellow": (255, 255, 0), "black": (0, 0, 0), "white": (255, 255, 255)}
-WRONG = ["London", "Tokyo", "Berlin", "Cairo", "Madrid", "Canada", "Brazil", "Germany", "France", "Spain"]
+# Colour words, each with the corner of the colour cube (red 4, green 2, blue 1) it stands for, the weight of
+# a colour word, and that of white, the background, in an image.
+CORNERS = {"red": 4, "green": 2, "blue": 1, "yellow": 6, "purple": 5}
+COLOUR_WEIGHT, WHITE_WEIGHT = 2.0, 0.15
 DIM = 32
+#: Answers of a generator that errs.
+WRONG = ["granite", "harbour", "lantern", "meadow", "orchid", "pepper", "quarry", "saddle", "thistle", "walnut"]
 
 
-def colour_bin(rgb: Sequence[int]) -> int:
-    return sum((int(c >= 128)) << (2 - i) for i, c in enumerate(rgb[:3]))
+def word_vector(text: Column) -> Column:
+    """A text's vector without a model, of the space of ``image_vector``: in the first 8 components its colour words by
+    corner, in the others the number of its words by checksum."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"))
+    corner = F.create_map(*[F.lit(x) for pair in CORNERS.items() for x in pair])
+    places = F.concat(
+        F.transform(words, lambda w: F.struct((F.pmod(F.crc32(w.cast("binary")), F.lit(DIM - 8)) + 8).cast("int").alias("d"), F.lit(1.0).alias("x"))),
+        F.transform(F.filter(words, lambda w: corner[w].isNotNull()), lambda w: F.struct(corner[w].alias("d"), F.lit(COLOUR_WEIGHT).alias("x"))),
+    )
+    return F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda d: F.aggregate(places, F.lit(0.0), lambda s, p: s + F.when(p["d"] == d, p["x"]).otherwise(0.0)))
 
 
-def hashed_encoder(texts: Sequence[str]) -> np.ndarray:
-    """Offline encoder: colour words in bins 0-7, all tokens hashed into bins 8-31."""
-    out = np.zeros((len(texts), DIM), dtype=np.float32)
-    for i, text in enumerate(texts):
-        for token in re.findall("[a-z0-9]+", str(text).lower()):
-            if token in COLOURS:
-                out[i, colour_bin(COLOURS[token])] += 2
-            out[i, 8 + zlib.crc32(token.encode()) % (DIM - 8)] += 1
-    return out
-
-
-def pixel_encoder(pixels: Sequence[np.ndarray]) -> np.ndarray:
-    """Colour histograms of images given as (n, 3) pixel arrays; the white background counts little."""
-    out = np.zeros((len(pixels), DIM), dtype=np.float32)
-    for i, px in enumerate(pixels):
-        bits = (np.asarray(px)[:, :3] >= 128).astype(int) @ np.array([4, 2, 1])
-        out[i, :8] = np.bincount(bits, minlength=8)
-        out[i, 7] *= 0.15
-    return out
+def image_vector(pixels: Column) -> Column:
+    """The vector of an image given as an array of (red, green, blue) arrays: pixels by the nearest corner of the cube."""
+    corners = F.transform(pixels, lambda p: F.aggregate(F.slice(p, 1, 3), F.lit(0), lambda s, c: 2 * s + (c >= 128).cast("int")))
+    count = lambda d: F.size(F.filter(corners, lambda c: c == d)).cast("double")
+    return F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda d: count(d) * F.when(d == 7, F.lit(WHITE_WEIGHT)).otherwise(1.0))
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -66,8 +62,10 @@ def _batched(df: DataFrame, column: str, name: str, kind: str, make: Callable[[]
     return df.mapInPandas(run, schema)
 
 
-def encoded(df: DataFrame, column: str, make: Callable[[], Encoder] = lambda: hashed_encoder, name: str = "embedding") -> DataFrame:
-    """Adds vectors of length 1. Rows whose input can't be encoded should be left out before."""
+def encoded(df: DataFrame, column: str, make: Callable[[], Encoder] | None = None, name: str = "embedding") -> DataFrame:
+    """Adds vectors of length 1, of a model or else ``word_vector``. Rows whose input can't be encoded should be left out before."""
+    if make is None:
+        return df.withColumn(name, normalized(word_vector(F.col(column))).cast("array<float>"))
     return _batched(df, column, name, "array<float>", lambda: (lambda model: lambda xs: unit_rows(np.asarray(model(xs), dtype=np.float32)).tolist())(make()))
 
 

@@ -87,13 +87,6 @@ def ranked(hits: DataFrame, k: int, by: tuple[str, ...] = ("doc_id",)) -> DataFr
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def normalized(vector: Column) -> Column:
-    """A vector of length 1 (of its own length where that is below 1e-12)."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-12)))
-
-
 def _unit_rows(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 

@@ -1,4 +1,4 @@
-"""Text and answer-metric queries: lines of documents are predictions and golds, line items are numbers with ranges."""
+"""Text and answer-metric queries: parts of documents are predictions and golds, line items are numbers with ranges."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from .common import sql_content, sql_normalized, sql_tokens, table
+from .common import first_and_rest, sql_content, sql_first_and_rest, sql_normalized, sql_tokens, table
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,10 @@ def normalized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", "\n")
-    first, last = F.element_at(lines, 1), F.element_at(lines, -1)
-    wrapped = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("The "), first, F.lit(" !"))).otherwise(last)
-    return table(spark, sf_dir, "documents").select("doc_id", first.alias("prediction"), F.array(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")), wrapped).alias("golds"))
+    """A text's first line is the prediction; all after it, and the line with an article or the text's last one, are golds."""
+    first, rest = first_and_rest()
+    wrapped = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("The "), first, F.lit(" !"))).otherwise(F.element_at(F.split("text", "\n"), -1))
+    return table(spark, sf_dir, "documents").select("doc_id", first.alias("prediction"), F.array(rest, wrapped).alias("golds"))
 
 
 def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def url_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
-    context = F.when(F.col("doc_id") % 4 == 0, F.lit([]).cast("array<string>")).otherwise(F.slice(lines, 2, 3))
+    context = F.when(F.col("doc_id") % 4 == 0, F.lit([]).cast("array<string>")).otherwise(F.slice(lines, F.lit(2), F.size(lines)))
     built = T.prompt(T.with_choices(F.element_at(lines, 1), F.array(F.col("lang"), F.col("source"))), context)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(built.cast("binary")).alias("prompt_md5"), T.last_capitalized(F.transform(context, lambda c: F.regexp_replace(c, "[^ -~]", "#"))).alias("guess"))
 
@@ -90,8 +90,8 @@ def hashed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (text_tokens, keyword_queries, normalized_answers, answer_metrics, metrics_summary, range_metrics, text_chunks, validation_split, url_fields, question_prompts, hashed_words)}
 
-_PRED = """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-p AS (SELECT doc_id, l[1] AS prediction, [coalesce(l[2], ''), CASE WHEN doc_id % 3 = 0 THEN 'The ' || l[1] || ' !' ELSE l[-1] END] AS golds FROM l),
+_PRED = """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l, {lines} FROM documents),
+p AS (SELECT doc_id, first AS prediction, [rest, CASE WHEN doc_id % 3 = 0 THEN 'The ' || first || ' !' ELSE l[-1] END] AS golds FROM l),
 t AS (SELECT doc_id, string_split({p}, ' ') AS p0, {p} AS pn, string_split({a}, ' ') AS a0, {a} AS an, string_split({b}, ' ') AS b0, {b} AS bn FROM p),
 u AS (SELECT doc_id, pn, an, bn, list_filter(p0, lambda x: x <> '') AS p, list_filter(a0, lambda x: x <> '') AS a, list_filter(b0, lambda x: x <> '') AS b FROM t),
 c AS (SELECT doc_id, pn, an, bn, len(p)::DOUBLE AS np, len(a)::DOUBLE AS na, len(b)::DOUBLE AS nb,
@@ -101,6 +101,7 @@ f AS (SELECT doc_id, (pn = an OR pn = bn)::INT::DOUBLE AS em,
  CASE WHEN np = 0 OR na = 0 THEN (np = na)::INT::DOUBLE WHEN ca = 0 THEN 0e0 ELSE 2e0 * (ca / np) * (ca / na) / (ca / np + ca / na) END AS fa,
  CASE WHEN np = 0 OR nb = 0 THEN (np = nb)::INT::DOUBLE WHEN cb = 0 THEN 0e0 ELSE 2e0 * (cb / np) * (cb / nb) / (cb / np + cb / nb) END AS fb FROM c),
 m AS (SELECT doc_id, em, round(greatest(fa, fb), 6) AS f1 FROM f) """
+_PRED = _PRED.replace("{lines}", sql_first_and_rest("first", "rest"))
 for _key, _expr in (("{p}", "prediction"), ("{a}", "golds[1]"), ("{b}", "golds[2]")):
     _PRED = _PRED.replace(_key, sql_normalized(_expr))
 
@@ -137,7 +138,7 @@ SELECT page_id, left(trim(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '_'),
  CASE WHEN regexp_matches(path, '\.jpe?g$') THEN '.jpg' WHEN path LIKE '%.png' THEN '.png' WHEN path LIKE '%.webp' THEN '.webp' WHEN contains(kind, 'png') THEN '.png' WHEN contains(kind, 'webp') THEN '.webp' ELSE '.jpg' END AS suffix,
  fn AS file_name, 'Q' || page_id AS entity, label, CASE WHEN length(flat) <= 80 THEN flat ELSE left(flat, 79) || '…' END AS shown FROM z""",
     "question_prompts": r"""WITH l AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents),
-c AS (SELECT doc_id, l[1] || chr(10) || 'Choices: A. ' || lang || '; B. ' || source AS q, CASE WHEN doc_id % 4 = 0 THEN [] ELSE l[2:4] END AS c FROM l),
+c AS (SELECT doc_id, l[1] || chr(10) || 'Choices: A. ' || lang || '; B. ' || source AS q, CASE WHEN doc_id % 4 = 0 THEN [] ELSE l[2:] END AS c FROM l),
 n AS (SELECT *, list_transform(c, lambda x, i: '[' || i || '] ' || x) AS lines, list_filter(list_transform(c, lambda x: regexp_extract_all(regexp_replace(x, '[^ -~]', '#', 'g'), '\b([A-Z][a-zA-Z]+)\b', 1)), lambda w: len(w) > 0) AS caps FROM c)
 SELECT doc_id, md5(CASE WHEN len(c) > 0 THEN 'Context:' || chr(10) || array_to_string(lines, chr(10)) || chr(10) || chr(10) || 'Question: ' || q || chr(10) || 'Answer:' ELSE q END) AS prompt_md5,
  CASE WHEN len(caps) > 0 THEN caps[1][-1] ELSE 'unknown' END AS guess FROM n""",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Python's string.punctuation, for DuckDB's translate.
 PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -22,6 +23,18 @@ def sql_content(text: str) -> str:
     return f"list_distinct(list_filter(regexp_extract_all(lower({text}), '[a-z0-9'']+'), lambda t: not list_contains({STOP_ALL}, t)))"
 
 
+def first_and_rest(text: str = "text") -> tuple[Column, Column]:
+    """A text's first line, and all after it."""
+    parts = F.split(F.coalesce(text, F.lit("")), "\n", 2)
+    return F.element_at(parts, 1), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
+
+
+def sql_first_and_rest(first: str, rest: str) -> str:
+    """The same as columns of these names."""
+    at = "strpos(coalesce(text, ''), chr(10))"
+    return f"CASE WHEN {at} > 0 THEN left(text, {at} - 1) ELSE coalesce(text, '') END AS {first}, CASE WHEN {at} > 0 THEN substr(text, {at} + 1) ELSE '' END AS {rest}"
+
+
 def sql_normalized(text: str) -> str:
     """Deletion of punctuation, then of article words: the ASCII word borders of DuckDB's engine would differ."""
     bare = f"translate(lower({text}), '{PUNCTUATION}', '')"

@@ -23,7 +23,7 @@ def conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("traj_id"),
         F.concat(F.lit("q"), (F.col("conv_id") % 20).cast("string")).alias("query_id"),
-        "question", "step_index", "action_type", F.left("text", F.lit(60)).alias("action_input"),
+        "question", "step_index", "action_type", F.col("text").alias("action_input"),
         (F.col("conv_id") % 3 > 0).cast("double").alias("outcome"), evidence.alias("evidence"), "conv_id",
     )
 
@@ -188,7 +188,7 @@ QUERIES = {
 
 _STEPS = """conv AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) - 1 AS m FROM conversations),
 steps AS (SELECT conv_id, 'c' || conv_id AS traj_id, 'q' || (conv_id % 20) AS query_id, first_value(text) OVER (PARTITION BY conv_id ORDER BY i) AS question, i::INT AS step_index, role, text,
- CASE WHEN i = m THEN 'answer' WHEN i % 3 = 1 THEN 'image_search' ELSE 'text_search' END AS action_type, left(text, 60) AS action_input, (conv_id % 3 > 0)::INT::DOUBLE AS outcome FROM conv)"""
+ CASE WHEN i = m THEN 'answer' WHEN i % 3 = 1 THEN 'image_search' ELSE 'text_search' END AS action_type, text AS action_input, (conv_id % 3 > 0)::INT::DOUBLE AS outcome FROM conv)"""
 _LABELS = f"""{_STEPS},
 pre AS (SELECT *, string_agg(action_type || '(' || action_input || ')', chr(10)) OVER (PARTITION BY traj_id ORDER BY step_index) AS prefix FROM steps),
 credit AS (SELECT query_id, prefix, avg(outcome) AS outcome_credit, count(*) AS n_traj_through FROM pre GROUP BY 1, 2),

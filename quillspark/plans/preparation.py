@@ -108,7 +108,7 @@ def paired_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scene_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are images, line items the objects of the even ones' scenes, order priorities the questions' programs."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     ident = F.concat(F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lit("-"), F.col("l_partkey").cast("string"))
     obj = F.struct(
         ident.alias("id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("name"), F.array("l_returnflag", F.lit(" "), "l_linestatus").alias("attributes"),
@@ -191,7 +191,7 @@ f AS (SELECT doc_id, arg_min(name, image_id || p) AS name FROM z GROUP BY 1), c
 g AS (SELECT doc_id, string_agg(caption, ' ' ORDER BY at1) AS caps FROM c GROUP BY 1)
 SELECT doc_id, coalesce(nullif(name, ''), doc_id) AS title, 'Entity name: ' || coalesce(nullif(name, ''), doc_id) || '. Wiki caption: ' || caps || ' Wikidata QID: ' || doc_id || '.' AS text FROM f JOIN g USING (doc_id)""",
     "paired_questions": f"""WITH {_IMAGES} SELECT 'kvqa-' || image_id || '-00' AS query_id, 'who?' AS question, c_mktsegment AS golds, 't0' AS type FROM i UNION ALL SELECT 'kvqa-' || image_id || '-01', c_name, c_custkey::VARCHAR, NULL FROM i""",
-    "scene_documents": """WITH o0 AS (SELECT l_orderkey AS k, lpad(l_linenumber::VARCHAR, 2, '0') || '-' || l_partkey AS id, 'part ' || l_partkey AS name, l_partkey, min([l_returnflag, l_linestatus]) AS att FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2, 3, 4),
+    "scene_documents": """WITH o0 AS (SELECT l_orderkey AS k, lpad(l_linenumber::VARCHAR, 2, '0') || '-' || l_partkey AS id, 'part ' || l_partkey AS name, l_partkey, min([l_returnflag, l_linestatus]) AS att FROM lineitem GROUP BY 1, 2, 3, 4),
 o1 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM o0), ob AS (SELECT * FROM o1 WHERE n <= 80),
 p AS (SELECT k, string_agg(name || ' with attributes ' || att[1] || ', ' || att[2] || '.', ' ' ORDER BY id) AS plain FROM ob GROUP BY 1),
 t AS (SELECT a.k, string_agg(a.name || ' left of ' || coalesce(b.name, '01-' || a.l_partkey) || '.', ' ' ORDER BY a.id) AS ties FROM ob a LEFT JOIN ob b ON a.k = b.k AND b.id = '01-' || a.l_partkey GROUP BY 1),

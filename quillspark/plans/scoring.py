@@ -1,4 +1,4 @@
-"""Reward, support and search-score queries over lines of documents, labels, events and line items."""
+"""Reward, support and search-score queries over documents, labels, events and line items."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from .common import sql_content, table
+from .common import first_and_rest, sql_content, sql_first_and_rest, table
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = F.split("text", "\n")  # noqa: E741
-    nth = lambda i: F.coalesce(F.try_element_at(l, F.lit(i)), F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", nth(1).alias("a"), nth(2).alias("b"), nth(3).alias("c"))
+    """a: a text's first line, b: all after it, c: its source and language."""
+    first, rest = first_and_rest()
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", first.alias("a"), rest.alias("b"), F.concat_ws(" ", "source", "lang").alias("c"))
 
 
 def lexical_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def lexical_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_groundings(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda kind, title, text: F.struct(F.lit(kind).alias("source_action"), title.alias("title"), F.col(text).alias("text"), F.lit(None).cast("string").alias("image_path"))
-    evidence = F.array(one("text_search", F.lit(""), "b"), one("image_search", F.lit("x"), "a"), one("text_search", F.left("a", F.lit(20)), "c"))
+    evidence = F.array(one("text_search", F.lit(""), "b"), one("image_search", F.lit("x"), "a"), one("text_search", F.col("a"), "c"))
     kind = F.when(F.col("doc_id") % 4 == 0, "answer").otherwise("text_search")
     return _lines(spark, sf_dir).select("doc_id", F.round(S.state_grounding(kind, F.col("a"), evidence), 6).alias("grounding"))
 
@@ -44,7 +44,7 @@ def judged_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.left(F.col("b"), F.lit(60)))
+    answer = F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.col("b"))
     return _lines(spark, sf_dir).select("doc_id", F.round(S.overlap_score(F.array("a", "c"), answer), 6).alias("score"))
 
 
@@ -93,14 +93,14 @@ def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (lexical_grounding, state_groundings, answer_supports, judged_supports, overlap_scores, fused_scores, synthetic_scores, uct_selection, crop_boxes)}
 
-_L = "WITH l AS (SELECT doc_id, n_chars, string_split(text, chr(10)) AS l FROM documents), t AS (SELECT doc_id, n_chars, coalesce(l[1], '') AS a, coalesce(l[2], '') AS b, coalesce(l[3], '') AS c FROM l)"
+_L = f"WITH t AS (SELECT doc_id, n_chars, {sql_first_and_rest('a', 'b')}, concat_ws(' ', source, lang) AS c FROM documents)"
 ORACLE_SQL = {
     "lexical_grounding": _L
     + f""", w AS (SELECT doc_id, b, c, {sql_content("a")} AS qa, {sql_content("b")} AS wb, {sql_content("c")} AS wc FROM t),
 s AS (SELECT doc_id, CASE WHEN len(qa) = 0 OR (b = '' AND c = '') THEN 0e0 ELSE greatest(len(list_intersect(qa, wb)), len(list_intersect(qa, wc)))::DOUBLE / len(qa) END AS r FROM w)
 SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN round(greatest(r, CASE WHEN doc_id % 4 = 0 THEN 0.5e0 ELSE 0e0 END), 6) END AS grounding FROM s""",
     "state_groundings": _L
-    + f""", u AS (SELECT doc_id, b, c, left(a, 20) AS h, CASE WHEN left(a, 20) = '' THEN c ELSE left(a, 20) || ': ' || c END AS hc, a FROM t),
+    + f""", u AS (SELECT doc_id, b, c, a AS h, CASE WHEN a = '' THEN c ELSE a || ': ' || c END AS hc, a FROM t),
 w AS (SELECT doc_id, b, hc, {sql_content("a")} AS qa, {sql_content("b")} AS wb, {sql_content("hc")} AS wc FROM u)
 SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN CASE WHEN len(qa) = 0 OR (b = '' AND hc = '') THEN 0e0 ELSE round(greatest(len(list_intersect(qa, wb)), len(list_intersect(qa, wc)))::DOUBLE / len(qa), 6) END END AS grounding FROM w""",
     "answer_supports": _L
@@ -113,7 +113,7 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no_evidence' WHEN lower(trim(ans))
     "judged_supports": """SELECT doc_id, ['supported','unsupported','partial','not_required','not_required','unparseable','unparseable'][doc_id % 7 + 1] AS label,
  [1e0, 0e0, 0.5e0, NULL, NULL, NULL, NULL][doc_id % 7 + 1] AS support FROM documents""",
     "overlap_scores": _L
-    + """, x AS (SELECT doc_id, lower(a || ' ' || c) AS o, list_filter(regexp_split_to_array(lower(CASE WHEN doc_id % 9 = 0 THEN '' ELSE left(b, 60) END), '\\s+'), lambda t: t <> '') AS w FROM t)
+    + """, x AS (SELECT doc_id, lower(a || ' ' || c) AS o, list_filter(regexp_split_to_array(lower(CASE WHEN doc_id % 9 = 0 THEN '' ELSE b END), '\\s+'), lambda t: t <> '') AS w FROM t)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN 0e0 ELSE round(least(1e0, CASE WHEN trim(o) <> '' THEN 0.2e0 ELSE 0e0 END + 0.8e0 * len(list_filter(w, lambda t: contains(o, t)))::DOUBLE / len(w)), 6) END AS score FROM x""",
     "fused_scores": """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN least(1e0, greatest(0e0, ((n_chars % 1000) / 1000e0 - 0.5e0) / 0.4e0)) END AS lo, quality::DOUBLE AS o,
  CASE WHEN doc_id % 3 <> 0 THEN (n_chars % 11) / 10e0 END AS s, CASE WHEN doc_id % 2 = 0 THEN 'answer' ELSE 'text_search' END AS k, n_chars FROM documents JOIN labels USING (doc_id))

@@ -9,14 +9,14 @@ from ..functions.text import keyword_query
 from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..operators import search as M
-from .common import table
+from .common import first_and_rest, sql_first_and_rest, table
 from .labelling import conversation_steps, event_steps
 
 
 def tree_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = event_steps(spark, sf_dir)
     leaves = steps.groupBy("query_id", "traj_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "action_type"))).alias("s"), F.max("outcome").alias("reward"))
-    leaves = leaves.select("query_id", "reward", F.slice(F.transform("s", lambda s: s["action_type"]), 1, 4).alias("path"))
+    leaves = leaves.select("query_id", "reward", F.transform("s", lambda s: s["action_type"]).alias("path"))
     n = M.backed_up(leaves)
     return n.select("query_id", F.array_join("path", ">").alias("path"), "visits", F.round("total", 6).alias("total"), F.round("q", 6).alias("q"))
 
@@ -63,7 +63,7 @@ def distinct_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("question"), "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"), "source")
     k = F.col("doc_id") % 4
     direct = M.action("text_search", F.col("question"))
     taken = F.when(k == 1, F.array(direct)).when(k == 2, F.array(direct, M.action("image_search"))).when(k == 3, F.array(direct, M.action("text_search", keyword_query(F.col("question"))), M.action("image_search")))
@@ -152,9 +152,9 @@ def gold_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union, intersection, difference, multiset overlap and ordered distinct of the words of a document's first two lines."""
-    line = lambda i: F.split(F.lower(F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(i)), F.lit(""))), " ")
-    d = table(spark, sf_dir, "documents").select("doc_id", line(1).alias("a"), line(2).alias("b"))
+    """Union, intersection, difference, multiset overlap and ordered distinct of the words of a document's first line and of the rest."""
+    first, rest = (F.split(F.lower(c), " ") for c in first_and_rest())
+    d = table(spark, sf_dir, "documents").select("doc_id", first.alias("a"), rest.alias("b"))
     n = lambda c, name: F.size(c).cast("long").alias(name)
     return d.select(
         "doc_id", n(F.array_union("a", "b"), "n_union"), n(F.array_intersect("a", "b"), "n_both"), n(F.array_except("a", "b"), "n_only"),
@@ -179,7 +179,7 @@ _KIDS = """k AS (SELECT o_custkey AS parent, o_orderpriority AS child, count(*)
  left(o_orderpriority, 1)::INT AS position, length(o_orderpriority) / 20e0 AS prior FROM orders GROUP BY 1, 2)"""
 _ROLL = """r AS (SELECT l_suppkey AS query_id, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1)::INT AS t, round(l_discount * 10, 3) AS reward,
  concat_ws(',', l_returnflag, l_linestatus, l_linenumber::VARCHAR) AS actions FROM lineitem)"""
-_STATES = """kw AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS q FROM documents),
+_STATES = """kw AS (SELECT doc_id, source, text AS q FROM documents),
 st AS (SELECT doc_id, source, q, array_to_string(list_filter(regexp_extract_all(q, '[A-Za-z0-9'']+'), lambda t: not list_contains(['a','an','the','in','on','at','of','to','is','are','was','were','which','what','who','whom','whose','where','when','how','name','can','be','found','located','does','do','did'], lower(t))), ' ') AS w,
  doc_id % 3 <> 0 AS img, doc_id % 4 > 0 AS ev, doc_id % 4 AS k FROM kw),
 ca AS (SELECT *, list_filter([CASE WHEN k = 0 THEN {'t': 'text_search', 'v': q} END, CASE WHEN w <> '' AND w <> q AND k <> 3 THEN {'t': 'text_search', 'v': w} END, CASE WHEN img AND k < 2 THEN {'t': 'image_search', 'v': ''} END], lambda x: x IS NOT NULL) AS c FROM st)"""
@@ -194,8 +194,8 @@ _USE = "(SELECT unnest(CASE l_returnflag WHEN 'A' THEN ['text_search', 'answer']
 _CONV = """c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) - 1 AS m FROM conversations),
 s AS (SELECT conv_id, CASE WHEN i = m THEN 'answer' WHEN i % 3 = 1 THEN 'image_search' ELSE 'text_search' END AS a FROM c)"""
 ORACLE_SQL = {
-    "tree_backup": """WITH t AS (SELECT strftime(ts, '%Y-%m-%d') AS q, user_id, list(event_type ORDER BY ts, event_id)[1:4] AS p, max((event_type = 'purchase')::INT::DOUBLE) AS r FROM events GROUP BY 1, 2),
-u AS (SELECT q, r, p[1:n] AS p FROM t, unnest(range(0, 5)) AS x(n) WHERE n <= len(p))
+    "tree_backup": """WITH t AS (SELECT strftime(ts, '%Y-%m-%d') AS q, user_id, list(event_type ORDER BY ts, event_id) AS p, max((event_type = 'purchase')::INT::DOUBLE) AS r FROM events GROUP BY 1, 2),
+u AS (SELECT q, r, p[1:n] AS p FROM t, unnest(range(0, len(p) + 1)) AS x(n))
 SELECT q AS query_id, array_to_string(p, '>') AS path, count(*) AS visits, round(sum(r), 6) AS total, round(sum(r) / count(*), 6) AS q FROM u GROUP BY u.q, u.p""",
     "best_children": f"""WITH {_KIDS}, u AS (SELECT *, CASE WHEN visits > 0 THEN total / visits ELSE prior END AS q, sum(visits) OVER (PARTITION BY parent) AS pv FROM k),
 s AS (SELECT *, CASE WHEN visits = 0 THEN 1e6 + q ELSE q + sqrt(ln(greatest(pv, 1)::DOUBLE) / visits) END AS uct FROM u)
@@ -220,7 +220,7 @@ SELECT count(*) AS seeds, round(avg(a), 6) AS accuracy, round(coalesce(stddev_sa
     "usage_counts": f"WITH {_CONV} SELECT a AS action_type, count(*) AS n FROM s GROUP BY 1",
     "gold_hints": """WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' ELSE '?' END AS question FROM customer),
 h AS (SELECT o_orderpriority AS question, max(o_orderkey)::VARCHAR AS hint FROM orders GROUP BY 1) SELECT c_custkey, question, hint FROM c LEFT JOIN h USING (question)""",
-    "token_sets": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), t AS (SELECT doc_id, string_split(lower(coalesce(l[1], '')), ' ') AS a, string_split(lower(coalesce(l[2], '')), ' ') AS b FROM l)
+    "token_sets": """WITH l AS (SELECT doc_id, """ + sql_first_and_rest("x", "y") + """ FROM documents), t AS (SELECT doc_id, string_split(lower(x), ' ') AS a, string_split(lower(y), ' ') AS b FROM l)
 SELECT doc_id, len(list_distinct(list_concat(a, b)))::BIGINT AS n_union, len(list_intersect(a, b))::BIGINT AS n_both, len(list_filter(list_distinct(a), lambda x: not list_contains(b, x)))::BIGINT AS n_only,
  coalesce(list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))), 0)::BIGINT AS n_overlap,
  md5(array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ' ')) AS ordered_md5 FROM t""",

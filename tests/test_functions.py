@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,8 +119,11 @@ def test_overlap_is_by_substring(spark):
 
 
 def test_stand_ins(spark):
-    v = models.hashed_encoder(["red car", ""])
-    assert v.shape == (2, 32) and v[0, 4] == 2 and v[0, 8:].sum() == 2 and not v[1].any()
+    v = value(spark, models.word_vector(F.lit("Red, red purple car")))
+    assert len(v) == 32 and v[4] == 4 and v[5] == 2 and sum(v[8:]) == 4 and not any(value(spark, models.word_vector(F.lit(None).cast("string"))))
+    assert v[8 + zlib.crc32(b"car") % 24] >= 1
+    pixels = F.array(*[F.array(*map(F.lit, p)) for p in [(220, 30, 30), (255, 255, 255), (255, 250, 240), (150, 30, 200), (128, 127, 0)]])
+    assert value(spark, models.image_vector(pixels)) == [0, 0, 0, 0, 2, 1, 0, 0.3] + [0] * 24
     df = models.encoded(spark.createDataFrame([(1, "blue"), (2, None)], "i int, t string"), "t")
     rows = {r["i"]: r["embedding"] for r in df.collect()}
     assert sum(x * x for x in rows[1]) == pytest.approx(1) and not any(rows[2])
