@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType
 
 from ..functions.text import tokens
+from ..storage import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Queries that one pass over the units serves; more make further passes.
+#: Queries of a block, which a task holds.
 QUERY_BLOCK = 4096
-#: (query, token) pairs that are broadcast, at most; more are joined by a shuffle on the token.
+#: (query, token) pairs that are broadcast, at most; more are left to a join by shuffle on the token, which splits hot tokens.
 BROADCAST_TERMS = 500_000
 
 
@@ -32,14 +34,10 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def corpus_statistics(docs: DataFrame) -> DataFrame:
-    """One row: documents n, mean length avgdl, vocabulary size, mean idf. Reads doc_id and ``terms``."""
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms").cast("double")).alias("avgdl"))
-    df = docs.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    # the frequencies are few: idf is taken once for each
-    by_df = df.groupBy("df").agg(F.count("*").alias("c")).crossJoin(F.broadcast(size.select("n")))
-    idf = F.ln(F.col("n") - F.col("df") + F.lit(0.5)) - F.ln(F.col("df") + F.lit(0.5))
-    vocabulary = by_df.agg(F.sum("c").alias("vocabulary"), (F.sum(idf * F.col("c")) / F.sum("c")).alias("mean_idf"))
-    return size.crossJoin(F.broadcast(vocabulary))
+    """One row: documents n, mean length avgdl, vocabulary size, mean idf."""
+    index = bm25_index(docs)
+    size = index.frequencies.agg(F.count("*").alias("vocabulary"))
+    return size.select(F.lit(index.n).cast("long").alias("n"), F.lit(index.avgdl).alias("avgdl"), "vocabulary", F.when(F.col("vocabulary") > 0, F.lit(index.mean_idf)).alias("mean_idf"))
 
 
 def with_terms(docs: DataFrame) -> DataFrame:
@@ -48,37 +46,60 @@ def with_terms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tokens(F.concat(title, F.lit(" "), F.coalesce("text", F.lit("")))).alias("terms"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, also: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Bm25Index:
+    """Postings (doc_id, dl, t, tf; those of a document lie together), document frequencies (t, df), and the corpus's numbers."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    n: int
+    avgdl: float
+    mean_idf: float
+
+
+def _idf(n: int) -> Column:
+    return F.ln(F.lit(float(n)) - F.col("df") + F.lit(0.5)) - F.ln(F.col("df") + F.lit(0.5))
+
+
+def bm25_index(docs: DataFrame) -> Bm25Index:
+    """Reads and tokenizes the documents once; what queries need is written to the shared folder."""
+    terms = with_terms(docs).repartition("doc_id")
+    postings = terms.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("t")).groupBy("doc_id", "dl", "t").agg(F.count("*").cast("int").alias("tf"))
+    postings = materialize(postings, "postings")
+    frequencies = materialize(postings.groupBy("t").agg(F.count("*").alias("df")), "frequencies")
+    n = docs.select("doc_id").count()
+    total = postings.agg(F.sum("tf").alias("s")).first()["s"] or 0
+    mean = frequencies.agg(F.avg(_idf(n)).alias("m")).first()["m"]
+    return Bm25Index(postings, frequencies, n, total / n if n else 0.0, mean or 0.0)
+
+
+def bm25(index: Bm25Index, queries: DataFrame, also: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score of all pairs that share a token, and of the pairs ``also`` (query_id, doc_id).
 
     Okapi BM25; an idf below 0 is replaced by EPSILON times the mean idf of the vocabulary. A token that a query repeats
-    counts each time. Only postings of tokens that queries ask for are shuffled.
+    counts each time. Postings of tokens that queries ask for are summed by document where they lie, then shuffled.
     """
-    corpus = with_terms(docs)
-    stats = corpus_statistics(corpus).select("n", "avgdl", "mean_idf")  # one row
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("times"))
-    wanted = asked.select("t").distinct()
-    postings = corpus.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("t")).join(wanted, "t", "left_semi").groupBy("t", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("t").agg(F.count("*").alias("df"))
-    raw = F.ln(F.col("n") - F.col("df") + F.lit(0.5)) - F.ln(F.col("df") + F.lit(0.5))
-    idf = df.crossJoin(F.broadcast(stats)).select("t", "avgdl", F.when(raw < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(raw).alias("idf"))
-    terms = asked.join(idf, "t")
-    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        # postings dealt by document: the sums per query and document then need no further shuffle
-        terms, postings = F.broadcast(terms), postings.repartition("doc_id")
-    part = F.col("times") * F.col("idf") * (F.col("tf") * F.lit(K1 + 1)) / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    parts = postings.join(terms, "t").select("query_id", "doc_id", part.alias("part"))
+    raw = _idf(index.n)
+    idf = index.frequencies.select("t", F.when(raw < 0, F.lit(EPSILON * index.mean_idf)).otherwise(raw).alias("idf"))
+    terms = materialize(asked.join(idf, "t").select("query_id", "t", (F.col("times") * F.col("idf")).alias("weight")), "terms")
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    saturated = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(index.avgdl)))
+    parts = index.postings.join(terms, "t").select("query_id", "doc_id", (F.col("weight") * saturated).alias("part"))
     if also is not None:
         parts = parts.unionByName(also.select("query_id", "doc_id", F.lit(0.0).alias("part")))
     return parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6, index: Bm25Index | None = None) -> DataFrame:
     """query_id, rank, doc_id, score: the k best, ties in corpus order (doc_id); where fewer than k documents score, the
-    first others of the corpus with score 0."""
-    first = docs.select("doc_id").orderBy("doc_id").limit(k)
-    also = queries.select("query_id").crossJoin(F.broadcast(first))
-    return ranked(bm25(docs, queries, also).withColumn("score", F.round("score", digits)), k)
+    first others of the corpus with score 0. An empty corpus finds nothing."""
+    first = [r["doc_id"] for r in docs.select("doc_id").orderBy("doc_id").limit(k).collect()]  # k at most
+    kind = docs.schema["doc_id"].dataType
+    also = queries.select("query_id", F.explode(F.array(*[F.lit(d) for d in first]).cast(ArrayType(kind))).alias("doc_id"))
+    scores = bm25(index or bm25_index(docs), queries, also)
+    return ranked(scores.withColumn("score", F.round("score", digits)), k)
 
 
 def ranked(hits: DataFrame, k: int, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -91,6 +112,12 @@ def _unit_rows(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def usable(vector: Column) -> Column:
+    """Vectors that have a direction: not null, no null or non-finite component, not empty."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: finite(x.cast("double"))), F.lit(False))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
@@ -99,56 +126,61 @@ def vector_top_k(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     """query_id, rank, unit, score (and the dedupe key): cosine top k over all units.
 
     ``dedupe`` names a column of which each value may appear once, with its best unit. Scores are rounded before they are
-    ranked; ties by id. Each batch of units is multiplied with a block of queries and hands on its own top k only.
+    ranked; ties by id. Vectors that are null, empty, or hold null or non-finite components take no part, nor do queries
+    and units of different lengths meet. Queries and units are dealt into blocks; each pair of blocks is multiplied once,
+    in batches, and hands on each query's own top k only.
     """
     cols = [id_col, *([dedupe] if dedupe else [])]
     types = [table.schema[c].dataType.simpleString() for c in cols]
     schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", *(f"{c} {t}" for c, t in zip(cols, types)), "score double"])
-    id_type = to_arrow_type(queries.schema["query_id"].dataType)
-    parts = []
-    block: list = []
-    ask = queries.select("query_id", "embedding")
-
-    def search(names, q):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
+    ask = queries.where(usable(F.col("embedding"))).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("_dim"))
+    have = table.where(usable(F.col("embedding"))).select(*cols, F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("_dim"))
+    asked = ask.count()
+    query_blocks, unit_blocks = max(1, -(-asked // QUERY_BLOCK)), max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, -(-asked // QUERY_BLOCK)))
+    ask = ask.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(unit_blocks - 1))))
+    have = have.withColumn("_u", F.pmod(F.xxhash64(id_col), F.lit(unit_blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    both = ask.select("_q", "_u", "_dim", F.lit(0).alias("_unit"), "query_id", *map(none, cols, types), "embedding").unionAll(
+        have.select("_q", "_u", "_dim", F.lit(1).alias("_unit"), none("query_id", queries.schema["query_id"].dataType), *cols, "embedding")
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by block pair, length, queries first."""
+        key, held, names, q = None, [], None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy() for c in ("_q", "_u", "_dim", "_unit")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+                part = b.slice(lo, hi - lo)
+                if tuple(keys[:3, lo]) != key:
+                    key, held, names, q = tuple(keys[:3, lo]), [], None, None
+                if not keys[3, lo]:
+                    held.append(part)
+                    continue
+                if not held:
                     continue
-                ids = b.column(id_col).to_numpy(zero_copy_only=False)
-                keys = b.column(dedupe).to_numpy(zero_copy_only=False) if dedupe else ids
-                order = np.argsort(ids, kind="stable")
-                scores = np.round(_unit_rows(_matrix(b.column("embedding")))[order] @ q.T, digits)
-                rows, cols_ = [], []
-                for j in range(scores.shape[1]):
-                    best = np.argsort(-scores[:, j], kind="stable")
-                    if dedupe:
-                        best = best[np.sort(np.unique(keys[order][best], return_index=True)[1])]
-                    rows.append(order[best[:k]])
-                    cols_.append(np.full(len(rows[-1]), j))
-                row, col = np.concatenate(rows), np.concatenate(cols_)
-                back = np.empty_like(order)
-                back[order] = np.arange(len(order))
-                yield pa.RecordBatch.from_arrays([pa.array(names, id_type).take(pa.array(col)), *(b.column(c).take(pa.array(row)) for c in cols), pa.array(scores[back[row], col])], names=["query_id", *cols, "score"])
-
-        return run
-
-    def flush():
-        names = [r[0] for r in block]
-        q = _unit_rows(np.array([r[1] for r in block], dtype=float))
-        parts.append(table.select(*cols, "embedding").mapInArrow(search(names, q), schema))
-        block.clear()
-
-    for r in ask.toLocalIterator():  # one block at a time
-        block.append((r[0], r[1]))
-        if len(block) == QUERY_BLOCK:
-            flush()
-    if block or not parts:
-        if not block:
-            return table.sparkSession.createDataFrame([], schema + ", rank int")
-        flush()
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+                if q is None:
+                    names = pa.concat_arrays([h.column("query_id") for h in held])
+                    q = _unit_rows(np.concatenate([_matrix(h.column("embedding")) for h in held]))
+                yield best(part, names, q)
+
+    def best(b: pa.RecordBatch, names: pa.Array, q: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(b.column(id_col).to_numpy(zero_copy_only=False), kind="stable")
+        keys = b.column(dedupe).to_numpy(zero_copy_only=False)[order] if dedupe else None
+        scores = np.round(_unit_rows(_matrix(b.column("embedding")))[order] @ q.T, digits)
+        rows, of = [], []
+        for j in range(scores.shape[1]):
+            top = np.argsort(-scores[:, j], kind="stable")
+            if dedupe:
+                top = top[np.sort(np.unique(keys[top], return_index=True)[1])]
+            rows.append(top[:k])
+            of.append(np.full(len(rows[-1]), j))
+        row, col = np.concatenate(rows), np.concatenate(of)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(col)), *(b.column(c).take(pa.array(order[row])) for c in cols), pa.array(scores[row, col])], names=["query_id", *cols, "score"])
+
+    hits = both.repartition("_q", "_u").sortWithinPartitions("_q", "_u", "_dim", "_unit").mapInArrow(search, schema)
     if dedupe:
         first = Window.partitionBy("query_id", dedupe).orderBy(F.col("score").desc(), id_col)
         hits = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")

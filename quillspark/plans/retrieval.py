@@ -29,7 +29,7 @@ def bm25_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = R.corpus_statistics(R.with_terms(_corpus(spark, sf_dir)))
+    s = R.corpus_statistics(_corpus(spark, sf_dir))
     return s.select("n", F.round("avgdl", 6).alias("avgdl"), "vocabulary", F.round("mean_idf", 6).alias("mean_idf"))
 
 

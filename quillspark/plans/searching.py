@@ -101,8 +101,10 @@ def searches(spark: SparkSession, sf_dir: str, config: M.SearchConfig = M.Search
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     words = q.withColumn("words", keyword_query(F.col("question")))
     has = (F.col("words") != "") & (F.col("words") != F.col("question"))
-    top = lambda asked, name: R.bm25_top_k(docs, asked, 3).withColumn("action", F.lit(name))
-    hits = top(q, "direct").unionByName(top(words.where(has).select("query_id", F.col("words").alias("question")), "keywords"))
+    # both forms of a question are asked in one pass
+    form = lambda name, question: [F.struct(F.col("query_id"), F.lit(name).alias("action")).alias("query_id"), F.col(question).alias("question")]
+    asked = q.select(*form("direct", "question")).unionByName(words.where(has).select(*form("keywords", "words")))
+    hits = R.bm25_top_k(docs, asked, 3).select("query_id.query_id", "query_id.action", "rank", "doc_id")
     hits = hits.join(docs, "doc_id").select("query_id", "action", "rank", "title", "text")
     queries = words.select("query_id", "question", F.lit(False).alias("has_image"), has.alias("keywords"))
     return M.tree_search(queries, hits, config)
