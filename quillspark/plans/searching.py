@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_query
@@ -83,7 +83,7 @@ def gated_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _states(spark, sf_dir)
     a = M.heuristic_actions(F.col("question"), F.col("has_image"), F.col("has_evidence"), F.col("taken"), F.col("source"), 6)
     types = lambda b, mode: F.array_join(F.transform(M.gated_actions(a, F.concat(F.lit("Identify "), F.col("question")), F.col("has_image"), F.col("has_evidence"), 4, b, mode, 3), lambda x: x["type"]), ",")
-    return s.select("doc_id", types("infoseek", "heuristic").alias("infoseek"), types("science-qa", "strict").alias("scienceqa"), types("", "dataset").alias("plain"))
+    return s.select("doc_id", types("infoseek", "heuristic").alias("infoseek"), types("science-qa", "strict").alias("scienceqa"), types("", "dataset").alias("plain"), types("scienceqa", "off").alias("off"))
 
 
 def policy_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,44 @@ def policy_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.array_join(F.transform(a, lambda x: x["type"]), ",").alias("types"), _shown(a).alias("actions"))
 
 
+def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with regions, and with a text search for the text's first line, which must be the question or its source word for word."""
+    first, _ = first_and_rest()
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", first.alias("line"))
+    region = F.when(F.col("doc_id") % 3 == 0, F.lit(', "region": [0.25, 0.5, 0.75, 1]')).when(F.col("doc_id") % 3 == 1, F.lit(', "region": []')).otherwise("")
+    asked = F.when(F.col("doc_id") % 2 == 0, F.col("line")).otherwise(F.concat(F.lit("  "), F.col("source"), F.lit(" ")))
+    line = F.to_json(F.struct(F.lit("text_search").alias("type"), asked.alias("query")))
+    reply = F.concat(F.lit("```\n"), line, F.lit('\n{"type": "image_search"'), region, F.lit("}\n```"))
+    a = M.parsed_actions(reply, F.col("doc_id") % 5 != 0, lambda q: M.frozen_query(q, F.col("text"), F.array("source")))
+    shown = lambda x: F.concat_ws(":", x["type"], F.md5(x["query"].cast("binary")), F.array_join(F.transform(x["region"], lambda v: F.format_number(v, 2)), "/"))
+    return d.select("doc_id", F.array_join(F.transform(a, shown), ",").alias("actions"))
+
+
+def search_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are rollouts of their customers' searches, nations and regions what these find."""
+    c = table(spark, sf_dir, "customer")
+    one = lambda name, kind, query, region: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), query.cast("string").alias("query"), F.lit(None).cast("string").alias("image_path"), region.cast("array<double>").alias("region"))
+    none = F.lit(None)
+    queries = c.select(
+        F.col("c_custkey").alias("query_id"), F.col("c_name").alias("question"), F.concat(F.lit("img/"), F.col("c_custkey").cast("string")).alias("image_path"), F.array("c_mktsegment").alias("gold_answers"),
+        F.array(one("direct", "text_search", F.col("c_name"), none), one("image", "image_search", none, F.when(F.col("c_custkey") % 2 == 0, F.array(*map(F.lit, (0.0, 0.25, 1.0, 0.5)))))).alias("searches"),
+    )
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    found = F.when(F.col("o_orderstatus") == "F", F.lit("image,direct,answer")).when(F.col("o_orderstatus") == "O", F.lit("direct,answer")).otherwise("answer")
+    answer = F.when(F.col("o_orderkey") % 3 == 0, F.lit("building")).otherwise("The machinery!")
+    rollouts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), place.alias("t"), found.alias("actions"), answer.alias("answer"), F.round("o_totalprice", 2).alias("reward"))
+    hit = lambda name, rank, doc, title, kind: c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("query_id"), F.lit(name).alias("action"), F.lit(rank).alias("rank"), doc.cast("string").alias("doc_id"), title.alias("title"), F.col("c_mktsegment").alias("text"), F.lit(None).cast("string").alias("image_path"), F.lit(0.5).alias("score"), F.lit(kind).alias("modality")
+    )
+    hits = hit("direct", 1, F.col("n_nationkey"), F.col("n_name"), "text").unionByName(hit("direct", 2, F.col("n_regionkey") + 100, F.lit(""), "text")).unionByName(hit("image", 1, F.col("n_nationkey") + 200, F.col("n_name"), "image"))
+    t = M.trajectories(queries, rollouts, hits)
+    text = lambda x: F.coalesce(x, F.lit("-"))
+    seen = lambda s: F.array_join(F.transform(s["evidence"], lambda e: F.concat_ws("/", e["evidence_id"], e["doc_id"], e["title"], e["text"], e["result_modality"])), "+")
+    region = lambda s: text(F.array_join(F.transform(s["region"], lambda v: F.format_number(v, 2)), "/"))
+    steps = F.array_join(F.transform("steps", lambda s: F.concat_ws("|", s["step_index"].cast("string"), s["action_type"], s["action_input"], region(s), text(s["image_path"]), seen(s))), ";")
+    return t.select("traj_id", "question", "image_path", "rollout_t", "gen_reward", "final_answer", "outcome_em", steps.alias("steps"))
+
+
 def searches(spark: SparkSession, sf_dir: str, config: M.SearchConfig = M.SearchConfig()) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), "text")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
@@ -172,7 +210,7 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tree_backup, best_children, most_visited_children, kept_children, stopped_rollouts, best_rollouts, distinct_sequences, heuristic_proposals, gated_proposals, policy_proposals,
+        parsed_replies, search_trajectories, tree_backup, best_children, most_visited_children, kept_children, stopped_rollouts, best_rollouts, distinct_sequences, heuristic_proposals, gated_proposals, policy_proposals,
         tree_search, run_summaries, seed_aggregate, inspected_trajectories, usage_counts, gold_hints, token_sets, seeded_sample,
     )
 }
@@ -196,6 +234,20 @@ _USE = "(SELECT unnest(CASE l_returnflag WHEN 'A' THEN ['text_search', 'answer']
 _CONV = """c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) - 1 AS m FROM conversations),
 s AS (SELECT conv_id, CASE WHEN i = m THEN 'answer' WHEN i % 3 = 1 THEN 'image_search' ELSE 'text_search' END AS a FROM c)"""
 ORACLE_SQL = {
+    "parsed_replies": f"""WITH d AS (SELECT doc_id, text, source, {sql_first_and_rest("line", "rest")} FROM documents), q AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN line ELSE source END AS asked FROM d),
+f AS (SELECT *, CASE WHEN trim(asked, chr(32) || chr(9) || chr(13)) = trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AND asked <> '' THEN text WHEN trim(asked, chr(32) || chr(9) || chr(13)) = source THEN source ELSE text END AS query FROM q)
+SELECT doc_id, concat_ws(',', CASE WHEN asked <> '' THEN 'text_search:' || md5(query) END, CASE WHEN doc_id % 5 <> 0 THEN 'image_search' || CASE WHEN doc_id % 3 = 0 THEN ':0.25/0.50/0.75/1.00' ELSE '' END END) AS actions FROM f""",
+    "search_trajectories": """WITH r AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS t, CASE o_orderstatus WHEN 'F' THEN ['image', 'direct', 'answer'] WHEN 'O' THEN ['direct', 'answer'] ELSE ['answer'] END AS a,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'building' ELSE 'The machinery!' END AS ans, round(o_totalprice, 2) AS reward FROM orders),
+s AS (SELECT k, t, reward, ans, i - 1 AS i, a[i] AS name FROM r, unnest(range(1, len(a) + 1)) AS u(i)),
+c AS (SELECT c_custkey AS k, c_name, c_mktsegment, n_nationkey AS n, n_regionkey AS g, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+h AS (SELECT k, 'direct' AS name, 1 AS rank, n AS doc, n_name AS title, c_mktsegment AS text, 'text' AS m FROM c UNION ALL SELECT k, 'direct', 2, g + 100, '', c_mktsegment, 'text' FROM c UNION ALL SELECT k, 'image', 1, n + 200, n_name, c_mktsegment, 'image' FROM c),
+e AS (SELECT s.k, s.t, s.i, rank, concat_ws('/', 'e' || (row_number() OVER (PARTITION BY s.k, s.t ORDER BY s.i, rank) - 1), doc, title, text, m) AS x FROM s JOIN h USING (k, name)),
+v AS (SELECT k, t, i, string_agg(x, '+' ORDER BY rank) AS x FROM e GROUP BY 1, 2, 3),
+w AS (SELECT s.k, s.t, string_agg(concat_ws('|', s.i, CASE name WHEN 'direct' THEN 'text_search' WHEN 'image' THEN 'image_search' ELSE 'answer' END, CASE name WHEN 'direct' THEN c_name WHEN 'image' THEN 'image_search' ELSE ans END,
+ CASE WHEN name = 'image' AND s.k % 2 = 0 THEN '0.00/0.25/1.00/0.50' ELSE '-' END, CASE WHEN name = 'image' THEN 'img/' || s.k ELSE '-' END, coalesce(x, '')), ';' ORDER BY s.i) AS steps FROM s JOIN c USING (k) LEFT JOIN v ON v.k = s.k AND v.t = s.t AND v.i = s.i GROUP BY 1, 2)
+SELECT r.k || '#t' || r.t AS traj_id, c_name AS question, 'img/' || r.k AS image_path, r.t::INT AS rollout_t, reward AS gen_reward, ans AS final_answer,
+ (lower(c_mktsegment) = CASE WHEN ans = 'building' THEN 'building' ELSE 'machinery' END)::INT::DOUBLE AS outcome_em, steps FROM r JOIN c USING (k) JOIN w ON w.k = r.k AND w.t = r.t""",
     "tree_backup": """WITH t AS (SELECT strftime(ts, '%Y-%m-%d') AS q, user_id, list(event_type ORDER BY ts, event_id) AS p, max((event_type = 'purchase')::INT::DOUBLE) AS r FROM events GROUP BY 1, 2),
 u AS (SELECT q, r, p[1:n] AS p FROM t, unnest(range(0, len(p) + 1)) AS x(n))
 SELECT q AS query_id, array_to_string(p, '>') AS path, count(*) AS visits, round(sum(r), 6) AS total, round(sum(r) / count(*), 6) AS q FROM u GROUP BY u.q, u.p""",
@@ -213,7 +265,8 @@ SELECT query_id, t, actions, query_id || '#t' || (row_number() OVER (PARTITION B
 g AS (SELECT *, list_filter(a, lambda x: x = 'text_search') AS tx, list_filter(a, lambda x: x = 'image_search') AS im, list_filter(a, lambda x: x = 'answer') AS an,
  len(list_filter(['passage', 'weather', 'climate', 'expected ratio', 'offspring', 'experiment', 'best answer', 'select the best'], lambda w: contains(lower(q), w))) > 0 AS told FROM p)
 SELECT doc_id, array_to_string(list_concat(CASE WHEN img AND NOT told THEN im ELSE [] END, list_concat(tx, an))[1:3], ',') AS infoseek, array_to_string(list_concat(tx, an)[1:3], ',') AS scienceqa,
- array_to_string(list_concat(tx, list_concat(im, an))[1:3], ',') AS plain FROM g""",
+ array_to_string(list_concat(tx, list_concat(im, an))[1:3], ',') AS plain,
+ array_to_string((CASE WHEN ev THEN list_concat(tx, list_concat(an, im)) ELSE list_concat(tx, list_concat(im, an)) END)[1:3], ',') AS off FROM g""",
     "run_summaries": f"""WITH s AS (SELECT l_linenumber AS seed, count(*) AS n, round(avg((l_discount > 0.045)::INT::DOUBLE), 6) AS accuracy, round(avg(l_quantity), 6) AS mean_rollouts, round(avg(l_tax), 6) AS mean_best_reward FROM lineitem GROUP BY 1),
 u AS (SELECT seed, count(*) FILTER (a = 'answer') AS answer, count(*) FILTER (a = 'image_search') AS image_search, count(*) FILTER (a = 'text_search') AS text_search FROM {_USE} GROUP BY 1) SELECT * FROM s JOIN u USING (seed)""",
     "seed_aggregate": """WITH s AS (SELECT l_linenumber AS seed, avg((l_discount > 0.045)::INT::DOUBLE) AS a, avg(l_quantity) AS r FROM lineitem GROUP BY 1)

@@ -80,7 +80,7 @@ def test_policy_actions(spark):
         rows.append((i, rng.choice(REPLIES), q, image, titles, rng.random() < 0.5, list(dict.fromkeys(rng.sample(options, rng.randrange(0, 3)))), rng.choice([2, 4])))
     for k in (2, 4):
         own = [r for r in rows if r[7] == k]
-        df = spark.createDataFrame([(*r[:6], [(t, v, None) for t, v in r[6]]) for r in own], f"i int, reply string, q string, image boolean, titles array<string>, evidence boolean, taken {M.ACTION}")
+        df = spark.createDataFrame([(*r[:6], [(t, v, None, None, None) for t, v in r[6]]) for r in own], f"i int, reply string, q string, image boolean, titles array<string>, evidence boolean, taken {M.ACTION}")
         back = M.heuristic_actions(F.col("q"), F.col("image"), F.col("evidence"), F.col("taken"), F.lit("?"), k)
         a = M.completed_actions(M.parsed_actions(F.col("reply"), F.col("image")), back, F.col("q"), F.col("image"), F.col("titles"), F.col("evidence"), F.col("taken"), k)
         got = {r["i"]: [(x["type"], x["query"] if x["type"] != "answer" else x["text"]) for x in r["a"]] for r in df.select("i", a.alias("a")).collect()}

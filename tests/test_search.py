@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import search as M
 
@@ -120,3 +121,52 @@ def test_visits_of_the_root_are_the_rollouts(spark):
     leaves = spark.createDataFrame([(1, ["a", "b"], 1.0), (1, ["a"], 0.0), (1, [], 0.5)], "query_id int, path array<string>, reward double")
     rows = {tuple(r["path"]): (r["visits"], r["total"]) for r in M.backed_up(leaves).collect()}
     assert rows == {(): (3, 1.5), ("a",): (2, 1.0), ("a", "b"): (1, 1.0)}
+
+
+class Counting(M.Rules):
+    """A policy of the caller's own: searches in reverse, answers by how many hits it saw, fewer being better."""
+
+    def propose(self, state, k):
+        new = [n for n in reversed(list(state.searches)) if n not in state.taken]
+        return (new or ["answer"])[:k]
+
+    def answer(self, state):
+        return str(sum(map(len, state.evidence)))
+
+    def score(self, state, answer):
+        return 0.0 if answer is None else 1 / (1 + int(answer))
+
+
+def test_policies_plug_in(spark):
+    queries = spark.createDataFrame([(1, "q", [("a", "text_search"), ("b", "image_search")])], "query_id int, question string, searches array<struct<name:string,type:string>>")
+    hits = spark.createDataFrame([(1, "a", r, "", "x") for r in (1, 2)] + [(1, "b", 1, "", "y")], "query_id int, action string, rank int, title string, text string")
+    cfg = M.SearchConfig(rollouts=3, early_stop_q=2.0)
+    got = [(r["actions"], r["answer"], r["reward"]) for r in M.tree_search(queries, hits, cfg, Counting()).orderBy("t").collect()]
+    assert got[0] == ("b,a,answer", "3", 0.25) and all(g[0].endswith("answer") for g in got)
+    kept = [r["actions"] for r in M.tree_search(queries, hits, cfg, M.Gated(Counting(), "science-qa")).collect()]
+    assert all("b" not in k for k in kept) and any("b" in r["actions"] for r in M.tree_search(queries, hits, cfg, M.Gated(Counting(), "science-qa", "off")).collect())
+    assert M.tree_search(queries, hits, cfg, Counting(), most_hits=1).where("answer = '2'").count() > 0
+    trace = M.search_trace(queries, hits, cfg, Counting()).orderBy("t", "i").collect()
+    assert [r["event"] for r in trace if r["t"] == 0][:2] == ["expand", "expand"] and {r["event"] for r in trace} == {"expand", "select", "simulate", "backup"}
+    root = [r["value"] for r in trace if r["event"] == "backup" and r["actions"] == ""]
+    assert len(root) == 3 and root[0] == 0.25
+    # of the first actions, one is the rollout's own
+    firsts = {r["actions"].split(",")[0] for r in trace if r["event"] == "simulate"}
+    assert firsts <= {"a", "b"}
+
+
+def test_gates_agree_with_the_column_form(spark):
+    rng = random.Random(5)
+    asked = ["Identify this bird", "the expected ratio of this bird", "Where is Rome?"]
+    for benchmark in ("", "infoseek", "ScienceQA", "mragbench", "crag-mm"):
+        for mode in ("dataset", "heuristic", "strict", "off"):
+            q, image, evidence = rng.choice(asked), rng.random() < 0.7, rng.random() < 0.5
+            names = {"t": "text_search", "u": "text_search", **({"i": "image_search"} if image else {})}
+            state = M.State(q, names, ("t",) if evidence else (), (((("", "x")),),) if evidence else ())
+            mine = M.Gated(M.Rules(), benchmark, mode, most=3).propose(state, 4)
+            said = M.Rules().propose(state, M.asked_actions(4, 3))
+            raw = F.array(*[M.action("answer" if n == "answer" else names[n], F.lit(n), F.lit(n)) for n in said])
+            gate = M.gated_actions(raw, F.lit(q), F.lit(image), F.lit(evidence), 4, benchmark, mode, 3)
+            theirs = spark.range(1).select(F.transform(gate, lambda a: a["query"]).alias("a")).first()["a"]
+            assert mine == theirs
+    assert [M.asked_actions(k, m) for k, m in ((1, 9), (2, None), (8, 3), (4, 7))] == [1, 6, 8, 7]
