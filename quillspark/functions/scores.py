@@ -126,9 +126,14 @@ def overlap_score(observations: Column, answer: Column) -> Column:
     return F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), bonus + F.lit(1.0 - EVIDENCE_BONUS) * (found / F.size(asked))))
 
 
+def seeded_hash(*keys: Column) -> Column:
+    """Hexadecimal digits that order rows at random, the same wherever they are taken: md5 of the keys joined by colons."""
+    return F.md5(F.concat_ws(":", *[k.cast("string") for k in keys]).cast("binary"))
+
+
 def uniform(*keys: Column) -> Column:
     """A number in [0, 1) that only depends on the keys: stands in for a random draw, whatever the order of rows."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.conv(F.substring(seeded_hash(*keys), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def synthetic_score(hint: Column, noise: Column, correlation: float = 0.2) -> Column:

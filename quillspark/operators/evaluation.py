@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import seeded_hash
+
 
 def run_summary(records: DataFrame, by: list[str] = ["seed"]) -> DataFrame:  # noqa: B006
     """Per run: n, accuracy, mean rollouts, mean best reward. Records: query_id, outcome, rollouts, best_reward, actions (array)."""
@@ -45,7 +47,7 @@ def usage_counts(trajectories: DataFrame) -> DataFrame:
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in the order of a seeded hash of their key: the same sample wherever it is drawn."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(seeded_hash(F.lit(seed), F.col(key)), key).limit(n)
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:

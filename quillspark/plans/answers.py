@@ -106,6 +106,10 @@ for _key, _expr in (("{p}", "prediction"), ("{a}", "golds[1]"), ("{b}", "golds[2
     _PRED = _PRED.replace(_key, sql_normalized(_expr))
 
 ORACLE_SQL = {
+    "hashed_words": f"""WITH b AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n::BIGINT], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+w AS (SELECT doc_id, unnest({sql_tokens('text')}) AS t FROM documents), d AS (SELECT DISTINCT t AS w FROM w),
+h AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(w, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[((xor(c, x)) & 255) + 1])), 4294967295::BIGINT) AS crc FROM d, b)
+SELECT doc_id, (crc % 24)::BIGINT AS bin, count(*) AS n FROM w JOIN h ON h.w = w.t GROUP BY 1, 2""",
     "text_tokens": f"SELECT doc_id, len({sql_tokens('text')})::BIGINT AS n_tokens, len({sql_content('text')})::BIGINT AS n_content FROM documents",
     "keyword_queries": "SELECT item_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda t: not list_contains("
     + "['a','an','the','in','on','at','of','to','is','are','was','were','which','what','who','whom','whose','where','when','how','name','can','be','found','located','does','do','did']"

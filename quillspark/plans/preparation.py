@@ -143,7 +143,7 @@ def wanted_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chosen_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """200 distinct questions by hash order (the feature), so no oracle in SQL."""
+    """200 distinct questions by hash order (the feature)."""
     rows = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") != 7, F.col("l_orderkey").cast("string")).alias("id"), F.lit("i").alias("imageId"))
     return P.chosen_instructions(rows, 200).select("id")
 
@@ -159,6 +159,7 @@ QUERIES = {
 _IMAGES = """i AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS image_id, CASE WHEN c_custkey % 5 = 0 THEN [] ELSE ['Name ' || c_nationkey, c_mktsegment] END AS entities,
  CASE WHEN c_custkey % 4 = 0 THEN [] ELSE ['Q' || c_nationkey, 'S' || c_mktsegment] END AS qids, 'caption ' || (c_custkey % 3) AS caption, c_name, c_mktsegment, c_custkey FROM customer)"""
 ORACLE_SQL = {
+    "chosen_instructions": "SELECT id FROM (SELECT DISTINCT l_orderkey::VARCHAR AS id FROM lineitem WHERE l_linenumber <> 7) ORDER BY md5('0:' || id), id LIMIT 200",
     "annotated_queries": """WITH a AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS data_id, 'img' || (o_orderkey % 300) AS image_id, o_orderpriority AS question,
  CASE WHEN k % 5 = 0 THEN [] WHEN k % 5 <> 1 THEN [o_orderstatus, k::VARCHAR] END AS answer, CASE WHEN k % 3 = 0 THEN ['eval'] WHEN k % 3 = 1 THEN [] END AS ae, CASE WHEN k % 2 = 0 THEN 'val' END AS ds FROM orders),
 b AS (SELECT (o_orderkey // 2 * 2)::VARCHAR AS data_id, 'Q' || o_custkey AS entity_id, o_orderstatus AS entity_text FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey // 2 ORDER BY o_orderkey DESC) = 1),

@@ -66,7 +66,7 @@ def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores that follow labels as closely as asked: noise is a hash of the id, so no oracle in SQL."""
+    """Scores that follow labels as closely as asked: noise is a hash of the id."""
     rows = table(spark, sf_dir, "labels")
     return rows.select("doc_id", F.round(S.synthetic_score(F.col("quality").cast("double"), S.uniform(F.lit(0), F.col("doc_id")), 0.4), 9).alias("score"))
 
@@ -95,6 +95,8 @@ QUERIES = {f.__name__: f for f in (lexical_grounding, state_groundings, answer_s
 
 _L = f"WITH t AS (SELECT doc_id, n_chars, {sql_first_and_rest('a', 'b')}, concat_ws(' ', source, lang) AS c FROM documents)"
 ORACLE_SQL = {
+    "synthetic_scores": """WITH n AS (SELECT doc_id, quality::DOUBLE AS q, ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT / 4294967296e0 AS u, 0.4e0 / sqrt(3e0 * (1e0 - 0.4e0 * 0.4e0)) AS r FROM labels)
+SELECT doc_id, round(coalesce(greatest(0e0, least(1e0, r / (1e0 + r) * q + (1e0 - r / (1e0 + r)) * u)), u), 9) AS score FROM n""",
     "lexical_grounding": _L
     + f""", w AS (SELECT doc_id, b, c, {sql_content("a")} AS qa, {sql_content("b")} AS wb, {sql_content("c")} AS wc FROM t),
 s AS (SELECT doc_id, CASE WHEN len(qa) = 0 OR (b = '' AND c = '') THEN 0e0 ELSE greatest(len(list_intersect(qa, wb)), len(list_intersect(qa, wc)))::DOUBLE / len(qa) END AS r FROM w)

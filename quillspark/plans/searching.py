@@ -203,7 +203,7 @@ def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of 100 (the feature): by hash order, so no oracle in SQL."""
+    """A sample of 100 (the feature) by hash order."""
     return E.sampled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, seed=3)
 
 
@@ -234,6 +234,7 @@ _USE = "(SELECT unnest(CASE l_returnflag WHEN 'A' THEN ['text_search', 'answer']
 _CONV = """c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) - 1 AS m FROM conversations),
 s AS (SELECT conv_id, CASE WHEN i = m THEN 'answer' WHEN i % 3 = 1 THEN 'image_search' ELSE 'text_search' END AS a FROM c)"""
 ORACLE_SQL = {
+    "seeded_sample": "SELECT doc_id FROM documents ORDER BY md5('3:' || doc_id), doc_id LIMIT 100",
     "parsed_replies": f"""WITH d AS (SELECT doc_id, text, source, {sql_first_and_rest("line", "rest")} FROM documents), q AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN line ELSE source END AS asked FROM d),
 f AS (SELECT *, CASE WHEN trim(asked, chr(32) || chr(9) || chr(13)) = trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AND asked <> '' THEN text WHEN trim(asked, chr(32) || chr(9) || chr(13)) = source THEN source ELSE text END AS query FROM q)
 SELECT doc_id, concat_ws(',', CASE WHEN asked <> '' THEN 'text_search:' || md5(query) END, CASE WHEN doc_id % 5 <> 0 THEN 'image_search' || CASE WHEN doc_id % 3 = 0 THEN ':0.25/0.50/0.75/1.00' ELSE '' END END) AS actions FROM f""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scores import seeded_hash
 from .jsonl import read_jsonl
 
 QUERY = "query_id string, question string, gold_answers array<string>, image_path string, metadata map<string,string>"
@@ -20,9 +21,27 @@ FACTS = [
     ("Lake Bled", "country", "Slovenia", "A church stands on the island in Lake Bled, below the mountains of Slovenia."),
     ("Wawel Castle", "city", "Krakow", "Kings were crowned on the hill of Wawel Castle above the river in Krakow."),
     ("Ngorongoro Crater", "country", "Tanzania", "Herds graze all year inside the Ngorongoro Crater, a collapsed volcano of Tanzania."),
+    ("Sibenik Cathedral", "country", "Croatia", "Stone heads of citizens look down from Sibenik Cathedral on the coast of Croatia."),
+    ("Registan", "city", "Samarkand", "Three tiled schools face each other across the Registan, the square of Samarkand."),
+    ("Salar de Uyuni", "country", "Bolivia", "After rain the Salar de Uyuni, a plain of salt in Bolivia, mirrors the sky."),
+    ("Meiji Shrine", "city", "Tokyo", "A forest planted by volunteers surrounds the Meiji Shrine in Tokyo."),
+    ("Band-e Amir", "country", "Afghanistan", "Walls of travertine hold the lakes of Band-e Amir in Afghanistan."),
+    ("Hallgrimskirkja", "city", "Reykjavik", "Columns of basalt inspired Hallgrimskirkja, the tallest church of Reykjavik."),
+    ("Plitvice Lakes", "country", "Croatia", "Waterfalls join the Plitvice Lakes, sixteen of them, in the woods of Croatia."),
+    ("Gyeongbokgung", "city", "Seoul", "Guards change each morning before Gyeongbokgung, a palace in Seoul."),
+    ("Lake Titicaca", "country", "Peru", "People live on islands of reeds in Lake Titicaca, high in the mountains of Peru."),
+    ("Tsingy Forest", "country", "Madagascar", "Needles of limestone make the Tsingy Forest of Madagascar hard to cross."),
+    ("Vigeland Park", "city", "Oslo", "More than two hundred sculptures stand in Vigeland Park, open day and night in Oslo."),
+    ("Galle Fort", "country", "Sri Lanka", "The ramparts of Galle Fort kept the sea out of the old streets in Sri Lanka."),
 ]
-TEMPLATES = ["In which {kind} would I find the {entity}?", "Which {kind} has the {entity} within its borders?", "To see the {entity}, which {kind} must one visit?"]
-DISTRACTORS = ["Bees tell each other by dancing where flowers are.", "Salt lowers the temperature at which water freezes."]
+TEMPLATES = [
+    "In which {kind} would I find the {entity}?", "Which {kind} has the {entity} within its borders?", "To see the {entity}, which {kind} must one visit?",
+    "The {entity} belongs to what {kind}?", "Name the {kind} of the {entity}.",
+]
+DISTRACTORS = [
+    "Bees tell each other by dancing where flowers are.", "Salt lowers the temperature at which water freezes.", "Bread rises because yeast gives off gas.",
+    "A violin has four strings tuned in fifths.", "Glass is made by melting sand with soda and lime.",
+]
 
 
 def builtin_world(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -59,5 +78,5 @@ def load_benchmark(spark: SparkSession, name: str, data_dir: str | None = None,
         docs = read_jsonl(spark, f"{data_dir}/{prefix}corpus.jsonl", DOCUMENT)
         corpus = docs.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
     if n is not None:
-        queries = queries.orderBy(F.xxhash64(F.lit(seed), "query_id"), "query_id").limit(n)
+        queries = queries.orderBy(seeded_hash(F.lit(seed), F.col("query_id")), "query_id").limit(n)
     return queries, corpus

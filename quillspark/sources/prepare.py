@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import seeded_hash
 from ..functions.text import chunks, collapse, entity_of, let, safe_id, weak_label, with_choices
 from ..storage import materialize
 
@@ -179,17 +180,28 @@ def golds(answer: Column, full: Column) -> Column:
     return F.when(f != answer, F.array(answer, f)).otherwise(F.array(answer))
 
 
-def chosen_instructions(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n distinct questions (id, imageId) in the order of a seeded hash; those without an id or image are left out."""
+def chosen_instructions(rows: DataFrame, n: int, seed: int = 0, complete: bool = False) -> DataFrame:
+    """n distinct questions (id, imageId) in the order of a seeded hash; those without an id or image are left out.
+
+    With ``complete`` fewer than n raise ValueError."""
     whole = rows.where((F.coalesce("id", F.lit("")) != "") & (F.coalesce("imageId", F.lit("")) != "")).dropDuplicates(["id"])
-    found = whole.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    found = whole.orderBy(seeded_hash(F.lit(seed), F.col("id")), "id").limit(n)
+    if complete and (have := found.count()) < n:
+        raise ValueError(f"{have} questions of {n}")
     return found
 
 
-def wanted_images(images: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of the wanted ids each image once: the first (by source) that has bytes."""
-    some = images.where(F.length("content") > 0).join(wanted.select("image_id").distinct(), "image_id", "left_semi")
-    return first_per_key(some, "image_id", "source")
+def wanted_images(images: DataFrame, wanted: DataFrame, complete: bool = False) -> DataFrame:
+    """Of the wanted ids each image once: the first (by source) that has bytes.
+
+    With ``complete`` ids without any raise ValueError, which names some of them."""
+    ids = wanted.select("image_id").distinct()
+    found = first_per_key(images.where(F.length("content") > 0).join(ids, "image_id", "left_semi"), "image_id", "source")
+    if complete:
+        missing = ids.join(found.select("image_id"), "image_id", "left_anti")
+        if some := [r["image_id"] for r in missing.orderBy("image_id").limit(5).collect()]:
+            raise ValueError(f"{missing.count()} images are missing, such as {some}")
+    return found
 
 
 def answer_statistics(questions: DataFrame, top: int = 20) -> DataFrame:

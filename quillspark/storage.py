@@ -13,10 +13,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests on one machine), a temporary one of this application."""
+    """The folder named by ``spark.checkpoint.dir``; where unset, on one machine, a temporary one of this application.
+
+    On a cluster executors don't see each other's temporary folders, so there the setting must be made: RuntimeError.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         path = tempfile.mkdtemp(prefix="quillspark-")
@@ -29,13 +34,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: With this setting the shuffles of a write leave the disk when it has ended: nothing reads them again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, level: int = 3) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: cuts the lineage and survives lost executors.
     ``level`` is that of the compression."""
     spark = df.sparkSession
     path = new_path(spark, label)
     writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

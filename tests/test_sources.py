@@ -32,9 +32,9 @@ def test_blank_lines_are_skipped(spark, tmp_path):
 
 def test_builtin_world_is_retrievable(spark):
     queries, corpus = benchmarks.load_benchmark(spark, "anything", builtin=True)
-    assert queries.count() == 24 and corpus.count() == 10
+    assert queries.count() == 100 and corpus.count() == 25
     top = retrieval.bm25_top_k(corpus, queries, 3).join(queries.select("query_id", F.col("metadata")["supporting_doc"].alias("want")), "query_id")
-    assert top.where("doc_id = want").count() / 24 >= 0.8
+    assert top.where("doc_id = want").count() / 100 >= 0.8
 
 
 def test_load_benchmark(spark, tmp_path):
@@ -113,7 +113,7 @@ def test_executor(spark):
     asked = models.encoded(queries, "question")
     for backend in actions.BACKENDS:
         ex = actions.build_executor(corpus, units, backend)
-        assert ex.execute("text_search", asked).select("query_id").distinct().count() == 24
+        assert ex.execute("text_search", asked).select("query_id").distinct().count() == 100
     with pytest.raises(ValueError):
         ex.execute("dance", asked)
     with pytest.raises(ValueError):
@@ -121,7 +121,7 @@ def test_executor(spark):
     with pytest.raises(ValueError):
         ex.execute("text_search", asked.withColumn("final_answer", F.lit("x")))
     ex.register("dance", lambda q: q)
-    assert ex.execute("dance", asked).count() == 24
+    assert ex.execute("dance", asked).count() == 100
     with pytest.raises(ValueError):
         actions.build_executor(corpus, units, "other")
 
@@ -142,4 +142,5 @@ def test_stream_takes_each_key_once_over_runs(spark, tmp_path):
     streaming.collect_once(streaming.step_stream(spark, src, schema), "k", out, state).awaitTermination()
     frame([2, 3]).write.mode("append").parquet(src)
     streaming.collect_once(streaming.step_stream(spark, src, schema), "k", out, state).awaitTermination()
-    assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    assert sorted(r["k"] for r in spark.read.option("basePath", out).parquet(f"{out}/_batch=*").collect()) == [1, 2, 3]
+    assert streaming.collected(spark, out, spark.read.parquet(src).schema).count() == 3
