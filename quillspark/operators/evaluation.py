@@ -26,6 +26,20 @@ def seed_aggregate(summaries: DataFrame) -> DataFrame:
     )
 
 
+def usage_totals(records: DataFrame) -> DataFrame:
+    """How often each action type is on the best paths of all runs together."""
+    return action_usage(records, by=[])
+
+
+def tagged_runs(runs: dict[int, DataFrame]) -> DataFrame:
+    """The records of several runs, each with the seed of its run."""
+    parts = [df.withColumn("seed", F.lit(seed)) for seed, df in sorted(runs.items())]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
 def with_gold_hints(questions: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds the gold answers of the query that asks the same question, of several the last (by query_id); for smoke tests only."""
     known = queries.groupBy("question").agg(F.max_by("gold_answers", "query_id").alias("hint"))

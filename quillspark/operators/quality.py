@@ -205,6 +205,18 @@ def violation_summary(samples: DataFrame, most: int = 8, **options) -> DataFrame
     return rows.unionByName(table_violations(samples, most).select("violation", "n")).groupBy("violation").agg(F.sum("n").alias("n"))
 
 
+def sample_statistics(samples: DataFrame, least: int = 2) -> DataFrame:
+    """One row: samples, trajectories, how many of these have fewer than ``least`` samples (which is no violation), and the
+    number of samples by action type, as a map."""
+    per = samples.groupBy("traj_id", "action_type").agg(F.count("*").alias("n"))
+    # both histograms in one table, of which a row per type and one for the trajectories are left
+    long = per.groupBy("traj_id").agg(F.sum("n").alias("n")).agg(F.lit(None).cast("string").alias("action_type"), F.sum("n").alias("n"), F.count("*").alias("t"), F.count_if(F.col("n") < least).alias("o"))
+    types = per.groupBy("action_type").agg(F.sum("n").alias("n")).select("action_type", "n", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("o")).where("action_type is not null")
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("action_type").isNotNull(), F.struct("action_type", "n")))))
+    total = F.coalesce(F.sum(F.when(F.col("action_type").isNull(), F.col("n"))), F.lit(0))
+    return long.unionByName(types).agg(total.alias("samples"), F.sum("t").alias("trajectories"), F.sum("o").alias("orphans"), entries.alias("types"))
+
+
 def split_leaks(splits: dict[str, DataFrame], key: str = "query_id") -> DataFrame:
     """Keys that more than one split holds, with the names of the splits."""
     parts = [df.select(F.col(key).alias("key"), F.lit(name).alias("split")) for name, df in splits.items()]

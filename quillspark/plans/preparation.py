@@ -77,6 +77,22 @@ def choice_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.unionByName(d.select(F.col("doc_id").alias("id"), F.md5(F.concat_ws("|", "title", "text").cast("binary")).alias("body_md5"), F.lit(None).cast("string").alias("split")))
 
 
+def visual_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as picture questions, all of them."""
+    p = table(spark, sf_dir, "part")
+    choices = F.array("p_type", "p_brand", F.col("p_size").cast("string"), F.lit("none"))
+    letter = F.col("p_partkey") % 4
+    rows = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"), choices.alias("choices"), F.element_at(choices, (letter + 1).cast("int")).alias("answer"), F.char(letter + 65).alias("answer_choice"), F.concat(F.lit("img/"), F.col("p_partkey").cast("string")).alias("image_path"), F.col("p_type").alias("scenario"), F.col("p_brand").alias("aspect"))
+    q = P.visual_questions(rows, p.count())
+    return q.select("query_id", F.md5(F.concat_ws("|", "question", F.array_join("gold_answers", "|")).cast("binary")).alias("body_md5"), "image_path", F.col("metadata.scenario").alias("scenario"))
+
+
+def semantic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order priorities as questions' types; those of open orders have none."""
+    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority")).alias("semantic"))
+    return P.type_histogram(o, "semantic")
+
+
 def unseen_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10 == 0).alias("asked"), F.concat("source", F.when(F.col("doc_id") % 9 == 0, "_input.").otherwise("."), F.lit("jpg")).alias("name"), F.col("text").cast("binary").alias("content"), "doc_id")
     kept = P.unseen_images(d.where("not asked").withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit("_"), "name")), d.where("asked"))
@@ -152,13 +168,16 @@ QUERIES = {
     f.__name__: f
     for f in (
         annotated_queries, page_chunks, pages_to_fetch, entity_image_urls, attached_images, image_manifests, choice_questions, unseen_images, entity_documents, paired_questions, scene_documents, full_golds,
-        top_answers, wanted_images, chosen_instructions,
+        top_answers, wanted_images, chosen_instructions, visual_questions, semantic_types,
     )
 }
 
 _IMAGES = """i AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS image_id, CASE WHEN c_custkey % 5 = 0 THEN [] ELSE ['Name ' || c_nationkey, c_mktsegment] END AS entities,
  CASE WHEN c_custkey % 4 = 0 THEN [] ELSE ['Q' || c_nationkey, 'S' || c_mktsegment] END AS qids, 'caption ' || (c_custkey % 3) AS caption, c_name, c_mktsegment, c_custkey FROM customer)"""
 ORACLE_SQL = {
+    "visual_questions": """WITH p AS (SELECT *, [p_type, p_brand, p_size::VARCHAR, 'none'] AS c, (p_partkey % 4)::INT AS k FROM part)
+SELECT 'mrag-' || p_partkey AS query_id, md5(p_name || chr(10) || 'Choices: A. ' || c[1] || '; B. ' || c[2] || '; C. ' || c[3] || '; D. ' || c[4] || '|' || c[k + 1] || '|' || chr(65 + k) || '|' || chr(65 + k) || '. ' || c[k + 1]) AS body_md5, 'img/' || p_partkey AS image_path, p_type AS scenario FROM p""",
+    "semantic_types": "SELECT CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS value, count(*) AS n FROM orders GROUP BY 1",
     "chosen_instructions": "SELECT id FROM (SELECT DISTINCT l_orderkey::VARCHAR AS id FROM lineitem WHERE l_linenumber <> 7) ORDER BY md5('0:' || id), id LIMIT 200",
     "annotated_queries": """WITH a AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS data_id, 'img' || (o_orderkey % 300) AS image_id, o_orderpriority AS question,
  CASE WHEN k % 5 = 0 THEN [] WHEN k % 5 <> 1 THEN [o_orderstatus, k::VARCHAR] END AS answer, CASE WHEN k % 3 = 0 THEN ['eval'] WHEN k % 3 = 1 THEN [] END AS ae, CASE WHEN k % 2 = 0 THEN 'val' END AS ds FROM orders),

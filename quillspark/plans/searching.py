@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyword_query
 from ..operators import evaluation as E
+from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import search as M
 from .common import first_and_rest, sql_first_and_rest, table
@@ -70,6 +71,18 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "question", "source", (F.col("doc_id") % 3 != 0).alias("has_image"), (k > 0).alias("has_evidence"), F.coalesce(taken, F.array().cast(M.ACTION)).alias("taken"))
 
 
+def seed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of action types over all seeds, of records that are tagged with the seed of their run."""
+    runs = {n: _records(spark, sf_dir).where(F.col("seed") == n).drop("seed") for n in range(1, 8)}
+    return E.usage_totals(E.tagged_runs(runs))
+
+
+def sample_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples, user days as trajectories."""
+    s = Q.sample_statistics(event_steps(spark, sf_dir), 3)
+    return s.select("samples", "trajectories", "orphans", F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("types"))
+
+
 def _shown(actions) -> F.Column:
     return F.array_join(F.transform(actions, lambda a: F.concat_ws(":", a["type"], F.md5(F.coalesce(a["query"], a["text"], F.lit("")).cast("binary")))), ",")
 
@@ -211,7 +224,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parsed_replies, search_trajectories, tree_backup, best_children, most_visited_children, kept_children, stopped_rollouts, best_rollouts, distinct_sequences, heuristic_proposals, gated_proposals, policy_proposals,
-        tree_search, run_summaries, seed_aggregate, inspected_trajectories, usage_counts, gold_hints, token_sets, seeded_sample,
+        tree_search, run_summaries, seed_usage, sample_statistics, seed_aggregate, inspected_trajectories, usage_counts, gold_hints, token_sets, seeded_sample,
     )
 }
 
@@ -234,6 +247,9 @@ _USE = "(SELECT unnest(CASE l_returnflag WHEN 'A' THEN ['text_search', 'answer']
 _CONV = """c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) - 1 AS m FROM conversations),
 s AS (SELECT conv_id, CASE WHEN i = m THEN 'answer' WHEN i % 3 = 1 THEN 'image_search' ELSE 'text_search' END AS a FROM c)"""
 ORACLE_SQL = {
+    "seed_usage": f"SELECT a AS action, count(*) AS uses FROM {_USE} WHERE seed BETWEEN 1 AND 7 GROUP BY 1",
+    "sample_statistics": """WITH t AS (SELECT strftime(ts, '%Y-%m-%d') AS d, user_id, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT event_type AS e, count(*) AS n FROM events GROUP BY 1)
+SELECT (SELECT sum(n) FROM t)::BIGINT AS samples, (SELECT count(*) FROM t) AS trajectories, (SELECT count(*) FROM t WHERE n < 3) AS orphans, (SELECT string_agg(e || ':' || n, ',' ORDER BY e) FROM k) AS types""",
     "seeded_sample": "SELECT doc_id FROM documents ORDER BY md5('3:' || doc_id), doc_id LIMIT 100",
     "parsed_replies": f"""WITH d AS (SELECT doc_id, text, source, {sql_first_and_rest("line", "rest")} FROM documents), q AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN line ELSE source END AS asked FROM d),
 f AS (SELECT *, CASE WHEN trim(asked, chr(32) || chr(9) || chr(13)) = trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AND asked <> '' THEN text WHEN trim(asked, chr(32) || chr(9) || chr(13)) = source THEN source ELSE text END AS query FROM q)

@@ -120,6 +120,23 @@ def unseen_images(corpus: DataFrame, query_images: DataFrame) -> DataFrame:
     return fresh.select("name", label.alias("label"), F.concat(F.lit("Image filename weak label: "), label, F.lit(". Original filename: "), F.col("name"), F.lit(".")).alias("text"))
 
 
+def visual_questions(rows: DataFrame, n: int) -> DataFrame:
+    """Queries of the first n (by id) picture questions with four choices: (id, question, choices, answer, answer_choice,
+    image_path, scenario, aspect). Golds: the answer, its letter, both. Fewer than n raise ValueError."""
+    some = rows.orderBy("id").limit(n)
+    if (have := some.count()) < n:
+        raise ValueError(f"{have} questions of {n}")
+    return some.select(
+        F.concat(F.lit("mrag-"), F.col("id").cast("string")).alias("query_id"), with_choices(F.col("question"), F.col("choices")).alias("question"),
+        F.array("answer", "answer_choice", F.concat("answer_choice", F.lit(". "), "answer")).alias("gold_answers"), "image_path", F.struct("scenario", "aspect").alias("metadata"),
+    )
+
+
+def type_histogram(questions: DataFrame, column: str) -> DataFrame:
+    """How often each value of a column occurs; nulls are a value."""
+    return questions.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
 def entity_documents(images: DataFrame) -> DataFrame:
     """One document per entity of annotated images (image_id, entities, qids, caption): the first title, captions distinct in
     order of image. Images without ids stand for themselves."""
