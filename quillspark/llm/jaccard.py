@@ -40,20 +40,21 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, most: int
     return best
 
 
-def gram_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams of all texts of a slice, as text << 48 | 48 bits of hash, and the n + 1 bounds of the texts.
-
-    A text of fewer than n words, but some, has one gram: all of it.
-    """
-    count = len(w.counts)
-    grams = gram_hashes(w.hashes, n)
-    inside = w.text_of[: len(grams)] == w.text_of[n - 1 :] if len(grams) else np.zeros(0, dtype=bool)
+def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of all n-grams of a slice, and their hashes. A text of fewer than n words, but some, has one gram: all of it."""
+    found = gram_hashes(w.hashes, n)
+    inside = w.text_of[: len(found)] == w.text_of[n - 1 :] if len(found) else np.zeros(0, dtype=bool)
     at = np.flatnonzero(inside)
     short = np.flatnonzero((w.counts > 0) & (w.counts < n))
     whole = span_hashes(w.hashes, w.first[short], w.first[short + 1], salt=n)
-    owner = np.concatenate([w.text_of[at], short]).astype(U64)
-    keys = np.concatenate([grams[at], whole])
-    keys = np.sort((owner << _DOC) | (keys >> U64(16)))
+    return np.concatenate([w.text_of[at], short]), np.concatenate([found[at], whole])
+
+
+def gram_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of all texts of a slice, as text << 48 | 48 bits of hash, and the n + 1 bounds of the texts."""
+    count = len(w.counts)
+    owner, keys = grams(w, n)
+    keys = np.sort((owner.astype(U64) << _DOC) | (keys >> U64(16)))
     keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     return keys, np.searchsorted(keys, np.arange(count + 1).astype(U64) << _DOC)
 
@@ -109,11 +110,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def intersections(keys: np.ndarray, bounds: np.ndarray, width: int = 1 << 14) -> np.ndarray:
-    """Sizes of the common part of all pairs of n-gram sets, by products of blocks of the incidence matrix."""
-    m = len(bounds) - 1
-    owner = np.repeat(np.arange(m), np.diff(bounds))
-    _, gram, often = np.unique(keys & U64((1 << 48) - 1), return_inverse=True, return_counts=True)
+def intersections(owner: np.ndarray, keys: np.ndarray, m: int, width: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the n-gram sets of m texts, and of the common part of all pairs, by products of blocks of the incidence matrix."""
+    gram = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    owner, gram = np.divmod(np.unique(owner * (int(gram.max(initial=0)) + 1) + gram), int(gram.max(initial=0)) + 1)  # each once a text
+    own = np.bincount(owner, minlength=m)
+    often = np.bincount(gram)
     stay = often[gram] > 1
     number = np.cumsum(often > 1) - 1
     owner, gram = owner[stay], number[gram[stay]]
@@ -126,8 +128,8 @@ def intersections(keys: np.ndarray, bounds: np.ndarray, width: int = 1 << 14) ->
         block = np.zeros((m, min(width, total - lo)), dtype=np.float32)
         block[owner[a:e], gram[a:e] - lo] = 1
         out += block @ block.T
-    out[np.arange(m), np.arange(m)] = np.diff(bounds)
-    return out
+    out[np.arange(m), np.arange(m)] = own
+    return own, out
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -149,9 +151,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], n: int, similarity: float
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         t = t.take(pa.array(np.unique(t["node"].to_numpy(), return_index=True)[1]))
         node, chunk, size = (t[c].to_numpy() for c in ("node", "chunk", "size"))
-        keys, bounds = gram_sets(Words(t["text"].combine_chunks()), n)
-        common = intersections(keys, bounds)
-        own = np.diff(bounds)
+        own, common = intersections(*grams(Words(t["text"].combine_chunks()), n), len(node))
         union = own[:, None] + own[None, :] - common
         linked = common >= similarity * union - 1e-9
         linked &= (chunk[:, None] == i) & (chunk[None, :] == j) | (chunk[:, None] == j) & (chunk[None, :] == i)
@@ -164,7 +164,9 @@ def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, rec
 
     Two rows are linked if the Jaccard similarity of their sets of word n-grams is ``similarity`` or more (two empty sets:
     1). n_links counts the other rows linked to a row; class_id is the least doc_id of all that links connect, null if
-    they have none. A null text counts as empty. Repeated rows are copies of each other. Other columns are ignored.
+    they have none. A null text counts as empty; a text counts whole, however long. Repeated rows are copies of each
+    other; ties don't arise, as all links count. An empty table gives an empty one. Ids are of any type that has an order.
+    Other columns are ignored, whatever their names.
     """
     bands, rows = bands_for(similarity, recall)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -213,7 +215,8 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows, all columns, that are the first of their class: the least doc_id; of rows of that id the one with the least
-    text key; of repeated rows one. Classes without any id keep one row as well."""
+    text key; of repeated rows one, whichever. Classes without any id keep one row as well. An empty table stays empty; columns
+    may have any names."""
     found = materialize(near_copies(docs, **options), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_k1", "_k2")
     best = found.groupBy("_class").agg(F.min(rank).alias("b")).select("b.id", "b._k1", "b._k2")

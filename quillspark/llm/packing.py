@@ -71,7 +71,8 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS,
     dropped: a null or empty text is one piece of no tokens. A bucket's pieces, in the order of a seeded hash, fill
     batches of ``budget`` // padded_tokens pieces (at least one), numbered from 0 in each bucket; slot is the place in a
     batch. Repeated rows are packed each; which of them comes first is of no matter. With ``with_text`` also the
-    piece's words, joined by one space. Other columns are ignored.
+    piece's words, joined by one space. Pieces that tie in their hash come by id and place. An empty table gives an empty
+    one. Ids may be null and of any type. Other columns are ignored, whatever their names.
     """
     base = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), count_words(F.col("text")).alias("_n"), *(["text"] if with_text else []))
     sized = materialize(base, "sized")
