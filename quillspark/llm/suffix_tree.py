@@ -11,7 +11,9 @@ longest context that stays.
 
 Nothing of the tree is gathered: texts lie in blocks, and a block lists its distinct keys (words, contexts with their
 next token, contexts), with what it knows of them, in as many parts by hash as there is work for. A part sums over all
-blocks and hands back an answer for each key. A key is listed once a block, so common keys don't pile up in a part.
+blocks and hands back an answer for each key. A key is listed once a block, so common keys don't pile up in a part. Blocks
+meet their answers and their state, which holds what can't be told from the texts; from the third level on, when few
+places are left, it holds these places' hashes, and the texts stay behind.
 """
 
 from __future__ import annotations
@@ -147,36 +149,55 @@ def _context_batches(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) ->
         yield _batch([(r["block"], part, None, None, [pack(a)]) for r, a in zip(rows, np.split(back, cuts))], id_type)
 
 
-class Block:
-    """A block's state: its texts (or of a later level, where that is shorter, the hashes that its places need), and numbers."""
+#: Part numbers of a block's own rows: its texts, its state.
+TEXTS, STATE = -2, -1
+#: Levels that read the texts.
+TEXT_LEVELS = 2
+
 
-    def __init__(self, row: dict):
-        self.row = row
-        self.number, self.data = row["block"], row["data"]
-        bounds = unpack(self.data[1], "<i8")
-        self.texts = len(bounds) - 1
+class Block:
+    """What a block's rows tell: of texts their tokens' hashes, of the state its numbers, of others the answers."""
+
+    def __init__(self, rows: list[dict]):
+        by = {r["part"]: r for r in rows if r["part"] < 0}
+        self.row = by.get(TEXTS) or by[STATE]
+        self.number = self.row["block"]
+        self.answered = [r for r in rows if r["part"] >= 0]
+        self.data = by[STATE]["data"] if STATE in by else []
         self.hashes = None
-        if self.data[0] or not self.texts or not bounds[-1]:
-            texts = pa.LargeStringArray.from_buffers(self.texts, pa.py_buffer(bounds), pa.py_buffer(unpack(self.data[0], np.uint8)))
+        if TEXTS in by:
+            data = by[TEXTS]["data"]
+            bounds = unpack(data[1], "<i8")
+            texts = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(unpack(data[0], np.uint8)))
             self.hashes, self.of, self.bounds = tokens(Words(texts, lower=True))
         else:
-            self.bounds = bounds
+            self.bounds = unpack(self.data[0], "<i8")
+        self.texts = len(self.bounds) - 1
 
-    def keys(self, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the d tokens before each token (of no use before the d-th of a text), and of these with the token."""
-        context = np.append(END, self.hashes[:-1])
-        context[self.bounds[:-1]] = END
-        entry = mix64(context * _LEFT + self.hashes)
-        for _ in range(d - 1):
-            context = np.append(END, entry[:-1])
-            entry = mix64(context * _LEFT + self.hashes)
-        return context, entry
+    def answers(self, kind: str, low: int = 0, high: int = 1 << 31) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(unpack(r["data"][0], kind) for r in self.answered if low <= r["part"] < high)])
+
+    def numbers(self, *kinds: str) -> list[np.ndarray]:
+        """Arrays of the state after the bounds."""
+        return [unpack(x, k) for x, k in zip(self.data[1:], kinds)]
+
+    def first_level(self, counts: np.ndarray, n: int, v: int) -> tuple[np.ndarray, ...]:
+        """From the counts of the distinct tokens: each token's, its probability; places whose context may stay, and its count."""
+        count = counts[np.unique(self.hashes, return_inverse=True)[1]]
+        occurs = np.append(0, count[:-1])
+        occurs[self.bounds[:-1]] = count[self.bounds[1] - 1] if self.texts else 0
+        at = np.flatnonzero(occurs >= CONTEXT_LEAST)
+        return count, (count + ALPHA) / (n + ALPHA * (v + 1)), at, occurs[at].astype("<i4")
 
     def places(self, d: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the d tokens before the places, and of the tokens there."""
+        """Hashes of the d tokens before the places (of no use before the d-th of a text), and of the tokens there."""
         if self.hashes is None:
             return unpack(self.data[-2], U64), unpack(self.data[-1], U64)
-        return self.keys(d)[0][at], self.hashes[at]
+        context = np.append(END, self.hashes[:-1])
+        context[self.bounds[:-1]] = END
+        for _ in range(d - 1):
+            context = np.append(END, mix64(context * _LEFT + self.hashes)[:-1])
+        return context[at], self.hashes[at]
 
     def text(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, side="right") - 1
@@ -187,12 +208,8 @@ class Block:
         u, inverse = np.unique(keys, return_inverse=True)
         return _asks(self.number, u, [np.bincount(inverse[own], minlength=len(u)).astype("<i4")], parts, first)
 
-    def state(self, *data: np.ndarray, hashes: tuple[np.ndarray, np.ndarray] | None = None) -> tuple:
-        """The row of the next state; without places left, or where the hashes at these are shorter, texts stay behind."""
-        short = [pack(h) for h in hashes] if hashes is not None and 16 * len(hashes[0]) < max(len(self.data[0]), 1 << 62 if self.hashes is None else 0) else []
-        if short or (hashes is not None and not len(hashes[0])):
-            return (self.number, -1, self.row["ids"].values, self.row["held"].values, [b"", pack(self.bounds), *map(pack, data), *(short or [b"", b""])])
-        return (self.number, -1, self.row["ids"].values, self.row["held"].values, [*self.data[:2], *map(pack, data)])
+    def state(self, *data: np.ndarray) -> tuple:
+        return (self.number, STATE, self.row["ids"].values, self.row["held"].values, [*map(pack, (self.bounds, *data))])
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch], block_bytes: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -201,7 +218,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], block_bytes: int, id_type:
 
     def block():
         ids, texts, out = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text", "held"))
-        return _batch([((part << 32) | number, -1, ids, out, [pack(x) for x in text_bytes(texts)])], id_type)
+        return _batch([((part << 32) | number, TEXTS, ids, out, [pack(x) for x in text_bytes(texts)])], id_type)
 
     for b in slices(batches, limit=min(block_bytes, SLICE_BYTES)):
         held.append(b)
@@ -214,9 +231,10 @@ def _block_batches(batches: Iterator[pa.RecordBatch], block_bytes: int, id_type:
 
 
 def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    for _, (row,) in _groups(batches, "block"):
-        b = Block(row)
-        yield _batch(b.listed(b.hashes, b.of, parts) + b.listed(b.keys(1)[1], b.of, parts, parts), id_type)
+    for _, rows in _groups(batches, "block"):
+        b = Block(rows)
+        context, token = b.places(1, np.arange(len(b.hashes)))
+        yield _batch(b.listed(b.hashes, b.of, parts) + b.listed(mix64(context * _LEFT + token), b.of, parts, parts), id_type)
 
 
 def significant(n: np.ndarray, occurs: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -228,29 +246,28 @@ def significant(n: np.ndarray, occurs: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """With the counts of entries: each block's state, and its contexts with the sums of the entries it answers for.
 
-    State: known, base, score by text; places with a context of d tokens that may stay; there the context's count, the
-    token's probability in the shorter context (32 bits), and its count as an entry.
+    State: known, base, score by text; of the first level the distinct tokens' counts, later the places with a context of d
+    tokens that may stay, the context's count, the token's probability in the shorter context (32 bits), and with it the
+    hashes if texts stayed behind; at last, the tokens' counts as entries.
     """
     for _, rows in _groups(batches, "block"):
-        b = Block(rows[0])
-        answers = lambda lo, hi: np.concatenate([np.zeros(0, "<i8"), *(unpack(r["data"][0], "<i8") for r in rows[1:] if lo <= r["part"] < hi)])
+        b = Block(rows)
         if d == 1:
-            count = (answers(0, parts) >> 1)[np.unique(b.hashes, return_inverse=True)[1]]
-            q = (count + ALPHA) / (n + ALPHA * (v + 1))
-            known = np.bincount(b.of, count > 0, b.texts).astype("<i8")
-            base = score = np.bincount(b.of, np.log10(q), b.texts)
-            occurs = np.append(0, count[:-1])
-            occurs[b.bounds[:-1]] = count[b.bounds[1] - 1] if b.texts else 0
-            at = np.flatnonzero(occurs >= CONTEXT_LEAST)
-            context, entry = b.keys(1)
-            context, occurs, q, asked = context[at], occurs[at].astype("<i4"), q[at].astype("<f4"), at
+            counts = (b.answers("<i8", 0, parts) >> 1).astype("<i4")
+            count, q, at, occurs = b.first_level(counts, n, v)
+            base = np.bincount(b.of, np.log10(q), b.texts)
+            kept = [np.bincount(b.of, count > 0, b.texts).astype("<i8"), base, base, counts]
+            q = q[at].astype("<f4")
+            context, token = b.places(1, np.arange(len(b.hashes)))
+            entry, asked = mix64(context * _LEFT + token), at
+            context = context[at]
         else:
-            known, base, score, at, occurs, q = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<i4", "<f4")))
-            at = np.cumsum(at)
-            context, token = b.places(d, at)
+            known, base, score, at, occurs, q = b.numbers("<i8", "<f8", "<f8", "<i4", "<i4", "<f4")
+            context, token = b.places(d, np.cumsum(at))
+            kept = [known, base, score, at, occurs, q, *([] if b.hashes is not None else [context, token])]
             entry, asked = mix64(context * _LEFT + token), np.arange(len(at))
         place, inverse = np.unique(entry, return_index=True, return_inverse=True)[1:]
-        answer = answers(parts, 2 * parts)
+        answer = b.answers("<i8", parts, 2 * parts)
         owned = np.zeros(len(entry), dtype=bool)
         owned[place[(answer & 1) > 0]] = True
         c = (answer >> 1)[inverse][asked]
@@ -260,20 +277,23 @@ def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int,
         seen = occurs[to].astype("<f8")
         to, k, f = inverse[own], c[own].astype(float), q[own].astype(float)
         sums = [np.bincount(to, x, len(contexts)) for x in (k, np.ones(len(own)), k * (np.log(k) - np.log(f)), f)]
-        hashes = None if b.hashes is not None else (context, token)
-        yield _batch([b.state(known, base, score, gaps(at), occurs, q, c.astype("<i4"), hashes=hashes), *_asks(b.number, contexts, [seen, *sums], parts)], id_type)
+        yield _batch([b.state(*kept[:6], c.astype("<i4"), *kept[6:]), *_asks(b.number, contexts, [seen, *sums], parts)], id_type)
 
 
-def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """With the contexts that stay: each block's state, and the longer contexts with their next tokens."""
     for _, rows in _groups(batches, "block"):
-        b = Block(rows[0])
-        known, base, score, at, occurs, q, c = (unpack(x, t) for x, t in zip(b.data[2:], ("<i8", "<f8", "<f8", "<i4", "<i4", "<f4", "<i4")))
-        at = np.cumsum(at)
+        b = Block(rows)
+        if d == 1:
+            known, base, score, counts, c = b.numbers("<i8", "<f8", "<f8", "<i4", "<i4")
+            q, at = b.first_level(counts, n, v)[1:3]
+            q = q[at].astype("<f4")
+        else:
+            known, base, score, at, _, q, c = b.numbers("<i8", "<f8", "<f8", "<i4", "<i4", "<f4", "<i4")
+            at = np.cumsum(at)
         context, token = b.places(d, at)
         inverse = np.unique(context, return_inverse=True)[1]
-        answer = np.concatenate([np.zeros(0), *(unpack(r["data"][0], "<f8") for r in rows[1:])]).reshape(-1, 3)[inverse]
-        total, shared, other = answer.T
+        total, shared, other = b.answers("<f8").reshape(-1, 3)[inverse].T
         stay = total >= 0
         q = q.astype(float)
         p = np.where(stay, (c + (shared + np.where(c > 0, 0, other)) * q) / np.where(stay, total, 1.0), q).astype("<f4")
@@ -281,16 +301,16 @@ def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, parts: int, id_ty
         # a place whose context stays, after a place whose token is an entry
         longer = np.flatnonzero((at[1:] == at[:-1] + 1) & stay[1:] & (c[:-1] >= CONTEXT_LEAST) & (token[:-1] != END))
         context, token = mix64(context[longer] * _LEFT + token[longer]), token[longer + 1]
-        at, occurs, q = at[longer + 1], c[longer], p[longer + 1]
+        at, occurs, q = at[longer + 1], c[longer].astype("<i4"), p[longer + 1]
         asked = b.listed(mix64(context * _LEFT + token), b.text(at), parts, parts)
-        yield _batch([b.state(known, base, score, gaps(at), occurs, q, hashes=(context, token)), *asked], id_type)
+        yield _batch([b.state(known, base, score, gaps(at), occurs, q, *([context, token] if d >= TEXT_LEVELS else [])), *asked], id_type)
 
 
 def _result_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, (row,) in _groups(batches, "block"):
-        b = Block(row)
-        known, base, score = (unpack(x, t) for x, t in zip(b.data[2:5], ("<i8", "<f8", "<f8")))
-        yield pa.RecordBatch.from_arrays([row["ids"].values, row["held"].values, *map(pa.array, (np.diff(b.bounds), known, base, score))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    for _, rows in _groups(batches, "block"):
+        b = Block(rows)
+        known, base, score = b.numbers("<i8", "<f8", "<f8")
+        yield pa.RecordBatch.from_arrays([b.row["ids"].values, b.row["held"].values, *map(pa.array, (np.diff(b.bounds), known, base, score))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -308,32 +328,39 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int | Non
     schema = _ROW.format(id=id_type)
     out = crc_mod(F.col("doc_id"), held_out[0]) == held_out[1]
 
-    def met(state: DataFrame, asked: DataFrame, combine, then) -> tuple[DataFrame, DataFrame]:
-        """Answers to what was asked, and the state that follows from them."""
+    def met(own: list[DataFrame], asked: DataFrame, combine, then, used: list[DataFrame]) -> tuple[DataFrame, list[int]]:
+        """What follows from the blocks' own rows and the answers to what was asked; and the sums of these."""
         answers = materialize(asked.repartition("part").sortWithinPartitions("part").mapInArrow(combine, schema), "answers")
-        spark._jvm.System.gc()  # shuffles that no plan refers to any more leave the disk
         totals = [unpack(r["data"][0], "<i8") for r in answers.where("block < 0").select("data").collect()]  # a row a part
-        n, v = np.sum([[0, 0], *totals], axis=0)
-        both = state.unionByName(answers.where("block >= 0")).repartition("block").sortWithinPartitions("block", "part")
-        made = materialize(both.mapInArrow(then(int(n), int(v)), schema), "state")
-        for table in {id(x): x for x in (answers, *used)}.values():
+        sums = [int(x) for x in np.sum([[0, 0], *totals], axis=0)]
+        both = answers.where("block >= 0")
+        for table in own:
+            both = both.unionByName(table)
+        made = materialize(both.repartition("block").sortWithinPartitions("block", "part").mapInArrow(then(*sums), schema), "state")
+        for table in (answers, *used):
             discard(table)
-        spark._jvm.System.gc()
-        return made, int(n)
+        return made, sums
 
     held = docs.select("doc_id", "text", out.alias("held"))
     blocks = materialize(held.mapInArrow(lambda it: _block_batches(it, block_bytes, arrow_id), schema), "blocks")
     parts = max(8, blocks.count() // 2)
-    asked = blocks.mapInArrow(lambda it: _first_batches(it, parts, arrow_id), schema)
-    used, state, d, words = [blocks], blocks, 1, parts
-    n = 0
+    split = lambda table: (table.where(F.col("part") == STATE), table.where(F.col("part") >= 0))
+    counted = lambda d, n, v: lambda it: _counted_batches(it, d, n, v, parts, arrow_id)
+    asked, own, last, d, n, v = blocks.mapInArrow(lambda it: _first_batches(it, parts, arrow_id), schema), [blocks], [], 1, 0, 0
     while True:
-        made, sums = met(state, asked, lambda it, w=words: _count_batches(it, w, arrow_id), lambda a, b, d=d, n=n: lambda it: _counted_batches(it, d, n or a, b, parts, arrow_id))
-        n = n or sums
-        used = [made]
-        last, _ = met(made.where("part < 0"), made.where("part >= 0"), lambda it: _context_batches(it, arrow_id), lambda a, b, d=d: lambda it: _scored_batches(it, d, parts, arrow_id))
-        state, asked, used, words, d = last.where("part < 0"), last.where("part >= 0"), [last], 0, d + 1
+        if d == 1:
+            made, (n, v) = met(own, asked, lambda it: _count_batches(it, parts, arrow_id), lambda n, v: counted(1, n, v), [])
+        else:
+            made, _ = met(own, asked, lambda it: _count_batches(it, 0, arrow_id), lambda *_, d=d: counted(d, n, v), last)
+        state, asked = split(made)
+        texts = [blocks] if d <= TEXT_LEVELS else []
+        made, _ = met([*texts, state], asked, lambda it: _context_batches(it, arrow_id), lambda *_, d=d: lambda it: _scored_batches(it, d, n, v, parts, arrow_id), [made])
+        state, asked = split(made)
+        last, d = [made], d + 1
         if (depth is not None and d > depth) or asked.isEmpty():
             break
+        own = [*([blocks] if d <= TEXT_LEVELS else []), state]
+        if d == TEXT_LEVELS + 1:
+            discard(blocks)
     scored = state.mapInArrow(_result_batches, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

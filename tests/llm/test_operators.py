@@ -493,17 +493,8 @@ def test_base_scores(spark, docs):
     assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
 
 
-@pytest.mark.parametrize("block", [4 << 20, 1 << 12])
-def test_tree_scores_against_a_plain_tree(spark, block):
-    """A tree in plain dictionaries, of contexts of any length; texts of a small grammar, so that contexts of four words tell."""
-    import random
-
-    rng = random.Random(4)
-    data = [(i, t) for i, t in enumerate(texts())]
-    for i in range(400):
-        flag = rng.random() < 0.5
-        inner = " ".join(["mid", "mid", "mid"][: rng.randrange(1, 4)])
-        data.append((1000 + i, f"{'left' if flag else 'right'} {inner} {'yes' if flag else 'no'} " + " ".join(rng.choice("abcdefgh") for _ in range(5))))
+def plain_tree(data):
+    """A tree in plain dictionaries, of contexts of any length: rows' scores, what was kept, the counts, a distribution's value."""
     _, toks, out, c, n, v = unigram(data, LOW)
     root = lambda t: (c[t] + 0.1) / (n + 0.1 * (v + 1))
 
@@ -543,10 +534,6 @@ def test_tree_scores_against_a_plain_tree(spark, block):
             able |= {(*ctx, t) for t, k in e.items() if k >= suffix_tree.CONTEXT_LEAST and t is not None}
         able = {x for x in able if x[1:] in kept}
         d += 1
-    for ctx in kept:  # a distribution
-        assert abs(sum(given(t, ctx) for t in c) + root("never seen") - 1) < 1e-3
-    assert d > 4 and {len(k) for k in kept} >= {1, 2, 3, 4}
-
     def longest(ts, i):
         found = ()
         for d in range(1, i + 2):
@@ -556,7 +543,25 @@ def test_tree_scores_against_a_plain_tree(spark, block):
             found = ctx
         return found
 
-    want = sorted((i, sum(math.log10(given(t, longest(toks[k], j))) for j, t in enumerate(toks[k]))) for k, (i, _) in enumerate(data))
+    scores = sorted((r[0], sum(math.log10(given(t, longest(toks[k], j))) for j, t in enumerate(toks[k]))) for k, r in enumerate(data))
+    return scores, kept, c, given, root, d
+
+
+@pytest.mark.parametrize("block", [4 << 20, 1 << 12])
+def test_tree_scores_against_a_plain_tree(spark, block):
+    """Texts of a small grammar, so that contexts of four words tell."""
+    import random
+
+    rng = random.Random(4)
+    data = [(i, t) for i, t in enumerate(texts())]
+    for i in range(400):
+        flag = rng.random() < 0.5
+        inner = " ".join(["mid", "mid", "mid"][: rng.randrange(1, 4)])
+        data.append((1000 + i, f"{'left' if flag else 'right'} {inner} {'yes' if flag else 'no'} " + " ".join(rng.choice("abcdefgh") for _ in range(5))))
+    want, kept, c, given, root, d = plain_tree(data)
+    for ctx in kept:  # a distribution
+        assert abs(sum(given(t, ctx) for t in c) + root("never seen") - 1) < 1e-3
+    assert d > 4 and {len(k) for k in kept} >= {1, 2, 3, 4}
     table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     got = sorted((r["doc_id"], r["score"]) for r in suffix_tree.score(table, block_bytes=block).collect())
     assert [g[0] for g in got] == [w[0] for w in want]
