@@ -107,7 +107,8 @@ def test_token_files(spark, table):
         start += len(ids)
 
 
-def test_mixture(spark, table):
+def plain_mixture(spark, table):
+    """Copies of each document (doc_id, text, lang, source) that the production mix takes."""
     mix = mixing.Mix()
     leaf = lambda r: ("domain%d" % (zlib.crc32((r[3] or "").encode()) % 4), r[2] or "\0", r[3] or "\0")
     by = defaultdict(list)
@@ -123,8 +124,14 @@ def test_mixture(spark, table):
         run = 0
         for d, _, n in sorted(v, key=lambda x: u[x[0]]):
             if passes + (run < rest):
-                want[d] = (k[0], n, passes + (run < rest))
+                want[d] = passes + (run < rest)
             run += n
+    return want
+
+
+def test_mixture(spark, table):
+    rows = {r[0]: r for r in table}
+    want = {d: ("domain%d" % (zlib.crc32(rows[d][3].encode()) % 4), len(words(rows[d][1])), c) for d, c in plain_mixture(spark, table).items()}
     got = {r["doc_id"]: (r["domain"], r["n_tokens"], r["copies"]) for r in queries.op9_mixing(spark, SF).collect()}
     assert got == want
 
