@@ -8,9 +8,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import storage
 from quillspark.functions import models
 from quillspark.operators import actions, retrieval
-from quillspark.sources import archives, benchmarks, config, index_store, jsonl
+from quillspark.sources import archives, benchmarks, config, index_store, jsonl, prepare
 from quillspark.streaming import steps as streaming
 
 
@@ -59,7 +60,7 @@ def test_index_is_built_again_only_for_another_corpus(spark, tmp_path):
     path = str(tmp_path / "index")
     one = index_store.load_or_build(corpus, path, build).count()
     index_store.load_or_build(corpus.orderBy(F.col("doc_id").desc()), path, build)
-    assert len(built) == 1 and one == 10
+    assert len(built) == 1 and one == 25
     index_store.load_or_build(corpus.withColumn("text", F.concat("text", F.lit("!"))), path, build)
     assert len(built) == 2
     assert index_store.invalidate(spark, path, str(tmp_path / "none")) == 1
@@ -133,6 +134,52 @@ def test_dedupe_keeps_one_unit_per_entity(spark):
     assert [r["unit_id"] for r in got] == [0, 3, 6]
 
 
+def test_vectors_without_a_direction_take_no_part(spark):
+    """Null, empty, with null or non-finite components; and vectors of another length meet none of these queries."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [0.0, 1.0]), (7, [1.0, 0.0, 0.0]), (8, [0.0, 0.0])]
+    units = spark.createDataFrame(rows, "unit_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [nan, 0.0]), (4, [0.0, 0.0, 2.0])], "query_id int, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["unit_id"], r["score"]) for r in retrieval.vector_top_k(units, asked, 5).collect())
+    assert got == [(1, 1, 0, 1.0), (1, 2, 6, 0.0), (1, 3, 8, 0.0), (4, 1, 7, 0.0)]
+    assert retrieval.vector_top_k(units.where("false"), asked, 5).count() == 0 and retrieval.vector_top_k(units, asked.where("false"), 5).count() == 0
+
+
+def test_bm25_of_nothing(spark):
+    docs = spark.createDataFrame([(1, None, None), (2, "", "")], "doc_id long, title string, text string")
+    asked = spark.createDataFrame([(1, "where"), (2, None)], "query_id int, question string")
+    assert [(r["doc_id"], r["score"]) for r in retrieval.bm25_top_k(docs, asked, 3).where("query_id = 1").orderBy("rank").collect()] == [(1, 0.0), (2, 0.0)]
+    assert retrieval.bm25_top_k(docs.where("false"), asked, 3).count() == 0
+
+
+def test_what_is_short_raises(spark):
+    rows = spark.createDataFrame([("a", "i"), ("a", "j"), ("b", ""), (None, "k")], "id string, imageId string")
+    assert [r["id"] for r in prepare.chosen_instructions(rows, 3).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        prepare.chosen_instructions(rows, 3, complete=True)
+    images = spark.createDataFrame([("x", "s", b"1"), ("y", "s", b"")], "image_id string, source string, content binary")
+    wanted = spark.createDataFrame([("x",), ("y",)], "image_id string")
+    assert prepare.wanted_images(images, wanted).count() == 1
+    with pytest.raises(ValueError, match="'y'"):
+        prepare.wanted_images(images, wanted, complete=True)
+    asked = spark.createDataFrame([(1, "q?", ["a", "b", "c", "d"], "b", "B", "p", "s", "t")], "id int, question string, choices array<string>, answer string, answer_choice string, image_path string, scenario string, aspect string")
+    assert prepare.visual_questions(asked, 1).first()["gold_answers"] == ["b", "B", "B. b"]
+    with pytest.raises(ValueError):
+        prepare.visual_questions(asked, 2)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session)
+
+
 def test_stream_takes_each_key_once_over_runs(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
     schema = "k long, ts timestamp"
