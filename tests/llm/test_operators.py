@@ -697,6 +697,25 @@ def test_prefix_of_each_leaf(spark, docs, monkeypatch):
     assert mixing.mixed(docs, mix).where("_copies = 2").count() == sum(c for _, c in want)  # the column of that name stays
 
 
+@pytest.mark.parametrize("share", [0.3, 0.9, 2.0])
+def test_trees_that_the_driver_does_not_hold(spark, share):
+    """Many sources of few domains and languages: budgets of all leaves as on the driver, but for a token of rounding."""
+    import random
+
+    rng = random.Random(6)
+    data = [(i, "w " * rng.randrange(0, 60), rng.choice(["en", "fr", None]), f"s{rng.randrange(40)}") for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(4)
+    weights = {("domain1", "en", "s3"): 9.0, ("domain2",): 0.5, ("domain0", "fr", "s5"): 0.0}
+    mix = mixing.Mix(weights=weights, share=share, max_epochs=2)
+    leaves = docs.select(*mixing._leaf_columns(docs, mixing.default_domain), packing.count_words(F.col("text")).alias("n")).groupBy(*mixing.KEY).agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
+    one, other = ({tuple(r[c] for c in mixing.KEY): r["given"] for r in t.collect()} for t in (mixing._held_tree(leaves, mix), mixing._spread_tree(leaves, mix, 30)))
+    assert one.keys() == other.keys() and len(one) > 60 and all(abs(one[k] - other[k]) <= 1 for k in one)
+    held, spread = (mixing.select(docs, mix, most_leaves=m).groupBy("lang", "source").agg(F.sum("_copies").alias("c")).collect() for m in (1000, 30))
+    assert sum(r["c"] for r in held) == pytest.approx(sum(r["c"] for r in spread), abs=len(one))
+    with pytest.raises(ValueError):
+        mixing.select(docs, mix, most_leaves=3)
+
+
 def test_rows_that_tie_are_taken_one_by_one(spark):
     """Null ids and repeated rows, of equal and of different texts: a leaf exceeds its budget by less than a document."""
     data = [(None, f"w{i} a b c d e f g h i", "en", "s") for i in range(300)] + [(None, "a b c d e f g h i j", "en", "s")] * 300 + [(i, f"w{i} a b c d e f g h i", "en", "s") for i in range(300)]
