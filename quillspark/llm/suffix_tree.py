@@ -248,7 +248,7 @@ def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int,
 
     State: known, base, score by text; of the first level the distinct tokens' counts, later the places with a context of d
     tokens that may stay, the context's count, the token's probability in the shorter context (32 bits), and with it the
-    hashes if texts stayed behind; at last, the tokens' counts as entries.
+    hashes if texts stayed behind; after the context's, or the first level's, numbers the counts of entries.
     """
     for _, rows in _groups(batches, "block"):
         b = Block(rows)
@@ -277,6 +277,10 @@ def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int,
         seen = occurs[to].astype("<f8")
         to, k, f = inverse[own], c[own].astype(float), q[own].astype(float)
         sums = [np.bincount(to, x, len(contexts)) for x in (k, np.ones(len(own)), k * (np.log(k) - np.log(f)), f)]
+        if d == 1:  # of distinct pairs, which packs better than of places
+            all_ = np.zeros(len(entry), dtype=c.dtype)
+            all_[asked] = c
+            c = all_[place]
         yield _batch([b.state(*kept[:6], c.astype("<i4"), *kept[6:]), *_asks(b.number, contexts, [seen, *sums], parts)], id_type)
 
 
@@ -287,11 +291,13 @@ def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, p
         if d == 1:
             known, base, score, counts, c = b.numbers("<i8", "<f8", "<f8", "<i4", "<i4")
             q, at = b.first_level(counts, n, v)[1:3]
-            q = q[at].astype("<f4")
+            context, token = b.places(1, np.arange(len(b.hashes)))
+            c = c[np.unique(mix64(context * _LEFT + token), return_inverse=True)[1]][at]
+            q, context, token = q[at].astype("<f4"), context[at], token[at]
         else:
             known, base, score, at, _, q, c = b.numbers("<i8", "<f8", "<f8", "<i4", "<i4", "<f4", "<i4")
             at = np.cumsum(at)
-        context, token = b.places(d, at)
+            context, token = b.places(d, at)
         inverse = np.unique(context, return_inverse=True)[1]
         total, shared, other = b.answers("<f8").reshape(-1, 3)[inverse].T
         stay = total >= 0
