@@ -12,7 +12,7 @@ longest context that stays.
 Nothing of the tree is gathered: texts lie in blocks, and a block lists its distinct keys (words, contexts with their
 next token, contexts), with what it knows of them, in as many parts by hash as there is work for. A part sums over all
 blocks and hands back an answer for each key. A key is listed once a block, so common keys don't pile up in a part. Blocks
-meet their answers and their state, which holds what can't be told from the texts; from the third level on, when few
+meet their answers and their state, which holds what can't be told from the texts; from the fifth level on, when few
 places are left, it holds these places' hashes, and the texts stay behind.
 """
 
@@ -151,8 +151,8 @@ def _context_batches(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) ->
 
 #: Part numbers of a block's own rows: its texts, its state.
 TEXTS, STATE = -2, -1
-#: Levels that read the texts.
-TEXT_LEVELS = 2
+#: Levels that read the texts: later ones have fewer places, whose hashes are shorter.
+TEXT_LEVELS = 4
 
 
 class Block:
