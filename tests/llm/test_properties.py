@@ -59,12 +59,13 @@ def test_any_payload_is_stored_whole(raw):
 @given(st.lists(st.integers(0, 3), max_size=60), st.integers(2, 4), st.integers(5, 9))
 def test_equal_windows_share_anchor_and_offset(values, anchor, window):
     w = Words(pa.array([" ".join("w%d" % v for v in values)]))
-    _, first, count, block, _ = rlz.phrases(w, window, anchor)
+    _, first, count, lead, block, _ = rlz.passages(w, window, anchor)
     assert count.sum() == max(0, len(values) - window + 1)
     seen = {}
-    for f, c, b in zip(first, count, block):
+    for f, c, a, b in zip(first, count, lead, block):
         for s in range(f, f + c):
-            assert seen.setdefault(tuple(values[s : s + window]), b) == b
+            assert 0 <= a - (s - f) <= window - anchor
+            assert seen.setdefault(tuple(values[s : s + window]), (b, a - (s - f))) == (b, a - (s - f))
 
 
 @settings(max_examples=40, deadline=None)
