@@ -12,8 +12,9 @@ longest context that stays.
 Nothing of the tree is gathered: texts lie in blocks, and a block lists its distinct keys (words, contexts with their
 next token, contexts), with what it knows of them, in as many parts by hash as there is work for. A part sums over all
 blocks and hands back an answer for each key. A key is listed once a block, so common keys don't pile up in a part. Blocks
-meet their answers and their state, which holds what can't be told from the texts; from the fifth level on, when few
-places are left, it holds these places' hashes, and the texts stay behind.
+meet their answers and their state. Levels read the texts again as long as these are smaller than the contexts and tokens of
+the places that are left; then the state holds these, each distinct one's hash once a block, and the texts stay behind. A
+state is written once a level, and what was asked leaves the disk as soon as it is answered.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ CONTEXT_LEAST, ENTRY_LEAST, ENTRY_GAIN = 5, 2, 6.0
 DIVERGENCE, ALPHA = 0.01, 0.1
 #: Probabilities are held in 32 bits, so less than this isn't told from nothing left.
 LEAST_REST = 1e-6
-#: Text bytes of a block, about; of two blocks the keys fill a part.
+#: Text bytes of a block, about; of four blocks the keys fill a part.
 BLOCK_BYTES = 4 << 20
 END = np.uint64(0x5BD1E995A1B2C3D5)
 _LEFT = U64(0x9FB21C651E98DF25)
@@ -52,27 +53,38 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n), w.counts + 1), np.append(0, ends)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Compressed, byte by byte of the items' width; floats of few kinds as places among these."""
-    if not len(values):
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and which of them each value is. (np.unique sorts stably for this, which
+    takes three times as long.)"""
+    order = np.argsort(values)
+    ascending = values[order]
+    begin = np.append(True, ascending[1:] != ascending[:-1])[: len(values)]
+    which = np.empty(len(values), dtype="<i4")
+    which[order] = np.cumsum(begin) - 1
+    return ascending[begin], order[begin], which
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, compressed as one, byte by byte of the items' width."""
+    if not len(columns[0]):
         return b""
-    if values.dtype == np.float64 and 2 * len(np.unique(few := values[:: len(values) // 4096 + 1])) < len(few):
-        kinds, code = np.unique(values, return_inverse=True)
-        kinds, code = (pack(x) for x in (kinds.view("<i8"), code.astype("<i4")))
-        return b"k" + len(kinds).to_bytes(8, "little") + kinds + code
-    width = values.dtype.itemsize
-    raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T).tobytes()
-    return b"p" + len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T).tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
 
-def unpack(data: bytes, kind) -> np.ndarray:
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     if not data:
-        return np.zeros(0, kind)
-    size = int.from_bytes(data[1:9], "little")
-    if data[:1] == b"k":
-        return unpack(data[9 : 9 + size], "<f8")[unpack(data[9 + size :], "<i4")]
-    raw = np.frombuffer(pa.decompress(data[9:], size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+        return [np.zeros(0, k) for k in kinds]
+    size = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+    widths = np.array([np.dtype(k).itemsize for k in kinds])
+    n = size // int(widths.sum())
+    ends = n * np.cumsum(widths)
+    return [np.ascontiguousarray(raw[e - n * w : e].reshape(w, n).T).reshape(-1).view(k) for k, w, e in zip(kinds, widths, ends)]
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    return unpacked(data, kind)[0]
 
 
 def gaps(places: np.ndarray) -> np.ndarray:
@@ -100,27 +112,37 @@ def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int32()), wrap(ids, id_type), wrap(held, pa.bool_()), pa.array(data, pa.list_(pa.binary()))], names=["block", "part", "ids", "held", "data"])
 
 
-def _asks(block: int, keys: np.ndarray, columns: list[np.ndarray], parts: int, first: int = 0) -> list[tuple]:
-    """Rows that hand a block's sorted keys, with what it knows of them, to parts ``first`` and following."""
+def _asks(block: int, keys: np.ndarray, columns: list[np.ndarray], parts: int, first: int = 0, some: list[np.ndarray] | None = None) -> list[tuple]:
+    """Rows that hand a block's sorted keys, with what it knows of them, to parts ``first`` and following. ``some`` are columns
+    handed only where the last of ``columns`` isn't 0."""
     cuts = np.searchsorted(keys, np.arange(1, parts, dtype=U64) * U64((1 << 64) // parts))
-    return [(block, first + i, None, None, [pack(c[lo:hi]) for c in (keys, *columns)]) for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(keys)])) if hi > lo]
-
-
-def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the keys of all rows of a part: their order, where equal ones begin, which group each is of; the rows' sizes."""
-    held = [unpack(r["data"][0], U64) for r in rows]
-    keys = np.concatenate(held)
-    order = np.argsort(keys, kind="stable")
+    out = []
+    for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(keys)])):
+        if hi > lo:
+            data = [pack(np.diff(keys[lo:hi], prepend=U64(0)), *(c[lo:hi] for c in columns))]
+            if some is not None:
+                there = lo + np.flatnonzero(columns[-1][lo:hi])
+                data.append(pack(*(c[there] for c in some)))
+            out.append((block, first + i, None, None, data))
+    return out
+
+
+def _merged(rows: list[dict], *kinds: str) -> tuple[np.ndarray, ...]:
+    """Of the keys of all rows of a part: their order, where equal ones begin, which group each is of; the rows' sizes; then the
+    columns beside the keys, row after row."""
+    held = [unpacked(r["data"][0], U64, *kinds) for r in rows]
+    keys, *columns = (np.concatenate(c) for c in zip(*([np.cumsum(h[0]), *h[1:]] for h in held)))
+    order = np.argsort(keys)
     keys = keys[order]
     begin = np.append(True, keys[1:] != keys[:-1])
-    return order, np.flatnonzero(begin), np.cumsum(begin) - 1, np.cumsum([len(h) for h in held])[:-1]
+    return order, np.flatnonzero(begin), np.cumsum(begin) - 1, np.cumsum([len(h[0]) for h in held])[:-1], *columns
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], words: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Answers 2 * count, plus 1 in one of the blocks that counted the key; for parts below ``words`` also tokens and kinds (block -1)."""
     for part, rows in _groups(batches, "part"):
-        order, first, group, cuts = _merged(rows)
-        n = np.concatenate([unpack(r["data"][1], "<i4") for r in rows])[order].astype(np.int64)
+        order, first, group, cuts, n = _merged(rows, "<i4")
+        n = n[order].astype(np.int64)
         total = np.add.reduceat(n, first)
         answer = 2 * total[group]
         counted = np.flatnonzero(n)
@@ -135,24 +157,35 @@ def _count_batches(batches: Iterator[pa.RecordBatch], words: int, id_type: pa.Da
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Answers, of a context that stays: its weight with what it adds for the shorter context, that addition, and by how much
-    the addition of a token that is no entry is greater; -1 of others."""
+    """Answers the number of a context's entries if it stays, -1 of others; and of those that stay, by how much what is added
+    for the shorter context is greater for a token that is no entry. Also how often those that stay occur (block -1)."""
     for part, rows in _groups(batches, "part"):
-        order, first, group, cuts = _merged(rows)
-        occurs = np.concatenate([unpack(r["data"][1], "<f8") for r in rows])[order][first]
-        weight, kinds, inside, shorter = (np.add.reduceat(np.concatenate([unpack(r["data"][i], "<f8") for r in rows])[order], first) for i in (2, 3, 4, 5))
+        order, first, group, cuts, occurs, kinds = _merged(rows, "<i4", "<i4")
+        occurs = occurs[order][first].astype(float)
+        sums = np.zeros((3, len(kinds)))
+        sums[:, kinds > 0] = np.concatenate([np.stack([x.astype(float) for x in unpacked(r["data"][1], "<i4", "<f8", "<f8")]) for r in rows], axis=1)
+        weight, inside, shorter = np.add.reduceat(sums[:, order], first, axis=1)
+        kinds = np.add.reduceat(kinds[order], first)
         # divergence of the entries, and of all else as one, from the shorter context's distribution
         left, left0 = np.maximum(1 - weight / occurs, 1e-12), np.maximum(1 - shorter, LEAST_REST)
         stay = (inside - weight * np.log(occurs)) / occurs + left * np.log(left / left0) >= DIVERGENCE
-        back = np.empty((len(order), 3))
-        back[order] = np.where(stay[:, None], np.stack([occurs + kinds + 1, kinds + 1, (occurs - weight) / left0], axis=1), -1.0)[group]
-        yield _batch([(r["block"], part, None, None, [pack(a)]) for r, a in zip(rows, np.split(back, cuts))], id_type)
+        back, other = np.empty(len(order), "<i4"), np.empty(len(order), "<f4")
+        back[order] = np.where(stay, kinds, -1)[group]
+        other[order] = ((occurs - weight) / left0)[group]
+        out = [(r["block"], part, None, None, [pack(a), pack(o[a >= 0])]) for r, a, o in zip(rows, np.split(back, cuts), np.split(other, cuts))]
+        yield _batch([*out, (-1, part, None, None, [pack(np.array([int(occurs[stay].sum()), 0]))])], id_type)
 
 
-#: Part numbers of a block's own rows: its texts, its state.
-TEXTS, STATE = -2, -1
-#: Levels that read the texts: later ones have fewer places, whose hashes are shorter.
-TEXT_LEVELS = 4
+#: Part numbers of a block's own rows: its texts, its state, the counts of its entries from the second level on.
+TEXTS, STATE, COUNTS = -3, -2, -1
+#: What a block's state holds after known, base and score by text: for the first level the counts of the distinct tokens and of
+#: the distinct pairs as entries; for later ones the places, their tokens' probabilities in the shorter context (32 bits), the
+#: counts of the distinct contexts, and if texts stay behind these contexts, that of each place, the distinct tokens, that of
+#: each place.
+FIRST, LATER = ("<i4", "<i4"), ("<i4", "<f4", "<i4", U64, "<i4", U64, "<i4")
+#: Texts stay behind when contexts that stay have less than this share of all tokens: a place then takes about twice as many
+#: bytes as a token of the texts.
+TEXTS_SHARE = 0.4
 
 
 class Block:
@@ -164,6 +197,7 @@ class Block:
         self.number = self.row["block"]
         self.answered = [r for r in rows if r["part"] >= 0]
         self.data = by[STATE]["data"] if STATE in by else []
+        self.counts = unpack(by[COUNTS]["data"][0], "<i4") if COUNTS in by else None
         self.hashes = None
         if TEXTS in by:
             data = by[TEXTS]["data"]
@@ -174,30 +208,39 @@ class Block:
             self.bounds = unpack(self.data[0], "<i8")
         self.texts = len(self.bounds) - 1
 
-    def answers(self, kind: str, low: int = 0, high: int = 1 << 31) -> np.ndarray:
-        return np.concatenate([np.zeros(0, kind), *(unpack(r["data"][0], kind) for r in self.answered if low <= r["part"] < high)])
+    def answers(self, kind: str, low: int = 0, high: int = 1 << 31, item: int = 0) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(unpack(r["data"][item], kind) for r in self.answered if low <= r["part"] < high)])
 
     def numbers(self, *kinds: str) -> list[np.ndarray]:
         """Arrays of the state after the bounds."""
-        return [unpack(x, k) for x, k in zip(self.data[1:], kinds)]
+        return [unpack(x, k) for x, k in zip(self.data[1:], ("<i8", "<f8", "<f8", *kinds))]
 
     def first_level(self, counts: np.ndarray, n: int, v: int) -> tuple[np.ndarray, ...]:
-        """From the counts of the distinct tokens: each token's, its probability; places whose context may stay, and its count."""
-        count = counts[np.unique(self.hashes, return_inverse=True)[1]]
-        occurs = np.append(0, count[:-1])
-        occurs[self.bounds[:-1]] = count[self.bounds[1] - 1] if self.texts else 0
-        at = np.flatnonzero(occurs >= CONTEXT_LEAST)
-        return count, (count + ALPHA) / (n + ALPHA * (v + 1)), at, occurs[at].astype("<i4")
-
-    def places(self, d: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the d tokens before the places (of no use before the d-th of a text), and of the tokens there."""
-        if self.hashes is None:
-            return unpack(self.data[-2], U64), unpack(self.data[-1], U64)
+        """Pairs of tokens: a place of each distinct one, and which each place ends. From the counts of the distinct tokens each
+        token's, its probability; then, of places whose context may stay, as ``later_level``."""
+        words, _, token = distinct(self.hashes)
+        before = np.append(token[-1:], token[:-1])  # a block's last token is an end, as the one before a text
+        place, pair = distinct(mix64(words[before] * _LEFT + self.hashes))[1:]
+        chance = (counts + ALPHA) / (n + ALPHA * (v + 1))
+        at = np.flatnonzero(counts[before] >= CONTEXT_LEAST)
+        before = before[at]
+        there = np.zeros(len(words), dtype=bool)
+        there[before] = True
+        return place, pair, counts[token], chance[token], at, chance.astype("<f4")[token[at]], counts[there], words[there], (np.cumsum(there) - 1)[before], self.hashes[at]
+
+    def later_level(self, d: int) -> tuple[np.ndarray, ...]:
+        """Of places with a context of d tokens that may stay: the places, their tokens' probabilities, the counts of the distinct
+        contexts, these, that of each place, the tokens' hashes."""
+        at, q, occurs, *coded = self.numbers(*LATER)[3:]
+        at = np.cumsum(at)
+        if coded:
+            contexts, of, words, token = coded
+            return at, q, occurs, contexts, of, words[token]
         context = np.append(END, self.hashes[:-1])
-        context[self.bounds[:-1]] = END
         for _ in range(d - 1):
             context = np.append(END, mix64(context * _LEFT + self.hashes)[:-1])
-        return context[at], self.hashes[at]
+        contexts, _, of = distinct(context[at])
+        return at, q, occurs, contexts, of, self.hashes[at]
 
     def text(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, side="right") - 1
@@ -205,8 +248,8 @@ class Block:
     def listed(self, keys: np.ndarray, texts: np.ndarray, parts: int, first: int = 0) -> list[tuple]:
         """The distinct keys of places in texts, with how many of each are learned from."""
         own = ~self.row["held"].values.to_numpy(zero_copy_only=False)[texts]
-        u, inverse = np.unique(keys, return_inverse=True)
-        return _asks(self.number, u, [np.bincount(inverse[own], minlength=len(u)).astype("<i4")], parts, first)
+        u, _, which = distinct(keys)
+        return _asks(self.number, u, [np.bincount(which[own], minlength=len(u)).astype("<i4")], parts, first)
 
     def state(self, *data: np.ndarray) -> tuple:
         return (self.number, STATE, self.row["ids"].values, self.row["held"].values, [*map(pack, (self.bounds, *data))])
@@ -233,8 +276,8 @@ def _block_batches(batches: Iterator[pa.RecordBatch], block_bytes: int, id_type:
 def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for _, rows in _groups(batches, "block"):
         b = Block(rows)
-        context, token = b.places(1, np.arange(len(b.hashes)))
-        yield _batch(b.listed(b.hashes, b.of, parts) + b.listed(mix64(context * _LEFT + token), b.of, parts, parts), id_type)
+        context = np.append(END, b.hashes[:-1])  # that of a text's first token is the end before it
+        yield _batch(b.listed(b.hashes, b.of, parts) + b.listed(mix64(context * _LEFT + b.hashes), b.of, parts, parts), id_type)
 
 
 def significant(n: np.ndarray, occurs: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -244,78 +287,68 @@ def significant(n: np.ndarray, occurs: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """With the counts of entries: each block's state, and its contexts with the sums of the entries it answers for.
-
-    State: known, base, score by text; of the first level the distinct tokens' counts, later the places with a context of d
-    tokens that may stay, the context's count, the token's probability in the shorter context (32 bits), and with it the
-    hashes if texts stayed behind; after the context's, or the first level's, numbers the counts of entries.
-    """
+    """Each block's counts of entries, with the first level's state, and its contexts with the sums of the entries it answers for."""
     for _, rows in _groups(batches, "block"):
         b = Block(rows)
         if d == 1:
             counts = (b.answers("<i8", 0, parts) >> 1).astype("<i4")
-            count, q, at, occurs = b.first_level(counts, n, v)
-            base = np.bincount(b.of, np.log10(q), b.texts)
-            kept = [np.bincount(b.of, count > 0, b.texts).astype("<i8"), base, base, counts]
-            q = q[at].astype("<f4")
-            context, token = b.places(1, np.arange(len(b.hashes)))
-            entry, asked = mix64(context * _LEFT + token), at
-            context = context[at]
+            place, inverse, count, chance, asked, q, occurs, contexts, of, _ = b.first_level(counts, n, v)
         else:
-            known, base, score, at, occurs, q = b.numbers("<i8", "<f8", "<f8", "<i4", "<i4", "<f4")
-            context, token = b.places(d, np.cumsum(at))
-            kept = [known, base, score, at, occurs, q, *([] if b.hashes is not None else [context, token])]
-            entry, asked = mix64(context * _LEFT + token), np.arange(len(at))
-        place, inverse = np.unique(entry, return_index=True, return_inverse=True)[1:]
+            _, q, occurs, contexts, of, token = b.later_level(d)
+            place, inverse = distinct(mix64(contexts[of] * _LEFT + token))[1:]
+            asked = np.arange(len(of))
         answer = b.answers("<i8", parts, 2 * parts)
-        owned = np.zeros(len(entry), dtype=bool)
+        owned = np.zeros(len(inverse), dtype=bool)
         owned[place[(answer & 1) > 0]] = True
-        c = (answer >> 1)[inverse][asked]
-        c[~(significant(c, occurs, q) if d == 1 else c >= ENTRY_LEAST)] = 0
+        c = (answer >> 1)[inverse[asked]].astype("<i4")
+        c[~(significant(c, occurs[of], q) if d == 1 else c >= ENTRY_LEAST)] = 0
         own = np.flatnonzero(owned[asked] & (c > 0))
-        contexts, to, inverse = np.unique(context, return_index=True, return_inverse=True)
-        seen = occurs[to].astype("<f8")
-        to, k, f = inverse[own], c[own].astype(float), q[own].astype(float)
-        sums = [np.bincount(to, x, len(contexts)) for x in (k, np.ones(len(own)), k * (np.log(k) - np.log(f)), f)]
-        if d == 1:  # of distinct pairs, which packs better than of places
-            all_ = np.zeros(len(entry), dtype=c.dtype)
+        to, k, f = of[own], c[own].astype(float), q[own].astype(float)
+        weight, kinds, inside, shorter = (np.bincount(to, x, len(contexts)) for x in (k, np.ones(len(own)), k * (np.log(k) - np.log(f)), f))
+        asks = _asks(b.number, contexts, [occurs, kinds.astype("<i4")], parts, 0, [weight.astype("<i4"), inside, shorter])
+        if d == 1:
+            all_ = np.zeros(len(inverse), dtype="<i4")
             all_[asked] = c
-            c = all_[place]
-        yield _batch([b.state(*kept[:6], c.astype("<i4"), *kept[6:]), *_asks(b.number, contexts, [seen, *sums], parts)], id_type)
+            base = np.bincount(b.of, np.log10(chance), b.texts)
+            yield _batch([b.state(np.bincount(b.of, count > 0, b.texts).astype("<i8"), base, base, counts, all_[place]), *asks], id_type)
+        else:
+            yield _batch([(b.number, COUNTS, None, None, [pack(c)]), *asks], id_type)
 
 
-def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """With the contexts that stay: each block's state, and the longer contexts with their next tokens."""
+def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, parts: int, coded: bool, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """With the contexts that stay: each block's state, and the longer contexts with their next tokens. ``coded``: the next level
+    is without the texts."""
     for _, rows in _groups(batches, "block"):
         b = Block(rows)
         if d == 1:
-            known, base, score, counts, c = b.numbers("<i8", "<f8", "<f8", "<i4", "<i4")
-            q, at = b.first_level(counts, n, v)[1:3]
-            context, token = b.places(1, np.arange(len(b.hashes)))
-            c = c[np.unique(mix64(context * _LEFT + token), return_inverse=True)[1]][at]
-            q, context, token = q[at].astype("<f4"), context[at], token[at]
+            known, base, score, counts, c = b.numbers(*FIRST)
+            _, inverse, _, _, at, q, occurs, contexts, of, token = b.first_level(counts, n, v)
+            c = c[inverse[at]]
         else:
-            known, base, score, at, _, q, c = b.numbers("<i8", "<f8", "<f8", "<i4", "<i4", "<f4", "<i4")
-            at = np.cumsum(at)
-            context, token = b.places(d, at)
-        inverse = np.unique(context, return_inverse=True)[1]
-        total, shared, other = b.answers("<f8").reshape(-1, 3)[inverse].T
-        stay = total >= 0
+            known, base, score = b.numbers()
+            (at, q, occurs, contexts, of, token), c = b.later_level(d), b.counts
+        kinds = b.answers("<i4")
+        other = np.zeros(len(kinds))
+        other[kinds >= 0] = b.answers("<f4", item=1)
+        stay, total, shared, other = (x[of] for x in (kinds >= 0, occurs + kinds + 1.0, kinds + 1.0, other))
         q = q.astype(float)
         p = np.where(stay, (c + (shared + np.where(c > 0, 0, other)) * q) / np.where(stay, total, 1.0), q).astype("<f4")
         score = score + np.bincount(b.text(at), np.log10(p.astype(float)) - np.log10(q), b.texts)
         # a place whose context stays, after a place whose token is an entry
         longer = np.flatnonzero((at[1:] == at[:-1] + 1) & stay[1:] & (c[:-1] >= CONTEXT_LEAST) & (token[:-1] != END))
-        context, token = mix64(context[longer] * _LEFT + token[longer]), token[longer + 1]
-        at, occurs, q = at[longer + 1], c[longer].astype("<i4"), p[longer + 1]
-        asked = b.listed(mix64(context * _LEFT + token), b.text(at), parts, parts)
-        yield _batch([b.state(known, base, score, gaps(at), occurs, q, *([context, token] if d >= TEXT_LEVELS else [])), *asked], id_type)
+        contexts, first, of = distinct(mix64(contexts[of[longer]] * _LEFT + token[longer]))
+        at, token, occurs, q = at[longer + 1], token[longer + 1], c[longer][first], p[longer + 1]
+        state = [known, base, score, gaps(at), q, occurs]
+        if coded:
+            words, _, which = distinct(token)
+            state += [contexts, of, words, which]
+        yield _batch([b.state(*state), *b.listed(mix64(contexts[of] * _LEFT + token), b.text(at), parts, parts)], id_type)
 
 
 def _result_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _groups(batches, "block"):
         b = Block(rows)
-        known, base, score = b.numbers("<i8", "<f8", "<f8")
+        known, base, score = b.numbers()
         yield pa.RecordBatch.from_arrays([b.row["ids"].values, b.row["held"].values, *map(pa.array, (np.diff(b.bounds), known, base, score))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
@@ -335,38 +368,43 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int | Non
     out = crc_mod(F.col("doc_id"), held_out[0]) == held_out[1]
 
     def met(own: list[DataFrame], asked: DataFrame, combine, then, used: list[DataFrame]) -> tuple[DataFrame, list[int]]:
-        """What follows from the blocks' own rows and the answers to what was asked; and the sums of these."""
+        """What follows from the blocks' own rows and the answers to what was asked; and the sums of these. What was asked,
+        in the tables ``used``, leaves the disk when it is answered."""
         answers = materialize(asked.repartition("part").sortWithinPartitions("part").mapInArrow(combine, schema), "answers")
+        for table in used:
+            discard(table, "asked=1")
         totals = [unpack(r["data"][0], "<i8") for r in answers.where("block < 0").select("data").collect()]  # a row a part
         sums = [int(x) for x in np.sum([[0, 0], *totals], axis=0)]
         both = answers.where("block >= 0")
         for table in own:
             both = both.unionByName(table)
-        made = materialize(both.repartition("block").sortWithinPartitions("block", "part").mapInArrow(then(*sums), schema), "state")
-        for table in (answers, *used):
-            discard(table)
+        rows = both.repartition("block").sortWithinPartitions("block", "part").mapInArrow(then(*sums), schema)
+        made = materialize(rows.withColumn("asked", (F.col("part") >= 0).cast("int")), "state", partition_by=["asked"])
+        discard(answers)
         return made, sums
 
     held = docs.select("doc_id", "text", out.alias("held"))
     blocks = materialize(held.mapInArrow(lambda it: _block_batches(it, block_bytes, arrow_id), schema), "blocks")
-    parts = max(8, blocks.count() // 2)
-    split = lambda table: (table.where(F.col("part") == STATE), table.where(F.col("part") >= 0))
+    parts = max(8, blocks.count() // 4)
+    split = lambda table: tuple(table.where(F.col("asked") == i).drop("asked") for i in (0, 1))
     counted = lambda d, n, v: lambda it: _counted_batches(it, d, n, v, parts, arrow_id)
-    asked, own, last, d, n, v = blocks.mapInArrow(lambda it: _first_batches(it, parts, arrow_id), schema), [blocks], [], 1, 0, 0
+    scored = lambda d, n, v, coded: lambda it: _scored_batches(it, d, n, v, parts, coded, arrow_id)
+    texts, own, used, d, n, v = [blocks], [], [], 1, 0, 0
+    asked = blocks.mapInArrow(lambda it: _first_batches(it, parts, arrow_id), schema)
     while True:
         if d == 1:
-            made, (n, v) = met(own, asked, lambda it: _count_batches(it, parts, arrow_id), lambda n, v: counted(1, n, v), [])
+            counts, (n, v) = met(texts, asked, lambda it: _count_batches(it, parts, arrow_id), lambda n, v: counted(1, n, v), [])
         else:
-            made, _ = met(own, asked, lambda it: _count_batches(it, 0, arrow_id), lambda *_, d=d: counted(d, n, v), last)
-        state, asked = split(made)
-        texts = [blocks] if d <= TEXT_LEVELS else []
-        made, _ = met([*texts, state], asked, lambda it: _context_batches(it, arrow_id), lambda *_, d=d: lambda it: _scored_batches(it, d, n, v, parts, arrow_id), [made])
+            counts, _ = met([*texts, *own], asked, lambda it: _count_batches(it, 0, arrow_id), lambda *_: counted(d, n, v), used)
+        kept, asked = split(counts)
+        few = lambda left: not texts or left <= TEXTS_SHARE * n
+        made, (left, _) = met([*texts, *own, kept], asked, lambda it: _context_batches(it, arrow_id), lambda left, _: scored(d, n, v, few(left)), [counts])
+        for table in (*used, counts, *(texts if few(left) else [])):
+            discard(table)
+        texts = [] if few(left) else texts
         state, asked = split(made)
-        last, d = [made], d + 1
+        own, used, d = [state], [made], d + 1
         if (depth is not None and d > depth) or asked.isEmpty():
             break
-        own = [*([blocks] if d <= TEXT_LEVELS else []), state]
-        if d == TEXT_LEVELS + 1:
-            discard(blocks)
-    scored = state.mapInArrow(_result_batches, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    result = state.mapInArrow(_result_batches, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

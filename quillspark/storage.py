@@ -36,6 +36,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 #: With this setting the shuffles of a write leave the disk when it has ended: nothing reads them again.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: With this setting a task writes to so many partitions at a time, instead of sorting its rows by them.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, level: int = 3) -> DataFrame:
@@ -44,18 +46,23 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     spark = df.sparkSession
     path = new_path(spark, label)
     writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    wanted = {_CLEAN: "true"} | ({_WRITERS: "8"} if partition_by else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, value in wanted.items():
+        spark.conf.set(k, value)
     try:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
+def discard(df: DataFrame, folder: str = "") -> None:
+    """Delete the files of a materialized table that no later plan reads; of a partitioned one, those in ``folder``."""
     spark = df.sparkSession
     for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if not f.endswith(folder):
+            continue
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -592,6 +592,33 @@ def test_what_repeats_is_learned_at_any_size(spark):
     assert got[right]["score"] - got[wrong]["score"] > two[right] - two[wrong] + 0.2
 
 
+def test_what_was_asked_leaves_the_disk(spark, monkeypatch):
+    """When a state is written, what the blocks asked is gone, being answered; and of the first two levels the texts stay no
+    longer than the places that are left are many."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    tables, asked, texts, real = [], [], [], suffix_tree.materialize
+
+    def watched(df, label, **more):
+        files = [f for t in tables for f in t if f.exists()]
+        parts = [(f, pq.ParquetFile(f).read(columns=["part"])["part"].to_pylist()) for f in files if "/state-" in str(f)]
+        if label == "state":
+            asked.append(sum(x >= 0 for _, xs in parts for x in xs))
+            texts.append(any("/blocks-" in str(f) for f in files))
+        out = real(df, label, **more)
+        tables.append([Path("/" + f.removeprefix("file:").lstrip("/")) for f in out.inputFiles()])
+        return out
+
+    monkeypatch.setattr(suffix_tree, "materialize", watched)
+    # a third of the words are followed by words that tell, so that few places are left soon
+    data = [(i, " ".join(["left mid mid yes" if i % 2 else "right mid mid no", *(f"w{i}x{j}" for j in range(8))])) for i in range(400)]
+    got = suffix_tree.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3), block_bytes=1 << 12)
+    assert got.count() == 400 and len(asked) > 4 and not any(asked)
+    assert texts[0] and not texts[2]
+
+
 def test_scores_of_nothing(spark, none):
     assert suffix_tree.score(none).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
