@@ -41,7 +41,8 @@ class Table:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.below = np.cumsum(self.freq) - self.freq
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq.astype(np.int64))
+        self.both = self.freq << np.uint64(32) | self.below
         self.crc = zlib.crc32(self.freq.astype("<u4").tobytes())
 
     @classmethod
@@ -61,19 +62,27 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
     raw = np.zeros(blocks * BLOCK, dtype=np.uint32)
     raw[:n] = ids
     crcs = [zlib.crc32(raw[i * BLOCK : min(n, (i + 1) * BLOCK)].astype("<u4").tobytes()) for i in range(blocks)]
-    steps = raw.reshape(blocks, BLOCK // LANES, LANES).transpose(1, 0, 2).reshape(BLOCK // LANES, -1)
+    steps = np.ascontiguousarray(raw.reshape(blocks, BLOCK // LANES, LANES).transpose(1, 0, 2), dtype=np.intp).reshape(BLOCK // LANES, -1)
     x = np.full(steps.shape[1], _LOW, dtype=np.uint64)
     words = np.zeros(steps.shape, dtype=np.uint32)
     used = np.zeros(steps.shape, dtype=bool)
-    top, shift = np.uint64(63 - PRECISION), np.uint64(PRECISION)
+    top, shift, half, low = np.uint64(63 - PRECISION), np.uint64(PRECISION), np.uint64(32), np.uint64(0xFFFFFFFF)
+    both, f, q, limit = (np.empty_like(x) for _ in range(4))
     for t in range(len(steps) - 1, -1, -1):
-        f = table.freq[steps[t]]
-        full = x >= (f << top)
-        words[t] = x.astype(np.uint32)
-        used[t] = full
-        x = np.where(full, x >> np.uint64(32), x)
-        q = x // f
-        x = (q << shift) + (x - q * f) + table.below[steps[t]]
+        np.take(table.both, steps[t], out=both, mode="clip")  # an unchecked index is faster; ids are below the table's size
+        np.right_shift(both, half, out=f)
+        both &= low
+        np.left_shift(f, top, out=limit)
+        np.greater_equal(x, limit, out=used[t])
+        words[t] = x  # the low half
+        np.multiply(used[t], half, out=limit)  # shifts by 32 or 0 take a quarter of the time of masked ones
+        x >>= limit
+        np.floor_divide(x, f, out=q)
+        f *= q
+        x -= f
+        x += both
+        q <<= shift
+        x += q
     body = np.ascontiguousarray(words.T)[np.ascontiguousarray(used.T)]
     head = _HEAD.pack(b"QRAN", 1, PRECISION, LANES, n, BLOCK, blocks, table.crc)
     return b"".join([head, x.astype("<u8").tobytes(), used.sum(axis=0).astype("<u4").tobytes(), np.array(crcs, dtype="<u4").tobytes(), body.astype("<u4").tobytes()])
@@ -94,16 +103,28 @@ def decode(payload: bytes, table: Table, blocks: range | None = None) -> np.ndar
     x = states[part].astype(np.uint64)
     place = (np.cumsum(lengths) - lengths)[part]
     words = np.append(words, np.uint32(0)).astype(np.uint64)
-    out = np.empty((size // lanes, len(x)), dtype=np.uint32)
-    mask, shift = np.uint64((1 << PRECISION) - 1), np.uint64(PRECISION)
-    for t in range(len(out)):
-        slot = x & mask
-        s = table.symbol[slot]
-        out[t] = s
-        x = table.freq[s] * (x >> shift) + slot - table.below[s]
-        empty = x < _LOW
-        x = np.where(empty, (x << np.uint64(32)) | words[np.minimum(place, len(words) - 1)], x)
-        place = place + empty
+    out = np.empty((size // lanes, len(x)), dtype=np.int32)
+    mask, shift, half, low = np.uint64((1 << PRECISION) - 1), np.uint64(PRECISION), np.uint64(32), np.uint64(0xFFFFFFFF)
+    slot, both, f, more = (np.empty_like(x) for _ in range(4))
+    empty = np.empty(len(x), dtype=bool)
+    for s in out:
+        np.bitwise_and(x, mask, out=slot)
+        np.take(table.symbol, slot.view(np.int64), out=s, mode="clip")
+        np.take(table.both, s, out=both, mode="clip")
+        np.right_shift(both, half, out=f)
+        both &= low
+        x >>= shift
+        x *= f
+        x += slot
+        x -= both
+        np.less(x, _LOW, out=empty)
+        np.take(words, place, out=more, mode="clip")
+        more *= empty
+        np.multiply(empty, half, out=slot)  # shifts by 32 or 0 take a quarter of the time of masked ones
+        x <<= slot
+        x |= more
+        place += empty
+    out = out.view(np.uint32)
     ids = out.reshape(size // lanes, len(chosen), lanes).transpose(1, 0, 2).reshape(len(chosen), size)
     found = []
     for row, i in zip(ids, chosen):

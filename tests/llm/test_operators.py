@@ -631,6 +631,34 @@ def test_scores_of_nothing(spark, none):
 P = pytest.importorskip("public_tokenizers")
 
 
+def plain_rans(ids, table):
+    """The final state and the words of one lane, by whole numbers of any size."""
+    freq, below = [int(f) for f in table.freq], [int(b) for b in table.below]
+    x, words = 1 << 31, []
+    for i in reversed(ids):
+        if x >= freq[i] << (63 - rans.PRECISION):
+            words.append(x & 0xFFFFFFFF)
+            x >>= 32
+        x = (x // freq[i] << rans.PRECISION) + x % freq[i] + below[i]
+    return x, words[::-1]
+
+
+def test_rans_lanes_against_whole_numbers():
+    """Tables from even to nearly one id only, whose frequency and base share a word; a lane is every 32nd id of a block."""
+    for counts in ([1] * 7, [10**9, 1, 0, 0], [0, 5, 10**6, 5]):
+        table = rans.Table.of(counts)
+        assert (table.both >> np.uint64(32) == table.freq).all() and (table.both & np.uint64(0xFFFFFFFF) == table.below).all()
+        ids = np.random.default_rng(len(counts)).integers(0, len(counts), rans.BLOCK).astype(np.uint32)
+        coded = rans.encode(ids, table)
+        states, words = np.frombuffer(coded, "<u8", rans.LANES, rans._HEAD.size), []
+        for lane in range(rans.LANES):
+            x, more = plain_rans(ids[lane :: rans.LANES].tolist(), table)
+            assert x == states[lane]
+            words += more
+        assert coded.endswith(np.array(words, dtype="<u4").tobytes())
+        assert (rans.decode(coded, table) == ids).all()
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(0)
     counts = [0, 10, 3, 0, 500, 1]
