@@ -37,6 +37,8 @@ DIVERGENCE, ALPHA = 0.01, 0.1
 LEAST_REST = 1e-6
 #: Text bytes of a block, about; of four blocks the keys fill a part.
 BLOCK_BYTES = 4 << 20
+#: Of compression, of texts and of others: most of these are hashes, which no level makes smaller.
+TEXT_LEVEL, LEVEL = 3, 1
 END = np.uint64(0x5BD1E995A1B2C3D5)
 _LEFT = U64(0x9FB21C651E98DF25)
 _ROW = "block long, part int, ids array<{id}>, held array<boolean>, data array<binary>"
@@ -64,12 +66,12 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ascending[begin], order[begin], which
 
 
-def pack(*columns: np.ndarray) -> bytes:
+def pack(*columns: np.ndarray, level: int = LEVEL) -> bytes:
     """Columns of equal length, compressed as one, byte by byte of the items' width."""
     if not len(columns[0]):
         return b""
     raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T).tobytes() for c in columns)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", level).compress(raw, asbytes=True)
 
 
 def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -179,13 +181,14 @@ def _context_batches(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) ->
 #: Part numbers of a block's own rows: its texts, its state, the counts of its entries from the second level on.
 TEXTS, STATE, COUNTS = -3, -2, -1
 #: What a block's state holds after known, base and score by text: for the first level the counts of the distinct tokens and of
-#: the distinct pairs as entries; for later ones the places, their tokens' probabilities in the shorter context (32 bits), the
-#: counts of the distinct contexts, and if texts stay behind these contexts, that of each place, the distinct tokens, that of
-#: each place.
-FIRST, LATER = ("<i4", "<i4"), ("<i4", "<f4", "<i4", U64, "<i4", U64, "<i4")
-#: Texts stay behind when contexts that stay have less than this share of all tokens: a place then takes about twice as many
-#: bytes as a token of the texts.
-TEXTS_SHARE = 0.4
+#: entries by place; for later ones the places, their tokens' probabilities in the shorter context (32 bits), whether a token
+#: follows that one ``ENTRY_LEAST`` times (else it can't be an entry of the longer one, and isn't asked for), the counts of the
+#: distinct contexts, and if texts stay behind these contexts, that of each place, the distinct tokens, that of each place.
+#: Counts of entries: 0 of what follows less than ``ENTRY_LEAST`` times, -1 of what follows so often by chance.
+FIRST, LATER = ("<i4", "<i4"), ("<i4", "<f4", "?", "<i4", U64, "<i4", U64, "<i4")
+#: Texts stay behind when contexts that stay have less than this share of all tokens. About half of these places are left then,
+#: which take about twice as many bytes as tokens of the texts.
+TEXTS_SHARE = 0.6
 
 
 class Block:
@@ -216,31 +219,30 @@ class Block:
         return [unpack(x, k) for x, k in zip(self.data[1:], ("<i8", "<f8", "<f8", *kinds))]
 
     def first_level(self, counts: np.ndarray, n: int, v: int) -> tuple[np.ndarray, ...]:
-        """Pairs of tokens: a place of each distinct one, and which each place ends. From the counts of the distinct tokens each
-        token's, its probability; then, of places whose context may stay, as ``later_level``."""
+        """From the counts of the distinct tokens each token's, its probability; then, of places whose context may stay, as
+        ``later_level``."""
         words, _, token = distinct(self.hashes)
         before = np.append(token[-1:], token[:-1])  # a block's last token is an end, as the one before a text
-        place, pair = distinct(mix64(words[before] * _LEFT + self.hashes))[1:]
         chance = (counts + ALPHA) / (n + ALPHA * (v + 1))
         at = np.flatnonzero(counts[before] >= CONTEXT_LEAST)
         before = before[at]
         there = np.zeros(len(words), dtype=bool)
         there[before] = True
-        return place, pair, counts[token], chance[token], at, chance.astype("<f4")[token[at]], counts[there], words[there], (np.cumsum(there) - 1)[before], self.hashes[at]
+        return counts[token], chance[token], at, chance.astype("<f4")[token[at]], np.ones(len(at), dtype=bool), counts[there], words[there], (np.cumsum(there) - 1)[before], self.hashes[at]
 
     def later_level(self, d: int) -> tuple[np.ndarray, ...]:
-        """Of places with a context of d tokens that may stay: the places, their tokens' probabilities, the counts of the distinct
-        contexts, these, that of each place, the tokens' hashes."""
-        at, q, occurs, *coded = self.numbers(*LATER)[3:]
+        """Of places with a context of d tokens that may stay: the places, their tokens' probabilities, whether these may be
+        entries, the counts of the distinct contexts, these, that of each place, the tokens' hashes."""
+        at, q, able, occurs, *coded = self.numbers(*LATER)[3:]
         at = np.cumsum(at)
         if coded:
             contexts, of, words, token = coded
-            return at, q, occurs, contexts, of, words[token]
+            return at, q, able, occurs, contexts, of, words[token]
         context = np.append(END, self.hashes[:-1])
         for _ in range(d - 1):
             context = np.append(END, mix64(context * _LEFT + self.hashes)[:-1])
         contexts, _, of = distinct(context[at])
-        return at, q, occurs, contexts, of, self.hashes[at]
+        return at, q, able, occurs, contexts, of, self.hashes[at]
 
     def text(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, side="right") - 1
@@ -261,7 +263,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], block_bytes: int, id_type:
 
     def block():
         ids, texts, out = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text", "held"))
-        return _batch([((part << 32) | number, TEXTS, ids, out, [pack(x) for x in text_bytes(texts)])], id_type)
+        return _batch([((part << 32) | number, TEXTS, ids, out, [pack(x, level=TEXT_LEVEL) for x in text_bytes(texts)])], id_type)
 
     for b in slices(batches, limit=min(block_bytes, SLICE_BYTES)):
         held.append(b)
@@ -292,25 +294,30 @@ def _counted_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int,
         b = Block(rows)
         if d == 1:
             counts = (b.answers("<i8", 0, parts) >> 1).astype("<i4")
-            place, inverse, count, chance, asked, q, occurs, contexts, of, _ = b.first_level(counts, n, v)
+            count, chance, at, q, _, occurs, contexts, of, _ = b.first_level(counts, n, v)
+            asked, where = at, slice(None)
+            entry = mix64(np.append(END, b.hashes[:-1]) * _LEFT + b.hashes)
         else:
-            _, q, occurs, contexts, of, token = b.later_level(d)
-            place, inverse = distinct(mix64(contexts[of] * _LEFT + token))[1:]
-            asked = np.arange(len(of))
+            _, q, able, occurs, contexts, of, token = b.later_level(d)
+            asked, where = slice(None), np.flatnonzero(able)
+            entry = mix64(contexts[of[where]] * _LEFT + token[where])
+        place, inverse = distinct(entry)[1:]
         answer = b.answers("<i8", parts, 2 * parts)
-        owned = np.zeros(len(inverse), dtype=bool)
+        owned = np.zeros(len(entry), dtype=bool)
         owned[place[(answer & 1) > 0]] = True
-        c = (answer >> 1)[inverse[asked]].astype("<i4")
-        c[~(significant(c, occurs[of], q) if d == 1 else c >= ENTRY_LEAST)] = 0
-        own = np.flatnonzero(owned[asked] & (c > 0))
+        found = (answer >> 1)[inverse[asked]].astype("<i4")
+        found[found < ENTRY_LEAST] = 0
+        if d == 1:
+            found[(found > 0) & ~significant(found, occurs[of], q)] = -1
+        c = np.zeros(len(of), dtype="<i4")
+        c[where] = found
+        own = np.arange(len(of))[where][owned[asked] & (found > 0)]
         to, k, f = of[own], c[own].astype(float), q[own].astype(float)
         weight, kinds, inside, shorter = (np.bincount(to, x, len(contexts)) for x in (k, np.ones(len(own)), k * (np.log(k) - np.log(f)), f))
         asks = _asks(b.number, contexts, [occurs, kinds.astype("<i4")], parts, 0, [weight.astype("<i4"), inside, shorter])
         if d == 1:
-            all_ = np.zeros(len(inverse), dtype="<i4")
-            all_[asked] = c
             base = np.bincount(b.of, np.log10(chance), b.texts)
-            yield _batch([b.state(np.bincount(b.of, count > 0, b.texts).astype("<i8"), base, base, counts, all_[place]), *asks], id_type)
+            yield _batch([b.state(np.bincount(b.of, count > 0, b.texts).astype("<i8"), base, base, counts, c), *asks], id_type)
         else:
             yield _batch([(b.number, COUNTS, None, None, [pack(c)]), *asks], id_type)
 
@@ -322,11 +329,11 @@ def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, p
         b = Block(rows)
         if d == 1:
             known, base, score, counts, c = b.numbers(*FIRST)
-            _, inverse, _, _, at, q, occurs, contexts, of, token = b.first_level(counts, n, v)
-            c = c[inverse[at]]
+            at, q, _, occurs, contexts, of, token = b.first_level(counts, n, v)[2:]
         else:
             known, base, score = b.numbers()
-            (at, q, occurs, contexts, of, token), c = b.later_level(d), b.counts
+            (at, q, _, occurs, contexts, of, token), c = b.later_level(d), b.counts
+        able, c = c != 0, np.maximum(c, 0)
         kinds = b.answers("<i4")
         other = np.zeros(len(kinds))
         other[kinds >= 0] = b.answers("<f4", item=1)
@@ -337,12 +344,12 @@ def _scored_batches(batches: Iterator[pa.RecordBatch], d: int, n: int, v: int, p
         # a place whose context stays, after a place whose token is an entry
         longer = np.flatnonzero((at[1:] == at[:-1] + 1) & stay[1:] & (c[:-1] >= CONTEXT_LEAST) & (token[:-1] != END))
         contexts, first, of = distinct(mix64(contexts[of[longer]] * _LEFT + token[longer]))
-        at, token, occurs, q = at[longer + 1], token[longer + 1], c[longer][first], p[longer + 1]
-        state = [known, base, score, gaps(at), q, occurs]
+        at, token, occurs, q, able = at[longer + 1], token[longer + 1], c[longer][first], p[longer + 1], able[longer + 1]
+        state = [known, base, score, gaps(at), q, able, occurs]
         if coded:
             words, _, which = distinct(token)
             state += [contexts, of, words, which]
-        yield _batch([b.state(*state), *b.listed(mix64(contexts[of] * _LEFT + token), b.text(at), parts, parts)], id_type)
+        yield _batch([b.state(*state), *b.listed(mix64(contexts[of[able]] * _LEFT + token[able]), b.text(at[able]), parts, parts)], id_type)
 
 
 def _result_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +377,7 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int | Non
     def met(own: list[DataFrame], asked: DataFrame, combine, then, used: list[DataFrame]) -> tuple[DataFrame, list[int]]:
         """What follows from the blocks' own rows and the answers to what was asked; and the sums of these. What was asked,
         in the tables ``used``, leaves the disk when it is answered."""
-        answers = materialize(asked.repartition("part").sortWithinPartitions("part").mapInArrow(combine, schema), "answers")
+        answers = materialize(asked.repartition("part").sortWithinPartitions("part").mapInArrow(combine, schema), "answers", level=1)
         for table in used:
             discard(table, "asked=1")
         totals = [unpack(r["data"][0], "<i8") for r in answers.where("block < 0").select("data").collect()]  # a row a part
@@ -379,12 +386,12 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (10, 0), depth: int | Non
         for table in own:
             both = both.unionByName(table)
         rows = both.repartition("block").sortWithinPartitions("block", "part").mapInArrow(then(*sums), schema)
-        made = materialize(rows.withColumn("asked", (F.col("part") >= 0).cast("int")), "state", partition_by=["asked"])
+        made = materialize(rows.withColumn("asked", (F.col("part") >= 0).cast("int")), "state", partition_by=["asked"], level=1)
         discard(answers)
         return made, sums
 
     held = docs.select("doc_id", "text", out.alias("held"))
-    blocks = materialize(held.mapInArrow(lambda it: _block_batches(it, block_bytes, arrow_id), schema), "blocks")
+    blocks = materialize(held.mapInArrow(lambda it: _block_batches(it, block_bytes, arrow_id), schema), "blocks", level=1)
     parts = max(8, blocks.count() // 4)
     split = lambda table: tuple(table.where(F.col("asked") == i).drop("asked") for i in (0, 1))
     counted = lambda d, n, v: lambda it: _counted_batches(it, d, n, v, parts, arrow_id)
