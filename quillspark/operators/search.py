@@ -49,13 +49,16 @@ def heuristic_actions(question: Column, has_image: Column, has_evidence: Column,
 
     Actions taken before are left out. The answer comes in if there is evidence or nothing else, and room.
     """
-    words = keyword_query(question)
-    searches = [action("text_search", question)]
-    if reformulate:
-        searches.append(F.when((words != "") & (words != question), action("text_search", words)))
-    if images:
-        searches.append(F.when(has_image, action("image_search")))
-    found = _without(F.array_compact(F.array(*searches)), taken)
+
+    def searches(words: Column) -> Column:
+        asked = [action("text_search", question)]
+        if reformulate:
+            asked.append(F.when((words != "") & (words != question), action("text_search", words)))
+        if images:
+            asked.append(F.when(has_image, action("image_search")))
+        return F.array_compact(F.array(*asked))
+
+    found = let(taken, lambda t: _without(let(keyword_query(question), searches), t))
     with_answer = lambda c: F.when((has_evidence | (F.size(c) == 0)) & (F.size(c) < k), F.concat(c, F.array(action("answer", None, answer)))).otherwise(c)
     return F.slice(let(found, with_answer), 1, k)
 
@@ -74,8 +77,7 @@ def allowed_types(question: Column, has_image: Column, benchmark: str = "", mode
         return plain
     if mode.lower() not in ("heuristic", "strict") or name == "cragmm":
         return all_
-    low = F.lower(question)
-    says = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
+    says = lambda terms: let(F.lower(question), lambda low: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)))
     look = has_image & (F.lit(True) if name == "mragbench" else says(VISUAL_TERMS))
     if name != "mragbench":
         look = look & ~says(TEXT_TERMS)
@@ -105,9 +107,13 @@ def gated_actions(actions: Column, question: Column, has_image: Column, has_evid
     types = allowed_types(question, has_image, benchmark, mode)
     if available is not None:
         types = F.array_union(F.array_intersect(types, F.array(*map(F.lit, available))), F.array(F.lit("answer")))
-    kept = F.filter(actions, lambda a: F.array_contains(types, a["type"]))
-    answers = F.filter(actions, lambda a: a["type"] == "answer")
-    some = F.when(F.size(kept) > 0, kept).otherwise(answers)
+
+    def allowed(given: Column) -> Column:
+        answers = F.filter(given, lambda a: a["type"] == "answer")
+        own = let(types, lambda t: F.filter(given, lambda a: F.array_contains(t, a["type"])))
+        return let(own, lambda kept: F.when(F.size(kept) > 0, kept).otherwise(answers))
+
+    some = let(actions, allowed)
     keyed = F.array_sort(F.transform(some, lambda a, i: F.struct((-priority(a, has_evidence, benchmark, mode)).alias("p"), i.alias("i"), a.alias("a"))))
     return F.slice(F.transform(keyed, lambda s: s["a"]), 1, min(k, most or k))
 

@@ -93,9 +93,9 @@ def heuristic_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gated_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _states(spark, sf_dir)
     a = M.heuristic_actions(F.col("question"), F.col("has_image"), F.col("has_evidence"), F.col("taken"), F.col("source"), 6)
-    types = lambda b, mode: F.array_join(F.transform(M.gated_actions(a, F.concat(F.lit("Identify "), F.col("question")), F.col("has_image"), F.col("has_evidence"), 4, b, mode, 3), lambda x: x["type"]), ",")
+    s = _states(spark, sf_dir).withColumn("proposed", a)  # of which every gate takes its own
+    types = lambda b, mode: F.array_join(F.transform(M.gated_actions(F.col("proposed"), F.concat(F.lit("Identify "), F.col("question")), F.col("has_image"), F.col("has_evidence"), 4, b, mode, 3), lambda x: x["type"]), ",")
     return s.select("doc_id", types("infoseek", "heuristic").alias("infoseek"), types("science-qa", "strict").alias("scienceqa"), types("", "dataset").alias("plain"), types("scienceqa", "off").alias("off"))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 
 import pytest
@@ -131,3 +132,10 @@ def test_stand_ins(spark):
     assert 8 < near.count("Rome") < 32
     assert value(spark, models.stand_in_answer(F.lit(1), F.array(F.lit("no"), F.lit("In Rome and Oslo.")), F.lit(None).cast("string"))) == "Oslo"
     assert value(spark, models.two_way_score(F.lit(2.0), F.lit(0.0))) == pytest.approx(1 / (1 + math.exp(-2)))
+
+
+def test_keywords_are_the_words_that_arent_stopwords(spark):
+    texts = ["", "THE the The", "then a'b 'the the' isn't is_a a1 1a an.", "In which\ncity, a-the b", "émile à the café", "ÎS thE of", "a", "namely name NAMED"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "q string").select("q", text.keyword_query(F.col("q")).alias("w")).collect()
+    for r in rows:
+        assert r["w"] == (None if r["q"] is None else " ".join(t for t in re.findall("[A-Za-z0-9']+", r["q"]) if t.lower() not in text.QUESTION_STOPWORDS))

@@ -13,6 +13,10 @@ def plan(spark, name: str) -> str:
     return registry.QUERIES[name](spark, str(DATA / "sf0.001"))._jdf.queryExecution().executedPlan().toString()
 
 
+def optimized(spark, name: str) -> str:
+    return registry.QUERIES[name](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name, schema", [("validation_split", "struct<doc_id:bigint>"), ("text_tokens", "struct<doc_id:bigint,text:string>"), ("full_golds", "struct<o_orderkey:bigint,o_orderpriority:string>")])
 def test_scans_read_only_what_is_asked(spark, name, schema):
     assert f"ReadSchema: {schema}" in plan(spark, name)
@@ -35,3 +39,10 @@ def test_relational_queries_stay_in_the_jvm(spark, name):
 
 def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(p_size), GreaterThan(p_size,25)" in plan(spark, "wanted_images").replace("[IsNotNull(p_partkey), ", "[").replace(", IsNotNull(p_partkey)", "")
+
+
+@pytest.mark.parametrize("name", ["gated_proposals"])
+def test_texts_are_searched_for_words_once(spark, name):
+    """By the proposals, and by the searches taken before."""
+    words = optimized(spark, name).count("regexp_extract_all(")
+    assert 0 < words <= 2
