@@ -139,6 +139,14 @@ def frozen_query(query: Column, question: Column, evidence: Column) -> Column:
 def completed_actions(parsed: Column, fallback: Column, question: Column, has_image: Column, titles: Column, has_evidence: Column, taken: Column, k: int, images: bool = True) -> Column:
     """A policy's actions with its guarantees: the fallback's where it gave none; no answer without evidence; an image
     branch at the second place; a text branch (first title and keywords, else keywords) at the end; none taken before."""
+    # lambdas compute what they close over for every element: each of these once
+    return let(
+        F.struct(parsed.alias("parsed"), fallback.alias("fallback"), taken.alias("taken"), titles.alias("titles"), keyword_query(question).alias("words")),
+        lambda once: _completed(once["parsed"], once["fallback"], question, has_image, once["titles"], has_evidence, once["taken"], once["words"], k, images),
+    )
+
+
+def _completed(parsed: Column, fallback: Column, question: Column, has_image: Column, titles: Column, has_evidence: Column, taken: Column, words: Column, k: int, images: bool) -> Column:
     base = F.when(F.size(parsed) > 0, parsed).otherwise(fallback)
     if not images:
         base = F.filter(base, lambda a: a["type"] != "image_search")
@@ -151,7 +159,6 @@ def completed_actions(parsed: Column, fallback: Column, question: Column, has_im
         return F.when(missing, F.concat(F.slice(c, 1, 1), F.array(action("image_search")), F.slice(c, F.lit(2), F.greatest(F.size(c), F.lit(1))))).otherwise(c)
 
     def text(c: Column) -> Column:
-        words = keyword_query(question)
         first = F.when((F.size(titles) > 0) & (words != ""), action("text_search", F.trim(F.concat_ws(" ", F.try_element_at(titles, F.lit(1)), words))))
         second = action("text_search", F.when(words != "", words).otherwise(question))
         add = F.slice(_without(_without(F.array_compact(F.array(first, second)), taken), c), 1, 1)
@@ -159,7 +166,7 @@ def completed_actions(parsed: Column, fallback: Column, question: Column, has_im
 
     start = F.when(has_evidence, base).otherwise(F.filter(base, lambda a: a["type"] != "answer"))
     whole = let(let(start, fill), text)
-    return F.slice(_without(F.when(F.size(whole) > 0, whole).otherwise(fallback), taken), 1, k)
+    return F.slice(_without(let(whole, lambda w: F.when(F.size(w) > 0, w).otherwise(fallback)), taken), 1, k)
 
 
 def backed_up(leaves: DataFrame) -> DataFrame:

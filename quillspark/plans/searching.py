@@ -106,7 +106,8 @@ def policy_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     fallback = M.heuristic_actions(F.col("question"), F.col("has_image"), F.col("has_evidence"), F.col("taken"), F.lit("?"), 4)
     titles = F.when(F.col("has_evidence"), F.array("source")).otherwise(F.array().cast("array<string>"))
     a = M.completed_actions(M.parsed_actions(reply, F.col("has_image")), fallback, F.col("question"), F.col("has_image"), titles, F.col("has_evidence"), F.col("taken"), 4)
-    return s.select("doc_id", F.array_join(F.transform(a, lambda x: x["type"]), ",").alias("types"), _shown(a).alias("actions"))
+    s = s.select("doc_id", a.alias("a"))
+    return s.select("doc_id", F.array_join(F.transform("a", lambda x: x["type"]), ",").alias("types"), _shown(F.col("a")).alias("actions"))
 
 
 def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,8 @@ def test_texts_are_searched_for_words_once(spark, name):
     """By the proposals, and by the searches taken before."""
     words = optimized(spark, name).count("regexp_extract_all(")
     assert 0 < words <= 2
+
+
+def test_replies_are_parsed_once(spark):
+    plan = optimized(spark, "policy_proposals")
+    assert plan.count("from_json(") == 1 and 0 < plan.count("regexp_extract_all(") <= 3
