@@ -201,8 +201,13 @@ def table_violations(samples: DataFrame, most: int = 8) -> DataFrame:
 
 def violation_summary(samples: DataFrame, most: int = 8, **options) -> DataFrame:
     """Counts of violations by kind, of rows and of the table."""
-    rows = violations(samples, **options).select(F.explode("violations").alias("violation")).withColumn("n", F.lit(1).cast("long"))
-    return rows.unionByName(table_violations(samples, most).select("violation", "n")).groupBy("violation").agg(F.sum("n").alias("n"))
+    # each sample tells its violations, its id and its trajectory: one pass does for rows and table
+    one = lambda name, key: F.struct(name.alias("violation"), key.cast("string").alias("key"))
+    again, long = F.lit("duplicate sample_id"), F.lit("too many samples")
+    told = F.concat(F.transform("violations", lambda v: one(v, F.lit(None))), F.array(one(again, F.col("sample_id")), one(long, F.col("traj_id"))))
+    counts = violations(samples, **options).select(F.explode(told).alias("x")).groupBy("x.violation", "x.key").agg(F.count("*").alias("n"))
+    n = F.when(F.col("violation") == again, F.col("n") - 1).when(F.col("violation") == long, (F.col("n") > most).cast("long")).otherwise(F.col("n"))
+    return counts.select("violation", n.alias("n")).where("n > 0").groupBy("violation").agg(F.sum("n").alias("n"))
 
 
 def sample_statistics(samples: DataFrame, least: int = 2) -> DataFrame:

@@ -94,3 +94,35 @@ def test_filter_order_and_split(spark):
     assert got == ["None", "None", "grounding_outcome_gap", "rationale_qc", "traj_length"]
     leaks = Q.split_leaks({"train": df.where("query_id = 'q1'"), "val": df})
     assert [(r["key"], r["splits"]) for r in leaks.collect()] == [("q1", ["train", "val"])]
+
+
+def test_prefix_keys_are_equal_where_prefixes_are(spark):
+    odd = [None, "", "-", "1:-", "0:", "a", "ab", "1:a", "a1:b", "é"]
+    rows = [(f"t{i}.{j}", n, kind, said) for i, a in enumerate(odd) for j, b in enumerate(odd) for n, (kind, said) in enumerate([("x", a), (b, "a"), ("x", b)])]
+    rows += [("again" + t, *rest) for t, *rest in rows]
+    steps = L.with_prefix_key(L.with_prefix(spark.createDataFrame(rows, "traj_id string, step_index int, action_type string, action_input string")))
+    got = steps.select(F.to_json("prefix", {"ignoreNullFields": "false"}).alias("p"), "prefix_key").collect()
+    assert len({r["p"] for r in got}) == len({r["prefix_key"] for r in got}) == len({tuple(r) for r in got}) < len(got)
+
+
+def test_labels_are_read_once_and_carry_no_snapshots_through_shuffles(spark):
+    from quillspark.plans import registry
+
+    from .oracle import DATA
+
+    plan = registry.QUERIES["release_violations"](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") <= 2  # samples, and credits of prefixes
+    join = plan[plan.index("Join Inner") :]
+    assert "prefix_key" in join and "evidence_before" not in join and "actions_before" not in join
+
+
+def test_summary_counts_repeated_and_missing_ids(spark):
+    ids = [("a#s1", "t"), ("a#s1", "t"), ("a#s1", "u"), (None, None), (None, None), ("b#s1", "t")]
+    kinds = {"question": "string", "action_type": "string", "action_input": "string", "local_grounding": "double", "outcome_credit": "double", "n_traj_through": "long", "alpha": "double", "support_floor": "double", "score": "double", "answer_support": "double", "rationale": "string", "rationale_verdict": "string", "rationale_qc_pass": "boolean", "image_path": "string"}
+    seen = "array<struct<evidence_id:string,title:string,text:string,image_path:string>>"
+    s = spark.createDataFrame(ids, "sample_id string, traj_id string").withColumn("query_id", F.lit("q"))
+    s = s.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], F.array().cast(seen).alias("evidence_before"), F.array().cast(seen).alias("evidence"))
+    got = {r["violation"]: r["n"] for r in Q.violation_summary(s, most=2).collect()}
+    table = {r["violation"]: r["n"] for r in Q.table_violations(s, most=2).groupBy("violation").agg(F.sum("n").alias("n")).collect()}
+    assert {k: got.get(k) for k in table} == table == {"duplicate sample_id": 3, "too many samples": 1}
+    assert got["missing question"] == 6 and got["missing sample_id"] == got["missing traj_id"] == 2
