@@ -12,8 +12,9 @@ from .text import let, normalize_answer, numbers
 def gold_range(gold: Column) -> Column:
     """struct(lo, hi) of a gold that is a range, else null."""
     read = F.from_json(gold, "wikidata double, range array<double>", {"mode": "PERMISSIVE", "allowSingleQuotes": "true"})["range"]
-    whole = (F.size(read) == 2) & ~F.exists(read, lambda x: x.isNull())
-    return F.when(gold.contains("{") & gold.contains("range") & whole, F.struct(F.array_min(read).alias("lo"), F.array_max(read).alias("hi")))
+    whole = lambda r: (F.size(r) == 2) & ~F.exists(r, lambda x: x.isNull())
+    ends = lambda r: F.when(whole(r), F.struct(F.array_min(r).alias("lo"), F.array_max(r).alias("hi")))
+    return F.when(gold.contains("{") & gold.contains("range"), let(read, ends))
 
 
 def _ranges(golds: Column) -> Column:
@@ -26,7 +27,11 @@ def _any_in(found: Column, r: Column) -> Column:
 
 def in_some_range(prediction: Column, golds: Column) -> Column:
     """Whether any number of the prediction lies in any of the golds' ranges."""
-    return F.coalesce(let(numbers(prediction), lambda found: F.exists(_ranges(golds), lambda r: _any_in(found, r))), F.lit(False))
+    return let(numbers(prediction), lambda found: _some(found, _ranges(golds)))
+
+
+def _some(found: Column, ranges: Column) -> Column:
+    return F.coalesce(F.exists(ranges, lambda r: _any_in(found, r)), F.lit(False))
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
@@ -35,8 +40,12 @@ def exact_match(prediction: Column, golds: Column) -> Column:
     return (in_some_range(prediction, golds) | F.coalesce(same, F.lit(False))).cast("double")
 
 
+def _split(normalized: Column) -> Column:
+    return F.filter(F.split(normalized, " "), lambda t: t != "")
+
+
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(normalize_answer(text), " "), lambda t: t != "")
+    return _split(normalize_answer(text))
 
 
 def _count(tokens: Column, t: Column) -> Column:
@@ -69,3 +78,21 @@ def range_accuracy(prediction: Column, golds: Column) -> Column:
     """Where a gold is a range, whether a number lies in the first one; else exact match."""
     numeric = let(_ranges(golds), lambda found: F.when(F.size(found) > 0, let(F.try_element_at(found, F.lit(1)), lambda r: F.coalesce(_any_in(numbers(prediction), r), F.lit(False)).cast("double"))))
     return F.coalesce(numeric, exact_match(prediction, golds))
+
+
+def metrics(prediction: Column, golds: Column) -> Column:
+    """struct(em, f1, accuracy): ``exact_match``, ``f1`` and ``range_accuracy``; each text is read once for all three, and
+    normalised only where no number fits."""
+
+    def by_words(x: Column) -> Column:
+        same = F.coalesce(F.exists(x["golds"], lambda g: g == x["mine"]), F.lit(False))
+        best = let(_split(x["mine"]), lambda p: F.array_max(F.transform(x["golds"], lambda t: let(_split(t), lambda g: _overlap_f1(p, g)))))
+        return F.struct(same.cast("double").alias("em"), F.coalesce(best, F.lit(0.0)).alias("f1"))
+
+    def of(x: Column) -> Column:
+        words = F.struct(normalize_answer(F.coalesce(prediction, F.lit(""))).alias("mine"), F.transform(golds, normalize_answer).alias("golds"))
+        both = F.when(_some(x["found"], x["ranges"]), F.struct(F.lit(1.0).alias("em"), F.lit(1.0).alias("f1"))).otherwise(let(words, by_words))
+        first = let(F.try_element_at(x["ranges"], F.lit(1)), lambda r: F.coalesce(_any_in(x["found"], r), F.lit(False)).cast("double"))
+        return let(both, lambda b: F.struct(b["em"].alias("em"), b["f1"].alias("f1"), F.when(F.size(x["ranges"]) > 0, first).otherwise(b["em"]).alias("accuracy")))
+
+    return let(F.struct(numbers(prediction).alias("found"), _ranges(golds).alias("ranges")), of)

@@ -47,7 +47,8 @@ def range_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_text = lambda c: c.cast("string")
     gold = F.concat(F.lit("{'wikidata': "), as_text(price), F.lit(".0, 'range': ["), as_text(low), F.lit(", "), as_text(high), F.lit("]}"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("about "), F.format_number(price, 0), F.lit(" coins")).alias("p"), F.array(F.lit("a fortune"), gold).alias("g"))
-    return rows.select("l_orderkey", "l_linenumber", M.exact_match(F.col("p"), F.col("g")).alias("em"), F.round(M.f1(F.col("p"), F.col("g")), 6).alias("f1"), M.range_accuracy(F.col("p"), F.col("g")).alias("accuracy"))
+    rows = rows.select("l_orderkey", "l_linenumber", M.metrics(F.col("p"), F.col("g")).alias("m"))
+    return rows.select("l_orderkey", "l_linenumber", "m.em", F.round("m.f1", 6).alias("f1"), "m.accuracy")
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

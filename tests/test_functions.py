@@ -139,3 +139,14 @@ def test_keywords_are_the_words_that_arent_stopwords(spark):
     rows = spark.createDataFrame([(t,) for t in [*texts, None]], "q string").select("q", text.keyword_query(F.col("q")).alias("w")).collect()
     for r in rows:
         assert r["w"] == (None if r["q"] is None else " ".join(t for t in re.findall("[A-Za-z0-9']+", r["q"]) if t.lower() not in text.QUESTION_STOPWORDS))
+
+
+def test_metrics_of_a_row_read_each_text_once(spark):
+    golds = [["paris"], ["New York", "NYC"], ["{'wikidata': 153.0, 'range': [137.7, 168.3]}", "x"], ["a 46 g", "{'range': [1, 2]}", "{'range': [150, 40]}"], ["{'range': [1, null]}", "46 g."], ["{'range': [1, 2"], [], None, [None, ""], ["the"], ["NY NY, the city"]]
+    said = ["Paris", "NYC", "150 g", "46 g", "the", "", None, "ny city ny ny", "An 1.5, a theta"]
+    rows = spark.createDataFrame([(p, g) for p in said for g in golds], "p string, g array<string>")
+    both = rows.select(M.metrics(F.col("p"), F.col("g")).alias("m"), M.exact_match(F.col("p"), F.col("g")).alias("em"), M.f1(F.col("p"), F.col("g")).alias("f1"), M.range_accuracy(F.col("p"), F.col("g")).alias("accuracy"))
+    for r in both.collect():
+        assert tuple(r["m"]) == (r["em"], r["f1"], r["accuracy"])
+    plan = rows.select(M.metrics(F.col("p"), F.col("g")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("translate(") == 2  # 16 and 6 by the three functions
