@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -19,6 +21,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK = 4096
 #: (query, token) pairs that are broadcast, at most; more are left to a join by shuffle on the token, which splits hot tokens.
 BROADCAST_TERMS = 500_000
+#: Parts of scores that a task adds up at a time, and hits that it holds before it leaves each query's best.
+PARTS, HELD = 2_000_000, 200_000
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def _idf(n: int) -> Column:
 
 def bm25_index(docs: DataFrame) -> Bm25Index:
     """Reads and tokenizes the documents once; what queries need is written to the shared folder."""
-    terms = with_terms(docs).repartition("doc_id")
+    terms = with_terms(docs.select("doc_id", *[c for c in ("title", "text") if c in docs.columns]).repartition("doc_id"))  # texts are smaller than their tokens
     postings = terms.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("t")).groupBy("doc_id", "dl", "t").agg(F.count("*").cast("int").alias("tf"))
     postings = materialize(postings, "postings")
     frequencies = materialize(postings.groupBy("t").agg(F.count("*").alias("df")), "frequencies")
@@ -73,18 +77,22 @@ def bm25_index(docs: DataFrame) -> Bm25Index:
     return Bm25Index(postings, frequencies, n, total / n if n else 0.0, mean or 0.0)
 
 
-def bm25(index: Bm25Index, queries: DataFrame, also: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score of all pairs that share a token, and of the pairs ``also`` (query_id, doc_id).
+def query_terms(index: Bm25Index, queries: DataFrame) -> DataFrame:
+    """query_id, t, weight of the tokens that queries ask for and documents have.
 
     Okapi BM25; an idf below 0 is replaced by EPSILON times the mean idf of the vocabulary. A token that a query repeats
-    counts each time. Postings of tokens that queries ask for are summed by document where they lie, then shuffled.
+    counts each time.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("times"))
     raw = _idf(index.n)
     idf = index.frequencies.select("t", F.when(raw < 0, F.lit(EPSILON * index.mean_idf)).otherwise(raw).alias("idf"))
-    terms = materialize(asked.join(idf, "t").select("query_id", "t", (F.col("times") * F.col("idf")).alias("weight")), "terms")
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+    return materialize(asked.join(idf, "t").select("query_id", "t", (F.col("times") * F.col("idf")).alias("weight")), "terms")
+
+
+def bm25(index: Bm25Index, queries: DataFrame, also: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score of all pairs that share a token, and of the pairs ``also`` (query_id, doc_id): by a join, for
+    any number of queries."""
+    terms = query_terms(index, queries) if terms is None else terms
     saturated = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(index.avgdl)))
     parts = index.postings.join(terms, "t").select("query_id", "doc_id", (F.col("weight") * saturated).alias("part"))
     if also is not None:
@@ -97,9 +105,123 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6,
     first others of the corpus with score 0. An empty corpus finds nothing."""
     first = [r["doc_id"] for r in docs.select("doc_id").orderBy("doc_id").limit(k).collect()]  # k at most
     kind = docs.schema["doc_id"].dataType
+    index = index or bm25_index(docs)
+    terms = query_terms(index, queries)
+    names = queries.select("query_id").distinct()
+    if terms.count() + names.count() <= BROADCAST_TERMS:
+        return ranked(_best_by_document(index, terms, names, docs.sparkSession.createDataFrame([(d,) for d in first], docs.select("doc_id").schema), k, digits), k)
     also = queries.select("query_id", F.explode(F.array(*[F.lit(d) for d in first]).cast(ArrayType(kind))).alias("doc_id"))
-    scores = bm25(index or bm25_index(docs), queries, also)
-    return ranked(scores.withColumn("score", F.round("score", digits)), k)
+    return ranked(bm25(index, queries, also, terms).withColumn("score", F.round("score", digits)), k)
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """As Spark rounds: halves of the shortest decimal form go up, away from 0."""
+    scaled = np.abs(x) * 10.0**digits
+    out = np.copysign(np.floor(scaled + 0.5) / 10.0**digits, x)
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out + 0.0
+
+
+def _best_by_document(index: Bm25Index, terms: DataFrame, names: DataFrame, first: DataFrame, k: int, digits: int) -> DataFrame:
+    """query_id, doc_id, score of each task's k best of each query; documents of ``first`` count for every query.
+
+    Postings of asked tokens are dealt by document, so that a document's scores are summed in one task, some documents at a
+    time; pairs of query and document are neither shuffled nor held.
+    """
+    spark, avgdl = terms.sparkSession, index.avgdl
+    ids = [r["query_id"] for r in names.collect()]  # BROADCAST_TERMS at most, as the terms
+    number = {q: i for i, q in enumerate(ids)}
+    told = terms.collect()
+    tokens_ = {t: i for i, t in enumerate(sorted({r["t"] for r in told}))}
+    of = np.array([tokens_[r["t"]] for r in told], dtype=np.int64)
+    order = np.argsort(of, kind="stable")
+    who = np.array([number[r["query_id"]] for r in told], dtype=np.int64)[order]
+    weight = np.array([r["weight"] for r in told], dtype=float)[order]
+    many = np.bincount(of, minlength=len(tokens_)) if len(of) else np.zeros(0, dtype=np.int64)
+    held = spark.sparkContext.broadcast((who, weight, np.append(many, 0), np.append(np.cumsum(many) - many, 0), len(ids)))  # the last: token -1
+    kind = index.postings.schema["doc_id"].dataType
+    codes = spark.createDataFrame(list(tokens_.items()), "t string, ti int")
+    asked = index.postings.join(F.broadcast(codes), "t").select("doc_id", "dl", "tf", "ti")
+    marks = first.select("doc_id", F.lit(1).alias("dl"), F.lit(0).alias("tf"), F.lit(-1).alias("ti"))
+    rows = asked.unionByName(marks).repartition("doc_id").sortWithinPartitions("doc_id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, weight, many, start, n = held.value
+        least, best, open_, found, size = np.full(n, -np.inf), None, None, [], 0
+
+        def leave() -> None:
+            """Of the hits so far each query's k best stay."""
+            nonlocal best, found, size
+            t = pa.concat_tables(([best] if best is not None else []) + found)
+            t = t.take(pc.sort_indices(t, sort_keys=[("q", "ascending"), ("score", "descending"), ("doc_id", "ascending")], null_placement="at_start"))
+            q = t.column("q").to_numpy()
+            at = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, dtype=np.int64)
+            place = np.arange(len(q)) - np.repeat(at, np.diff(np.append(at, len(q))))
+            best, found, size = t.filter(pa.array(place < k)), [], 0
+            last = place == k - 1
+            least[q[last]] = t.column("score").to_numpy()[last]
+
+        def add(docs: pa.Array, dl: np.ndarray, tf: np.ndarray, ti: np.ndarray, row: np.ndarray) -> None:
+            """Hits of whole documents; ``row`` numbers them from 0."""
+            nonlocal size
+            counts = many[ti]
+            at = np.repeat(start[ti] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            value = tf * (K1 + 1) / (tf + K1 * ((1.0 - B) + B * dl / avgdl)) if avgdl else np.zeros(len(tf))
+            key, part = np.repeat(row, counts) * n + who[at], np.repeat(value, counts) * weight[at]
+            if len(own := np.unique(row[ti < 0])):
+                key, part = np.append(key, (own[:, None] * n + np.arange(n)).ravel()), np.append(part, np.zeros(len(own) * n))
+            if (cells := (row[-1] + 1) * n) <= 4 * len(key):
+                pairs = np.flatnonzero(np.bincount(key, minlength=cells))
+                score = np.bincount(key, part, cells)[pairs]
+            else:
+                pairs, inverse = np.unique(key, return_inverse=True)
+                score = np.bincount(inverse, part, len(pairs))
+            near = score >= least[pairs % n] - 10.0**-digits  # what rounding may lift is rounded
+            pairs, score = pairs[near], _rounded(score[near], digits)
+            place = np.flatnonzero(np.append(True, row[1:] != row[:-1]))[pairs // n]
+            found.append(pa.table({"q": pa.array(pairs % n), "doc_id": docs.take(pa.array(place)), "score": pa.array(score)}))
+            size += len(pairs)
+            if size > HELD:
+                leave()
+
+        def whole(b: pa.RecordBatch) -> None:
+            docs = b.column("doc_id")
+            dl, tf, ti = (b.column(c).to_numpy().astype(t) for c, t in (("dl", float), ("tf", float), ("ti", np.int64)))
+            row = np.cumsum(changes(docs))
+            upto = np.cumsum(many[ti] + (ti < 0) * n)
+            lo = 0
+            while lo < len(row):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PARTS, "right")))
+                if hi < len(row):  # at a document's border: before it, else after the first document
+                    border = int(np.searchsorted(row, row[hi], "left"))
+                    hi = border if border > lo else int(np.searchsorted(row, row[hi], "right"))
+                add(docs.slice(lo, hi - lo), dl[lo:hi], tf[lo:hi], ti[lo:hi], row[lo:hi] - row[lo])
+                lo = hi
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if open_ is not None:
+                b = pa.Table.from_batches([open_, b]).combine_chunks().to_batches()[0]
+            last = int(np.flatnonzero(np.append(1, changes(b.column("doc_id"))[1:]))[-1])
+            open_ = b.slice(last)  # a document may go on in the next batch
+            if last:
+                whole(b.slice(0, last))
+        if open_ is not None:
+            whole(open_)
+            leave()
+            yield from pa.table({"q": best.column("q").cast(pa.int32()), "doc_id": best.column("doc_id"), "score": best.column("score")}).to_batches()
+
+    def changes(docs: pa.Array) -> np.ndarray:
+        """1 where a document isn't the one before it; 0 at the start."""
+        a, b = docs.slice(0, len(docs) - 1), docs.slice(1)
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        return np.append(0, other.to_numpy(zero_copy_only=False).astype(np.int64))
+
+    hits = rows.mapInArrow(search, f"q int, doc_id {kind.simpleString()}, score double")
+    back = spark.createDataFrame([(i, q) for i, q in enumerate(ids)], f"q int, query_id {names.schema['query_id'].dataType.simpleString()}")
+    return hits.join(F.broadcast(back), "q").select("query_id", "doc_id", "score")
 
 
 def ranked(hits: DataFrame, k: int, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
