@@ -21,6 +21,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK = 4096
 #: (query, token) pairs that are broadcast, at most; more are left to a join by shuffle on the token, which splits hot tokens.
 BROADCAST_TERMS = 500_000
+#: Bytes of input whose tokens a task counts at a time.
+DEALT_BYTES = 4 << 20
 #: Parts of scores that a task adds up at a time, and hits that it holds before it leaves each query's best.
 PARTS, HELD = 2_000_000, 200_000
 
@@ -65,9 +67,17 @@ def _idf(n: int) -> Column:
     return F.ln(F.lit(float(n)) - F.col("df") + F.lit(0.5)) - F.ln(F.col("df") + F.lit(0.5))
 
 
+def _deals(texts: DataFrame) -> list[int]:
+    """The number of partitions, where the input asks for more than the session has: a task counts the tokens of all its texts."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // DEALT_BYTES) if size < 1 << 50 else 0  # else unknown
+    return [wanted] if wanted > int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def bm25_index(docs: DataFrame) -> Bm25Index:
     """Reads and tokenizes the documents once; what queries need is written to the shared folder."""
-    terms = with_terms(docs.select("doc_id", *[c for c in ("title", "text") if c in docs.columns]).repartition("doc_id"))  # texts are smaller than their tokens
+    texts = docs.select("doc_id", *[c for c in ("title", "text") if c in docs.columns])
+    terms = with_terms(texts.repartition(*_deals(texts), "doc_id"))  # texts are smaller than their tokens
     postings = terms.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("t")).groupBy("doc_id", "dl", "t").agg(F.count("*").cast("int").alias("tf"))
     postings = materialize(postings, "postings")
     frequencies = materialize(postings.groupBy("t").agg(F.count("*").alias("df")), "frequencies")

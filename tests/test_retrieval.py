@@ -60,3 +60,15 @@ def test_pairs_of_query_and_document_are_not_shuffled(spark, name):
 
     plan = registry.QUERIES[name](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "sum(part" not in plan
+
+
+def test_tasks_of_the_index_do_not_grow_with_the_input(spark, monkeypatch):
+    from .oracle import DATA
+
+    docs = spark.read.parquet(str(DATA / "sf0.001" / "documents.parquet")).select("doc_id", "text")
+    assert R._deals(docs) == []
+    assert R._deals(spark.createDataFrame([(1, "a")], "doc_id long, text string")) == []  # of unknown size
+    whole = sorted(map(tuple, R.bm25_index(docs).frequencies.collect()))
+    monkeypatch.setattr(R, "DEALT_BYTES", 10_000)
+    assert R._deals(docs)[0] > 4
+    assert sorted(map(tuple, R.bm25_index(docs).frequencies.collect())) == whole
